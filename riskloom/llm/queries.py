@@ -2,21 +2,52 @@
 
 from __future__ import annotations
 
-from riskloom.llm import exact_dedup, minhash
-from riskloom.llm.common import documents
+import uuid
+
+from riskloom.llm import exact_dedup, minhash, packing, token_counts, token_store
+from riskloom.llm.common import documents, shared_dir
+
+TOKENIZER = "word_bpe_49k.json"
+STORE_END, PACK_END, FLAT_END = 2, 1, 49407
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_token_store(spark, sf_dir):
+    out = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    token_store.write_token_store(documents(spark, sf_dir), out, tokenizer_path(), STORE_END)
+    return token_store.read_token_store(spark, out)
+
+
+def op5_token_counts(spark, sf_dir):
+    out = f"{shared_dir(spark)}/flat-tokens-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir)
+    token_counts.write_flat(docs, out, tokenizer_path(), FLAT_END)
+    return token_counts.document_counts(docs, out, FLAT_END)
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), tokenizer_path(), 4096, PACK_END)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_token_store": op3_token_store,
+    "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLES = {
