@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 WHITESPACE = r"[\x20\x09-\x0D]+"
@@ -45,11 +44,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_column(df: DataFrame, name: str, kind: str) -> DataFrame:
-    """Cast ``name`` to ``kind``; other columns stay as they are."""
-    return df.withColumn(name, F.col(name).cast(kind))
-
-
 def global_rank(df: DataFrame, order: list, label: str, rank_col: str = "rank") -> DataFrame:
     """Zero-based global rank by ``order`` without a one-task window.
 
@@ -122,9 +116,9 @@ def connected_components(edges: DataFrame, label: str, max_rounds: int = 60) ->
     )
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def struct_type(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")

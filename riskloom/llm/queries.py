@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from riskloom.llm import exact_dedup, minhash, packing, token_counts, token_store
-from riskloom.llm.common import documents, shared_dir
+from riskloom.llm import decontamination, exact_dedup, minhash, packing, quality, secrets, substring_dedup, token_counts, token_store, toxicity
+from riskloom.llm.common import documents, shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
 STORE_END, PACK_END, FLAT_END = 2, 1, 49407
@@ -21,12 +21,20 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op2_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_token_store(spark, sf_dir):
     out = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
     token_store.write_token_store(documents(spark, sf_dir), out, tokenizer_path(), STORE_END)
     return token_store.read_token_store(spark, out)
 
 
+def op4_benchmark_decontamination(spark, sf_dir):
+    return decontamination.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark, sf_dir):
     out = f"{shared_dir(spark)}/flat-tokens-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
@@ -34,6 +42,10 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.document_counts(docs, out, FLAT_END)
 
 
+def op6_quality_resampling(spark, sf_dir):
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -42,12 +54,25 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), tokenizer_path(), 4096, PACK_END)
 
 
+def op9_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op10_secret_scan(spark, sf_dir):
+    return secrets.scan_secrets(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_token_store": op3_token_store,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_token_counts": op5_token_counts,
+    "op6_quality_resampling": op6_quality_resampling,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_toxicity": op9_toxicity,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLES = {
