@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
@@ -22,9 +23,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    importlib.import_module("riskloom.plans")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
