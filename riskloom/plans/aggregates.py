@@ -17,11 +17,11 @@ def long_lines(spark, d):
     return J.to_long(v, ["id", "event", "batch"], ["price", "qty", "disc", "tax"])
 
 
-@query("ag01_column_profile", f"""WITH {LINES}, {_LONG} SELECT feature, count(*) AS n, round(avg(CAST(value IS NULL AS INT)), 6) AS missing, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd,
+@query("ag01_column_profile", f"""WITH {LINES}, {_LONG} SELECT feature, count(*) AS n, round(avg(CAST(value IS NULL AS INT)), 6) AS missing, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS sd,
   round(quantile_cont(value, 0.5), 6) AS median, min(value) AS low, max(value) AS high, count(DISTINCT value) AS "distinct", round(count(DISTINCT value) / count(value), 6) AS unique_ratio FROM long GROUP BY feature""")
 def ag01(spark, d):
     p = A.column_profile(long_lines(spark, d))
-    return p.select("feature", "n", r6("missing", "missing"), r6("mean", "mean"), r6("sd", "sd"), r6("median", "median"), "low", "high", "distinct", r6("unique_ratio", "unique_ratio"))
+    return p.select("feature", "n", r6("missing", "missing"), F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), r6("median", "median"), "low", "high", "distinct", r6("unique_ratio", "unique_ratio"))
 
 
 @query("ag02_batch_profile", f"WITH {LINES}, {_LONG} SELECT batch, feature, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, count(value) AS n FROM long GROUP BY ALL")
