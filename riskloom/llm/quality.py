@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ BUCKETS = 1 << 16
 TARGET_DOCS = 20_000
 PRIOR = 1_000.0
 SEED = 61
+SLICES, MERGES = 16, 64
 #: A weight counts as that of a text of so many bytes; shorter texts than HALF weigh less.
 SCALE, HALF = 1_000.0, 200.0
 #: How many documents wrongly kept weigh as much as one wrongly rejected.
@@ -58,17 +60,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             triples, pairs, _ = _buckets(data, offsets)
             total[:BUCKETS] += np.bincount(triples, minlength=BUCKETS)
             total[BUCKETS:] += np.bincount(pairs, minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
+    part = TaskContext.get().partitionId()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(range(SLICES), pa.int32()), pa.array([part % MERGES] * SLICES, pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())],
+        names=["slice", "merge", "counts"],
+    )
+
+
+def _add(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c.as_buffer(), np.int64) for c in table.column("counts"))
+    first = table.slice(0, 1)
+    return pa.Table.from_arrays([first.column("slice"), first.column("merge"), pa.array([total.tobytes()], pa.binary())], names=["slice", "merge", "counts"])
 
 
 def counts(texts: DataFrame) -> np.ndarray:
-    """Counts of 3-grams, then of contexts: one row per task and bucket is summed by Spark, 131,072 numbers reach the driver."""
-    out = np.zeros(2 * BUCKETS, np.int64)
-    summed = texts.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for r in summed.collect():
-        out[r["bucket"]] = r["n"]
-    return out
+    """Counts of 3-grams, then of contexts.
+
+    Each task sends its counts as ``SLICES`` packed arrays; they are added up in
+    two rounds, and 131,072 numbers reach the driver.
+    """
+    ddl = "slice int, merge int, counts binary"
+    parts = texts.select("text").mapInArrow(_count, ddl)
+    once = parts.groupBy("slice", "merge").applyInArrow(_add, ddl)
+    rows = once.groupBy("slice").applyInArrow(_add, ddl).orderBy("slice").collect()
+    return np.concatenate([np.frombuffer(bytes(r["counts"]), np.int64) for r in rows]) if rows else np.zeros(2 * BUCKETS, np.int64)
 
 
 class LogRatios:
