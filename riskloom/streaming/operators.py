@@ -21,8 +21,8 @@ def score_rows(rows: DataFrame, predictor: Column, low: float, high: float) -> D
 def changed_only_batch(rows: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
     """SM-02, batch twin: rows whose fingerprint differs from the previous one of their key."""
     w = Window.partitionBy(key).orderBy(*order)
-    marked = rows.withColumn("_f", fingerprint(cols)).withColumn("_last", F.lag("_f").over(w))
-    return marked.filter(F.col("_last").isNull() | (F.col("_f") != F.col("_last"))).drop("_f", "_last")
+    marked = rows.withColumn("state_print", fingerprint(cols)).withColumn("_last", F.lag("state_print").over(w))
+    return marked.filter(F.col("_last").isNull() | (F.col("state_print") != F.col("_last"))).drop("state_print", "_last")
 
 
 class _Changed(StatefulProcessor):
@@ -36,7 +36,7 @@ class _Changed(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values(self.order)
         last = self.last.get()[0] if self.last.exists() else None
         keep = []
-        for f in batch["_f"]:
+        for f in batch["state_print"]:
             keep.append(f != last)
             last = f
         self.last.update((last,))
@@ -51,7 +51,7 @@ def changed_only(stream: DataFrame, key: str, order: list[str], cols: list[str])
 
     Rows of a micro-batch are taken in the order of ``order``.
     """
-    marked = stream.withColumn("_f", fingerprint(cols))
+    marked = stream.withColumn("state_print", fingerprint(cols))
     return marked.groupBy(key).transformWithStateInPandas(
         statefulProcessor=_Changed(order, stream.columns), outputStructType=stream.schema, outputMode="Append", timeMode="None"
     )
