@@ -45,8 +45,8 @@ LONGS = PERMUTATIONS * BITS // 64
 FINE = 512
 PERCENT = 85
 SIGMAS = 5.0
-QUERY_BLOCK = 512
-MEMBER_BLOCK = 4096
+QUERY_BLOCK = 256
+MEMBER_BLOCK = 1024
 BEST = 4
 
 _RNG = np.random.default_rng(20240229)
@@ -196,15 +196,19 @@ def _cross(best: int | None, floor: float):
         out = []
         empty = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "query": np.zeros(0, np.int64), "est": np.zeros(0)}
         if len(q) and len(m):
-            ms = np.stack(m["sig"].to_numpy()).view(np.uint64)
+            ms, mb = np.stack(m["sig"].to_numpy()).view(np.uint64), np.stack(m["bands"].to_numpy())
             mc, md = m["component"].to_numpy(), m["doc_id"].to_numpy()
-            for doc, comp, sig in zip(q["doc_id"], q["component"], q["sig"], strict=True):
+            key = rows["key"].iloc[0]
+            for doc, comp, sig, bands in zip(q["doc_id"], q["component"], q["sig"], q["bands"], strict=True):
                 x = ms ^ np.asarray(sig).view(np.uint64)
                 x |= x >> np.uint64(1)
                 x |= x >> np.uint64(2)
                 differ = np.bitwise_count(x & lane).sum(axis=1, dtype=np.int64)
                 est = ((1 - differ / FINE) - chance) / (1 - chance)
                 hit = np.flatnonzero((est >= floor) & (mc != comp))
+                # a pair that meets in several buckets is judged in the first of them
+                same = mb[hit] == bands
+                hit = hit[mb[hit, same.argmax(axis=1)] == key] if len(hit) else hit
                 if best and len(hit) > best:
                     hit = hit[np.argsort(-est[hit], kind="stable")[:best]]
                 if len(hit):
@@ -252,7 +256,7 @@ def _open_pairs(members: DataFrame, components: DataFrame, sigs: DataFrame, best
     rows = placed.select("key", "doc_id", "component").join(open_buckets, "key").join(sigs, "doc_id")
     own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("nq")).cast("int")
     chunk = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("nm")).cast("int")
-    keep = ["key", "qb", "mb", "query", "doc_id", "component", "sig"]
+    keep = ["key", "qb", "mb", "query", "doc_id", "component", "sig", "bands"]
     queries = (
         rows.filter("component <> largest").withColumn("qb", own).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)))
         .withColumn("query", F.lit(True))
@@ -317,7 +321,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
     judged = confirm(star, texts, percent, "minhash-links")
     components = connected_components(judged.filter("linked"), "minhash")
-    fine, floor = materialize(texts.mapInArrow(_fine, "doc_id long, sig array<long>"), "minhash-fine"), floor_estimate(percent, FINE)
+    fine = texts.mapInArrow(_fine, "doc_id long, sig array<long>").join(sigs.select("doc_id", "bands"), "doc_id").dropDuplicates(["doc_id"])
+    fine, floor = materialize(fine, "minhash-fine"), floor_estimate(percent, FINE)
     for best in (BEST, None):
         components = materialize(components, "minhash-components")
         open_pairs = materialize(
