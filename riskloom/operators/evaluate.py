@@ -149,7 +149,7 @@ def corrected_t_interval(scores: DataFrame, value: str, n_train: int, n_test: in
     n = F.count(value)
     t = F.lit(1.96)
     for df_, point in sorted(T95.items(), reverse=True):
-        t = F.when(n - 1 <= df_, point).otherwise(t) if df_ == max(T95) else F.when(n - 1 <= df_, point).otherwise(t)
+        t = F.when(n - 1 <= df_, point).otherwise(t)
     half = t * F.stddev_samp(value) * F.sqrt(1 / n + n_test / n_train)
     return scores.agg(
         F.avg(value).alias("mean"), F.greatest(F.lit(0.0), F.avg(value) - half).alias("low"), F.least(F.lit(1.0), F.avg(value) + half).alias("high")

@@ -21,9 +21,8 @@ def class_order(df: DataFrame, key: str, event: str, seed, by: list[str] | None
     ordered parts; rows are numbered inside a part and shifted by the parts
     before, so no class is sorted in one task.
     """
+    keyed = df.withColumn("_h", hash_key(F.lit(str(seed)), *[F.col(b) for b in by or []], F.col(key)))
     by = [*(by or []), event]
-    parts = [c for c in (F.col(b) for b in (by[:-1]))]
-    keyed = df.withColumn("_h", hash_key(F.lit(str(seed)), *parts, F.col(key)))
     keyed = keyed.withColumn("_s", F.floor(F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * salts / 65536).cast("int"))
     sizes = keyed.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*by).orderBy("_s")
