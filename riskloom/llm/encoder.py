@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, with each distinct word encoded once.
 
 White space separates words in the tokenizers used here, so a text's ids are
-its words' ids in a row. The library is asked only about words not seen lately;
+its words' ids in a row. Each megabyte of text is reduced to its distinct words
+first. The library is asked only about words not seen lately;
 words of plain Latin text are first cut as the tokenizer's own pre-tokenizer
 cuts them, so that one call encodes thousands of pieces.
 """
@@ -10,14 +11,16 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
-
+from collections.abc import Iterator
+from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-LIMIT = 250_000
-_LETTERS = "a-zà-öø-ÿ"
-_PLAIN = re.compile(rf"[\x21-\x7e{_LETTERS}À-ÖØ-Þ]+")
+from riskloom.llm.words import chunks, word_hashes, word_spans
+
+LIMIT = 160_000
+_LETTERS = "a-zß-öø-ÿ"
+_PLAIN = {chr(c) for c in [10, *range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]}
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 _READY: dict = {}
 
@@ -34,8 +37,11 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.word_end = np.zeros(max(vocab.values()) + 1, bool)
         self.word_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # two generations each: what was used lately is carried over when the younger one is full
         self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
 
     @classmethod
     def get(cls, path: str, plain_specials: bool = False) -> WordEncoder:
@@ -60,47 +66,77 @@ class WordEncoder:
             else:
                 self.pieces.update(zip(part, self._single(part), strict=True))
 
-    def _learn(self, words: Iterable[bytes]) -> None:
-        plain, other = [], []
-        for w in words:
-            s = w.decode()
-            if _PLAIN.fullmatch(s) and "<|" not in s:
-                plain.append((w, _PIECES.findall(s.lower())))
-            else:
-                other.append((w, s))
+    def _learn(self, words: list[bytes]) -> None:
+        joined = b"\n".join(words).decode()
+        if not set(joined) <= _PLAIN or "<|" in joined:
+            plain, other = [], []
+            for w, s in zip(words, joined.split("\n"), strict=True):
+                (plain if set(s) <= _PLAIN and "<|" not in s else other).append(w)
+            if other:
+                self.words.update(zip(other, self._single([w.decode() for w in other]), strict=True))
+            words = plain
+            joined = b"\n".join(words).decode()
+        if not words:
+            return
         if len(self.pieces) > LIMIT:
-            self.pieces = {}
-        missing = {p for _, ps in plain for p in ps} - self.pieces.keys()
-        if missing:
-            self._encode_pieces(list(missing))
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, ps))) for w, ps in plain)
-        if other:
-            self.words.update(zip([w for w, _ in other], self._single([s for _, s in other]), strict=True))
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        split = [(t or b"").split() for t in texts]
-        distinct: set[bytes] = set().union(*split) if split else set()
-        if len(self.words) > LIMIT:  # words in use stay
-            self.words = {w: self.words[w] for w in distinct if w in self.words}
-        missing = distinct - self.words.keys()
-        if missing:
-            self._learn(missing)
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-def encoded(texts: pa.Array, encoder: WordEncoder, limit: int = 1 << 20):
-    """Ids of each text of a column, worked on in groups of about a megabyte."""
-    group: list[bytes | None] = []
-    size = 0
-    for value in texts.cast(pa.binary()) if texts.type == pa.string() else texts.cast(pa.large_binary()):
-        raw = value.as_py()
-        group.append(raw)
-        size += len(raw or b"")
-        if size > limit:
-            yield from encoder.encode(group)
-            group, size = [], 0
-    if group:
-        yield from encoder.encode(group)
+            self.old_pieces, self.pieces = self.pieces, {}
+        known, old = self.pieces, self.old_pieces
+        # a word of letters only is one piece
+        cut = [[s] if s.isalpha() else _PIECES.findall(s) for s in joined.lower().split("\n")]
+        new = []
+        for p in set(chain.from_iterable(cut)).difference(known):
+            ids = old.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                known[p] = ids
+        if new:
+            self._encode_pieces(new)
+        get = known.__getitem__
+        self.words.update(zip(words, [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in cut], strict=True))
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        ids = list(map(self.words.get, words))
+        holes = [i for i, v in enumerate(ids) if v is None]
+        if holes:
+            if len(self.words) > LIMIT:
+                self.old_words, self.words = self.words, {}
+            know, old, new = self.words, self.old_words, []
+            for i in holes:
+                w = words[i]
+                v = old.get(w)
+                if v is None:
+                    new.append(w)
+                else:
+                    know[w] = v
+            if new:
+                self._learn(new)
+            for i in holes:
+                ids[i] = know[words[i]]
+        return ids
+
+    def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; words are told apart by 64-bit hashes."""
+        starts, ends, begin = word_spans(data, offsets)
+        if not len(starts):
+            yield from [b""] * (len(offsets) - 1)
+            return
+        _, first, which = np.unique(word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        distinct = self.encode_words([raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
+        flat = np.frombuffer(b"".join(distinct), "<u4")
+        at = np.cumsum(sizes) - sizes
+        count = sizes[which]
+        end = np.cumsum(count)
+        ids = flat[np.repeat(at[which] - (end - count), count) + np.arange(end[-1])]
+        bounds = np.concatenate([[0], end])[begin].tolist()
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            yield ids[i:j].tobytes()
+
+
+def encoded(texts: pa.Array, encoder: WordEncoder) -> Iterator[bytes]:
+    """Ids of each text of a column, worked on in groups of about a megabyte; null counts as empty."""
+    for _, data, offsets in chunks(texts):
+        yield from encoder.encode_chunk(data, offsets)

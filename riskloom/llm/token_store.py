@@ -33,7 +33,7 @@ from riskloom.llm.encoder import WordEncoder, encoded
 SAMPLE_DOCS = 400
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 4 << 20
-LEVEL = 3
+LEVEL = 1
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
