@@ -12,7 +12,8 @@ Documents whose sets of 5-word shingles have a Jaccard similarity of at least
 * The others are confirmed on their full sets. Documents of buckets that stay
   open get 512 minima, which halve the deviation of the estimate.
 
-A pair at 0.85 shares no bucket with probability (1 - 0.85**4)**32 = 6e-11.
+A pair at 0.85 shares no bucket with probability (1 - 0.85**4)**32 = 6e-11, a pair
+at 0.8 with 5e-8.
 
 Buckets are never expanded into all pairs. First every member is compared with
 the smallest ids of its buckets, those first that it meets most often, and confirmed links are merged into components.

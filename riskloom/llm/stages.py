@@ -9,6 +9,9 @@ from riskloom.llm import decontamination, exact_dedup, minhash, packing, quality
 from riskloom.llm.common import table
 from riskloom.llm.queries import PACK_END, tokenizer_path
 
+#: of the stage; op1's own contract is minhash.PERCENT
+STAGE_PERCENT = 80
+
 
 def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id is in ``keep``; null ids count as an id."""
@@ -28,8 +31,8 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    judged = minhash.near_duplicates(docs)
+    """One document of each near-duplicate group, linked from a similarity of 0.8."""
+    judged = minhash.near_duplicates(docs, STAGE_PERCENT)
     return docs.join(judged.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 

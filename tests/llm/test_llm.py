@@ -345,6 +345,19 @@ def test_pipeline(spark):
     assert packed.select("doc_id").distinct().count() == docs.count()
 
 
+def test_pipeline_near_dedup_links_from_80_percent(spark):
+    from riskloom.llm import stages
+
+    rows = []
+    for i, (shingles, changed) in enumerate([(90, 10), (100, 10), (100, 12)]):  # similarity 0.8, 0.818, 0.786
+        words = [f"a{i}x{k}" for k in range(shingles + 4)]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words[:-changed] + [f"b{i}x{k}" for k in range(changed)]))]
+    kept = stages.near_dedup(spark, make(spark, rows), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 10, 20, 21]
+    op1 = minhash.near_duplicates(make(spark, rows))
+    assert op1.filter("not kept").count() == 0
+
+
 def test_queries_keep_their_columns(spark):
     from riskloom.llm.queries import QUERIES
 
