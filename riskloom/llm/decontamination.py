@@ -1,22 +1,27 @@
-"""Benchmark decontamination: SimHash windows, multi-index Hamming blocks, exact shingle check.
-
-For every benchmark item, windows of the item's size in words are fingerprinted
-by a 64-bit SimHash of their words. Fingerprints are looked up in a multi-index
-of the items: with ``RADIUS + 1`` blocks of bits, any fingerprint within
-``RADIUS`` agrees with the item in one block at least, so none is missed.
-Candidates are confirmed by the exact weighted similarity of 5-word shingles:
-each shingle of the item that occurs in the window weighs as many words of the
-item as it is the first to cover, and similarity is the covered share of the
-item's words. One changed word in a short item leaves most of it covered.
-
-Windows that share no 5-word shingle with any item have similarity 0; they are
-skipped before fingerprinting, which loses nothing. A window's place follows
-from the place of the shared shingle in the item.
+"""Benchmark decontamination: windows at shared shingles, exact shingle check, SimHash distance.
+
+Windows of an item's size in words are judged by the exact weighted similarity
+of 5-word shingles: each shingle of the item that occurs in the window weighs as
+many words of the item as it is the first to cover, and similarity is the
+covered share of the item's words. One changed word in a short item leaves most
+of it covered.
+
+Windows that share no 5-word shingle with an item have similarity 0; they are
+skipped, which loses nothing. The others are all judged exactly. A 64-bit SimHash
+of the words gives the reported distance and settles ties, but drops nothing at
+the default ``RADIUS``: fingerprints of leaks at the threshold lie up to 30 bits
+apart and further if words repeat, where unrelated texts lie at 32.
+
+A window's place follows from the place of the shared shingle in the item. Where
+all shingles of the document together cover more of the item than these windows,
+windows that start at each shared shingle are judged too: moving a window right
+to its first shared shingle loses none, so the best one is among them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ from riskloom.llm.words import chunks, mix, run_hashes, word_hashes, word_spans
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 16
+RADIUS = 64
 GROUP_BYTES = 8 << 20
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -68,12 +73,16 @@ class ItemIndex:
         self.prints = np.array([fingerprint(mix(w)) for _, w in kept], np.uint64)
         edges = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.tables: list[dict[int, list[int]]] = []
+
+    @cached_property
+    def tables(self) -> list[dict[int, list[int]]]:
+        out = []
         for shift, mask in self.blocks:
             table: dict[int, list[int]] = {}
             for i, v in enumerate(((self.prints >> shift) & mask).tolist()):
                 table.setdefault(v, []).append(i)
-            self.tables.append(table)
+            out.append(table)
+        return out
 
     def near(self, print_: np.uint64) -> list[tuple[int, int]]:
         """Items within the radius of a fingerprint, with their distance."""
@@ -92,19 +101,44 @@ class ItemIndex:
         np.add.at(edge, at + SHINGLE, -1)
         return float((np.cumsum(edge)[:-1] > 0).sum() / self.sizes[item])
 
-    def search(self, words: np.ndarray, runs: np.ndarray, spots: np.ndarray) -> Iterator[tuple[int, int, int, float, int]]:
-        """``item, start, size, similarity, distance`` of the matching windows of one document."""
+    def search(self, words: np.ndarray, runs: np.ndarray, spots: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, float, int]]:
+        """``item, start, size, similarity, distance`` of the windows of one document that reach the threshold."""
         low, high = np.searchsorted(self.shingles, runs[spots], "left"), np.searchsorted(self.shingles, runs[spots], "right")
         windows: set[tuple[int, int]] = set()
+        met: dict[int, set[int]] = {}
         for spot, i, j in zip(spots.tolist(), low.tolist(), high.tolist(), strict=True):
-            for size, place in {(int(self.sizes[o]), int(p)) for o, p in zip(self.owner[i:j], self.place[i:j], strict=True)}:
+            for item, place in zip(self.owner[i:j].tolist(), self.place[i:j].tolist(), strict=True):
+                size = int(self.sizes[item])
                 # the last start that still has room, so that a leak cut short by the end of a text is looked at too
                 windows.add((max(0, min(spot - place, len(words) - size)), size))
-        for start, size in sorted(windows):
-            part = words[start : start + size]
-            for item, distance in self.near(fingerprint(mix(part))):
-                score = self.similarity(item, runs[start : start + size - SHINGLE + 1])
-                yield item, start, len(part), score, distance
+                met.setdefault(item, set()).add(spot)
+        prints: dict[tuple[int, int], np.uint64] = {}
+
+        def judged(item: int, start: int, size: int) -> tuple[float, int]:
+            score = self.similarity(item, runs[start : start + size - SHINGLE + 1])
+            if score < threshold:
+                return score, 0
+            if (start, size) not in prints:
+                prints[start, size] = fingerprint(mix(words[start : start + size]))
+            return score, int(np.bitwise_count(self.prints[item] ^ prints[start, size]))
+
+        starts, sizes = np.array(sorted(windows), np.int64).reshape(-1, 2).T
+        for item, mine in met.items():
+            at = np.array(sorted(mine), np.int64)
+            # no window covers more than the whole document does
+            most = self.similarity(item, runs[at])
+            if most < threshold:
+                continue
+            holds = np.searchsorted(at, starts + sizes - SHINGLE, "right") > np.searchsorted(at, starts, "left")
+            todo, size = list(zip(starts[holds].tolist(), sizes[holds].tolist(), strict=True)), int(self.sizes[item])
+            more = sorted({(max(0, min(t, len(words) - size)), size) for t in mine} - set(todo))
+            top = 0.0
+            for group in (todo, more):
+                for start, n in group if top < most else ():
+                    score, distance = judged(item, start, n)
+                    top = max(top, score)
+                    if score >= threshold and distance <= self.radius:
+                        yield item, start, len(words[start : start + n]), score, distance
 
 
 def _search(items: list[tuple[int, str]], threshold: float, radius: int):
@@ -127,9 +161,9 @@ def _search(items: list[tuple[int, str]], threshold: float, radius: int):
                 spots, doc = spots[inside], doc[inside]
                 for d in np.unique(doc).tolist():
                     i, j = begin[d], begin[d + 1]
-                    for item, start, size, score, distance in index.search(words[i:j], runs[i : j - SHINGLE + 1], spots[doc == d] - i):
+                    for item, start, size, score, distance in index.search(words[i:j], runs[i : j - SHINGLE + 1], spots[doc == d] - i, threshold):
                         key = (first + d, item)
-                        if score >= threshold and (key not in best or (-score, distance, start) < best[key][:3]):
+                        if key not in best or (-score, distance, start) < best[key][:3]:
                             best[key] = (-score, distance, start, size)
             keys = list(best)
             yield pa.RecordBatch.from_arrays(

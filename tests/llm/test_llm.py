@@ -248,6 +248,41 @@ def test_decontamination(spark):
     assert decontamination.contaminated(make(spark, []), bench).count() == 0
 
 
+def test_decontamination_finds_all_leaks_near_the_threshold(spark):
+    rng, common = np.random.default_rng(8), ["the", "of", "and", "to", "in"] + WORDS[:40]
+    items = [(i, text(500 + i, int(rng.integers(25, 90)), common if i % 2 else WORDS)) for i in range(40)]
+    rows = []
+    for i, t in items:
+        words = t.split()
+        for kind in range(5):
+            n = int(len(words) * rng.uniform(0.15, 0.2))
+            at = int(rng.integers(0, len(words) - n))
+            leak = {
+                0: words[:at] + ["spam"] * n + words[at + n :], 1: words[: len(words) - n] + [f"z{k}" for k in range(n)], 2: words[n:],
+                3: words[:at] + [f"y{k}" for k in range(n)] + words[at:], 4: words[2:10] + ["x"] * 4 + words[10:15] + ["y"] * 3 + words[15:-5],
+            }[kind]
+            rows.append((10 * i + kind, " ".join([text(900 + 10 * i + kind, 30), *leak, text(1900 + i, 30)])))
+
+    def best(item, doc):
+        k, n = len(item), len(doc)
+        top = 0
+        for s in range(max(1, n - k + 1)):
+            runs = {tuple(doc[j : j + 5]) for j in range(s, min(s + k, n) - 4)}
+            top = max(top, len({j for p in range(k - 4) if tuple(item[p : p + 5]) in runs for j in range(p, p + 5)}))
+        return top / k
+
+    grams = {i: {tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for i, t in items}
+    want = []
+    for d, doc in rows:
+        w = doc.split()
+        seen = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        want += [(d, i, s) for i, t in items if grams[i] & seen and (s := best(t.split(), w)) >= 0.8]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(make(spark, rows), bench)
+    assert tuples(got, "doc_id", "item_id", "similarity") == sorted(want)
+    assert got.filter("similarity < 0.85").count() > 20 and got.filter("similarity < 0.85 and distance > 16").count() > 0
+
+
 def test_hamming_blocks_find_all_within_radius():
     index = decontamination.ItemIndex([(i, text(i, 30)) for i in range(50)], 16)
     rng = np.random.default_rng(1)
