@@ -37,7 +37,7 @@ def hz01(spark, d):
 
 @query("hz01_combat_shrunk")
 def hz01s(spark, d):
-    return H.combat_fit(vectors(spark, d, 16), ref=1)
+    return H.combat_fit(vectors(spark, d), ref=1)
 
 
 @query("hz02_combat_apply", f"""WITH {LINES}, {_LONG}, s AS (SELECT batch, feature, count(value) AS n, avg(value) AS m, var_pop(value) AS v FROM long GROUP BY ALL), b AS (SELECT feature, sum(n * m) / sum(n) AS alpha, sum(n * v) / sum(n) AS pooled FROM s GROUP BY feature)
@@ -49,12 +49,12 @@ def hz02(spark, d):
 
 @query("hz05_eligible")
 def hz05(spark, d):
-    return H.harmonize_eligible(vectors(spark, d, 8).select("id", "batch", "feature", "value")).groupBy("batch", "harmonized").agg(F.count(F.lit(1)).alias("n"))
+    return H.harmonize_eligible(vectors(spark, d).select("id", "batch", "feature", "value")).groupBy("batch", "harmonized").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("hz06_report")
 def hz06(spark, d):
-    v = vectors(spark, d, 16)
+    v = vectors(spark, d)
     before = A.cv_stats(A.column_profile(v)).withColumn("stage", F.lit("before"))
     return before.unionByName(A.cv_stats(A.column_profile(H.combat_apply(v, H.combat_fit(v)))).withColumn("stage", F.lit("after")))
 

@@ -13,8 +13,8 @@ def line_rows(spark, d):
     return lines(spark, d).select("id", "event", F.array(F.col("price") / 10000, "qty", F.col("disc") * 100, F.col("tax") * 100).alias("features"))
 
 
-def rows(spark, d, n=8):
-    return M.vector_rows(vectors(spark, d, n))
+def rows(spark, d):
+    return M.vector_rows(vectors(spark, d))
 
 
 @query("ml01_replicate_fits")
@@ -91,4 +91,4 @@ def ml14(spark, d):
 
 @query("ev13_evaluate_resampled")
 def ev13(spark, d):
-    return M.evaluate_resampled(rows(spark, d, 5), 3, seed="e")
+    return M.evaluate_resampled(rows(spark, d), 3, seed="e")

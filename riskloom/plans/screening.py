@@ -35,7 +35,7 @@ def fs04(spark, d):
 
 @query("fs05_06_prefilter")
 def fs06(spark, d):
-    return FS.prefilter(vectors(spark, d, 16), 0.3, 0.001, 0.3)[1]
+    return FS.prefilter(vectors(spark, d), 0.3, 0.001, 0.3)[1]
 
 
 @query("fs07_univariate_auc", f"""WITH {vectors_sql(20)}, k AS (SELECT feature, event, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS r FROM vectors),
@@ -63,7 +63,7 @@ def tk02(spark, d):
 
 @query("fs10_l1_shrink")
 def fs10(spark, d):
-    v = vectors(spark, d, 20)
+    v = vectors(spark, d)
     fit = M.fit_logistic(M.vector_rows(v), 0.5, 1.0)
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate(fit["coef"])], "feature int, coef double").orderBy(F.desc(F.abs("coef")), "feature").limit(7)
 
@@ -76,7 +76,7 @@ def fs11(spark, d):
 
 @query("fs12_stability_selection")
 def fs12(spark, d):
-    return M.stability_selection(vectors(spark, d, 8), 6, [0.05, 0.2], "s")[0]
+    return M.stability_selection(vectors(spark, d), 6, [0.05, 0.2], "s")[0]
 
 
 @query("fs13_fdp_threshold", f"""WITH {LINES}, f AS (SELECT batch, qty, avg(event) AS frequency, batch > 4 AS decoy FROM lines GROUP BY ALL), g AS (SELECT 0.1 + range * 0.05 AS t FROM range(19)),
@@ -89,7 +89,7 @@ def fs13(spark, d):
 
 @query("fs14_correlation_groups")
 def fs14(spark, d):
-    return FS.correlation_groups(FS.spearman_matrix(vectors(spark, d, 12)), 0.1)
+    return FS.correlation_groups(FS.spearman_matrix(vectors(spark, d)), 0.1)
 
 
 @query("fs15_consensus", f"WITH {LINES}, v AS (SELECT DISTINCT batch AS run, qty AS feature FROM lines WHERE price > 85000), f AS (SELECT feature, count(*) AS times, round(count(*) / (SELECT count(DISTINCT run) FROM v), 6) AS frequency FROM v GROUP BY feature) SELECT * FROM f WHERE frequency >= 0.5 ORDER BY frequency DESC, feature LIMIT 6")

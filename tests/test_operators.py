@@ -228,3 +228,12 @@ def test_oracle(spark, db, name):
 
 def test_every_oracle_has_a_query():
     assert set(registry.oracles()) <= set(registry.queries())
+
+
+def test_embedding_queries_without_sql_use_all_values(spark):
+    from riskloom.plans import models
+
+    found = registry.queries()
+    assert models.rows(spark, SF).select(F.size("features")).distinct().collect()[0][0] == 64
+    assert found["hz01_combat_shrunk"](spark, SF).select("feature").distinct().count() == 64
+    assert found["fs05_06_prefilter"](spark, SF).agg(F.max("n")).collect()[0][0] == 64
