@@ -1,32 +1,67 @@
 """Token ids of whole texts by the tokenizers library, with each distinct word encoded once.
 
-White space separates words in the tokenizers used here, so a text's ids are
-its words' ids in a row. Each megabyte of text is reduced to its distinct words
-first. The library is asked only about words not seen lately;
-words of plain Latin text are first cut as the tokenizer's own pre-tokenizer
-cuts them, so that one call encodes thousands of pieces.
+White space separates words in the tokenizers used here, so a text's ids are its
+words' ids in a row. Each chunk of text is reduced to its distinct words; the
+library is asked only about words not seen lately, thousands in one call. Where
+each of them turns out to be one piece, the ends of pieces tell them apart;
+otherwise a separator word goes between them.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
-from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 
 from riskloom.llm.words import chunks, word_hashes, word_spans
 
-LIMIT = 160_000
-_LETTERS = "a-zß-öø-ÿ"
-_PLAIN = {chr(c) for c in [10, *range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]}
-_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+#: words remembered in each of two generations, some 40 bytes a word
+LIMIT = 300_000
+CALL_WORDS = 256
+CHUNK_BYTES = 1 << 20
+SEPARATOR = "~"
 _READY: dict = {}
 
 
+class Known:
+    """Ids of words by their 64-bit hashes, as flat arrays."""
+
+    def __init__(self):
+        self.hashes = np.zeros(0, np.uint64)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are known, and their places."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes, at
+
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words at some places in a row, and their counts."""
+        return gather(self.flat, self.start[at], self.count[at]), self.count[at]
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
+        start = np.cumsum(count) - count + len(self.flat)
+        all_ = np.concatenate([self.hashes, hashes])
+        order = np.argsort(all_, kind="stable")
+        self.hashes = all_[order]
+        self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
+        self.flat = np.concatenate([self.flat, flat])
+
+
+def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` in a row."""
+    end = np.cumsum(count)
+    total = int(end[-1]) if len(end) else 0
+    return flat[np.repeat(start - (end - count), count) + np.arange(total)]
+
+
 class WordEncoder:
-    """Encodes with a word-level tokenizer file whose word ends carry ``</w>``."""
+    """Encodes with a tokenizer file whose pre-tokenizer removes white space."""
 
     def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,14 +69,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
+        mark = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
+        if len(mark) != 1:
+            raise ValueError("the tokenizer has no single id for the separator")
+        self.mark = mark[0]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.word_end = np.zeros(max(vocab.values()) + 1, bool)
-        self.word_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        # two generations each: what was used lately is carried over when the younger one is full
-        self.words: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.old_pieces: dict[str, bytes] = {}
+        self.piece_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.piece_end[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.young, self.old = Known(), Known()
 
     @classmethod
     def get(cls, path: str, plain_specials: bool = False) -> WordEncoder:
@@ -51,70 +86,42 @@ class WordEncoder:
             _READY[key] = cls(path, plain_specials)
         return _READY[key]
 
-    def _single(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        for low in range(0, len(pieces), 2000):
-            part = pieces[low : low + 2000]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) == len(part):
-                raw, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
-                self.pieces.update((p, raw[i:j]) for p, i, j in zip(part, cuts[:-1], cuts[1:], strict=True))
-            else:
-                self.pieces.update(zip(part, self._single(part), strict=True))
-
-    def _learn(self, words: list[bytes]) -> None:
-        joined = b"\n".join(words).decode()
-        if not set(joined) <= _PLAIN or "<|" in joined:
-            plain, other = [], []
-            for w, s in zip(words, joined.split("\n"), strict=True):
-                (plain if set(s) <= _PLAIN and "<|" not in s else other).append(w)
-            if other:
-                self.words.update(zip(other, self._single([w.decode() for w in other]), strict=True))
-            words = plain
-            joined = b"\n".join(words).decode()
-        if not words:
-            return
-        if len(self.pieces) > LIMIT:
-            self.old_pieces, self.pieces = self.pieces, {}
-        known, old = self.pieces, self.old_pieces
-        # a word of letters only is one piece
-        cut = [[s] if s.isalpha() else _PIECES.findall(s) for s in joined.lower().split("\n")]
-        new = []
-        for p in set(chain.from_iterable(cut)).difference(known):
-            ids = old.get(p)
-            if ids is None:
-                new.append(p)
-            else:
-                known[p] = ids
-        if new:
-            self._encode_pieces(new)
-        get = known.__getitem__
-        self.words.update(zip(words, [get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for ps in cut], strict=True))
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words."""
-        ids = list(map(self.words.get, words))
-        holes = [i for i, v in enumerate(ids) if v is None]
-        if holes:
-            if len(self.words) > LIMIT:
-                self.old_words, self.words = self.words, {}
-            know, old, new = self.words, self.old_words, []
-            for i in holes:
-                w = words[i]
-                v = old.get(w)
-                if v is None:
-                    new.append(w)
-                else:
-                    know[w] = v
-            if new:
-                self._learn(new)
-            for i in holes:
-                ids[i] = know[words[i]]
-        return ids
+    def _call(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _together(self, part: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and counts of the lines of ``part``, if all of them are one piece each."""
+        ids = self._call(part)
+        ends = np.flatnonzero(self.piece_end[ids])
+        # no word has less than one piece, so equal numbers mean one each
+        if len(ends) != part.count("\n") + 1 or ends[-1] != len(ids) - 1:
+            return None
+        return ids, np.diff(ends, prepend=-1)
+
+    def _apart(self, part: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same with separators between them; none of the lines may hold one."""
+        if SEPARATOR in part:
+            return None
+        ids = self._call(part.replace("\n", f" {SEPARATOR} "))
+        cuts = np.concatenate([[-1], np.flatnonzero(ids == self.mark), [len(ids)]])
+        return (ids[ids != self.mark], np.diff(cuts) - 1) if len(cuts) == part.count("\n") + 2 else None
+
+    def _singly(self, part: str) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(part.split("\n"), add_special_tokens=False)]
+        return np.array([i for e in each for i in e], np.uint32), np.array([len(e) for e in each], np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        text = [w.decode() for w in words]
+        kinds = np.fromiter((0 if t.isalpha() else 2 if SEPARATOR in t else 1 for t in text), np.int8, len(text))
+        found = []
+        for kind in range(3):
+            at = np.flatnonzero(kinds == kind)
+            for low in range(0, len(at), CALL_WORDS):
+                some = at[low : low + CALL_WORDS]
+                part = "\n".join([text[i] for i in some.tolist()])
+                got = (self._together(part) if kind == 0 else None) or (self._apart(part) if kind < 2 else None) or self._singly(part)
+                found.append((hashes[some], *got))
+        self.young.add(*(np.concatenate(f) for f in zip(*found, strict=True)))
 
     def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; words are told apart by 64-bit hashes."""
@@ -122,21 +129,26 @@ class WordEncoder:
         if not len(starts):
             yield from [b""] * (len(offsets) - 1)
             return
-        _, first, which = np.unique(word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        distinct = self.encode_words([raw[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
-        flat = np.frombuffer(b"".join(distinct), "<u4")
-        at = np.cumsum(sizes) - sizes
-        count = sizes[which]
-        end = np.cumsum(count)
-        ids = flat[np.repeat(at[which] - (end - count), count) + np.arange(end[-1])]
-        bounds = np.concatenate([[0], end])[begin].tolist()
+        distinct, first, which = np.unique(word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
+        if len(self.young.hashes) > LIMIT:
+            self.old, self.young = self.young, Known()
+        new = np.flatnonzero(~self.young.find(distinct)[0])
+        kept, at = self.old.find(distinct[new])
+        if kept.any():
+            self.young.add(distinct[new[kept]], *self.old.ids(at[kept]))
+        new = new[~kept]
+        if len(new):
+            raw, i, j = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
+            self._learn(distinct[new], [raw[a:b] for a, b in zip(i, j, strict=True)])
+        at = self.young.find(distinct)[1][which]
+        count = self.young.count[at]
+        ids = gather(self.young.flat, self.young.start[at], count).astype("<u4", copy=False)
+        bounds = np.concatenate([[0], np.cumsum(count)])[begin].tolist()
         for i, j in zip(bounds[:-1], bounds[1:], strict=True):
             yield ids[i:j].tobytes()
 
 
 def encoded(texts: pa.Array, encoder: WordEncoder) -> Iterator[bytes]:
-    """Ids of each text of a column, worked on in groups of about a megabyte; null counts as empty."""
-    for _, data, offsets in chunks(texts):
+    """Ids of each text of a column, worked on in chunks of about ``CHUNK_BYTES``; null counts as empty."""
+    for _, data, offsets in chunks(texts, CHUNK_BYTES):
         yield from encoder.encode_chunk(data, offsets)

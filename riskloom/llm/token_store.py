@@ -36,8 +36,24 @@ BLOCK_BYTES = 4 << 20
 LEVEL = 1
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+def narrow(ids: bytes, width: int) -> bytes:
+    """Unsigned 32-bit ids in ``width`` bytes each; an id that does not fit is an error."""
+    if width == 4:
+        return ids
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > 0xFFFF:
+        raise ValueError("ids above 65,535 need a width of 4")
+    return wide.astype("<u2").tobytes()
+
+
+def sampled(docs: DataFrame, rows: int, seed: int) -> DataFrame:
+    """``doc_id, text`` of at most ``rows`` documents, drawn by a hash of their id.
+
+    Ids are drawn first, so no text travels but those of the sample; of rows
+    that repeat an id one is taken.
+    """
+    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> bytes:
@@ -50,10 +66,10 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> byt
     def sample(batches):
         encoder = WordEncoder.get(path)
         for batch in batches:
-            ids = [_narrow(b + int(end_id).to_bytes(4, "little"), width) for b in encoded(batch.column("text"), encoder)]
+            ids = [narrow(b + int(end_id).to_bytes(4, "little"), width) for b in encoded(batch.column("text"), encoder)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
-    drawn = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(41)), "doc_id").limit(SAMPLE_DOCS).select("text")
+    drawn = sampled(docs, SAMPLE_DOCS, 41).select("text")
     samples = [bytes(r["ids"]) for r in drawn.mapInArrow(sample, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples).as_bytes()
@@ -91,7 +107,7 @@ def _write_blocks(path: str, end_id: int, width: int, dictionary: bytes, dict_ha
 
         for batch in batches:
             for doc, raw in zip(batch.column("doc_id").to_pylist(), encoded(batch.column("text"), encoder), strict=True):
-                frame = compress(_narrow(raw + end, width))
+                frame = compress(narrow(raw + end, width))
                 ids.append(doc)
                 counts.append(len(raw) // 4 + 1)
                 frames.append(frame)
@@ -123,7 +139,8 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str, end_id: int, wi
 
     Null text counts as empty and becomes the end id alone. Documents are in
     ascending ``doc_id`` order (null ids first, repeated ids side by side).
-    ``width`` is the bytes per id in a frame; 2 suits vocabularies below 65,536.
+    ``width`` is the bytes per id in a frame; 2 suits vocabularies up to 65,536
+    ids, and a larger id fails.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
