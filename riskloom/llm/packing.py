@@ -15,25 +15,28 @@ from pyspark.sql.window import Window
 from riskloom.llm.common import materialize
 from riskloom.llm.encoder import WordEncoder, encoded
 
-SALTS = 64
+#: ids that one part of a length holds at most, more or less
+PART_IDS = 4 << 20
 
 
-def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int]]:
+def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int, int, int]]:
     """Best-fit decreasing over counts.
 
     Lengths come from the longest to the shortest. All pieces of a length are
     placed together: into the open sequences with the least room that still
-    takes them, then into new ones, which hold as many of them as fit. Open
-    sequences are kept as intervals of sequence numbers by the room left.
-
-    Returns runs ``(length, first_rank, count, first_sequence, offset)``: the
-    piece of that length with rank ``first_rank + i`` goes to
-    ``first_sequence + i`` at ``offset``. Work and size follow the number of
-    distinct lengths (at most ``size``), not the number of pieces.
+    takes them, as many in each as fit, then into new ones. Open sequences are
+    kept as intervals of sequence numbers by the room left.
+
+    Returns runs ``(length, first_rank, count, first_sequence, offset, each)``:
+    the piece of that length with rank ``first_rank + i`` goes to sequence
+    ``first_sequence + i // each`` at ``offset + i % each * length``. A length
+    adds four intervals at most and visits an interval once, and an interval
+    takes pieces of less than sqrt(2 size) lengths, so there are fewer than
+    ``4 * size * sqrt(2 * size)`` runs however many pieces there are.
     """
     rooms: list[int] = []
     open_at: dict[int, list[tuple[int, int]]] = {}
-    runs: list[tuple[int, int, int, int, int]] = []
+    runs: list[tuple[int, int, int, int, int, int]] = []
     sequences = 0
 
     def put(room: int, first: int, count: int) -> None:
@@ -45,34 +48,31 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 
     for length in sorted(histogram, reverse=True):
         left, rank = histogram[length], 0
+
+        def fill(first: int, room: int, most: int, length=length) -> int:
+            """Stack pieces into at most ``most`` sequences from ``first`` on, each with ``room``; how many it used."""
+            nonlocal left, rank
+            each = room // length
+            full, rest = divmod(min(left, each * most), each)
+            for at, n, per in ((first, full, each), (first + full, min(rest, 1), rest)):
+                if n:
+                    runs.append((length, rank, n * per, at, size - room, per))
+                    rank, left = rank + n * per, left - n * per
+                    put(room - per * length, at, n)
+            return full + (rest > 0)
+
         while left:
             i = bisect.bisect_left(rooms, length)
             if i == len(rooms):
-                each = size // length
-                full, rest = divmod(left, each)
-                for k in range(each):
-                    n = full + (k < rest)
-                    if n:
-                        # with a rest the last sequence holds fewer pieces
-                        runs.append((length, rank, n, sequences, k * length))
-                        rank += n
-                put(size - each * length, sequences, full)
-                if rest:
-                    put(size - rest * length, sequences + full, 1)
-                sequences += full + (rest > 0)
-                left = 0
-                continue
+                sequences += fill(sequences, size, left)
+                break
             room = rooms[i]
             first, count = open_at[room].pop()
             if not open_at[room]:
                 del open_at[room]
                 rooms.pop(i)
-            n = min(left, count)
-            runs.append((length, rank, n, first, size - room))
-            put(room, first + n, count - n)
-            put(room - length, first, n)
-            rank += n
-            left -= n
+            used = fill(first, room, count)
+            put(room, first + used, count - used)
     return runs
 
 
@@ -106,19 +106,19 @@ def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[i]) for i in range(keep)], names=names[:keep])
 
 
-def _place(runs: list[tuple[int, int, int, int, int]]):
-    table = np.array(sorted(runs), np.int64).reshape(-1, 5)
+def _place(runs: list[tuple[int, int, int, int, int, int]]):
+    table = np.array(sorted(runs), np.int64).reshape(-1, 6)
     keys = (table[:, 0] << 48) + table[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = batch.column("rank").to_numpy()
-            i = np.searchsorted(keys, (batch.column("length").to_numpy() << 48) + rank, "right") - 1
+            length = batch.column("length").to_numpy()
+            slot = table[np.searchsorted(keys, (length << 48) + batch.column("rank").to_numpy(), "right") - 1]
+            i = batch.column("rank").to_numpy() - slot[:, 1]
             columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "rank"]
             names = [n for n in batch.schema.names if n != "rank"]
-            slot = table[i]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(slot[:, 3] + rank - slot[:, 1]), pa.array(slot[:, 4])], names=[*names, "sequence_id", "offset"]
+                [*columns, pa.array(slot[:, 3] + i // slot[:, 5]), pa.array(slot[:, 4] + i % slot[:, 5] * length)], names=[*names, "sequence_id", "offset"]
             )
 
     return run
@@ -131,29 +131,31 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1, wit
     documents longer than ``size`` are cut, into pieces of ``size``. Returns one
     row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id,
     offset`` and, if asked for, ``ids``. Places in a sequence have no gaps and
-    start at 0. Rows with repeated ids are separate documents; a table without
-    rows gives no pieces.
-
-    Pieces are numbered within their length: in 64 salted parts, shifted by the
-    sizes of the parts before. The driver sees the histogram (at most ``size``
-    rows); the plan's runs go to the tasks in their place of slots, which may be
-    as many as pieces.
+    start at 0. Rows with repeated or null ids are separate documents; a table
+    without rows gives no pieces.
+
+    The driver sees the histogram (at most ``size`` rows) and plans over it; the
+    plan's runs, whose number does not follow the number of pieces, go to the
+    tasks. Pieces are numbered within their length in parts of about
+    ``PART_IDS`` ids, so a length that many documents share is dealt over many
+    tasks, and shifted by the sizes of the parts before.
     """
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     pieces = materialize(
-        docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer, end_id, size, with_ids), ddl),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_pieces(tokenizer, end_id, size, with_ids), ddl),
         "packing-pieces",
-    ).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", F.lit(9)), F.lit(SALTS)).cast("int"))
-    counts = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    )
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs = plan(histogram, size)
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
-    # at most size * SALTS rows of three numbers: 6 MB for 4096
+    # at most ``size`` rows
+    parts = docs.sparkSession.createDataFrame([(n, -(-n * k // PART_IDS)) for n, k in histogram.items()], "length long, parts long")
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(9)), "parts")).drop("parts")
+    counts = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
+    own = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = (
-        pieces.withColumn("own", own).join(F.broadcast(shifts), ["length", "salt"])
-        .withColumn("rank", F.col("own") - 1 + F.col("shift"))
-        .select(*[c for c in pieces.columns if c != "salt"], "rank")
+        dealt.withColumn("own", own).join(shifts, ["length", "part"])
+        .select(*pieces.columns, (F.col("own") - 1 + F.col("shift")).alias("rank"))
     )
     return ranked.mapInArrow(_place(runs), ddl + ", sequence_id long, offset long")
