@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,19 +13,51 @@ from pyspark.sql.window import Window
 WHITESPACE = r"[\x20\x09-\x0D]+"
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder of this
-    machine is taken and remembered in the session.
+    A session of one machine (master ``local``) that names none gets a temporary
+    folder, which is remembered in the session; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, remembered for ``discard``."""
+    _WRITTEN.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
+def written() -> int:
+    """How many scratch tables this session has begun so far."""
+    return len(_WRITTEN)
+
+
+def last_written() -> str:
+    return _WRITTEN[-1]
+
+
+def discard(spark: SparkSession, since: int = 0, keep: str | None = None) -> None:
+    """Delete the scratch tables begun after the first ``since`` ones, but for the path ``keep``.
+
+    For callers that have written or shown all results: whatever still reads these tables fails.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in [p for p in _WRITTEN[since:] if p != keep]:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _WRITTEN.remove(path)
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -32,7 +65,7 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     use a result several times without computing it again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
-
 from riskloom.llm import decontamination, exact_dedup, minhash, packing, quality, secrets, substring_dedup, token_counts, token_store, toxicity
-from riskloom.llm.common import documents, shared_dir, table
+from riskloom.llm.common import documents, scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
 STORE_END, PACK_END, FLAT_END = 2, 1, 49407
@@ -18,7 +16,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_minhash_near_dedup(spark, sf_dir):
-    return minhash.near_duplicates(documents(spark, sf_dir))
+    return minhash.near_duplicates(documents(spark, sf_dir)).drop("raw", "stays")
 
 
 def op2_substring_dedup(spark, sf_dir):
@@ -26,7 +24,7 @@ def op2_substring_dedup(spark, sf_dir):
 
 
 def op3_token_store(spark, sf_dir):
-    out = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    out = scratch_path(spark, "token-store")
     token_store.write_token_store(documents(spark, sf_dir), out, tokenizer_path(), STORE_END)
     return token_store.read_token_store(spark, out)
 
@@ -36,10 +34,9 @@ def op4_benchmark_decontamination(spark, sf_dir):
 
 
 def op5_token_counts(spark, sf_dir):
-    out = f"{shared_dir(spark)}/flat-tokens-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
-    token_counts.write_flat(docs, out, tokenizer_path(), FLAT_END)
-    return token_counts.document_counts(docs, out, FLAT_END)
+    out = scratch_path(spark, "flat-tokens")
+    token_counts.write_flat(documents(spark, sf_dir), out, tokenizer_path(), FLAT_END)
+    return token_counts.document_counts(spark, out, FLAT_END)
 
 
 def op6_quality_resampling(spark, sf_dir):
