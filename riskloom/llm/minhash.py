@@ -49,6 +49,7 @@ SIGMAS = 5.0
 QUERY_BLOCK = 256
 MEMBER_BLOCK = 1024
 BEST = 4
+GROUP = 256
 
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2)) + np.uint32(1)
@@ -89,7 +90,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids, raw = batch.column("doc_id"), batch.column("raw")
         for low in range(0, batch.num_rows, 1024):
             texts, counts, digests, sig, band = batch.column("text").slice(low, 1024), [], [], [], []
             held: list[np.ndarray] = []
@@ -116,13 +117,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flush()
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids.slice(low, 1024),
+                    ids.slice(low, 1024), raw.slice(low, 1024),
                     pa.array(counts, pa.int64()),
                     pa.array(digests, pa.binary()),
                     _lists(np.concatenate(sig)),
                     _lists(np.concatenate(band)),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sig", "bands"],
+                names=["doc_id", "raw", "n_shingles", "digest", "sig", "bands"],
             )
 
 
@@ -133,13 +134,12 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.searchsorted(np.cumsum([len(s) for s in sets]) // 100_000, np.arange(1 + sum(map(len, sets)) // 100_000))
             groups = [sets[i:j] for i, j in zip(cuts, [*cuts[1:], len(sets)], strict=True) if j > i]
             sig = packed(np.concatenate([minima(g, FINE) for g in groups]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, 256), _lists(sig)], names=["doc_id", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(low, 256), _lists(sig)], names=["node", "sig"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _signatures, "doc_id long, n_shingles long, digest binary, sig array<long>, bands array<long>"
-    )
+    """One row per row of ``docs`` (``doc_id, raw, text``), in its order."""
+    return docs.mapInArrow(_signatures, "doc_id long, raw long, n_shingles long, digest binary, sig array<long>, bands array<long>")
 
 
 def estimate(a: str, b: str):
@@ -178,12 +178,24 @@ def _confirm(percent: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, label: str) -> DataFrame:
-    """``a, b, linked`` for candidate pairs, judged on full shingle sets."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return materialize(
-        pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), label
-    )
+    """``a, b, linked`` for candidate pairs, judged on full shingle sets.
+
+    Texts (``node, text``) meet their pairs in groups: one that many pairs need
+    is copied once for every ``GROUP`` of them, so no key holds more pairs.
+    """
+
+    def with_text(rows: DataFrame, node: str, out: str) -> DataFrame:
+        groups = pairs.groupBy(node).agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
+        copies = (
+            texts.select(F.col("node").alias(node), F.col("text").alias(out)).join(groups, node)
+            .withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+        )
+        dealt = rows.join(groups, node).withColumn("group", F.pmod(F.xxhash64("a", "b"), F.col("groups")).cast("int")).drop("groups")
+        return dealt.join(copies, [node, "group"]).drop("group")
+
+    pairs = pairs.select("a", "b")
+    both = with_text(with_text(pairs, "a", "text_a"), "b", "text_b")
+    return materialize(both.mapInArrow(_confirm(percent), "a long, b long, linked boolean"), label)
 
 
 def _cross(best: int | None, floor: float):
@@ -198,9 +210,9 @@ def _cross(best: int | None, floor: float):
         empty = {"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "query": np.zeros(0, np.int64), "est": np.zeros(0)}
         if len(q) and len(m):
             ms, mb = np.stack(m["sig"].to_numpy()).view(np.uint64), np.stack(m["bands"].to_numpy())
-            mc, md = m["component"].to_numpy(), m["doc_id"].to_numpy()
+            mc, md = m["component"].to_numpy(), m["node"].to_numpy()
             key = rows["key"].iloc[0]
-            for doc, comp, sig, bands in zip(q["doc_id"], q["component"], q["sig"], q["bands"], strict=True):
+            for doc, comp, sig, bands in zip(q["node"], q["component"], q["sig"], q["bands"], strict=True):
                 x = ms ^ np.asarray(sig).view(np.uint64)
                 x |= x >> np.uint64(1)
                 x |= x >> np.uint64(2)
@@ -239,8 +251,8 @@ def _cross(best: int | None, floor: float):
 
 def _open_pairs(members: DataFrame, components: DataFrame, sigs: DataFrame, best: int | None, floor: float) -> DataFrame:
     """Candidate pairs between components that still share a bucket."""
-    placed = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id")
+    placed = members.join(components, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")
     )
     parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     open_buckets = (
@@ -254,10 +266,10 @@ def _open_pairs(members: DataFrame, components: DataFrame, sigs: DataFrame, best
             F.ceil(F.col("n") / MEMBER_BLOCK).cast("int").alias("nm"),
         )
     )
-    rows = placed.select("key", "doc_id", "component").join(open_buckets, "key").join(sigs, "doc_id")
-    own = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("nq")).cast("int")
-    chunk = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.col("nm")).cast("int")
-    keep = ["key", "qb", "mb", "query", "doc_id", "component", "sig", "bands"]
+    rows = placed.select("key", "node", "component").join(open_buckets, "key").join(sigs, "node")
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("nq")).cast("int")
+    chunk = F.pmod(F.xxhash64("node", F.lit(5)), F.col("nm")).cast("int")
+    keep = ["key", "qb", "mb", "query", "node", "component", "sig", "bands"]
     queries = (
         rows.filter("component <> largest").withColumn("qb", own).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)))
         .withColumn("query", F.lit(True))
@@ -281,68 +293,74 @@ def _top(pairs: DataFrame, by: str, order: str, n: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Near-duplicate components of ``docs``.
 
-    Returns one row per document: ``doc_id, n_shingles, component_id, kept,
-    links`` where ``links`` counts the confirmed links found for the document's
-    class on the way to the components. Null, empty and white-space texts have
-    no shingles and form components of their own; rows with a null ``doc_id``
-    are left out; a repeated ``doc_id`` with the same text gives one row (with
-    different texts: one row for each distinct text). Other columns of ``docs``
-    don't matter.
+    Returns one row per input row: ``doc_id, n_shingles, component_id, kept,
+    links, raw, stays``. ``links`` counts the confirmed links found for the
+    row's class on the way to the components; ``raw`` is ``xxhash64(text)`` and
+    ``stays`` marks the one ``(doc_id, raw)`` of a component that a dedup keeps
+    (rows that repeat both are equal and all carry the mark). Null, empty and
+    white-space texts have no shingles and are components of their own. Rows
+    that repeat an id are documents of their own, whatever their texts; the
+    result does not depend on the order of rows. Rows without an id are linked
+    like others, but never name a component: one of such rows only has a null
+    ``component_id``, and its rows are kept. Other columns of ``docs`` don't
+    matter; an empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    sigs = materialize(signatures(docs), "minhash-signatures")
-    classes = sigs.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    doc_class = materialize(
-        sigs.select("doc_id", "n_shingles", "digest").distinct()
-        .join(classes.filter("n > 1").select("digest", "rep"), "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")),
-        "minhash-classes",
-    )
-    reps = sigs.filter("n_shingles > 0").join(doc_class.filter("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_semi")
-    keyed = reps.select("doc_id", F.explode("bands").alias("key"))
-    pivots = keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("raw", F.xxhash64("text"))
+    # written once, so a row's number stays what it is
+    rows = materialize(signatures(docs).withColumn("node", F.monotonically_increasing_id()), "minhash-signatures")
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw", "node")
+    classes = materialize(rows.filter("n_shingles > 0").groupBy("digest").agg(F.min(own).alias("least"), F.count(F.lit(1)).alias("n")), "minhash-classes")
+    # a class is known by the number of its smallest row
+    heads = classes.select("least.*")
+    reps = rows.select("node", "sig", "bands").join(heads.select("node"), "node", "left_semi")
+    keyed = reps.select("node", F.explode("bands").alias("key"))
+    pivots = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = materialize(keyed.join(pivots, "key"), "minhash-buckets")
-    met = members.select("doc_id").distinct()
-    sig = materialize(sigs.join(met, "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]), "minhash-packed")
+    met = members.select("node").distinct()
+    sig = materialize(reps.join(met, "node", "left_semi"), "minhash-packed")
     floor = floor_estimate(percent, PERMUTATIONS)
     star = (
         _top(
-            members.filter("doc_id <> pivot").groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("met")),
+            members.filter("node <> pivot").groupBy(F.col("node").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("met")),
             "a", "met", BEST,
         )
-        .join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+        .join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
+        .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
         .filter(estimate("sig_a", "sig_b") >= floor)
         .select("a", "b")
     )
     star = materialize(star, "minhash-star")
-    # a bucket of two was judged above, unless its pair was not among the best of its document
-    wide = members.select("key", "doc_id")
-    wanted = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).union(wide.select("doc_id")).distinct()
-    texts = materialize(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash-texts")
+    wide = members.select("key", "node")
+    wanted = heads.join(met, "node", "left_semi").select("node", F.col("doc_id").alias("_id"), F.col("raw").alias("_raw"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("raw") == F.col("_raw"))
+    texts = materialize(docs.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "minhash-texts")
     judged = confirm(star, texts, percent, "minhash-links")
     components = connected_components(judged.filter("linked"), "minhash")
-    fine = texts.mapInArrow(_fine, "doc_id long, sig array<long>").join(sigs.select("doc_id", "bands"), "doc_id").dropDuplicates(["doc_id"])
-    fine, floor = materialize(fine, "minhash-fine"), floor_estimate(percent, FINE)
+    fine = materialize(texts.mapInArrow(_fine, "node long, sig array<long>").join(sig.select("node", "bands"), "node"), "minhash-fine")
+    floor = floor_estimate(percent, FINE)
     for best in (BEST, None):
         components = materialize(components, "minhash-components")
-        open_pairs = materialize(
-            _open_pairs(wide, components, fine, best, floor).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "minhash-open"
-        )
-        if not open_pairs.isEmpty():
-            judged = judged.union(confirm(open_pairs, texts, percent, "minhash-links"))
-            components = connected_components(judged.filter("linked"), "minhash")
-        elif best is not None:
+        candidates = materialize(_open_pairs(wide, components, fine, best, floor), "minhash-open")
+        if candidates.isEmpty():
+            # no two components hold a candidate, so the last round has none either
             break
+        new = materialize(candidates.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "minhash-new")
+        if not new.isEmpty():
+            judged = judged.union(confirm(new, texts, percent, "minhash-links"))
+            components = connected_components(judged.filter("linked"), "minhash")
     linked = judged.filter("linked")
-    links = linked.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    return (
-        doc_class.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .join(links, "rep", "left")
-        .select(
-            "doc_id", "n_shingles",
-            F.coalesce("component", "rep").alias("component_id"),
-            F.col("doc_id").eqNullSafe(F.coalesce("component", "rep")).alias("kept"),
-            F.coalesce("links", F.lit(0)).cast("long").alias("links"),
-        )
+    links = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    placed = components.join(heads.select("node", own.alias("head")), "node")
+    tops = placed.join(placed.groupBy("component").agg(F.min("head").alias("top")), "component").join(links, "node", "left")
+    named = (
+        classes.withColumn("node", F.col("least.node")).join(tops.select("node", "top", "links"), "node", "left")
+        .filter("n > 1 or top is not null").select("digest", F.coalesce("top", "least").alias("head"), "links")
+    )
+    # a class without copies and links is its own component
+    head = F.coalesce("head", own)
+    joined = rows.select("doc_id", "raw", "node", "n_shingles", "digest").join(named, "digest", "left").withColumn("head", head)
+    same_id = F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
+    return joined.select(
+        "doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), same_id.alias("kept"), F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        "raw", (same_id & F.col("raw").eqNullSafe(F.col("head.raw"))).alias("stays"),
     )
