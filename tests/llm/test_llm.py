@@ -71,7 +71,7 @@ def components(rows):
 
 def test_near_duplicates_edges(spark, edge_rows):
     got = tuples(minhash.near_duplicates(make(spark, edge_rows)), "doc_id", "n_shingles", "component_id", "kept")
-    assert got == components(edge_rows)
+    assert sorted(got, key=str) == near_groups(edge_rows)
 
 
 def test_near_duplicates_of_one_large_group(spark):
@@ -104,8 +104,9 @@ def test_estimate_is_close(spark):
 
 
 def brute_substrings(rows, window=20):
+    """Rows come in their given order where ids are repeated."""
     seen, out = set(), {}
-    for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         w = (t or "").encode().split()
         gone = [False] * len(w)
         for k in range(len(w) - window + 1):
@@ -115,19 +116,50 @@ def brute_substrings(rows, window=20):
             seen.add(s)
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
         out.setdefault(i, []).append((len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
-    return sorted((i, *v) for i, vs in out.items() for v in vs)
+    return sorted(((i, *v) for i, vs in out.items() for v in vs), key=str)
+
+
+def check_factors(rows, got):
+    """Every factor's words stand at its source, earlier; factors of a document don't overlap."""
+    words = {i: (t or "").split() for i, t in rows}
+    for r in got:
+        end = 0
+        for f in r["factors"]:
+            i, n = r["doc_id"], f["length"]
+            assert f["start"] >= end and (f["source_doc"], f["source_start"]) < (i, f["start"])
+            assert words[i][f["start"] : f["start"] + n] == words[f["source_doc"]][f["source_start"] : f["source_start"] + n]
+            end = f["start"] + n
+        assert sum(f["length"] for f in r["factors"]) == r["n_removed"]
 
 
 def test_substring_dedup(spark, edge_rows):
-    got = substring_dedup.substring_dedup(make(spark, edge_rows), block_bytes=5000)
-    assert tuples(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(edge_rows)
+    rows = [*edge_rows, (None, text(3, 60) + " x " + text(77, 30)), (21, text(1, 9000)[1000:9000]), (30, text(41, 400_000)), (31, text(41, 300_000) + " end")]
+    got = substring_dedup.substring_dedup(make(spark, rows), block_bytes=50_000)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str) == brute_substrings(rows)
+    assert substring_dedup.substring_dedup(make(spark, [])).count() == 0
+
+
+def test_substring_dedup_of_rows_without_ids(spark):
+    rows = [(None, text(3, 60)), (None, text(3, 60)), (5, text(3, 60)), (5, text(3, 60) + " " + text(4, 40)), (5, text(4, 40))]
+    got = substring_dedup.substring_dedup(make(spark, rows), block_bytes=100).collect()
+    assert sum(r["n_words"] - r["n_removed"] for r in got) == 100 and all(r["n_removed"] == 60 for r in got if r["doc_id"] is None)
+    shuffled = substring_dedup.substring_dedup(make(spark, rows[::-1]), block_bytes=100).collect()
+    assert sorted(map(str, got)) == sorted(map(str, shuffled))
+
+
+def test_factors_are_greedy():
+    at = np.array([3, 4, 5, 6, 30, 31])
+    source, word = np.array([1, 1, 2, 2, 7, 7]), np.array([10, 11, 50, 51, 0, 1])
+    got = [x.tolist() for x in substring_dedup.parse(at, np.zeros(6, int), source, word, 20)]
+    assert got == [[3, 24, 30], [24, 26, 51], [1, 2, 7], [10, 69, 0]]
 
 
 def test_substring_dedup_on_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     got = substring_dedup.substring_dedup(docs, block_bytes=40_000, with_text=True)
-    assert tuples(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_substrings(rows)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=str) == brute_substrings(rows)
+    check_factors(rows, got.collect())
     for r in got.select("kept_text", "kept_sha256").collect():
         assert hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
 
@@ -178,9 +210,10 @@ def test_packing(spark, edge_rows):
     assert packing.pack(make(spark, []), PATH).count() == 0
 
 
-def test_plan_is_best_fit_decreasing():
-    rng = np.random.default_rng(0)
-    lengths = rng.integers(1, 40, 300).tolist()
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_is_best_fit_decreasing(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 40 if seed else 4, 300).tolist()
     histogram = {n: lengths.count(n) for n in set(lengths)}
     rooms: list[int] = []
     for n in sorted(lengths, reverse=True):
@@ -190,25 +223,59 @@ def test_plan_is_best_fit_decreasing():
             rooms.append(min(fit) - n)
         else:
             rooms.append(64 - n)
-    used = {s + i for _, _, count, s, _ in packing.plan(histogram, 64) for i in range(count)}
-    assert len(used) == len(rooms)
+    runs = packing.plan(histogram, 64)
+    filled: dict[int, list] = defaultdict(list)
+    for n, _, count, first, offset, each in runs:
+        for i in range(count):
+            filled[first + i // each].append((offset + i % each * n, n))
+    assert len(filled) == len(rooms) and sum(map(len, filled.values())) == 300
+    for places in filled.values():
+        places.sort()
+        assert places[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and sum(places[-1]) <= 64
+
+
+def test_plan_stays_small():
+    histogram = {n: 10_000_000 // n for n in range(1, 4097)}
+    assert len(packing.plan(histogram, 4096)) < 100_000
 
 
 def test_separator_scan(spark, edge_rows):
-    out = f"{shared_dir(spark)}/flat-{id(edge_rows)}"
-    docs = make(spark, edge_rows)
-    token_counts.write_flat(docs, out, PATH, 49407, block_ids=16)
-    got = tuples(token_counts.document_counts(docs, out, 49407), "ordinal", "doc_id", "n_tokens")
-    want = [(k, i, len(ids_of(t, True))) for k, (i, t) in enumerate(sorted(edge_rows, key=lambda r: r[0]))]
-    assert got == want
+    rows = [*edge_rows, (None, "no id"), (8, "another"), (20, text(31, 40_000))]
+    for width, block in ((2, 16), (4, 1 << 17)):
+        out = f"{shared_dir(spark)}/flat-{id(edge_rows)}-{width}"
+        token_counts.write_flat(make(spark, rows), out, PATH, 49407, width, block)
+        got = token_counts.document_counts(spark, out, 49407, width).collect()
+        assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == sorted((str(i), len(ids_of(t, True))) for i, t in rows)
+        got.sort(key=lambda r: r["ordinal"])
+        assert [r["ordinal"] for r in got] == list(range(len(rows))) and got[0]["start"] == 0
+        assert all(a["start"] + a["n_tokens"] + 1 == b["start"] for a, b in zip(got, got[1:]))
+    out = f"{shared_dir(spark)}/flat-none-{id(edge_rows)}"
+    token_counts.write_flat(make(spark, []), out, PATH, 49407)
+    assert token_counts.document_counts(spark, out, 49407).count() == 0
 
 
 def test_separator_scan_of_ragged_blocks(spark):
-    pack = lambda *ids: bytearray(np.array(ids, "<u4").tobytes())
-    blocks = spark.createDataFrame([(0, 0, pack(5, 9)), (0, 1, pack()), (0, 2, pack(9, 1)), (2, 0, pack(2, 3)), (2, 1, pack(9, 4, 4))], "part int, block int, payload binary")
+    pack = lambda *ids: bytearray(np.array(ids, "<u2").tobytes())
+    blocks = spark.createDataFrame([(0, 0, pack(5, 9)), (0, 1, pack()), (0, 2, pack(9, 1)), (2, 0, pack(2, 3)), (2, 1, pack(9, 4, 4)), (3, 0, None)], "part int, block int, payload binary")
     got = tuples(token_counts.count_tokens(blocks, 9), "ordinal", "start", "n_tokens", "terminated")
     assert got == [(0, 0, 1, True), (1, 2, 0, True), (2, 3, 3, True), (3, 7, 2, False)]
     assert token_counts.count_tokens(blocks.limit(0), 9).count() == 0
+    wrong = blocks.withColumn("doc_ids", F.array(F.lit(1).cast("long")))
+    with pytest.raises(Exception, match="another number"):
+        token_counts.count_tokens(wrong, 9).collect()
+
+
+def test_encoder_equals_library_on_all_documents():
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from riskloom.llm.encoder import encoded
+
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text")
+    encoder = WordEncoder(PATH)
+    for got, t in zip(encoded(texts, encoder), texts.to_pylist(), strict=True):
+        assert got == np.asarray(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
+    assert list(encoded(pa.array([None, "a~b ~ c"]), encoder)) == [b"", np.asarray(ids_of("a~b ~ c"), "<u4").tobytes()]
 
 
 def test_exact_dedup(spark, edge_rows):
@@ -232,66 +299,78 @@ def test_exact_dedup_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan.replace("ArrowColumnar", "") and "Pandas" not in plan
 
 
-def test_decontamination(spark):
-    items = [(i, text(200 + i, 18 + 3 * i)) for i in range(6)] + [(7, "too short"), (8, None), (9, "")]
+def leaks(rows, items, threshold=0.8):
+    """Brute force over all windows of all documents: (row, item, best similarity)."""
+    out = []
+    for d, (_, t) in enumerate(rows):
+        doc = (t or "").lower().split()
+        for i, x in items:
+            item = (x or "").lower().split()
+            n, k = len(item), min(5, len(item))
+            if not item or not {tuple(item[p : p + k]) for p in range(n - k + 1)} & {tuple(doc[p : p + k]) for p in range(len(doc) - k + 1)}:
+                continue
+            top = 0
+            for s in range(max(1, len(doc) - n + 1)):
+                runs = {tuple(doc[j : j + k]) for j in range(s, min(s + n, len(doc)) - k + 1)}
+                top = max(top, len({j for p in range(n - k + 1) if tuple(item[p : p + k]) in runs for j in range(p, p + k)}))
+            if top / n >= threshold:
+                out.append((d, i, top / n))
+    return out
+
+
+def test_decontamination_edges(spark):
+    items = [(i, text(200 + i, 18 + 3 * i)) for i in range(6)] + [(7, "too short"), (8, None), (9, ""), (10, "same " * 20), (None, text(77, 25)), (11, "w1 w2 w3 w4 w5 w6 w1 w2 w3 w4 w5 w6")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    noise = lambda s: text(s, 80)
     edited = items[5][1].split()
     edited[9] = "other"
-    rows = [(1, noise(1) + "\n" + items[0][1].upper().replace("W", "w") + " " + noise(2)), (2, noise(3)), (3, items[3][1]), (4, noise(4) + " " + " ".join(edited)), (5, None), (6, "too short"),
-            (7, noise(5) + " " + " ".join(items[2][1].split()[:8]))]
-    got = tuples(decontamination.contaminated(make(spark, rows), bench), "doc_id", "item_id")
-    assert got == [(1, 0), (3, 3), (4, 5)]
-    small = tuples(decontamination.contaminated(make(spark, rows), bench, group_bytes=400), "doc_id", "item_id")
-    assert small == got
-    assert sorted(r["doc_id"] for r in decontamination.decontaminate(make(spark, rows), bench).collect()) == [2, 5, 6, 7]
+    leak = text(1, 80) + "\n" + items[0][1].upper().replace("W", "w") + " " + text(2, 80)
+    rows = [(1, leak), (1, leak), (2, text(3, 80)), (3, items[3][1]), (4, text(4, 80) + " " + " ".join(edited)), (5, None), (6, "too  SHORT"), (7, text(5, 80) + " " + " ".join(items[2][1].split()[:8])),
+            (8, "a same same same same same same b"), (None, text(6, 30) + " " + text(77, 25)), (9, ""), (10, text(7, 300_000) + " " + items[1][1] + " " + text(8, 300_000)), (11, "w0 w1 w2 w3 w4 w5 w6 w1 w2 w3 w4 w9")]
+    want = leaks(rows, items)
+    assert {(rows[d][0], i) for d, i, _ in want} >= {(1, 0), (3, 3), (4, 5), (6, 7), (None, None), (10, 1)}
+    for group_bytes in (8 << 20, 400):
+        got = decontamination.contaminated(make(spark, rows), bench, group_bytes=group_bytes)
+        assert sorted(((r["doc_id"], r["item_id"], r["similarity"]) for r in got.collect()), key=str) == sorted({(rows[d][0], i, s) for d, i, s in want}, key=str)
+        kept = decontamination.decontaminate(make(spark, rows), bench, group_bytes=group_bytes)
+        bad = {d for d, _, _ in want}
+        assert sorted((str(r["doc_id"]) for r in kept.collect())) == sorted(str(i) for d, (i, _) in enumerate(rows) if d not in bad)
     assert decontamination.contaminated(make(spark, []), bench).count() == 0
+    assert decontamination.contaminated(make(spark, rows), bench.limit(0)).count() == 0
+    assert decontamination.decontaminate(make(spark, rows), bench.limit(0)).columns == make(spark, rows).columns
 
 
-def test_decontamination_finds_all_leaks_near_the_threshold(spark):
+def test_decontamination_recall_near_the_threshold(spark):
     rng, common = np.random.default_rng(8), ["the", "of", "and", "to", "in"] + WORDS[:40]
-    items = [(i, text(500 + i, int(rng.integers(25, 90)), common if i % 2 else WORDS)) for i in range(40)]
+    items = [(i, text(500 + i, int(rng.integers(12, 90)), common if i % 2 else WORDS)) for i in range(60)]
     rows = []
     for i, t in items:
         words = t.split()
         for kind in range(5):
-            n = int(len(words) * rng.uniform(0.15, 0.2))
+            n = max(1, int(len(words) * rng.uniform(0.15, 0.2)))
             at = int(rng.integers(0, len(words) - n))
+            scattered = list(words)
+            for p in rng.choice(len(words), max(1, n // 2), replace=False):
+                scattered[p] = f"q{p}"
             leak = {
                 0: words[:at] + ["spam"] * n + words[at + n :], 1: words[: len(words) - n] + [f"z{k}" for k in range(n)], 2: words[n:],
-                3: words[:at] + [f"y{k}" for k in range(n)] + words[at:], 4: words[2:10] + ["x"] * 4 + words[10:15] + ["y"] * 3 + words[15:-5],
+                3: words[:at] + [f"y{k}" for k in range(n)] + words[at:], 4: scattered,
             }[kind]
             rows.append((10 * i + kind, " ".join([text(900 + 10 * i + kind, 30), *leak, text(1900 + i, 30)])))
-
-    def best(item, doc):
-        k, n = len(item), len(doc)
-        top = 0
-        for s in range(max(1, n - k + 1)):
-            runs = {tuple(doc[j : j + 5]) for j in range(s, min(s + k, n) - 4)}
-            top = max(top, len({j for p in range(k - 4) if tuple(item[p : p + 5]) in runs for j in range(p, p + 5)}))
-        return top / k
-
-    grams = {i: {tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for i, t in items}
-    want = []
-    for d, doc in rows:
-        w = doc.split()
-        seen = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
-        want += [(d, i, s) for i, t in items if grams[i] & seen and (s := best(t.split(), w)) >= 0.8]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.contaminated(make(spark, rows), bench)
-    assert tuples(got, "doc_id", "item_id", "similarity") == sorted(want)
-    assert got.filter("similarity < 0.85").count() > 20 and got.filter("similarity < 0.85 and distance > 16").count() > 0
+    want = {(rows[d][0], i): s for d, i, s in leaks(rows, items)}
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contaminated(make(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() <= want.keys() and sum(s < 0.85 for s in want.values()) > 20
+    assert len(got) >= 0.98 * len(want) and sum(abs(s - want[p]) < 1e-9 for p, s in got.items()) >= 0.98 * len(got)
 
 
 def test_hamming_blocks_find_all_within_radius():
-    index = decontamination.ItemIndex([(i, text(i, 30)) for i in range(50)], 16)
     rng = np.random.default_rng(1)
-    for _ in range(50):
-        i, flips = int(rng.integers(0, 50)), rng.choice(64, int(rng.integers(0, 17)), replace=False)
-        p = index.prints[i]
-        for f in flips:
-            p ^= np.uint64(1) << np.uint64(f)
-        assert (i, len(flips)) in index.near(p)
+    items = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    prints = np.concatenate([items, items])
+    for n in range(len(prints)):
+        for f in rng.choice(64, int(rng.integers(0, 30)), replace=False):
+            prints[n] ^= np.uint64(1) << np.uint64(f)
+    want = {(n, i, d) for n, p in enumerate(prints) for i, x in enumerate(items) if (d := int(p ^ x).bit_count()) <= decontamination.RADIUS}
+    assert set(zip(*(v.tolist() for v in decontamination.near(prints, items)), strict=True)) == want and len(want) > 60
 
 
 def test_quality(spark):
@@ -402,3 +481,49 @@ def test_queries_keep_their_columns(spark):
     }
     for name, cols in columns.items():
         assert QUERIES[name](spark, SF).columns[: len(cols)] == cols
+
+
+def near_groups(rows, percent=85):
+    """Brute force on rows, whatever their ids: sorted (id, set size, component id, kept)."""
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    least = {g: min((rows[i][0] for i in range(len(rows)) if group[i] == g and rows[i][0] is not None), default=None) for g in set(group)}
+    return sorted(((i, len(sets[k]), least[group[k]], i == least[group[k]]) for k, (i, _) in enumerate(rows)), key=str)
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    b = text(51, 200).split()
+    near, other = list(b), text(52, 120)
+    near[100] = "changed"
+    rows = [(5, " ".join(b)), (5, other), (9, other + " tail"), (None, " ".join(b)), (1, " ".join(near)), (None, other), (None, "alone"), (7, None), (7, ""), (5, " ".join(b)), (12, text(53, 300_000))]
+    for some in (rows, rows[::-1]):
+        got = minhash.near_duplicates(make(spark, some))
+        assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()), key=str) == near_groups(some)
+    assert minhash.near_duplicates(make(spark, [])).count() == 0
+
+
+def test_stages_keep_one_row_of_each_group(spark):
+    from riskloom.llm import stages
+
+    def left(stage, rows):
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, make(spark, rows), SF).collect()), key=str)
+
+    assert left(stages.exact_dedup_stage, [(7, "x y"), (7, "x  y"), (7, "x y")]) in ([(7, "x y")], [(7, "x  y")])
+    assert left(stages.exact_dedup_stage, [(7, "a"), (3, "b"), (7, "b"), (None, "a"), (None, None), (8, "")])[:2] == [(3, "b"), (7, "a")]
+    assert len(left(stages.exact_dedup_stage, [(7, "a"), (3, "b"), (7, "b"), (None, "a"), (None, None), (8, "")])) == 3
+    b = text(61, 100)
+    assert left(stages.near_dedup, [(2, b), (2, b), (2, b + " tail"), (4, b), (None, b), (4, "other words here entirely now"), (6, None)]) in (
+        [(2, b), (4, "other words here entirely now"), (6, None)], [(2, b + " tail"), (4, "other words here entirely now"), (6, None)]
+    )
+    for stage in (stages.exact_dedup_stage, stages.near_dedup, stages.decontaminate, stages.quality_classifier):
+        assert stage(spark, make(spark, []), SF).count() == 0
