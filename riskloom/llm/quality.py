@@ -5,10 +5,12 @@ two bytes before it, from hashed 3-gram and 2-gram counts. The target model is
 counted on labelled good documents, the raw model on all documents. A document's
 log importance weight is the sum of the log-ratios of its bytes under the two
 models; because each byte is judged in its context, a different share of
-languages or topics in the labelled documents counts little. Weights are tempered to
-a common length, as sums over long texts would blow up small estimation errors.
-Documents are sampled without replacement in proportion to the tempered weights by Gumbel top-k:
-the ``k`` largest values of log weight plus Gumbel noise, which comes from a hash of the id.
+languages or topics in the labelled documents counts little. Sums are taken to
+the power that makes all texts as long as one of ``SCALE`` bytes, as sums over
+long texts would blow up small estimation errors. Documents are sampled without
+replacement in proportion to these weights by Gumbel top-k: the ``k`` largest
+values of log weight plus Gumbel noise, which comes from a hash. ``k`` is a share
+of the corpus, by default an upper bound of the labelled share of good documents.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from riskloom.llm.common import materialize
 from riskloom.llm.words import chunks
@@ -29,11 +32,10 @@ TARGET_DOCS = 20_000
 PRIOR = 1_000.0
 SEED = 61
 SLICES, MERGES = 16, 64
-#: A weight counts as that of a text of so many bytes; shorter texts than HALF weigh less.
+#: A weight counts as that of a text of SCALE bytes; texts much shorter than HALF weigh less.
 SCALE, HALF = 1_000.0, 200.0
-#: How many documents wrongly kept weigh as much as one wrongly rejected.
-CARE = 10.0
-LABELLED = 20_000
+#: Deviations of the labelled share of good documents that the default sample adds, as a lost good one costs more.
+MARGIN = 2.0
 _SPACE = np.arange(256, dtype=np.uint32)
 _SPACE[9:14] = 32
 
@@ -106,100 +108,119 @@ class LogRatios:
         return np.log(target / raw)
 
 
-def _weigh(ratios: LogRatios):
+def _weigh(ratios: LogRatios, keep: list[str]):
+    """Adds ``_log_weight`` to the columns ``keep``. A weight follows from its text alone, whatever stands beside it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weights, sizes = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for first, data, offsets in chunks(batch.column("text")):
+            for first, data, offsets in chunks(batch.column("text").cast(pa.string())):
                 triples, pairs, places = _buckets(data, offsets)
-                sums = np.concatenate([[0.0], np.cumsum(np.bincount(places, ratios.of(triples, pairs), minlength=len(data)))])
-                weights[first : first + len(offsets) - 1] = sums[offsets[1:]] - sums[offsets[:-1]]
-                sizes[first : first + len(offsets) - 1] = np.diff(offsets)
-            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.round(SCALE * weights / (sizes + HALF), 6))], names=[*names, "log_weight"])
+                n = len(offsets) - 1
+                doc = np.repeat(np.arange(n), np.diff(offsets))[places]
+                weights[first : first + n] = np.bincount(doc, ratios.of(triples, pairs), minlength=n)
+                sizes[first : first + n] = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), pa.array(np.round(SCALE * weights / (sizes + HALF), 6))], names=[*keep, "_log_weight"]
+            )
 
     return run
 
 
-def importance_weights(docs: DataFrame, target: DataFrame, max_target: int = TARGET_DOCS) -> DataFrame:
-    """``doc_id, log_weight`` (tempered) of every document against the texts of ``target``.
+def fit_ratios(docs: DataFrame, target: DataFrame, max_target: int = TARGET_DOCS) -> LogRatios:
+    """Models of the texts of ``docs`` and of those whose ``doc_id`` is in ``target``.
 
-    At most ``max_target`` target documents are used, drawn by a hash of their id.
+    At most ``max_target`` target ids are used, drawn by a hash.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     chosen = target.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(max_target)
-    ratios = LogRatios(counts(texts.join(chosen, "doc_id", "left_semi")), counts(texts))
-    return texts.mapInArrow(_weigh(ratios), "doc_id long, log_weight double")
+    # the ids are bounded, so they travel and the texts stay
+    return LogRatios(counts(texts.join(F.broadcast(chosen), "doc_id", "left_semi")), counts(texts))
+
 
+def row_hash(seed: int):
+    """A hash of the id and the text, as a column."""
+    return F.xxhash64("doc_id", F.xxhash64(F.col("text").cast("string")), F.lit(seed))
 
-def gumbel(doc_id: str = "doc_id", seed: int = SEED):
-    """Standard Gumbel noise from a hash of the id, as a column."""
-    u = (F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+def gumbel(seed: int = SEED):
+    """Standard Gumbel noise from the hash of a row, as a column."""
+    u = (F.pmod(row_hash(seed), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
-def key_cut(keyed: DataFrame, k: int) -> tuple[int, int]:
-    """The k-th largest ``key`` in millionths, and the largest tie hash still inside.
+def largest(values: DataFrame, column: str, k: int, bits: int = 64) -> tuple[int, int]:
+    """The k-th largest value of a long column, and how many of its rows are among the k.
 
-    A histogram of the keys is refined 16 bits at a time (at most 65,536 counts
-    reach the driver), so nothing is sorted as a whole. Only rows that tie on
-    the very last key are ordered, by a hash of their id.
+    A histogram is refined 16 bits at a time (at most 65,536 counts reach the
+    driver), so nothing is sorted as a whole.
     """
-    rest, prefix = k, None
-    for shift in (32, 16, 0):
-        level = keyed if prefix is None else keyed.filter(F.shiftright("bits", shift + 16) == prefix)
-        rows = level.groupBy(F.shiftright("bits", shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()
+    prefix = None
+    for shift in range(bits - 16, -1, -16):
+        level = values if prefix is None else values.filter(F.shiftright(column, shift + 16) == prefix)
+        rows = level.groupBy(F.shiftright(column, shift).alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()
         for r in rows:
-            if r["n"] >= rest:
-                prefix = r["b"]
+            prefix = r["b"]
+            if r["n"] >= k:
                 break
-            rest -= r["n"]
-    tied = keyed.filter(F.col("bits") == prefix).select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(rest)
-    return prefix, tied.agg(F.max("h").alias("h")).first()["h"]
+            k -= r["n"]
+    return prefix, k
+
+
+def good_share(labels: DataFrame) -> tuple[DataFrame, float]:
+    """Ids of labelled good documents, and the upper bound of their share; all documents where labels are of one kind.
+
+    Of ids with several labels the worst counts.
+    """
+    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    r = known.agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("good")).first()
+    n, good = r["n"], r["good"] or 0
+    share = 1.0 if not 0 < good < n else good / n + MARGIN * (good * (n - good) / n**3) ** 0.5
+    return known.filter("quality = 1").select("doc_id"), min(1.0, share)
 
 
-def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The weight that splits labelled documents best, a lost good one counting ``CARE`` times a kept bad one."""
-    order = np.argsort(weights, kind="stable")
-    weights, good = weights[order], good[order]
-    # rejecting the first i documents
-    lost = np.concatenate([[0], np.cumsum(good)]) / max(1, good.sum())
-    kept = 1 - np.concatenate([[0], np.cumsum(~good)]) / max(1, (~good).sum())
-    i = int(np.argmin(CARE * lost + kept))
-    if i == 0:
-        return -np.inf
-    return float(weights[i - 1] + weights[i]) / 2 if i < len(weights) else np.inf
+def _keyed(docs: DataFrame, ratios: LogRatios) -> DataFrame:
+    """``docs`` with ``_log_weight``, ``_key``, its millionths ``_bits`` and a ``_tie``; no shuffle."""
+    named = docs.mapInArrow(_weigh(ratios, docs.columns), StructType([*docs.schema.fields, StructField("_log_weight", DoubleType())]))
+    return named.withColumn("_key", F.col("_log_weight") + gumbel()).withColumns({"_bits": F.floor(F.col("_key") * 1e6), "_tie": row_hash(SEED + 1)})
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: float | None = None) -> DataFrame:
+def _sample(docs: DataFrame, labels: DataFrame, share: float | None) -> tuple[LogRatios, DataFrame, object]:
+    target, good = good_share(labels)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ratios = fit_ratios(slim, target)
+    weighed = materialize(_keyed(slim, ratios).drop("text"), "quality-weights")
+    n = weighed.count()
+    k = round(n * (good if share is None else share))
+    if not 0 < k < n:
+        return ratios, weighed, F.lit(k > 0)
+    last, rest = largest(weighed, "_bits", k)
+    tie, _ = largest(weighed.filter(F.col("_bits") == last), "_tie", rest)
+    return ratios, weighed, (F.col("_bits") > last) | ((F.col("_bits") == last) & (F.col("_tie") >= tie))
+
+
+def classify(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
     """``doc_id, log_weight, key, kept`` for each row of ``docs``.
 
     ``labels`` has ``doc_id, quality``; its rows with quality 1 are the target.
-    ``keep`` is the share of documents to sample. By default the sample is as
-    large as the number of documents whose weight is above the cut that splits
-    the labelled documents best (at most ``LABELLED`` of them, drawn by a hash
-    of their id; with labels of one kind all documents are kept).
-
-    Null and empty texts have weight 0. Rows that repeat an id have the same
-    noise; ties on the last key are kept or left by a hash of the id, equal ids
-    together.
+    ``share`` is the part of the documents to sample; by default that of good
+    documents among the labelled ones plus ``MARGIN`` deviations (with labels of
+    one kind all documents are kept). Labels decide nothing else.
+
+    Null and empty texts have weight 0. Rows that repeat an id are judged each;
+    only rows that repeat id and text share their noise. Ties on the last key
+    are kept or left by a hash of id and text, equal rows together. Null ids are
+    ids like others; other columns don't matter.
     """
-    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
-    keyed = importance_weights(docs, known.filter("quality = 1")).withColumn("key", F.col("log_weight") + gumbel())
-    weighed = materialize(keyed.withColumn("bits", F.floor(F.col("key") * 1e6)), "quality-weights")
-    if keep is None:
-        drawn = known.orderBy(F.xxhash64("doc_id", F.lit(SEED + 1)), "doc_id").limit(LABELLED)
-        rows = weighed.join(drawn, "doc_id").select("log_weight", "quality").toPandas()
-        good = rows["quality"].to_numpy() == 1
-        cut = best_cut(rows["log_weight"].to_numpy(), good) if good.any() and not good.all() else -np.inf
-        sizes = weighed.agg(F.sum((F.col("log_weight") >= float(cut)).cast("long")).alias("k"), F.count(F.lit(1)).alias("n")).first()
-        k, n = sizes["k"] or 0, sizes["n"]
-    else:
-        n = weighed.count()
-        k = round(n * keep)
-    if k >= n or k <= 0:
-        return weighed.drop("bits").withColumn("kept", F.lit(k > 0))
-    last, tie = key_cut(weighed, k)
-    inside = (F.col("bits") > last) | ((F.col("bits") == last) & (F.xxhash64("doc_id") <= tie))
-    return weighed.withColumn("kept", inside).drop("bits")
+    _, weighed, inside = _sample(docs, labels, share)
+    return weighed.select("doc_id", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("key"), inside.alias("kept"))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, share: float | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, with all their columns.
+
+    The cut is found on narrow rows; then the documents are weighed again where
+    they are read, which gives the same keys, so no text is shuffled.
+    """
+    ratios, _, inside = _sample(docs, labels, share)
+    return _keyed(docs, ratios).filter(inside).select(docs.columns)
