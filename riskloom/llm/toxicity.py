@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import materialize
 
 MAX_TRAIN = 20_000
-MAX_TERMS = 5_000
 PREFIXES = (4, 5, 6)
-FALSE_RATE = 0.01
+FALSE_RATE = 1.0
 FLUSH = 200_000
 
 # fixed values: letters of other scripts that look like Latin ones, and signs used for letters
@@ -92,8 +91,9 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     """Terms and weights from ``text, toxic``. A term that ends in a space is a whole word, others are beginnings.
 
     A term is kept if its count in toxic documents passes a likelihood-ratio test
-    at ``FALSE_RATE`` over all features and at least half its documents are toxic.
-    At most ``MAX_TERMS`` terms reach the driver, the strongest ones.
+    at a level where ``FALSE_RATE`` of all features would pass by chance, and at least half its documents are toxic.
+    The terms that pass reach the driver; their number is bounded by the sample
+    of labelled documents, not by the corpus.
     """
     n = train.groupBy().agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = int(n["t"] or 0), int(n["n"]) - int(n["t"] or 0)
@@ -109,7 +109,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     t, c = F.col("t").cast("double"), F.col("c").cast("double")
     part = lambda x, p: F.when(x > 0, x * F.log(x / ((t + c) * p))).otherwise(0.0)
     ratio = 2 * (part(t, base) + part(c, 1 - base))
-    strong = counts.filter(t >= c).withColumn("g", ratio).filter(F.col("g") >= bound).orderBy(F.desc("g"), "feature").limit(MAX_TERMS)
+    strong = counts.filter(t >= c).withColumn("g", ratio).filter(F.col("g") >= bound)
     found = {
         r["feature"]: math.log((r["t"] + 0.5) / (toxic + 1)) - math.log((r["c"] + 0.5) / (clean + 1)) for r in strong.select("feature", "t", "c").collect()
     }
@@ -166,7 +166,7 @@ class Matcher:
 
 
 def learn_exceptions(train: DataFrame, lexicon: dict[str, float]) -> set[str]:
-    """Phrases around lexicon terms in clean training documents that toxic ones use less; at most ``MAX_TERMS``."""
+    """Phrases around lexicon terms in clean training documents that toxic ones use less."""
 
     def phrases(batches):
         matcher = Matcher(lexicon, set())
@@ -185,7 +185,7 @@ def learn_exceptions(train: DataFrame, lexicon: dict[str, float]) -> set[str]:
         return set()
     counts = train.select("text", "toxic").mapInArrow(phrases, "phrase string, toxic long, clean long")
     kept = counts.groupBy("phrase").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).filter("c >= 2 and c > t")
-    return {r["phrase"] for r in kept.orderBy(F.desc("c"), "phrase").limit(MAX_TERMS).collect()}
+    return {r["phrase"] for r in kept.select("phrase").collect()}
 
 
 def _sums(lexicon: dict[str, float], exceptions: set[str]):
@@ -236,7 +236,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, held_out=None, max_train:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("held_out", held_out)
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     drawn = known.filter(~held_out).orderBy(F.xxhash64("doc_id", F.lit(33)), "doc_id").limit(max_train)
-    train = materialize(texts.join(drawn, "doc_id").select("doc_id", "text", "toxic"), "toxicity-train")
+    # the ids are bounded, so they travel and the texts stay
+    train = materialize(texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic"), "toxicity-train")
     lexicon = learn_lexicon(train)
     exceptions = learn_exceptions(train, lexicon)
     n = train.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
