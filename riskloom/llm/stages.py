@@ -13,27 +13,35 @@ from riskloom.llm.queries import PACK_END, tokenizer_path
 STAGE_PERCENT = 80
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``keep``; null ids count as an id."""
-    ids = keep.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each distinct ``doc_id, raw`` of ``keep``, where raw is ``xxhash64(text)``.
+
+    Null ids count as an id. Only of rows that repeat both, one is chosen.
+    """
+    marked = docs.withColumn("_raw", F.xxhash64(F.col("text").cast("string")))
+    wanted = keep.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_raw").eqNullSafe(F.col("_key"))
+    copies = marked.groupBy("doc_id", "_raw").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    kept = marked.join(wanted, same, "left_semi")
+    if not copies.isEmpty():
+        again = copies.select(F.col("doc_id").alias("_id"), F.col("_raw").alias("_key"))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_raw"]))
+    return kept.select(docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality sample takes."""
-    judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, judged.filter("kept"))
+    """Documents that the quality sample takes; rows that repeat an id are judged each by their text."""
+    return quality.sampled(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of equal texts."""
-    return _only(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    """One row of each group of equal texts: that with the smallest id, also where ids are repeated or null."""
+    return _rows(docs, exact_dedup.survivors(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, linked from a similarity of 0.8."""
-    judged = minhash.near_duplicates(docs, STAGE_PERCENT)
-    return docs.join(judged.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group, linked from a similarity of 0.8; texts without words are no copies of each other."""
+    return _rows(docs, minhash.near_duplicates(docs, STAGE_PERCENT).filter("stays"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
