@@ -380,7 +380,7 @@ def test_quality(spark):
     joined = got.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("share")).collect()
     share = {r["quality"]: r["share"] for r in joined}
     assert share[1] > 0.97 and share[0] < 0.5
-    assert quality.classify(docs, labels, keep=0.25).filter("kept").count() == 250
+    assert quality.classify(docs, labels, share=0.25).filter("kept").count() == 250
 
 
 def test_quality_edges(spark, edge_rows):
@@ -395,7 +395,7 @@ def test_toxicity_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     got = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").filter("held_out").select("predicted", "toxic").collect()
     hit = sum(r["predicted"] == 1 and r["toxic"] == 1 for r in got)
-    assert hit / sum(r["toxic"] for r in got) > 0.85 and hit / max(1, sum(r["predicted"] for r in got)) > 0.9
+    assert hit / sum(r["toxic"] for r in got) >= 0.9 and hit / max(1, sum(r["predicted"] for r in got)) > 0.9
 
 
 def test_toxicity_folds_and_excepts():
@@ -451,10 +451,10 @@ def test_pipeline(spark):
                 first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)
             assert after == set(first.values())
         if n == 2:
-            assert after == {i for i, _, _, kept in components(sorted(before.items())) if kept}
+            assert after == {i for i, _, _, kept in near_groups(sorted(before.items()), 80) if kept}
         if n == 3:
-            whole = {i for i, t in before.items() if any(" ".join(x.lower().split()) in " ".join((t or "").lower().split()) for _, x in bench)}
-            assert not whole & after and len(after) > 0.9 * len(before)
+            rows = sorted(before.items())
+            assert after == before.keys() - {rows[d][0] for d, _, _ in leaks(rows, bench)}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.01")
     assert packed.select("doc_id").distinct().count() == docs.count()
 
@@ -527,3 +527,118 @@ def test_stages_keep_one_row_of_each_group(spark):
     )
     for stage in (stages.exact_dedup_stage, stages.near_dedup, stages.decontaminate, stages.quality_classifier):
         assert stage(spark, make(spark, []), SF).count() == 0
+
+
+def brute_weights(rows, good):
+    """Log importance weights by plain loops over bytes."""
+    from math import log
+
+    def bucket(a, b, c):
+        x = (((a << 16) | (b << 8) | c) * 0x9E3779B1) & 0xFFFFFFFF
+        return (x ^ (x >> 15)) & 0xFFFF
+
+    def grams(t):
+        data = [32 if 9 <= b <= 13 else b for b in (t or "").encode()]
+        return [(bucket(*data[i : i + 3]), (data[i] << 8) | data[i + 1]) for i in range(len(data) - 2)], len(data)
+
+    raw3, raw2, good3, good2 = (defaultdict(int) for _ in range(4))
+    for i, t in rows:
+        for g, h in grams(t)[0]:
+            raw3[g] += 1
+            raw2[h] += 1
+            if i in good:
+                good3[g] += 1
+                good2[h] += 1
+    out = []
+    for i, t in rows:
+        total = 0.0
+        found, size = grams(t)
+        for g, h in found:
+            p = (raw3[g] + 0.5) / (raw2[h] + 1.0)
+            total += log((good3[g] + quality.PRIOR * p) / (good2[h] + quality.PRIOR) / p)
+        out.append((i, round(quality.SCALE * total / (size + quality.HALF), 4)))
+    return sorted(out, key=str)
+
+
+def test_quality_weights_equal_plain_loops(spark):
+    rows = [(i, text(i, 60, ["le", "chat", "dort", "ici", "été", "a\tb"])) for i in range(12)] + [(100 + i, text(i, 60, ["##", "zz9", "qq", "buy"])) for i in range(6)] + [(50, None), (51, ""), (None, "chat"), (3, "again"), (60, "ab")]
+    labels = spark.createDataFrame([(i, 1) for i in range(8)] + [(100, 0), (101, 0), (3, 1), (None, 1)], "doc_id long, quality int")
+    got = quality.classify(make(spark, rows), labels, share=0.5)
+    assert sorted(((r["doc_id"], round(r["log_weight"], 4)) for r in got.collect()), key=str) == brute_weights(rows, set(range(8)))
+    assert got.filter("kept").count() == round(len(rows) * 0.5)
+    ranked = got.orderBy(F.desc("key")).collect()
+    assert {r["kept"] for r in ranked[: round(len(rows) * 0.5)]} == {True}
+    kept = quality.sampled(make(spark, rows), labels, share=0.5)
+    assert kept.columns == make(spark, rows).columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in got.filter("kept").collect())
+
+
+def test_quality_sample_size_and_ties(spark):
+    rows = [(i, "same text here") for i in range(40)] + [(7, "same text here")] * 5
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    for share, n in ((0.0, 0), (0.2, 9), (1.0, 45)):
+        kept = quality.classify(make(spark, rows), labels, share).filter("kept").count()
+        # rows that repeat id and text are kept or left together
+        assert n <= kept <= n + 5
+    values = spark.createDataFrame([(v,) for v in [5, -3, 5, 2**40, -(2**50), 0, 7]], "v long")
+    assert quality.largest(values, "v", 3) == (5, 1) and quality.largest(values, "v", 4) == (5, 2) and quality.largest(values, "v", 7) == (-(2**50), 1)
+
+
+def test_quality_on_labels_not_used(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    used = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    got = quality.classify(docs, labels.filter(used)).join(labels.filter(~used), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("share")).collect()
+    share = {r["quality"]: r["share"] for r in got}
+    assert share[1] > 0.98 and share[0] < 0.3
+
+
+def test_secrets_base_by_another_engine(spark):
+    import regex
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = [(-1, "api_key:abcdef API-KEY=abcdef apikey = 'x.y-z/+_'"), (-2, "secretsecret: \"aaaaaaa password='short' passwd=longer1"), (-3, "AKIA" * 9 + " deadbeef" * 4 + "0" * 24), (-4, "é" * 5 + "tokEn=ééé token==abcdef"),
+           (-5, "hex " + "abcdef0123456789" * 100_000), (-6, None), (-7, "")]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + odd
+    got = {r["doc_id"]: r for r in secrets.scan_secrets(make(spark, rows), secrets.RandomnessModel(np.ones((70, 70)), np.ones((70, 70)))).collect()}
+    assign = regex.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", regex.ASCII)
+    for i, t in rows:
+        t, found = t or "", []
+        found += [(m.start(), 0, f"assign:{m.start()}:{m.end()}") for m in assign.finditer(t) if len(m[2]) >= 6]
+        found += [(m.start(), 1, f"access:{m.start()}:{m.end()}") for m in regex.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        found += [(m.start(), 2, f"hex:{m.start()}:{m.end()}") for m in regex.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        joined = ",".join(x for _, _, x in sorted(found))
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and got[i]["spans"] == joined
+        assert got[i]["n_assign"] + got[i]["n_access"] + got[i]["n_hex"] == len(found)
+
+
+def test_secrets_edges(spark):
+    rows = [(1, "plain"), (1, "plain"), (None, "token=abcdefg"), (2, None)]
+    got = secrets.scan_secrets(make(spark, rows)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "2", "None"] and sum(r["n_assign"] for r in got) == 1 and sum(r["n_markov"] for r in got) == 0
+    assert secrets.gaps([("a", 2, 5), ("b", 4, 8), ("c", 4, 5)], 10) == [(0, 2), (8, 10)] and secrets.gaps([], 0) == []
+
+
+def test_toxicity_scores_equal_plain_loops(spark):
+    import math
+
+    rows = [(i, text(i, 30) + (" vilo vilo" if i % 3 == 0 else " milde")) for i in range(90)] + [(200, None), (201, ""), (None, "vilo"), (5, "V1L0 x")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    docs = make(spark, rows)
+    train = docs.join(labels, "doc_id").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1).select("text", "toxic")
+    lexicon = toxicity.learn_lexicon(train)
+    assert "vilo " in lexicon and all(t.startswith("vil") or t in lexicon for t in lexicon)
+    exceptions = toxicity.learn_exceptions(train, lexicon)
+    got = {(str(r["doc_id"]), r["predicted"]) for r in toxicity.score_toxicity(docs, labels).collect()}
+    m = toxicity.Matcher(lexicon, exceptions)
+    for i, t in rows:
+        words = re.findall(r"[^\W_]+", toxicity.fold(t or ""))
+        total = 0.0
+        for k, w in enumerate(words):
+            best = max([v for term, v in lexicon.items() if (term.endswith(" ") and w == term[:-1]) or (not term.endswith(" ") and w.startswith(term))], default=0.0)
+            around = {f"{words[k - 1]} {w}" if k else "", f"{w} {words[k + 1]}" if k + 1 < len(words) else ""}
+            total += best if not around & exceptions else 0.0
+        n = toxicity.fold(t or "").count(" ") + toxicity.fold(t or "").count("\n") + 10
+        assert m.score(t) == pytest.approx((math.log1p(total), math.log1p(1000 * total / n)) if total else (0.0, 0.0))
+    assert ("0", 1) in got and ("200", 0) in got and ("None", 1) in got
+    assert toxicity.score_toxicity(make(spark, []), labels).count() == 0
