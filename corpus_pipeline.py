@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm.common import documents, materialize
+from riskloom.llm.common import discard, documents, last_written, materialize, written
 from riskloom.llm.stages import STAGES
 
 #: SQL can't express the quality sample, MinHash and packing; tests compare run() with brute force.
@@ -17,7 +17,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """Rows of the last stage. Scratch tables of a stage go once its result is written; the last stage's stay for the caller."""
+    docs, begun = documents(spark, sf_dir), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        discard(spark, begun, keep=last_written())
     return STAGES[-1][1](spark, docs, sf_dir)
