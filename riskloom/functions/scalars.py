@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: accented Latin letters and their plain forms, words that are titles, flags and textures as text
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-HONORIFICS = ("m", "mr", "mrs", "ms", "mme", "mlle", "dr", "pr", "prof")
+# fixed values: words that are titles, flags and textures as text
+HONORIFICS = ("m", "mr", "mrs", "ms", "mme", "mlle", "mle", "dr", "prof", "monsieur", "madame")
 MALE_WORDS = ("m", "male", "homme", "h", "masculin", "man")
 FEMALE_WORDS = ("f", "female", "femme", "feminin", "féminin", "woman")
 YES_WORDS = ("true", "1", "oui", "yes", "y")
@@ -23,8 +22,28 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _decomposed() -> dict[str, str]:
+    """Letters whose compatibility decomposition starts with a plain one, over the blocks of Latin letters and presentation forms."""
+    out = {}
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF00, 0xFF5F)]:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code).lower()) if not unicodedata.combining(c))
+        plain = "".join(c if c.isascii() else " " for c in plain.lower())
+        if plain != chr(code) and plain.strip():
+            out[chr(code)] = plain
+    return out
+
+
+_FOLD = _decomposed()
+_SINGLE = {a: b for a, b in _FOLD.items() if len(b) == 1}
+
+
 def _plain(c) -> Column:
-    return F.translate(F.lower(_c(c)), ACCENTED, PLAIN)
+    """Lower case without accents: composed letters by their decomposition, combining marks dropped."""
+    text = F.translate(F.lower(_c(c)), "".join(_SINGLE), "".join(_SINGLE.values()))
+    for letter, plain in _FOLD.items():
+        if len(plain) > 1:
+            text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.regexp_replace(text, "[\\u0300-\\u036f]+", "")
 
 
 def canonical_tokens(c, drop: tuple[str, ...] = HONORIFICS) -> Column:

@@ -9,12 +9,28 @@ SD_FLOOR = 1e-12
 
 
 def column_profile(long: DataFrame) -> DataFrame:
-    """AG-01: per feature of ``(feature, value)``; population spread, linear quantiles."""
+    """AG-01: per feature of ``(feature, value)``; population spread, exact median (halfway between the middle values).
+
+    Medians and distinct counts come from the counts by value, ordered in ranges,
+    so no feature's values meet in one task.
+    """
+    from riskloom.operators.order import ordered_cumsum
+
     v = F.col("value")
-    return long.groupBy("feature").agg(
+    sums = long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"), F.avg(v.isNull().cast("double")).alias("missing"), F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("sd"), F.var_pop(v).alias("variance"), F.percentile(v, 0.5).alias("median"), F.min(v).alias("low"), F.max(v).alias("high"),
-        F.countDistinct(v).alias("distinct"), (F.countDistinct(v) / F.count(v)).alias("unique_ratio"),
+        F.stddev_pop(v).alias("sd"), F.var_pop(v).alias("variance"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("_known"),
+    )
+    counts = long.filter(v.isNotNull()).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_c"))
+    placed = ordered_cumsum(counts, "value", ["_c"], ["feature"]).join(sums.select("feature", "_known"), "feature")
+    holds = lambda at: (F.col("cum__c") > at) & (F.col("cum__c") - F.col("_c") <= at)
+    low, high = F.floor((F.col("_known") - 1) / 2), F.ceil((F.col("_known") - 1) / 2)
+    middle = placed.groupBy("feature").agg(
+        ((F.max(F.when(holds(low), v)) + F.max(F.when(holds(high), v))) / 2).alias("median"), F.count(F.lit(1)).alias("distinct")
+    )
+    return sums.join(middle, "feature", "left").select(
+        "feature", "n", "missing", "mean", "sd", "variance", "median", "low", "high", F.coalesce("distinct", F.lit(0).cast("long")).alias("distinct"),
+        F.when(F.col("_known") > 0, F.coalesce("distinct", F.lit(0)) / F.col("_known")).alias("unique_ratio"),
     )
 
 
@@ -136,7 +152,7 @@ def paired_differences(long: DataFrame, replicate: str, model: str, reference: s
 def histogram(df: DataFrame, col: str, k: int, *by: str) -> DataFrame:
     """AG-13: equal-width counts between smallest and largest value; the last bin is closed."""
     ends = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
-    joined = df.join(F.broadcast(ends), list(by)) if by else df.crossJoin(F.broadcast(ends))
+    joined = df.join(ends, list(by)) if by else df.crossJoin(F.broadcast(ends))
     b = F.when(F.col("_hi") == F.col("_lo"), 0).otherwise(F.least(F.floor((F.col(col) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / k)), F.lit(k - 1)))
     return joined.groupBy(*by, b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from riskloom.operators.aggregates import proper_scores
 from riskloom.operators.joins import interp
 
 
-def _newton_by(df: DataFrame, event: str, x: str, by: list[str], rounds: int = 50, tol: float = 1e-8, weight: str | None = None) -> dict[tuple, tuple[float, float]]:
+def newton_by(df: DataFrame, event: str, x: str, by: list[str], rounds: int = 50, tol: float = 1e-8, weight: str | None = None) -> dict[tuple, tuple[float, float]]:
     """Intercept and slope of ``event`` on ``x`` for each group of ``by``.
 
     Each round is one aggregation of five sums per group; groups are models,
@@ -44,12 +45,12 @@ def _newton_by(df: DataFrame, event: str, x: str, by: list[str], rounds: int = 5
 
 def fit_sigmoid(df: DataFrame, event: str, p: str) -> tuple[float, float]:
     """CL-01: unpenalised logistic fit on the log-odds."""
-    return _newton_by(df.select(event, logit(p).alias("_x")), event, "_x", [])[()]
+    return newton_by(df.select(event, logit(p).alias("_x")), event, "_x", [])[()]
 
 
 def calibration_slope(df: DataFrame, event: str, p: str, *by: str, eps: float = 1e-12) -> DataFrame:
     """CL-07: intercept and slope of the event on logit(p), per group."""
-    beta = _newton_by(df.select(*by, event, logit(p, eps).alias("_x")), event, "_x", list(by))
+    beta = newton_by(df.select(*by, event, logit(p, eps).alias("_x")), event, "_x", list(by))
     types = dict(df.dtypes)
     return df.sparkSession.createDataFrame([(*k, *v) for k, v in beta.items()], ", ".join([f"{b} {types[b]}" for b in by] + ["intercept double", "slope double"]))
 
@@ -97,7 +98,7 @@ def select_calibrator(df: DataFrame, event: str, p: str) -> DataFrame:
     points = fit_isotonic(df, event, p)
     fits = {
         "identity": df.withColumn("_c", F.col(p)), "sigmoid": apply_calibrator(df, p, {"type": "sigmoid", "intercept": a, "slope": b}, "_c"),
-        "isotonic": _by_bisection(df, p, points, "_c"),
+        "isotonic": interp(df, p, points, "_c"),
     }
     out = None
     for kind, fitted in fits.items():
@@ -106,21 +107,6 @@ def select_calibrator(df: DataFrame, event: str, p: str) -> DataFrame:
     return out.orderBy("brier", "kind")
 
 
-def _by_bisection(df: DataFrame, p: str, points: DataFrame, out: str) -> DataFrame:
-    """Interpolation on many breakpoints: an Arrow batch at a time."""
-    import pandas as pd
-
-    rows = points.orderBy("x").collect()
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
-
-    def look_up(v):
-        return pd.Series(np.interp(v.to_numpy(), x, y))
-
-    look_up.__annotations__ = {"v": pd.Series, "return": pd.Series}
-    at = F.pandas_udf(look_up, "double")
-    return df.withColumn(out, at(F.col(p)))
-
-
 def cross_calibrate(df: DataFrame, event: str, p: str, fold: str) -> DataFrame:
     """CL-05: sigmoid fitted on the other folds, applied to the held-out one; clipped to [0, 1].
 
@@ -129,7 +115,7 @@ def cross_calibrate(df: DataFrame, event: str, p: str, fold: str) -> DataFrame:
     folds = df.select(F.col(fold).alias("_out")).distinct()
     rest = df.select(event, logit(p).alias("_x"), F.col(fold).alias("_f")).join(F.broadcast(folds), F.col("_f") != F.col("_out"))
     classes = {r["_out"]: r["n"] for r in rest.groupBy("_out").agg(F.countDistinct(event).alias("n")).collect()}
-    beta = _newton_by(rest, event, "_x", ["_out"])
+    beta = newton_by(rest, event, "_x", ["_out"])
     rows = [(k[0], *v) for k, v in beta.items() if classes.get(k[0], 0) == 2]
     params = df.sparkSession.createDataFrame(rows, f"{fold} {dict(df.dtypes)[fold]}, _a double, _b double")
     fitted = sigmoid(F.col("_a") + F.col("_b") * logit(p))
@@ -137,15 +123,29 @@ def cross_calibrate(df: DataFrame, event: str, p: str, fold: str) -> DataFrame:
 
 
 def reliability_band(df: DataFrame, event: str, p: str, key: str, reps: int, seed=0, steps: int = 100) -> DataFrame:
-    """CL-08: mean and percentiles of bootstrap isotonic curves on a grid of ``steps + 1`` points."""
+    """CL-08: mean and percentiles of bootstrap isotonic curves on a grid of ``steps + 1`` points.
+
+    All replicates are one plan: rows are counted by score and replicate, and a
+    task pools the counted scores of a replicate.
+    """
     from riskloom.operators.resample import bootstrap_weights
 
-    spark = df.sparkSession
     weights = bootstrap_weights(df, key, event, reps, seed).select("rep", key, "weight").filter("weight > 0")
-    rows = df.select(key, event, p).join(weights, key).cache()
-    grid = spark.range(steps + 1).select((F.col("id") / steps).alias("g"))
-    out = None
-    for r in range(reps):
-        curve = _by_bisection(grid, "g", fit_isotonic(rows.filter(F.col("rep") == r), event, p, "weight"), "value")
-        out = curve if out is None else out.unionByName(curve)
-    return out.groupBy("g").agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))
+    rows = df.select(key, event, F.col(p).alias("_p")).join(weights, key)
+    counted = rows.groupBy("rep", "_p").agg(F.sum(F.col("weight") * F.col(event)).cast("double").alias("pos"), F.sum("weight").cast("double").alias("n"))
+    at = np.arange(steps + 1) / steps
+
+    def curve(group: pd.DataFrame) -> pd.DataFrame:
+        """Pools neighbours that fall, then interpolates between the pools' ends."""
+        group = group.sort_values("_p")
+        pools: list[list[float]] = []
+        for x, pos, n in zip(group["_p"], group["pos"], group["n"], strict=True):
+            pools.append([x, x, pos, n])
+            while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+                low, high = pools[-2], pools.pop()
+                pools[-1] = [low[0], high[1], low[2] + high[2], low[3] + high[3]]
+        xs, ys = [v for q in pools for v in q[:2]], [q[2] / q[3] for q in pools for _ in (0, 1)]
+        return pd.DataFrame({"g": at, "value": np.interp(at, xs, ys)})
+
+    curves = counted.groupBy("rep").applyInPandas(curve, "g double, value double")
+    return curves.groupBy("g").agg(F.avg("value").alias("mean"), F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.functions.scalars import normal_cdf
-from riskloom.operators.order import cumulative_counts, midrank, score_counts
+from riskloom.functions.scalars import hash_key, normal_cdf
+from riskloom.operators.order import cumulative_counts, midrank, ordered_cumsum, score_counts
 from riskloom.operators.resample import bootstrap_weights, permute_labels
 
 
@@ -20,16 +22,7 @@ def auc(df: DataFrame, event: str, score: str, by: list[str] | None = None, weig
     by = by or []
     if weight:
         df = df.filter(F.col(weight) > 0)
-    c = score_counts(df, event, score, by, weight)
-    if by:
-        from pyspark.sql.window import Window
-
-        w = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-        c = c.withColumn("cum_neg", F.sum("neg").over(w))
-    else:
-        from riskloom.operators.order import ordered_cumsum
-
-        c = ordered_cumsum(c, "score", ["neg"])
+    c = ordered_cumsum(score_counts(df, event, score, by, weight), "score", ["neg"], by)
     pairs = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
     total = F.sum("pos").cast("double") * F.sum("neg").cast("double")
     return c.groupBy(*by).agg(F.when(total > 0, pairs / total).alias("auc"), F.sum("pos").cast("long").alias("pos"), F.sum("neg").cast("long").alias("neg"))
@@ -42,20 +35,23 @@ def univariate_auc(long: DataFrame, event: str) -> DataFrame:
     return a.select("feature", F.when((F.col("pos") + F.col("neg") < 5) | F.col("auc").isNull(), 0.5).otherwise(best).alias("auc"))
 
 
-def _placements(df: DataFrame, event: str, score: str, key: str, out: str) -> DataFrame:
-    """Share of the other class that a row beats, ties half."""
-    whole = midrank(df.select(key, event, score), score, out="_r")
-    within = midrank(df.select(key, event, score), score, [event], "_w")
-    joined = whole.join(within.select(key, "_w"), key)
-    sizes = df.agg(F.sum(event).alias("_p"), F.sum(1 - F.col(event)).alias("_n"))
-    x = F.col("_r") - F.col("_w")
-    value = F.when(F.col(event) == 1, x / F.col("_n")).otherwise(1 - x / F.col("_p"))
-    return joined.crossJoin(F.broadcast(sizes)).select(key, value.alias(out))
+def _placement(event: str, whole: str, within: str):
+    """Share of the other class that a row beats, ties half, from its rank among all rows and in its class."""
+    x = F.col(whole) - F.col(within)
+    return F.when(F.col(event) == 1, x / F.col("_n")).otherwise(1 - x / F.col("_p"))
+
 
+def delong(df: DataFrame, event: str, a: str, b: str) -> DataFrame:
+    """EV-03: two correlated AUCs, their difference, z and two-sided p; null without variance.
 
-def delong(df: DataFrame, event: str, a: str, b: str, key: str) -> DataFrame:
-    """EV-03: two correlated AUCs, their difference, z and two-sided p; null without variance."""
-    v = df.select(key, event).join(_placements(df, event, a, key, "va"), key).join(_placements(df, event, b, key, "vb"), key)
+    Ranks join the rows by score, so each row keeps both placements and no id is
+    needed. Rows without a score or event are left out.
+    """
+    rows = df.select(event, a, b).dropna()
+    sizes = rows.agg(F.sum(event).alias("_p"), F.sum(1 - F.col(event)).alias("_n"))
+    for name, score in (("a", a), ("b", b)):
+        rows = midrank(midrank(rows, score, out=f"_r{name}"), score, [event], f"_w{name}")
+    v = rows.crossJoin(F.broadcast(sizes)).select(event, _placement(event, "_ra", "_wa").alias("va"), _placement(event, "_rb", "_wb").alias("vb"))
     c = v.groupBy(event).agg(
         F.count(F.lit(1)).alias("n"), F.avg("va").alias("ma"), F.avg("vb").alias("mb"), F.var_samp("va").alias("saa"), F.var_samp("vb").alias("sbb"), F.covar_samp("va", "vb").alias("sab")
     )
@@ -129,8 +125,6 @@ def normal_interval(df: DataFrame, value: str, *by: str, of_mean: bool = False)
 
 def bias_corrected_interval(df: DataFrame, value: str, observed: float) -> tuple[float, float]:
     """EV-09: bias-corrected percentiles; plain ones if all replicates lie on one side."""
-    from statistics import NormalDist
-
     share = df.agg(F.avg((F.col(value) < observed).cast("double")).alias("s")).first()["s"]
     dist, probs = NormalDist(), [0.025, 0.975]
     if share and share < 1:
@@ -140,20 +134,56 @@ def bias_corrected_interval(df: DataFrame, value: str, observed: float) -> tuple
     return low, high
 
 
-# fixed values: two-sided 95 % points of Student's t by degrees of freedom
-T95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228, 12: 2.179, 15: 2.131, 20: 2.086, 25: 2.060, 30: 2.042, 40: 2.021, 60: 2.000, 120: 1.980}
+def smoothed_draws(df: DataFrame, value: str, least: int = 10_000, seed=0) -> DataFrame:
+    """EV-09: kernel-smoothed replicate values: at least ``least`` draws, each a value plus Gaussian noise of Scott's bandwidth.
+
+    Noise comes from md5 of the value and the number of the draw (Box-Muller); ten replicates or fewer stay as they are.
+    """
+    r = df.agg(F.count(value).alias("n"), F.stddev_samp(value).alias("sd")).first()
+    if r["n"] <= 10:
+        return df.select(value)
+    each = -(-max(least, 10 * r["n"]) // r["n"])
+    u = lambda what: (F.conv(F.substring(hash_key(F.lit(f"{seed}|{what}"), F.col(value), F.col("_draw")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    noise = F.sqrt(-2 * F.log(u("a"))) * F.cos(2 * 3.141592653589793 * u("b"))
+    draws = df.filter(F.col(value).isNotNull()).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(each))))
+    return draws.select((F.col(value) + noise * (r["sd"] * r["n"] ** -0.2)).alias(value))
+
+
+def t_cdf(t: float, df: int) -> float:
+    """Student's t for whole degrees of freedom, by its finite trigonometric sum."""
+    angle = math.atan2(t, math.sqrt(df))
+    sine, cosine = math.sin(angle), math.cos(angle)
+    term, total = (cosine, cosine) if df % 2 else (1.0, 1.0)
+    for k in range(3 if df % 2 else 2, df - 1, 2):
+        term *= cosine * cosine * (k - 1) / k
+        total += term
+    if df % 2:
+        share = 2 / math.pi * (angle + (sine * total if df > 1 else 0.0))
+    else:
+        share = sine * total
+    return (1 + share) / 2
+
+
+def t_quantile(p: float, df: int) -> float:
+    """Quantile of Student's t by bisection; normal beyond 10,000 degrees of freedom."""
+    if df > 10_000:
+        return NormalDist().inv_cdf(p)
+    low, high = -1e4, 1e4
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_cdf(mid, df) < p else (low, mid)
+    return (low + high) / 2
 
 
 def corrected_t_interval(scores: DataFrame, value: str, n_train: int, n_test: int) -> DataFrame:
-    """EV-10: interval of a cross-validated mean with the variance correction for overlapping training sets."""
-    n = F.count(value)
-    t = F.lit(1.96)
-    for df_, point in sorted(T95.items(), reverse=True):
-        t = F.when(n - 1 <= df_, point).otherwise(t)
-    half = t * F.stddev_samp(value) * F.sqrt(1 / n + n_test / n_train)
-    return scores.agg(
-        F.avg(value).alias("mean"), F.greatest(F.lit(0.0), F.avg(value) - half).alias("low"), F.least(F.lit(1.0), F.avg(value) + half).alias("high")
-    )
+    """EV-10: interval of a cross-validated mean with the variance correction for overlapping training sets.
+
+    The mean alone with fewer than two scores.
+    """
+    r = scores.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).first()
+    half = t_quantile(0.975, r["n"] - 1) * r["sd"] * math.sqrt(1 / r["n"] + n_test / n_train) if r["n"] > 1 else None
+    ends = (None, None) if half is None else (max(0.0, r["mean"] - half), min(1.0, r["mean"] + half))
+    return scores.sparkSession.createDataFrame([(r["mean"], *ends)], "mean double, low double, high double")
 
 
 def permutation_test(df: DataFrame, event: str, score: str, key: str, reps: int, seed=0, method: str = "plus_one") -> DataFrame:
@@ -167,12 +197,12 @@ def permutation_test(df: DataFrame, event: str, score: str, key: str, reps: int,
 
 def oob_cutpoints(df: DataFrame, event: str, score: str, key: str, reps: int, seed=0) -> DataFrame:
     """EV-14: cut-offs chosen in the bag and applied unchanged out of it, per replicate and mode."""
-    from riskloom.operators.order import best_threshold, threshold_sweep
+    from riskloom.operators.order import best_thresholds, threshold_sweep
 
     w = bootstrap_weights(df, key, event, reps, seed).select("rep", key, "weight")
     rows = df.select(key, event, score).join(w, key)
     sweep = threshold_sweep(rows.filter("weight > 0"), event, score, ["rep"], "weight")
-    cuts = best_threshold(sweep, "rule_out", ["rep"]).unionByName(best_threshold(sweep, "rule_in", ["rep"])).select("rep", "mode", "threshold")
+    cuts = best_thresholds(sweep, by=["rep"]).select("rep", "mode", "threshold")
     hit, y = F.col(score) >= F.col("threshold"), F.col(event) == 1
     return rows.filter("weight = 0").join(F.broadcast(cuts), "rep").groupBy("rep", "mode", "threshold").agg(
         (F.count_if(y & hit) / F.count_if(y)).alias("sensitivity"), (F.count_if(~y & ~hit) / F.count_if(~y)).alias("specificity"), F.count(F.lit(1)).alias("n")

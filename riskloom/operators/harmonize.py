@@ -17,7 +17,7 @@ def _overall(long: DataFrame) -> DataFrame:
 def batch_zscore(train: DataFrame, test: DataFrame) -> DataFrame:
     """HZ-03: z-scores by training batch, brought back to the training scale; unseen batches use all of training."""
     own = batch_profile(train).select("batch", "feature", "mean", "sd")
-    j = test.join(own, ["batch", "feature"], "left").join(F.broadcast(_overall(train)), "feature")
+    j = test.join(own, ["batch", "feature"], "left").join(_overall(train), "feature")
     z = (F.col("value") - F.coalesce("mean", "gm")) / F.coalesce("sd", "gs")
     return j.withColumn("value", z * F.col("gs") + F.col("gm")).drop("mean", "sd", "gm", "gs")
 
@@ -27,7 +27,7 @@ def ref_standardize(train: DataFrame, test: DataFrame, ref) -> DataFrame:
     own = batch_profile(train).select("batch", "feature", "mean", "sd")
     r = own.filter(F.col("batch") == F.lit(ref)).select("feature", F.col("mean").alias("rm"), F.col("sd").alias("rs"))
     target = _overall(train).join(r, "feature", "left").select("feature", F.coalesce("rm", "gm").alias("tm"), F.coalesce("rs", "gs").alias("ts"))
-    j = test.join(own, ["batch", "feature"], "left").join(F.broadcast(target), "feature")
+    j = test.join(own, ["batch", "feature"], "left").join(target, "feature")
     z = (F.col("value") - F.coalesce("mean", "tm")) / F.coalesce("sd", "ts")
     return j.withColumn("value", z * F.col("ts") + F.col("tm")).drop("mean", "sd", "tm", "ts")
 
@@ -50,7 +50,7 @@ def combat_fit(long: DataFrame, ref=None, shrink: bool = True, mean_only: bool =
     z = z.withColumn("d", F.when(F.col("d") < SD_FLOOR, 1.0).otherwise(F.col("d")))
     if shrink:
         prior = z.groupBy("batch").agg(F.avg("g").alias("gb"), F.coalesce(F.var_samp("g"), F.lit(0.0)).alias("t2"), F.avg("d").alias("db"), F.coalesce(F.var_samp("d"), F.lit(0.0)).alias("s2"))
-        z = z.join(F.broadcast(prior), "batch")
+        z = z.join(prior, "batch")
         a = F.when(F.col("s2") > 0, (2 * F.col("s2") + F.col("db") * F.col("db")) / F.col("s2"))
         b = F.when(F.col("s2") > 0, (F.col("db") * F.col("s2") + F.col("db") * F.col("db") * F.col("db")) / F.col("s2"))
         z = z.withColumn("pa", a).withColumn("pb", b)
@@ -69,10 +69,14 @@ def combat_fit(long: DataFrame, ref=None, shrink: bool = True, mean_only: bool =
 
 
 def combat_apply(long: DataFrame, estimates: DataFrame, check: bool = True) -> DataFrame:
-    """HZ-02: stored estimates applied; unknown batches are an error."""
+    """HZ-02: stored estimates applied; unknown batches, and features without estimates in their batch, are an error.
+
+    Without the check their values become null; no row is lost.
+    """
     if check:
         enforce(unknown_batches(long, estimates, "batch"), "unknown batches")
-    j = long.join(estimates, ["batch", "feature"])
+        enforce(long.select("batch", "feature").distinct().join(estimates, ["batch", "feature"], "left_anti"), "features without estimates")
+    j = long.join(estimates, ["batch", "feature"], "left")
     z = ((F.col("value") - F.col("alpha")) / F.sqrt("pooled") - F.col("gamma")) / F.sqrt("delta")
     return j.withColumn("value", z * F.sqrt("pooled") + F.col("alpha")).drop("alpha", "pooled", "gamma", "delta")
 
@@ -82,14 +86,14 @@ def harmonize_eligible(long: DataFrame, least: int = 3, ref=None) -> DataFrame:
     sizes = value_counts(long.select("id", "batch").distinct(), "batch").filter(F.col("n") >= least).select("batch")
     if sizes.limit(2).count() < 2:
         return long.withColumn("harmonized", F.lit(False))
-    big = long.join(F.broadcast(sizes), "batch", "left_semi")
-    rest = long.join(F.broadcast(sizes), "batch", "left_anti")
+    big = long.join(sizes, "batch", "left_semi")
+    rest = long.join(sizes, "batch", "left_anti")
     done = combat_apply(big, combat_fit(big, ref), check=False).withColumn("harmonized", F.lit(True))
     return done.unionByName(rest.withColumn("harmonized", F.lit(False)))
 
 
 def harmonize_or_passthrough(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """SM-05: harmonised where the batch is known, raw with a flag elsewhere; works on streams."""
-    j = rows.join(F.broadcast(estimates), ["batch", "feature"], "left")
+    j = rows.join(estimates, ["batch", "feature"], "left")
     z = ((F.col("value") - F.col("alpha")) / F.sqrt("pooled") - F.col("gamma")) / F.sqrt("delta")
     return j.withColumn("unknown_batch", F.col("alpha").isNull()).withColumn("value", F.coalesce(z * F.sqrt("pooled") + F.col("alpha"), F.col("value"))).drop("alpha", "pooled", "gamma", "delta")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,8 @@ from riskloom.operators.contracts import ContractError, cardinality_violations,
 
 #: Largest side that is broadcast by hint; beyond it Spark's own choice holds.
 BROADCAST_ROWS = 200_000
+#: Most breakpoints of a curve, and most that become one expression.
+BREAKPOINTS, INLINE = 1_000_000, 32
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -99,13 +103,24 @@ def broadcast_stats(long: DataFrame, stats: DataFrame, overall: DataFrame, value
     return joined.withColumn("z", z).drop("_m", "_s", "_gm", "_gs")
 
 
+#: Largest parameter table whose combinations are formed.
+GRID_ROWS = 10_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    if df.limit(GRID_ROWS + 1).count() > GRID_ROWS:
+        raise ContractError(f"combinations are for parameter tables of at most {GRID_ROWS} rows")
+    return df
+
+
 def cross_grid(a: DataFrame, b: DataFrame) -> DataFrame:
-    """JN-10: all combinations of two small parameter tables."""
-    return a.crossJoin(F.broadcast(b))
+    """JN-10: all combinations of two parameter tables; a larger second one is an error."""
+    return a.crossJoin(F.broadcast(_few(b)))
 
 
 def pairs(df: DataFrame, col: str) -> DataFrame:
-    """JN-10: all pairs a < b of the values of a small table."""
+    """JN-10: all pairs a < b of the values of a parameter table; a larger one is an error."""
+    df = _few(df)
     a, b = df.select(F.col(col).alias("a")), df.select(F.col(col).alias("b"))
     return a.join(F.broadcast(b), F.col("a") < F.col("b"))
 
@@ -113,12 +128,21 @@ def pairs(df: DataFrame, col: str) -> DataFrame:
 def interp(df: DataFrame, x: str, points: DataFrame, out: str = "y") -> DataFrame:
     """JN-11: piecewise-linear interpolation on sorted ``points(x, y)``, ends clipped.
 
-    The breakpoints become one array of segments, so each row is looked up
-    without a range join; calibrators and grids have few of them.
+    Breakpoints are parameters of a fit: at most ``BREAKPOINTS``, which is checked.
+    Up to ``INLINE`` of them become one expression; more are searched by bisection,
+    an Arrow batch at a time.
     """
-    rows = points.select("x", "y").orderBy("x").collect()
-    if not rows:
-        raise ContractError("no breakpoints")
+    rows = points.select("x", "y").orderBy("x").limit(BREAKPOINTS + 1).collect()
+    if not 0 < len(rows) <= BREAKPOINTS:
+        raise ContractError(f"interpolation takes 1 to {BREAKPOINTS} breakpoints")
+    if len(rows) > INLINE:
+        xs, ys = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
+
+        def look_up(v: pd.Series) -> pd.Series:
+            return pd.Series(np.interp(v.to_numpy(float), xs, ys))
+
+        look_up.__annotations__ = {"v": pd.Series, "return": pd.Series}
+        return df.withColumn(out, F.when(F.col(x).isNotNull(), F.pandas_udf(look_up, "double")(F.col(x))))
     v, expr = F.col(x), None
     for a, b in zip(rows[:-1], rows[1:], strict=True):
         step = F.lit(a["y"]) + (v - F.lit(a["x"])) * F.lit((b["y"] - a["y"]) / (b["x"] - a["x"]) if b["x"] > a["x"] else 0.0)

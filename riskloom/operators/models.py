@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,12 +12,13 @@ from riskloom.functions.scalars import hash_key, sigmoid
 from riskloom.operators.evaluate import auc
 from riskloom.operators.resample import bootstrap_weights, stratified_kfold, subsample
 from riskloom.operators.screen import fdp_threshold
-from riskloom.operators.solver import Fit, fit_logistic_replicates
+from riskloom.operators.solver import Fit, fit_logistic_replicates, replicate_scores
+from riskloom.sources.scratch import kept
 
 
 def vector_rows(long: DataFrame) -> DataFrame:
-    """``id, event, features`` with features in the order of their names; nulls count as 0 after imputation upstream."""
-    packed = F.sort_array(F.collect_list(F.struct("feature", F.coalesce("value", F.lit(0.0)).alias("value"))))
+    """``id, event, features`` with features in the order of their names; nulls stay, and fits take them as their mean."""
+    packed = F.sort_array(F.collect_list(F.struct("feature", "value")))
     return long.groupBy("id", "event").agg(F.transform(packed, lambda s: s["value"]).alias("features"))
 
 
@@ -44,35 +48,24 @@ def fit_logistic(rows: DataFrame, c: float = 1.0, l1_ratio: float = 0.0, balance
 
 
 def fold_rows(rows: DataFrame, k: int, seed=0) -> DataFrame:
-    """Rows with their fold and, per fold, weight 1 when they train it."""
+    """Rows with their fold and, per fold, weight 1 when they train it; kept, as every step of a fit reads them."""
     folds = stratified_kfold(rows, "id", "event", k, seed).select("id", "fold")
-    return rows.join(folds, "id").withColumn("weights", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.when(F.col("fold") == f, 0.0).otherwise(1.0)))
-
-
-def held_out(rows: DataFrame, fits: list[dict]) -> DataFrame:
-    """Each row scored by the fit of the fold that left it out."""
-    p = F.lit(None).cast("double")
-    for f, fit in enumerate(fits):
-        p = F.when(F.col("fold") == f, linear_p(fit)).otherwise(p)
-    return rows.select("id", "event", "fold", p.alias("p"))
+    return kept(rows.join(folds, "id").withColumn("weights", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.when(F.col("fold") == f, 0.0).otherwise(1.0))))
 
 
 def oof_predictions(rows: DataFrame, k: int, c: float = 1.0, l1_ratio: float = 0.0, seed=0) -> DataFrame:
-    """ML-11: out-of-fold probabilities; all folds are fitted in one job per step."""
-    folded = fold_rows(rows, k, seed)
-    return held_out(folded, fit_logistic_replicates(folded, [Fit(f, c, l1_ratio) for f in range(k)]))
+    """ML-11: out-of-fold probabilities; all folds are fitted in one job per step and scored in one pass."""
+    folded, fits = fold_rows(rows, k, seed), [Fit(f, c, l1_ratio) for f in range(k)]
+    return replicate_scores(folded, fits, fit_logistic_replicates(folded, fits), held_out=True).select("id", "event", F.col("fit").alias("fold"), "p")
 
 
 def tune_grid(rows: DataFrame, grid: list[tuple[float, float]], k: int = 3, seed=0) -> DataFrame:
     """ML-03: mean fold AUC of each (c, l1_ratio), the best first, earlier ones on ties; all fits run together."""
-    folded = fold_rows(rows, k, seed)
-    fits = fit_logistic_replicates(folded, [Fit(f, c, r) for c, r in grid for f in range(k)])
-    out = None
-    for i, (c, r) in enumerate(grid):
-        one = auc(held_out(folded, fits[i * k : (i + 1) * k]), "event", "p", ["fold"]).agg(F.avg("auc").alias("auc"))
-        one = one.select(F.lit(i).alias("trial"), F.lit(float(c)).alias("c"), F.lit(float(r)).alias("l1_ratio"), "auc")
-        out = one if out is None else out.unionByName(one)
-    return out.orderBy(F.desc("auc"), "trial")
+    folded, fits = fold_rows(rows, k, seed), [Fit(f, c, r) for c, r in grid for f in range(k)]
+    scored = replicate_scores(folded, fits, fit_logistic_replicates(folded, fits), held_out=True)
+    trials = rows.sparkSession.createDataFrame([(i, float(c), float(r)) for i, (c, r) in enumerate(grid)], "trial int, c double, l1_ratio double")
+    by_trial = auc(scored, "event", "p", ["fit"]).groupBy((F.col("fit") / k).cast("int").alias("trial")).agg(F.avg("auc").alias("auc"))
+    return trials.join(by_trial, "trial").select("trial", "c", "l1_ratio", "auc").orderBy(F.desc("auc"), "trial")
 
 
 def random_trials(n: int, seed=0) -> list[tuple[float, float]]:
@@ -119,57 +112,128 @@ def fit_linear_svc(rows: DataFrame):
     return LinearSVC(featuresCol="x", labelCol="label", regParam=0.01, maxIter=50).fit(_assembled(rows))
 
 
-def ml_scores(model, rows: DataFrame) -> DataFrame:
+def ml_scores(model, rows: DataFrame, platt: tuple[float, float] | None = None) -> DataFrame:
+    """``id, event, p``; margins go through the sigmoid ``platt`` (intercept, slope) if given, else the plain one."""
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(_assembled(rows))
     col = "probability" if "probability" in out.columns else "rawPrediction"
-    p = vector_to_array(col)[1]
-    return out.select("id", "event", (p if col == "probability" else sigmoid(p)).alias("p"))
+    v = vector_to_array(col)[1]
+    a, b = platt or (0.0, 1.0)
+    return out.select("id", "event", (v if col == "probability" else sigmoid(F.lit(float(a)) + F.lit(float(b)) * v)).alias("p"))
+
+
+def fit_platt(model, rows: DataFrame) -> tuple[float, float]:
+    """ML-08: the sigmoid of a margin model, fitted on ``rows``."""
+    from pyspark.ml.functions import vector_to_array
+
+    from riskloom.operators.calibrate import newton_by
+
+    margins = model.transform(_assembled(rows)).select("event", vector_to_array("rawPrediction")[1].alias("_x"))
+    return newton_by(margins, "event", "_x", [])[()]
+
+
+@dataclass(frozen=True)
+class ModelSpec:
+    """UD-03: a named model: ``fit(rows)`` gives ``score(rows) -> id, event, p``. ``linear`` ones get no extra features."""
+
+    name: str
+    fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+    linear: bool = True
+
+
+def _linear_spec(name: str, c: float, l1_ratio: float) -> ModelSpec:
+    def fit(rows):
+        found = fit_logistic(rows, c, l1_ratio)
+        return lambda new: new.select("id", "event", linear_p(found).alias("p"))
+
+    return ModelSpec(name, fit)
+
+
+def _svc(rows):
+    model = fit_linear_svc(rows)
+    platt = fit_platt(model, rows)
+    return lambda new: ml_scores(model, new, platt)
+
+
+def _ml_spec(fitter, **settings):
+    def fit(rows):
+        model = fitter(rows, **settings)
+        return lambda new: ml_scores(model, new)
+
+    return fit
+
+
+MODELS: dict[str, ModelSpec] = {
+    s.name: s
+    for s in (
+        _linear_spec("ridge", 1.0, 0.0), _linear_spec("lasso", 0.5, 1.0), _linear_spec("elastic_net", 1.0, 0.5), ModelSpec("linear_svc", _svc),
+        ModelSpec("forest", _ml_spec(fit_forest, trees=20), False), ModelSpec("boosted", _ml_spec(fit_boosted, rounds=10), False),
+    )
+}
+
+
+def register_model(spec: ModelSpec) -> None:
+    """UD-03: add a model family; names are unique."""
+    if spec.name in MODELS:
+        raise ValueError(f"model {spec.name} is registered twice")
+    MODELS[spec.name] = spec
 
 
 def compare_models(rows: DataFrame, specs: dict, k: int = 3, seed=0) -> DataFrame:
     """ML-14: out-of-fold AUC of named (c, l1_ratio) specs on the same rows and folds."""
-    folded = fold_rows(rows, k, seed)
-    fits = fit_logistic_replicates(folded, [Fit(f, *s) for s in specs.values() for f in range(k)])
-    out = None
-    for i, name in enumerate(specs):
-        one = auc(held_out(folded, fits[i * k : (i + 1) * k]), "event", "p").select(F.lit(name).alias("model"), "auc", "pos", "neg")
-        out = one if out is None else out.unionByName(one)
-    return out
+    folded, fits = fold_rows(rows, k, seed), [Fit(f, *s) for s in specs.values() for f in range(k)]
+    scored = replicate_scores(folded, fits, fit_logistic_replicates(folded, fits), held_out=True)
+    names = F.array(*[F.lit(n) for n in specs])
+    return auc(scored.withColumn("model", F.get(names, (F.col("fit") / k).cast("int"))), "event", "p", ["model"]).select("model", "auc", "pos", "neg")
 
 
 def evaluate_resampled(rows: DataFrame, reps: int, c: float = 1.0, l1_ratio: float = 0.0, seed=0) -> DataFrame:
     """EV-13: in-bag and out-of-bag AUC of refitted models per bootstrap replicate, with the .632+ estimate."""
     from riskloom.operators.evaluate import auc_632plus
 
-    w = bootstrap_weights(rows, "id", "event", reps, seed)
-    weighted = with_weights(rows, w, reps).cache()
-    fits = fit_logistic_replicates(weighted, [Fit(r, c, l1_ratio) for r in range(reps)])
-    out = None
-    for r, fit in enumerate(fits):
-        scored = weighted.select("event", F.col("weights")[r].alias("w"), linear_p(fit).alias("p"))
-        inside = auc(scored, "event", "p", weight="w").select(F.col("auc").alias("in_bag"))
-        outside = auc(scored.filter("w = 0"), "event", "p").select(F.col("auc").alias("oob"), (F.col("pos") + F.col("neg")).alias("n_oob"))
-        one = inside.crossJoin(F.broadcast(outside)).withColumn("rep", F.lit(r))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("auc_632plus", auc_632plus(F.col("in_bag"), F.col("oob")))
+    weighted = kept(with_weights(rows, bootstrap_weights(rows, "id", "event", reps, seed), reps))
+    fits = [Fit(r, c, l1_ratio) for r in range(reps)]
+    scored = replicate_scores(weighted, fits, fit_logistic_replicates(weighted, fits))
+    inside = auc(scored, "event", "p", ["fit"], "weight").select("fit", F.col("auc").alias("in_bag"))
+    outside = auc(scored.filter("weight = 0"), "event", "p", ["fit"]).select("fit", F.col("auc").alias("oob"), (F.col("pos") + F.col("neg")).alias("n_oob"))
+    both = inside.join(outside, "fit").select("in_bag", "oob", "n_oob", F.col("fit").alias("rep"))
+    return both.withColumn("auc_632plus", auc_632plus(F.col("in_bag"), F.col("oob")))
+
+
+def l1_shrink(rows: DataFrame, stats: DataFrame, candidates: int, panel: int, c: float = 0.5) -> DataFrame:
+    """FS-10: ``feature, coef, auc`` of at most ``panel`` features.
+
+    The ``candidates`` best features by WN-10 are fitted with an L1 penalty; those
+    with a coefficient come first, by its size, and the list is filled up by AUC.
+    ``stats`` has ``feature, auc, r, distinct``; features of ``rows`` are in the
+    order of their names.
+    """
+    from riskloom.operators.order import rank_features
+
+    names = [r["feature"] for r in stats.select("feature").orderBy("feature").collect()]
+    chosen = [r["feature"] for r in rank_features(stats).orderBy("place").limit(candidates).select("feature").collect()]
+    at = [names.index(f) for f in chosen]
+    fit = fit_logistic(rows.withColumn("features", F.array(*[F.get("features", F.lit(i)) for i in at])), c, 1.0)
+    coefs = rows.sparkSession.createDataFrame([(f, float(b)) for f, b in zip(chosen, fit["coef"], strict=True)], f"feature {dict(stats.dtypes)['feature']}, coef double")
+    return coefs.join(stats.select("feature", "auc"), "feature").orderBy(F.desc(F.abs("coef") > 0), F.desc(F.abs("coef")), F.desc("auc"), "feature").limit(panel)
 
 
-def stability_selection(long: DataFrame, reps: int, lambdas: list[float], seed=0) -> tuple[DataFrame, DataFrame]:
+def stability_selection(long: DataFrame, reps: int, lambdas: list[float], seed=0, kind: str = "permutation") -> tuple[DataFrame, DataFrame]:
     """FS-12: selection frequency of real and decoy features over subsamples and L1 strengths, and the FDP+ threshold.
 
-    A feature's score is its largest frequency over the strengths. All
-    subsamples and strengths are fitted together.
+    Decoys are permuted copies or knockoffs (``kind``). A feature's score is its
+    largest frequency over the strengths. All subsamples and strengths are fitted together.
     """
-    from riskloom.operators.screen import decoy_features
+    from riskloom.operators.screen import decoy_features, knockoff_features
 
+    decoys = {"permutation": decoy_features, "knockoff": knockoff_features}[kind]
     named = long.withColumn("feature", F.col("feature").cast("string"))
-    both = named.select("id", "event", "feature", "value").unionByName(decoy_features(named, seed)).cache()
+    both = kept(named.select("id", "event", "feature", "value").unionByName(decoys(named, seed)))
     names = [r["feature"] for r in both.select("feature").distinct().orderBy("feature").collect()]
     rows = vector_rows(both)
     w = subsample(rows, "id", "event", 0.75, reps, seed).select("rep", "id", F.col("balance").alias("weight"))
-    fits = fit_logistic_replicates(with_weights(rows, w, reps), [Fit(r, c, 1.0) for c in lambdas for r in range(reps)])
+    fits = fit_logistic_replicates(kept(with_weights(rows, w, reps)), [Fit(r, c, 1.0) for c in lambdas for r in range(reps)])
     scores = {n: 0.0 for n in names}
     for i in range(len(lambdas)):
         part = fits[i * reps : (i + 1) * reps]

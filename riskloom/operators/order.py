@@ -60,11 +60,7 @@ def midrank(df: DataFrame, col: str, by: list[str] | None = None, out: str = "ra
     """WN-01: average rank for ties, from 1; null values have no rank."""
     by = by or []
     counts = df.filter(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
-    if by:
-        w = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = counts.withColumn("cum__n", F.sum("_n").over(w))
-    else:
-        ranked = ordered_cumsum(counts, col, ["_n"])
+    ranked = ordered_cumsum(counts, col, ["_n"], by)
     ranks = ranked.select(*by, col, (F.col("cum__n") - (F.col("_n") - 1) / 2).alias(out))
     return df.join(ranks, [*by, col], "left")
 
@@ -110,15 +106,25 @@ def best_threshold(sweep: DataFrame, mode: str, by: list[str] | None = None, lea
     rate, closeness to 0.5, then the smaller threshold. The winner is the
     maximum of a struct, so no sort of all thresholds is needed.
     """
-    rate = "sensitivity" if mode == "rule_out" else "specificity"
-    eligible = (F.coalesce(F.col(rate), F.lit(0.0)) >= least).cast("int")
-    key = F.struct(
-        eligible.alias("e"), F.round("mcc", 12).alias("m"), F.coalesce(F.round("balanced", 12), F.lit(-1.0)).alias("b"), F.coalesce(F.round(rate, 12), F.lit(-1.0)).alias("r"),
-        (-F.round(F.abs(F.col("threshold") - 0.5), 12)).alias("c"), (-F.col("threshold")).alias("t"),
-    )
-    cols = [c for c in sweep.columns if c not in (by or [])]
-    best = sweep.groupBy(*(by or [])).agg(F.max_by(F.struct(*cols), key).alias("_w"))
-    return best.select(*(by or []), F.lit(mode).alias("mode"), "_w.*")
+    return best_thresholds(sweep, (mode,), by, least)
+
+
+def best_thresholds(sweep: DataFrame, modes: tuple[str, ...] = ("rule_out", "rule_in"), by: list[str] | None = None, least: float = 0.9) -> DataFrame:
+    """WN-04 for several modes from one pass over the sweep; a row per mode."""
+    by = by or []
+    cols = F.struct(*[c for c in sweep.columns if c not in by])
+    best = []
+    for mode in modes:
+        rate = "sensitivity" if mode == "rule_out" else "specificity"
+        eligible = (F.coalesce(F.col(rate), F.lit(0.0)) >= least).cast("int")
+        key = F.struct(
+            eligible.alias("e"), F.round("mcc", 12).alias("m"), F.coalesce(F.round("balanced", 12), F.lit(-1.0)).alias("b"), F.coalesce(F.round(rate, 12), F.lit(-1.0)).alias("r"),
+            (-F.round(F.abs(F.col("threshold") - 0.5), 12)).alias("c"), (-F.col("threshold")).alias("t"),
+        )
+        best.append(F.max_by(cols, key).alias(f"_{mode}"))
+    winners = sweep.groupBy(*by).agg(*best)
+    rows = F.array(*[F.struct(F.lit(mode).alias("mode"), F.col(f"_{mode}").alias("w")) for mode in modes])
+    return winners.select(*by, F.explode(rows).alias("r")).select(*by, "r.mode", "r.w.*")
 
 
 def youden_point(df: DataFrame, event: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -135,11 +141,25 @@ def tertile_cuts(df: DataFrame, score: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, tie: str, out: str = "position") -> DataFrame:
-    """Adds the place of each row in the order of ``order, tie`` without a one-task window."""
-    counts = df.groupBy(order).agg(F.count(F.lit(1)).alias("_n"))
+    """Adds the place of each row in the order of ``order, tie`` without a one-task window.
+
+    Rows that share a value of ``order`` are dealt by ranges of ``tie`` (by its first
+    characters, if it is text), numbered inside a range and shifted by the ranges before.
+    """
+    if dict(df.dtypes)[tie] == "string":
+        part = F.substring(tie, 1, 6)
+    else:
+        edges = sorted(set(df.select(F.percentile_approx(tie, [i / RANGES for i in range(1, RANGES)], 10_000).alias("e")).first()["e"] or []))
+        part = F.array_size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col(tie))) if edges else F.lit(0)
+    rows = df.withColumn("_part", part)
+    sizes = rows.groupBy(order, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(order).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(order, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    counts = sizes.groupBy(order).agg(F.sum("_n").alias("_n"))
     starts = ordered_cumsum(counts, order, ["_n"]).select(order, (F.col("cum__n") - F.col("_n")).alias("_start"))
-    w = Window.partitionBy(order).orderBy(tie)
-    return df.join(starts, order).withColumn(out, F.col("_start") + F.row_number().over(w)).drop("_start")
+    own = F.row_number().over(Window.partitionBy(order, "_part").orderBy(tie))
+    placed = rows.withColumn("_own", own).join(shifts, [order, "_part"]).join(starts, order)
+    return placed.withColumn(out, F.col("_start") + F.col("_shift") + F.col("_own")).drop("_start", "_shift", "_own", "_part")
 
 
 def quantile_bins(df: DataFrame, event: str, score: str, k: int, tie: str) -> DataFrame:

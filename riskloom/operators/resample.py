@@ -46,16 +46,38 @@ def repeated_kfold(df: DataFrame, key: str, event: str, k: int, repeats: int, se
     return class_order(reps, key, event, seed, ["rep"]).select("rep", key, event, (F.col("pos") % k).cast("int").alias("fold"))
 
 
-def stratified_group_kfold(df: DataFrame, group: str, event: str, k: int) -> DataFrame:
-    """SP-03: folds of whole groups with balanced class shares; a missing group is ``UNKNOWN``.
+GREEDY_GROUPS = 10_000
 
-    Groups are dealt by size in a snake over the folds, apart for groups with
-    and without events, so no group passes through the driver.
+
+def greedy_folds(groups: list[tuple[str, int, int]], k: int) -> dict[str, int]:
+    """Fold of each ``(group, n, events)``: the largest first, each to the fold that leaves class shares most even; ties to the emptier fold."""
+    totals = [max(1, sum(n - e for _, n, e in groups)), max(1, sum(e for _, _, e in groups))]
+    held, out = [[0, 0] for _ in range(k)], {}
+    for name, n, e in sorted(groups, key=lambda g: (-g[1], -g[2], g[0])):
+        add = ((n - e) / totals[0], e / totals[1])
+        # what a fold adds to the sum of squared shares; with fixed totals that sum is least where shares are even
+        best = min(range(k), key=lambda f: (round(sum(2 * held[f][c] * add[c] + add[c] ** 2 for c in (0, 1)), 12), held[f][0] + held[f][1], f))
+        held[best] = [held[best][c] + add[c] for c in (0, 1)]
+        out[name] = best
+    return out
+
+
+def stratified_group_kfold(df: DataFrame, group: str, event: str, k: int, greedy: int = GREEDY_GROUPS) -> DataFrame:
+    """SP-03: ``group, n, events, fold``: folds of whole groups with balanced class shares; a missing group is ``UNKNOWN``.
+
+    The ``greedy`` largest groups, whose counts come to the driver, are dealt by
+    ``greedy_folds``; if there are more, the others - small by then - follow in md5
+    order, apart for groups with and without events.
     """
-    counts = df.groupBy(F.coalesce(F.col(group).cast("string"), F.lit("UNKNOWN")).alias("group")).agg(F.count(F.lit(1)).alias("n"), F.sum(event).cast("long").alias("events"))
-    order = class_order(counts.withColumn("some", (F.col("events") > 0).cast("int")), "group", "some", "snake")
-    turn, place = F.floor(F.col("pos") / k) % 2, F.col("pos") % k
-    return order.select("group", "n", "events", F.when(turn == 0, place).otherwise(k - 1 - place).cast("int").alias("fold"))
+    name = F.coalesce(F.col(group).cast("string"), F.lit("UNKNOWN")).alias("group")
+    counts = df.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.sum(event).cast("long").alias("events"))
+    large = [tuple(r) for r in counts.orderBy(F.desc("n"), F.desc("events"), "group").limit(greedy).collect()]
+    dealt = df.sparkSession.createDataFrame(list(greedy_folds(large, k).items()), "group string, fold int")
+    first = counts.join(F.broadcast(dealt), "group").select("group", "n", "events", "fold")
+    if len(large) < greedy:
+        return first
+    rest = counts.join(F.broadcast(dealt), "group", "left_anti").withColumn("some", (F.col("events") > 0).cast("int"))
+    return first.unionByName(class_order(rest, "group", "some", "folds").select("group", "n", "events", (F.col("pos") % k).cast("int").alias("fold")))
 
 
 def stratified_holdout(df: DataFrame, key: str, event: str, frac: float, reps: int, seed=0) -> DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from riskloom.functions.scalars import hash_key
 from riskloom.operators.aggregates import column_profile, selection_frequency
+from riskloom.operators.joins import small
+from riskloom.operators.order import midrank
+from riskloom.operators.resample import class_order
+from riskloom.operators.solver import add_up, coordinate_descent, matrix, packed
 
 
 def impute(long: DataFrame, strategy: str = "median", fitted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -15,7 +22,7 @@ def impute(long: DataFrame, strategy: str = "median", fitted: DataFrame | None =
     if fitted is None:
         how = {"median": F.percentile("value", 0.5), "mean": F.avg("value"), "mode": F.mode("value")}[strategy]
         fitted = long.groupBy("feature").agg(how.alias("fill"))
-    return long.join(F.broadcast(fitted), "feature", "left").withColumn("value", F.coalesce("value", "fill")).drop("fill"), fitted
+    return long.join(small(fitted), "feature", "left").withColumn("value", F.coalesce("value", "fill")).drop("fill"), fitted
 
 
 def drop_missing(long: DataFrame, most: float) -> DataFrame:
@@ -31,21 +38,42 @@ def drop_low_variance(long: DataFrame, least: float = 0.01) -> DataFrame:
 
 def ranks(long: DataFrame) -> DataFrame:
     """Midranks of the values of each feature; equal values are counted first."""
-    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("r", F.sum("_n").over(w) - (F.col("_n") - 1) / 2).drop("_n")
-    return long.join(ranked, ["feature", "value"]).select("id", "feature", "r")
+    return midrank(long.filter("value is not null"), "value", ["feature"], "r").select("id", "feature", "r")
+
+
+def moment_sums(vectors: DataFrame, p: int) -> np.ndarray:
+    """``6 x p x p`` sums over rows of ``features``: n, x, y, xx, yy and xy for each pair of columns where both are known.
+
+    Each task multiplies matrices of its rows; what is shuffled is one packed array per task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, p, p))
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column("features"))
+                have, x = (~np.isnan(x)).astype(float), np.nan_to_num(x)
+                total += np.array([have.T @ have, x.T @ have, have.T @ x, (x * x).T @ have, have.T @ (x * x), x.T @ x])
+        yield packed(total.reshape(1, -1))
+
+    return add_up(vectors.select("features"), 1, run)[0].reshape(6, p, p)
 
 
 def spearman_matrix(long: DataFrame) -> DataFrame:
-    """FS-04: absolute rank correlation of all feature pairs a < b.
+    """FS-04: absolute rank correlation of all feature pairs a < b, over the ids that have both.
 
-    Rows meet by id, so each id yields its feature pairs once; sums are combined
-    on the map side and what is shuffled is one row per pair and task.
+    The driver sees the feature names and one matrix of sums.
     """
-    r = ranks(long)
-    a, b = r.select("id", F.col("feature").alias("a"), F.col("r").alias("x")), r.select("id", F.col("feature").alias("b"), F.col("r").alias("y"))
-    return a.join(b, "id").filter("a < b").groupBy("a", "b").agg(F.abs(F.coalesce(F.corr("x", "y"), F.lit(0.0))).alias("r"))
+    names = [r["feature"] for r in long.select("feature").distinct().orderBy("feature").collect()]
+    p, spark = len(names), long.sparkSession
+    every = F.array(*[F.lit(n) for n in names])
+    by_name = ranks(long).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "r"))).alias("m"))
+    n, x, y, xx, yy, xy = moment_sums(by_name.select(F.transform(every, lambda f: F.element_at("m", f)).alias("features")), p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (n * xy - x * y) / np.sqrt((n * xx - x * x) * (n * yy - y * y))
+    r = np.abs(np.nan_to_num(r, posinf=0.0, neginf=0.0))
+    kind = dict(long.dtypes)["feature"]
+    return spark.createDataFrame([(names[i], names[j], float(r[i, j])) for i in range(p) for j in range(i + 1, p)], f"a {kind}, b {kind}, r double")
 
 
 def prune_correlated(corr: DataFrame, variance: DataFrame, most: float = 0.95) -> list:
@@ -66,11 +94,11 @@ def prefilter(long: DataFrame, most_missing: float = 0.3, least_variance: float
     """FS-06: the three filters in turn; the kept rows (imputed) and a report of removed counts."""
     spark = long.sparkSession
     have = long.select("feature").distinct().count()
-    a = long.join(F.broadcast(drop_missing(long, most_missing).select("feature")), "feature", "left_semi")
+    a = long.join(small(drop_missing(long, most_missing).select("feature")), "feature", "left_semi")
     n1 = a.select("feature").distinct().count()
     filled, _ = impute(a)
     variance = drop_low_variance(a, least_variance)
-    b = filled.join(F.broadcast(variance.select("feature")), "feature", "left_semi")
+    b = filled.join(small(variance.select("feature")), "feature", "left_semi")
     n2 = variance.count()
     gone = prune_correlated(spearman_matrix(b), variance, most_corr)
     kept = b.filter(~F.col("feature").isin(gone)) if gone else b
@@ -93,12 +121,66 @@ def drop_nzv(long: DataFrame, least_variance: float = 1e-8, least_ratio: float =
 
 
 def decoy_features(long: DataFrame, seed=0) -> DataFrame:
-    """FS-11: one permuted copy of each feature; values are dealt to ids in md5 order."""
-    source = Window.partitionBy("feature").orderBy("id")
-    target = Window.partitionBy("feature").orderBy(hash_key(F.lit(str(seed)), F.col("feature"), F.col("id")), "id")
-    values = long.select("feature", "value", F.row_number().over(source).alias("_k"))
-    places = long.select("id", "event", "feature", F.row_number().over(target).alias("_k"))
-    return places.join(values, ["feature", "_k"]).select("id", "event", F.concat(F.lit("decoy_"), F.col("feature").cast("string")).alias("feature"), "value")
+    """FS-11: one permuted copy of each feature: the value at a place of one md5 order goes to the id at that place of another.
+
+    Places come from salted parts of the md5 range, so no feature is sorted in one task.
+    """
+    rows = long.select("id", "event", "feature", "value", F.lit(0).alias("_all"))
+    place = lambda what: class_order(rows, "id", "_all", f"{seed}|{what}", ["feature"])
+    values = place("from").select("feature", "value", "pos")
+    return place("to").select("id", "event", "feature", "pos").join(values, ["feature", "pos"]).select("id", "event", F.concat(F.lit("decoy_"), F.col("feature").cast("string")).alias("feature"), "value")
+
+
+def knockoff_features(long: DataFrame, seed=0, ridge: float = 1e-3) -> DataFrame:
+    """FS-11: equicorrelated Gaussian knockoffs, as ``decoy_`` features.
+
+    Mean and covariance are one pass of sums (shrunk towards the diagonal by
+    ``ridge``, so that more features than rows are fine). Each row's knockoff is
+    its conditional mean plus noise that comes from a hash of its id. Ids that
+    lack a feature count with its mean.
+    """
+    names = [r["feature"] for r in long.select("feature").distinct().orderBy("feature").collect()]
+    p = len(names)
+    every = F.array(*[F.lit(n) for n in names])
+    wide = long.groupBy("id", "event").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m")).select(
+        "id", "event", F.xxhash64("id", F.lit(str(seed))).alias("h"), F.transform(every, lambda f: F.element_at("m", f)).alias("features")
+    )
+    n, x, y, _, _, xy = moment_sums(wide, p)
+    n = np.maximum(n, 1)
+    mean = np.diag(x) / np.diag(n)
+    cov = xy / n - (x / n) * (y / n)
+    sd = np.sqrt(np.maximum(np.diag(cov), 1e-24))
+    corr = (1 - ridge) * cov / np.outer(sd, sd) + ridge * np.eye(p)
+    s = min(1.0, 2 * float(np.linalg.eigvalsh(corr).min()))
+    s = max(s, 1e-6) * 0.999
+    pull = np.eye(p) - s * np.linalg.inv(corr)
+    values, vectors = np.linalg.eigh(2 * s * np.eye(p) - s * s * np.linalg.inv(corr))
+    spread = vectors * np.sqrt(np.maximum(values, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.nan_to_num((matrix(batch.column("features")).reshape(batch.num_rows, p) - mean) / sd)
+            noise = hash_normal(batch.column("h").to_numpy(), p)
+            out = (z @ pull.T + noise @ spread.T) * sd + mean
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * p), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("event"), flat], names=["id", "event", "decoys"])
+
+    types = dict(long.dtypes)
+    made = wide.mapInArrow(run, f"id {types['id']}, event {types['event']}, decoys array<double>")
+    labels = F.array(*[F.lit(f"decoy_{n}") for n in names])
+    return made.select("id", "event", F.posexplode("decoys").alias("i", "value")).select("id", "event", F.get(labels, F.col("i")).alias("feature"), "value")
+
+
+def hash_normal(hashes: np.ndarray, p: int) -> np.ndarray:
+    """``p`` standard normal numbers per hash (Box-Muller on a 64-bit mixer)."""
+
+    def uniform(k: int) -> np.ndarray:
+        x = hashes.astype(np.int64).view(np.uint64)[:, None] + np.arange(k * p, (k + 1) * p, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53 + 2.0**-54
+
+    return np.sqrt(-2 * np.log(uniform(0))) * np.cos(2 * np.pi * uniform(1))
 
 
 def fdp_threshold(freq: DataFrame, start: float, stop: float, step: float) -> DataFrame:
@@ -111,19 +193,25 @@ def fdp_threshold(freq: DataFrame, start: float, stop: float, step: float) -> Da
     return counts.withColumn("fdp", fdp).orderBy(F.round("fdp", 12), "t").limit(1)
 
 
-def correlation_groups(corr: DataFrame, least: float) -> DataFrame:
-    """FS-14: components of features linked by correlations above ``least``, by smallest-name label passing."""
+def correlation_groups(corr: DataFrame, least: float, max_rounds: int = 100) -> DataFrame:
+    """FS-14: components of features linked by correlations of ``least`` or more, by smallest-name label passing.
+
+    Labels - one per feature - come to the driver once a round; rounds are no
+    more than the longest chain and end at ``max_rounds`` with an error.
+    """
     edges = corr.filter(F.col("r") >= least).select("a", "b")
-    both = edges.union(edges.select("b", "a")).toDF("a", "b").cache()
-    labels = both.select("a").distinct().select("a", F.col("a").alias("g"))
-    while True:
-        low = both.join(labels.select(F.col("a").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("m"))
-        new = labels.join(low, "a", "left").select("a", F.least("g", F.coalesce("m", "g")).alias("g"))
-        rows = new.collect()  # one row per feature name
-        changed = {r["a"]: r["g"] for r in rows} != {r["a"]: r["g"] for r in labels.collect()}
-        labels = corr.sparkSession.createDataFrame(rows, new.schema)
-        if not changed:
-            return labels.withColumnRenamed("a", "feature").withColumnRenamed("g", "group")
+    both = edges.union(edges.select("b", "a")).toDF("a", "b").persist()
+    schema = f"a {dict(corr.dtypes)['a']}, g {dict(corr.dtypes)['a']}"
+    known = {r["a"]: r["a"] for r in both.select("a").distinct().collect()}
+    for _ in range(max_rounds):
+        labels = corr.sparkSession.createDataFrame(list(known.items()), schema)
+        low = both.join(F.broadcast(labels.select(F.col("a").alias("b"), "g")), "b").groupBy("a").agg(F.min("g").alias("g"))
+        new = {r["a"]: min(known[r["a"]], r["g"]) for r in low.collect()}
+        if new == known:
+            both.unpersist()
+            return labels.toDF("feature", "group")
+        known = new
+    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
 
 
 def consensus_features(selected: DataFrame, least: float, cap: int) -> DataFrame:
@@ -134,10 +222,6 @@ def consensus_features(selected: DataFrame, least: float, cap: int) -> DataFrame
 
 def lasso_path(rows: DataFrame, features: list[str], target: str, lambdas: list[float]) -> DataFrame:
     """FS-16: squared-loss lasso coefficients on a grid, from one distributed Gram matrix of standardised features."""
-    import numpy as np
-
-    from riskloom.operators.solver import coordinate_descent
-
     cols = [*features, target]
     stats = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     z = [(F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0) for i, c in enumerate(features)]
@@ -155,3 +239,21 @@ def lasso_path(rows: DataFrame, features: list[str], target: str, lambdas: list[
         beta = coordinate_descent(gram, right, lam, 0.0, beta)
         out += [(lam, f, float(b)) for f, b in zip(features, beta[1:], strict=True)]
     return rows.sparkSession.createDataFrame(out, "lambda double, feature string, coef double")
+
+
+def select_features(df: DataFrame, key: str, metadata: tuple[str, ...] = (), prefixes: tuple[str, ...] = ("diagnostics_",), parts: tuple[str, ...] = (), texture_only: bool = False) -> list[str]:
+    """FN-18: names of the feature columns: numeric, neither the id nor metadata, without the given beginnings and parts.
+
+    ``texture_only`` keeps names that hold one of the texture classes.
+    """
+    # fixed values: texture classes of image features
+    textures = ("glcm", "glrlm", "glszm", "gldm", "ngtdm")
+    out = []
+    for f in df.schema:
+        name = f.name.lower()
+        if not isinstance(f.dataType, T.NumericType) or f.name == key or f.name in metadata:
+            continue
+        if name.startswith(prefixes) or any(p in name for p in parts) or (texture_only and not any(t in name for t in textures)):
+            continue
+        out.append(f.name)
+    return out

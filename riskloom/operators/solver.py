@@ -3,8 +3,8 @@
 Rows carry an event, a feature vector and one weight per fit (bootstrap
 multiplicity, fold complement, subsample, class weight). In each proximal-Newton
 step the tasks add up, for every fit, the weighted Gram matrix and right-hand
-side of the quadratic model; Spark sums them by fit, and the driver solves the
-p x p problems by coordinate descent. No row reaches the driver, and lineage
+side of the quadratic model; Spark sums these packed arrays by fit, and the
+driver solves the p x p problems by coordinate descent. No row reaches the driver, and lineage
 does not grow, as each step starts from the same input.
 """
 
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,13 +31,19 @@ class Fit:
     l1_ratio: float = 0.0
 
 
-def _matrix(column, dtype=float) -> np.ndarray:
+def matrix(column, dtype=float) -> np.ndarray:
+    """Rows of numbers; nulls become NaN."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = np.asarray(column.flatten(), dtype)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(dtype)
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def standardised(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
+    """Columns as the fit sees them; a missing value counts as the fit's mean."""
+    return np.nan_to_num((x - mean) / sd)
+
+
 def _sums(positions: list[int], beta: np.ndarray | None, mean: np.ndarray | None, sd: np.ndarray | None):
     """Partial sums per fit: moments if there are no coefficients yet, else Gram and right-hand side."""
 
@@ -45,16 +52,17 @@ def _sums(positions: list[int], beta: np.ndarray | None, mean: np.ndarray | None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, w, y = _matrix(batch.column("features")), _matrix(batch.column("weights")), batch.column("event").to_numpy().astype(float)
+            x, w, y = matrix(batch.column("features")), matrix(batch.column("weights")), batch.column("event").to_numpy().astype(float)
             parts = []
             for f, position in enumerate(positions):
                 wf = w[:, position]
                 used = wf > 0
                 xf, yf, wf = x[used], y[used], wf[used]
                 if beta is None:
-                    parts.append(np.concatenate([[wf.sum(), wf @ yf], wf @ xf, wf @ (xf * xf)]))
+                    have, known = ~np.isnan(xf), np.nan_to_num(xf)
+                    parts.append(np.concatenate([[wf.sum(), wf @ yf], wf @ have, wf @ known, wf @ (known * known)]))
                     continue
-                z = np.column_stack([np.ones(len(xf)), (xf - mean[f]) / sd[f]])
+                z = np.column_stack([np.ones(len(xf)), standardised(xf, mean[f], sd[f])])
                 eta = np.clip(z @ beta[f], -30, 30)
                 p = 1 / (1 + np.exp(-eta))
                 v = wf * np.maximum(p * (1 - p), 1e-6)
@@ -62,15 +70,34 @@ def _sums(positions: list[int], beta: np.ndarray | None, mean: np.ndarray | None
             block = np.array(parts)
             total = block if total is None else total + block
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int64()), pa.array(list(total), pa.list_(pa.float64()))], names=["fit", "s"])
+            yield packed(total)
 
     return run
 
 
-def _add_up(rows: DataFrame, fits: int, run) -> np.ndarray:
-    parts = rows.mapInArrow(run, "fit long, s array<double>").select("fit", F.posexplode("s").alias("i", "v"))
-    summed = parts.groupBy("fit", "i").agg(F.sum("v").alias("v")).groupBy("fit").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s"))
-    out = {r["fit"]: [x["v"] for x in r["s"]] for r in summed.collect()}
+MERGES = 64
+PACKED = "fit long, merge int, s binary"
+
+
+def packed(total: np.ndarray) -> pa.RecordBatch:
+    """A task's sums, one packed row per fit."""
+    part = TaskContext.get().partitionId() % MERGES
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(len(total)), pa.int64()), pa.array([part] * len(total), pa.int32()), pa.array([np.asarray(t, float).tobytes() for t in total], pa.binary())],
+        names=["fit", "merge", "s"],
+    )
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(v.as_buffer(), float) for v in table.column("s"))
+    first = table.slice(0, 1)
+    return pa.Table.from_arrays([first.column("fit"), first.column("merge"), pa.array([total.tobytes()], pa.binary())], names=["fit", "merge", "s"])
+
+
+def add_up(rows: DataFrame, fits: int, run) -> np.ndarray:
+    """Sums of the packed rows of all tasks, in two rounds; one row per fit reaches the driver."""
+    once = rows.mapInArrow(run, PACKED).groupBy("fit", "merge").applyInArrow(_merge, PACKED)
+    out = {r["fit"]: np.frombuffer(bytes(r["s"]), float) for r in once.groupBy("fit").applyInArrow(_merge, PACKED).collect()}
     return np.array([out[f] for f in range(fits)])
 
 
@@ -94,7 +121,8 @@ def fit_logistic_replicates(rows: DataFrame, fits: list[Fit], rounds: int = 50,
 
     ``rows`` has ``event int, features array<double>, weights array<double>``.
     Minimises ``c * sum(weighted loss) + l1_ratio |b| + (1 - l1_ratio) |b|^2 / 2``.
-    Means and population SDs are those of the fit's weighted rows. Fits are worked
+    Means and population SDs are those of the fit's weighted rows; missing values
+    count as its mean, so imputation sees training rows only. Fits are worked
     on in chunks whose sums stay below 64 MB a task.
     """
     first = rows.select(F.size("features").alias("p")).first()
@@ -108,19 +136,25 @@ def fit_logistic_replicates(rows: DataFrame, fits: list[Fit], rounds: int = 50,
     return out
 
 
+def _centre(m: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and population SDs of the known values; constant columns get 1."""
+    n = np.maximum(m[:, 2 : 2 + p], 1e-12)
+    mean = m[:, 2 + p : 2 + 2 * p] / n
+    sd = np.sqrt(np.maximum(m[:, 2 + 2 * p :] / n - mean**2, 0))
+    sd[sd < 1e-12] = 1.0
+    return mean, sd
+
+
 def _fit_chunk(rows: DataFrame, fits: list[Fit], p: int, rounds: int, tol: float) -> list[dict]:
     positions = [f.weight for f in fits]
-    m = _add_up(rows, len(fits), _sums(positions, None, None, None))
-    n = m[:, :1]
-    mean = m[:, 2 : 2 + p] / n
-    sd = np.sqrt(np.maximum(m[:, 2 + p :] / n - mean**2, 0))
-    sd[sd < 1e-12] = 1.0
+    m = add_up(rows, len(fits), _sums(positions, None, None, None))
+    mean, sd = _centre(m, p)
     rate = np.clip(m[:, 1] / m[:, 0], 1e-6, 1 - 1e-6)
     beta = np.zeros((len(fits), p + 1))
     beta[:, 0] = np.log(rate / (1 - rate))
     open_ = list(range(len(fits)))
     for _ in range(rounds):
-        s = _add_up(rows, len(open_), _sums([positions[f] for f in open_], beta[open_], mean[open_], sd[open_]))
+        s = add_up(rows, len(open_), _sums([positions[f] for f in open_], beta[open_], mean[open_], sd[open_]))
         still = []
         for k, f in enumerate(open_):
             gram, right = s[k, : (p + 1) ** 2].reshape(p + 1, p + 1), s[k, (p + 1) ** 2 : -1]
@@ -148,10 +182,7 @@ def fit_firth(rows: DataFrame, rounds: int = 25, tol: float = 1e-4) -> dict:
         raise ValueError("one class only")
     weighted = rows.withColumn("weights", F.array(F.when(F.col("event") == 1, n / (2 * e)).otherwise(n / (2 * (n - e)))))
     p = rows.select(F.size("features").alias("p")).first()["p"]
-    m = _add_up(weighted, 1, _sums([0], None, None, None))[0]
-    mean = m[2 : 2 + p] / m[0]
-    sd = np.sqrt(np.maximum(m[2 + p :] / m[0] - mean**2, 0))
-    sd[sd < 1e-12] = 1.0
+    mean, sd = (v[0] for v in _centre(add_up(weighted, 1, _sums([0], None, None, None)), p))
     beta = np.zeros(p + 1)
 
     def score(inverse: np.ndarray, b: np.ndarray):
@@ -160,19 +191,19 @@ def fit_firth(rows: DataFrame, rounds: int = 25, tol: float = 1e-4) -> dict:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                z = np.column_stack([np.ones(batch.num_rows), (_matrix(batch.column("features")) - mean) / sd])
-                w, y = _matrix(batch.column("weights"))[:, 0], batch.column("event").to_numpy().astype(float)
+                z = np.column_stack([np.ones(batch.num_rows), standardised(matrix(batch.column("features")), mean, sd)])
+                w, y = matrix(batch.column("weights"))[:, 0], batch.column("event").to_numpy().astype(float)
                 q = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
                 h = w * q * (1 - q) * np.einsum("ij,jk,ik->i", z, inverse, z)
                 total += z.T @ (w * (y - q) + h * (0.5 - q))
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total], pa.list_(pa.float64()))], names=["fit", "s"])
+            yield packed(total[None])
 
         return run
 
     for _ in range(rounds):
-        s = _add_up(weighted, 1, _sums([0], beta[None], mean[None], sd[None]))[0]
+        s = add_up(weighted, 1, _sums([0], beta[None], mean[None], sd[None]))[0]
         inverse = np.linalg.inv(s[: (p + 1) ** 2].reshape(p + 1, p + 1) + 1e-10 * np.eye(p + 1))
-        step = np.clip(inverse @ _add_up(weighted, 1, score(inverse, beta))[0], -5, 5)
+        step = np.clip(inverse @ add_up(weighted, 1, score(inverse, beta))[0], -5, 5)
         beta = beta + step
         if np.abs(step).max() < tol:
             break
@@ -193,8 +224,33 @@ def predict_linear(long: DataFrame, model: DataFrame, key: str, missing: str = "
     terms = model.filter("term <> '(intercept)'")
     heads = model.filter("term = '(intercept)'").select("model", F.col("coef").alias("_b"))
     need = terms.groupBy("model").agg(F.count(F.lit(1)).alias("_need"))
-    joined = long.join(F.broadcast(terms), F.col("feature") == F.col("term"))
+    joined = long.join(terms, F.col("feature") == F.col("term"))
     sums = joined.groupBy(key, "model").agg(F.sum(F.col("coef") * (F.col("value") - F.col("mean")) / F.col("sd")).alias("_s"), F.count("value").alias("_have"))
-    full = sums.join(F.broadcast(heads.join(need, "model")), "model")
+    full = sums.join(heads.join(need, "model"), "model")
     p = sigmoid(F.col("_b") + F.col("_s"), 500.0)
     return full.select(key, "model", (F.when(F.col("_have") == F.col("_need"), p) if missing == "null" else p).alias("p"))
+
+
+def replicate_scores(rows: DataFrame, fits: list[Fit], fitted: list[dict], held_out: bool = False) -> DataFrame:
+    """``fit, id, event, weight, p``: every row scored by every fit in one pass; with ``held_out`` only rows that the fit left out."""
+    scale = np.array([f["coef"] / f["sd"] for f in fitted])
+    base = np.array([f["intercept"] for f in fitted])
+    mean = np.array([f["mean"] for f in fitted])
+    positions = [f.weight for f in fits]
+    types = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, w = matrix(batch.column("features")), matrix(batch.column("weights"))
+            for f, position in enumerate(positions):
+                use = np.flatnonzero(w[:, position] == 0) if held_out else np.arange(len(w))
+                p = 1 / (1 + np.exp(-np.clip(base[f] + np.nan_to_num(x[use] - mean[f]) @ scale[f], -500, 500)))
+                at = pa.array(use)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(use), f), pa.int32()), batch.column("id").take(at), batch.column("event").take(at).cast(pa.int32()), pa.array(w[use, position]), pa.array(p)],
+                    names=["fit", "id", "event", "weight", "p"],
+                )
+
+    return rows.select("id", "event", "features", "weights").mapInArrow(run, f"fit int, id {types['id']}, event int, weight double, p double")

@@ -10,7 +10,7 @@ from riskloom.operators.aggregates import histogram
 
 def nearest(voxels: DataFrame, coords: DataFrame, axis: str, world, target: str) -> DataFrame:
     """Index along ``axis`` nearest to a world coordinate, the first one on ties, per case and slice."""
-    slots = voxels.select("case", "k", axis).distinct().join(F.broadcast(coords), "case")
+    slots = voxels.select("case", "k", axis).distinct().join(coords, "case")
     key = F.struct(F.round(F.abs(world - F.col(target)), 9), F.col(axis))
     return slots.groupBy("case", "k").agg(F.min_by(axis, key).alias(f"b{axis}"))
 
@@ -19,7 +19,7 @@ def cut_region(voxels: DataFrame, coords: DataFrame, spacing: float = 1.0) -> Da
     """VX-01: mask voxels before the column cut, or after it from the row cut on up to the slice limit; with the share kept per case."""
     bi = nearest(voxels, coords, "i", F.col("i") * spacing, "x")
     bj = nearest(voxels, coords, "j", F.col("j") * spacing, "y")
-    j = voxels.filter("mask = 1").join(bi, ["case", "k"]).join(bj, ["case", "k"]).join(F.broadcast(coords.select("case", "z_limit")), "case")
+    j = voxels.filter("mask = 1").join(bi, ["case", "k"]).join(bj, ["case", "k"]).join(coords.select("case", "z_limit"), "case")
     keep = (F.col("i") < F.col("bi")) | ((F.col("j") >= F.col("bj")) & (F.col("k") <= F.coalesce("z_limit", F.lit(1 << 30))))
     return j.groupBy("case").agg(F.count_if(keep).alias("kept"), F.count(F.lit(1)).alias("total"), (100.0 * F.count_if(keep) / F.count(F.lit(1))).alias("retention"))
 
@@ -34,7 +34,7 @@ def bounding_box(voxels: DataFrame, pad: int = 3) -> DataFrame:
 
 def crop(voxels: DataFrame, box: DataFrame, outside: float = -1024.0) -> DataFrame:
     """VX-02: voxels inside the box; those outside the mask get ``outside``."""
-    j = voxels.join(F.broadcast(box), "case").filter(" and ".join(f"{a} between lo{a} and hi{a}" for a in "ijk"))
+    j = voxels.join(box, "case").filter(" and ".join(f"{a} between lo{a} and hi{a}" for a in "ijk"))
     return j.select("case", *[(F.col(a) - F.col(f"lo{a}")).alias(a) for a in "ijk"], F.when(F.col("mask") == 1, F.col("value")).otherwise(outside).alias("value"), "mask")
 
 

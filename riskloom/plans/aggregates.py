@@ -108,9 +108,9 @@ def ag15(spark, d):
     return table(spark, d, "pages").groupBy(a.alias("image"), b.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ag16_selection_frequency", f"WITH {LINES}, v AS (SELECT DISTINCT batch AS run, qty AS feature FROM lines WHERE price > 80000) SELECT feature, count(*) AS times, round(count(*) / (SELECT count(DISTINCT run) FROM v), 6) AS frequency FROM v GROUP BY feature")
+@query("ag16_selection_frequency", f"WITH {LINES}, v AS (SELECT batch AS run, qty AS feature FROM lines GROUP BY ALL HAVING avg(event) > 0.25) SELECT feature, count(*) AS times, round(count(*) / (SELECT count(DISTINCT run) FROM v), 6) AS frequency FROM v GROUP BY feature")
 def ag16(spark, d):
-    v = lines(spark, d).filter("price > 80000").select(F.col("batch").alias("run"), F.col("qty").alias("feature"))
+    v = lines(spark, d).groupBy(F.col("batch").alias("run"), F.col("qty").alias("feature")).agg(F.avg("event").alias("rate")).filter("rate > 0.25").drop("rate")
     return A.selection_frequency(v, "run", "feature").withColumn("frequency", F.round("frequency", 6))
 
 
@@ -150,8 +150,7 @@ cuts AS ((SELECT 'rule_out' AS mode, * FROM b ORDER BY sens >= 0.9 DESC, mcc DES
 
 
 def cut_points(spark, d):
-    sweep = O.threshold_sweep(lines(spark, d), "event", "p")
-    return O.best_threshold(sweep, "rule_out").unionByName(O.best_threshold(sweep, "rule_in"))
+    return O.best_thresholds(O.threshold_sweep(lines(spark, d), "event", "p"))
 
 
 @query("ag08_risk_strata", f"""WITH {LINES}, {_SWEEP}, t AS (SELECT min(threshold) AS lo, max(threshold) AS hi FROM cuts),

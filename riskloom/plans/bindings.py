@@ -14,7 +14,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line: id, event, a probability, features, two batches and a date."""
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date")).alias("id"),
         (F.col("l_returnflag") == "R").cast("int").alias("event"),
         F.col("l_returnflag").alias("grade"),
         (F.col("l_extendedprice") / 110000.0).alias("p"),
@@ -29,7 +29,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LINES = """lines AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+LINES = """lines AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE)) AS id,
   CAST(l_returnflag = 'R' AS INT) AS event, l_returnflag AS grade, l_extendedprice / 110000.0 AS p, l_quantity / 50.0 AS q,
   l_extendedprice AS price, l_quantity AS qty, l_discount AS disc, l_tax AS tax, l_linestatus AS status,
   CAST(l_suppkey % 7 AS INT) AS batch, l_shipdate AS day FROM lineitem)"""

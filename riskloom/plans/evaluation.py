@@ -34,7 +34,7 @@ s AS (SELECT event, count(*) AS n, avg(va) AS ma, avg(vb) AS mb, (var_samp(va) +
 SELECT round(max(ma) FILTER (WHERE event = 1), 6) AS auc_a, round(max(mb) FILTER (WHERE event = 1), 6) AS auc_b,
   round((max(ma) FILTER (WHERE event = 1) - max(mb) FILTER (WHERE event = 1)) / sqrt(sum(part)), 4) AS z FROM s""")
 def ev03(spark, d):
-    return E.delong(lines(spark, d), "event", "p", "q", "id").select(r6("auc_a", "auc_a"), r6("auc_b", "auc_b"), F.round("z", 4).alias("z"))
+    return E.delong(lines(spark, d), "event", "p", "q").select(r6("auc_a", "auc_a"), r6("auc_b", "auc_b"), F.round("z", 4).alias("z"))
 
 
 _REP = f"""x AS (SELECT rep, event, score, weight FROM boot WHERE weight > 0), c AS (SELECT rep, score, sum(CASE WHEN event = 1 THEN weight ELSE 0 END) AS pos, sum(CASE WHEN event = 0 THEN weight ELSE 0 END) AS neg FROM x GROUP BY ALL),
@@ -75,7 +75,7 @@ def ev09(spark, d):
     return E.normal_interval(r, "in_score").select(r6("low", "low"), r6("high", "high"))
 
 
-@query("ev10_corrected_t", f"WITH {LINES}, s AS (SELECT batch, avg(p) AS v FROM lines GROUP BY batch) SELECT round(avg(v), 6) AS mean, round(greatest(0, avg(v) - 2.447 * stddev_samp(v) * sqrt(1 / count(v) + 0.25)), 6) AS low, round(least(1, avg(v) + 2.447 * stddev_samp(v) * sqrt(1 / count(v) + 0.25)), 6) AS high FROM s")
+@query("ev10_corrected_t", f"WITH {LINES}, s AS (SELECT batch, avg(p) AS v FROM lines GROUP BY batch) SELECT round(avg(v), 6) AS mean, round(greatest(0, avg(v) - 2.446911851 * stddev_samp(v) * sqrt(1 / count(v) + 0.25)), 6) AS low, round(least(1, avg(v) + 2.446911851 * stddev_samp(v) * sqrt(1 / count(v) + 0.25)), 6) AS high FROM s")
 def ev10(spark, d):
     s = lines(spark, d).groupBy("batch").agg(F.avg("p").alias("v"))
     return E.corrected_t_interval(s, "v", 400, 100).select(r6("mean", "mean"), r6("low", "low"), r6("high", "high"))

@@ -136,8 +136,10 @@ def so04(spark, d):
     return J.candidate_thresholds(lines(spark, d), "q")
 
 
-@query("so05_long_wide", f"""WITH {vectors_sql(4)} SELECT id, max(value) FILTER (WHERE feature = 0) AS f0, max(value) FILTER (WHERE feature = 1) AS f1, max(value) FILTER (WHERE feature = 2) AS f2 FROM vectors GROUP BY id""")
+_NAMES = [f"f{i}" for i in range(64)]
+
+
+@query("so05_long_wide", f"""WITH {vectors_sql()} SELECT id, {", ".join(f"max(value) FILTER (WHERE feature = {i}) AS {n}" for i, n in enumerate(_NAMES))} FROM vectors GROUP BY id""")
 def so05(spark, d):
-    wide = J.to_wide(vectors(spark, d, 4), ["id"], "feature", "value", [0, 1, 2]).select("id", F.col("0").alias("f0"), F.col("1").alias("f1"), F.col("2").alias("f2"))
-    again = J.to_long(wide, ["id"], ["f0", "f1", "f2"])
-    return J.to_wide(again, ["id"], "feature", "value", ["f0", "f1", "f2"])
+    wide = J.to_wide(vectors(spark, d), ["id"], "feature", "value", list(range(64))).toDF("id", *_NAMES)
+    return J.to_wide(J.to_long(wide, ["id"], _NAMES), ["id"], "feature", "value", _NAMES)

@@ -27,10 +27,10 @@ def fs03(spark, d):
     return FS.drop_low_variance(long_lines(spark, d)).select("feature", F.round("variance", 4).alias("variance"))
 
 
-@query("fs04_spearman", f"""WITH {vectors_sql(12)}, r AS (SELECT id, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS r FROM vectors)
+@query("fs04_spearman", f"""WITH {vectors_sql()}, r AS (SELECT id, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS r FROM vectors)
 SELECT x.feature AS a, y.feature AS b, round(abs(corr(x.r, y.r)), 6) AS r FROM r x JOIN r y ON x.id = y.id AND x.feature < y.feature GROUP BY ALL""")
 def fs04(spark, d):
-    return FS.spearman_matrix(vectors(spark, d, 12)).select("a", "b", r6("r", "r"))
+    return FS.spearman_matrix(vectors(spark, d)).select("a", "b", r6("r", "r"))
 
 
 @query("fs05_06_prefilter")
@@ -38,10 +38,10 @@ def fs06(spark, d):
     return FS.prefilter(vectors(spark, d), 0.3, 0.001, 0.3)[1]
 
 
-@query("fs07_univariate_auc", f"""WITH {vectors_sql(20)}, k AS (SELECT feature, event, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS r FROM vectors),
+@query("fs07_univariate_auc", f"""WITH {vectors_sql()}, k AS (SELECT feature, event, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2 AS r FROM vectors),
 a AS (SELECT feature, (sum(CASE WHEN event = 1 THEN r END) - CAST(sum(event) AS DOUBLE) * (sum(event) + 1) / 2) / (CAST(sum(event) AS DOUBLE) * sum(1 - event)) AS a FROM k GROUP BY feature) SELECT feature, round(greatest(a, 1 - a), 6) AS auc FROM a""")
 def fs07(spark, d):
-    return E.univariate_auc(vectors(spark, d, 20), "event").select("feature", r6("auc", "auc"))
+    return E.univariate_auc(vectors(spark, d), "event").select("feature", r6("auc", "auc"))
 
 
 @query("fs08_point_biserial", f"WITH {vectors_sql()} SELECT feature, round(abs(coalesce(corr(value, event), 0)), 6) AS r FROM vectors GROUP BY feature")
@@ -64,14 +64,20 @@ def tk02(spark, d):
 @query("fs10_l1_shrink")
 def fs10(spark, d):
     v = vectors(spark, d)
-    fit = M.fit_logistic(M.vector_rows(v), 0.5, 1.0)
-    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(fit["coef"])], "feature int, coef double").orderBy(F.desc(F.abs("coef")), "feature").limit(7)
+    profile = FS.column_profile(v).select("feature", "distinct")
+    stats = E.univariate_auc(v, "event").join(FS.point_biserial(v), "feature").join(profile, "feature").persist()
+    return M.l1_shrink(M.vector_rows(v).persist(), stats, 40, 7)
 
 
-@query("fs11_decoys", f"""WITH {vectors_sql(6)}, s AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY id) AS k FROM vectors), t AS (SELECT id, feature, row_number() OVER (PARTITION BY feature ORDER BY md5(concat('d|', feature, '|', id)), id) AS k FROM vectors)
+@query("fs11_knockoffs")
+def fs11k(spark, d):
+    return FS.knockoff_features(vectors(spark, d), "k")
+
+
+@query("fs11_decoys", f"""WITH {vectors_sql()}, s AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY md5(concat('d|from|', feature, '|', id)), id) AS k FROM vectors), t AS (SELECT id, feature, row_number() OVER (PARTITION BY feature ORDER BY md5(concat('d|to|', feature, '|', id)), id) AS k FROM vectors)
 SELECT t.id, concat('decoy_', t.feature) AS feature, s.value FROM t JOIN s USING (feature, k)""")
 def fs11(spark, d):
-    return FS.decoy_features(vectors(spark, d, 6), "d").select("id", "feature", "value")
+    return FS.decoy_features(vectors(spark, d), "d").select("id", "feature", "value")
 
 
 @query("fs12_stability_selection")
@@ -92,9 +98,9 @@ def fs14(spark, d):
     return FS.correlation_groups(FS.spearman_matrix(vectors(spark, d)), 0.1)
 
 
-@query("fs15_consensus", f"WITH {LINES}, v AS (SELECT DISTINCT batch AS run, qty AS feature FROM lines WHERE price > 85000), f AS (SELECT feature, count(*) AS times, round(count(*) / (SELECT count(DISTINCT run) FROM v), 6) AS frequency FROM v GROUP BY feature) SELECT * FROM f WHERE frequency >= 0.5 ORDER BY frequency DESC, feature LIMIT 6")
+@query("fs15_consensus", f"WITH {LINES}, v AS (SELECT batch AS run, qty AS feature FROM lines GROUP BY ALL HAVING avg(event) > 0.25), f AS (SELECT feature, count(*) AS times, round(count(*) / (SELECT count(DISTINCT run) FROM v), 6) AS frequency FROM v GROUP BY feature) SELECT * FROM f WHERE frequency >= 0.5 ORDER BY frequency DESC, feature LIMIT 6")
 def fs15(spark, d):
-    v = lines(spark, d).filter("price > 85000").select(F.col("batch").alias("run"), F.col("qty").alias("feature"))
+    v = lines(spark, d).groupBy(F.col("batch").alias("run"), F.col("qty").alias("feature")).agg(F.avg("event").alias("rate")).filter("rate > 0.25").drop("rate")
     return FS.consensus_features(v, 0.5, 6).withColumn("frequency", F.round("frequency", 6))
 
 
@@ -110,9 +116,9 @@ def fs17(spark, d):
     return select_by_names(lines(spark, d), "id", ["qty", "unknown", "tax"])[0]
 
 
-@query("ml17_standardize", f"WITH {vectors_sql(8)} SELECT id, feature, round((value - avg(value) OVER (PARTITION BY feature)) / stddev_pop(value) OVER (PARTITION BY feature), 5) + 0.0 AS z FROM vectors")
+@query("ml17_standardize", f"WITH {vectors_sql()} SELECT id, feature, round((value - avg(value) OVER (PARTITION BY feature)) / stddev_pop(value) OVER (PARTITION BY feature), 5) + 0.0 AS z FROM vectors")
 def ml17(spark, d):
-    v = vectors(spark, d, 8)
+    v = vectors(spark, d)
     overall = v.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
     none = v.limit(0).select("batch", "feature", F.col("value").alias("mean"), F.col("value").alias("sd"))
     return J.broadcast_stats(v, none, overall).select("id", "feature", (F.round("z", 5) + 0.0).alias("z"))

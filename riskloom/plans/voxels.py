@@ -25,10 +25,13 @@ def vx02(spark, d):
     return V.bounding_box(voxels(spark, d))
 
 
-@query("vx02_crop", f"""WITH {VOXELS} SELECT "case", i, j, k, CASE WHEN mask = 1 THEN value ELSE -1024.0 END AS value, mask FROM voxels""")
+@query("vx02_crop", f"""WITH {VOXELS}, m AS (SELECT "case", i, j, k, value, CAST(mask = 1 AND i BETWEEN 4 AND 9 AND j BETWEEN 3 AND 12 AND k BETWEEN 5 AND 8 AS INT) AS mask FROM voxels),
+b AS (SELECT "case", greatest(min(i) - 2, 0) AS li, greatest(min(j) - 2, 0) AS lj, greatest(min(k) - 2, 0) AS lk, max(i) + 2 AS hi, max(j) + 2 AS hj, max(k) + 2 AS hk FROM m WHERE mask = 1 GROUP BY "case")
+SELECT "case", i - li AS i, j - lj AS j, k - lk AS k, CASE WHEN mask = 1 THEN value ELSE -1024.0 END AS value, mask FROM m JOIN b USING ("case") WHERE i BETWEEN li AND hi AND j BETWEEN lj AND hj AND k BETWEEN lk AND hk""")
 def vx02c(spark, d):
-    v = voxels(spark, d)
-    return V.crop(v, V.bounding_box(v, 16))
+    inner = F.expr("mask = 1 AND i BETWEEN 4 AND 9 AND j BETWEEN 3 AND 12 AND k BETWEEN 5 AND 8").cast("int")
+    v = voxels(spark, d).withColumn("mask", inner)
+    return V.crop(v, V.bounding_box(v, 2))
 
 
 @query("vx03_region_stats", f"""WITH {VOXELS} SELECT "case", round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS low, max(value) AS high, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.05), 6) AS p5,

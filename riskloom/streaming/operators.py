@@ -58,9 +58,9 @@ def changed_only(stream: DataFrame, key: str, order: list[str], cols: list[str])
 
 
 def suppress_active(rows: DataFrame, active: DataFrame, key: str) -> DataFrame:
-    """SM-03: rows whose key has no active job; stream against static."""
+    """SM-03: rows whose key has no active job; stream against static. How the static side travels is left to Spark, which knows its size."""
     return rows.join(active.select(key).distinct(), key, "left_anti") if not rows.isStreaming else rows.join(
-        F.broadcast(active.select(F.col(key).alias("_k")).distinct()), F.col(key) == F.col("_k"), "left_outer"
+        active.select(F.col(key).alias("_k")).distinct(), F.col(key) == F.col("_k"), "left_outer"
     ).filter("_k is null").drop("_k")
 
 
@@ -69,10 +69,15 @@ def latest_state(rows: DataFrame, keys: list[str], order: str, value: str) -> Da
     return rows.groupBy(*keys).agg(F.max_by(value, F.struct(order, value)).alias(value), F.count(F.lit(1)).alias("n"))
 
 
+def _watermarked(rows: DataFrame, ts: str, watermark: str) -> DataFrame:
+    """Event times without a zone are taken in the session's."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+
+
 def monitor_window(rows: DataFrame, ts: str, width: str, p: str, low: float, high: float, watermark: str = "1 hour", slide: str | None = None) -> DataFrame:
     """SM-06: n, mean risk and share per group in event-time windows; late rows go past the watermark on streams."""
     g = risk_group(p, low, high)
-    timed = rows.withWatermark(ts, watermark) if rows.isStreaming else rows
+    timed = _watermarked(rows, ts, watermark) if rows.isStreaming else rows
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
     return timed.groupBy(w.alias("w")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_risk"), *[F.avg((g == name).cast("double")).alias(f"share_{name}") for name in ("low", "intermediate", "high")]
@@ -81,7 +86,7 @@ def monitor_window(rows: DataFrame, ts: str, width: str, p: str, low: float, hig
 
 def dedup_stream(rows: DataFrame, key: str, ts: str, watermark: str = "1 hour") -> DataFrame:
     """SM-07: one row per id."""
-    return rows.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key]) if rows.isStreaming else rows.dropDuplicates([key])
+    return _watermarked(rows, ts, watermark).dropDuplicatesWithinWatermark([key]) if rows.isStreaming else rows.dropDuplicates([key])
 
 
 def read_stream(spark: SparkSession, folder: str, schema) -> DataFrame:
