@@ -13,5 +13,6 @@ from riskloom.plans import (  # noqa: F401
     screening,
     sources,
     streams,
+    studies,
     voxels,
 )
