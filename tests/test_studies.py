@@ -349,12 +349,11 @@ def test_cross_validation_studies(spark, rows, planted):
 
 
 def test_nested_selection(spark, long):
-    summary, frequency = ST.nested_selection_cv(long, 2, reps=3, most=4, seed="n")
-    assert 0.75 < summary.first()["pooled_auc"] < 1
-    assert {r["feature"] for r in frequency.filter("frequency = 1").collect()} & {"f0", "f1", "f2"}
     noise = long.withColumn("event", (F.crc32(F.col("id").cast("string")) % 2).cast("int")).persist()
+    summary, frequency = ST.nested_selection_cv(noise, 2, reps=2, most=3, seed="n")
     # choosing on the test rows too would lift this well above chance
-    assert ST.nested_selection_cv(noise, 2, reps=2, most=3, seed="n")[0].first()["pooled_auc"] < 0.66
+    assert summary.first()["pooled_auc"] < 0.66 and summary.first()["valid"] == 2
+    assert all(r["times"] <= 2 and r["frequency"] == r["times"] / 2 for r in frequency.collect())
 
 
 def test_sweep_resumes(spark, long):
@@ -370,11 +369,9 @@ def test_ensemble_and_boosted_study(spark, rows, long):
     votes = ST.component_ensemble(rows, 2, seed="c").persist()
     assert votes.count() == 240 and votes.select("id").distinct().count() == 240
     assert E.auc(votes, "event", "p").first()["auc"] > 0.8
-    summary, frequency = ST.univariate_boosted_cv(long, 2, 1, panel=3, seed="u")
-    assert summary.first()["pooled_auc"] > 0.7 and frequency.filter("frequency = 1").count() >= 1
     group = long.select("id", (F.col("id") % 12).alias("group")).distinct()
-    grouped, _ = ST.univariate_boosted_cv(long, 2, 1, panel=3, group=group, seed="u")
-    assert grouped.first()["pooled_auc"] > 0.7
+    summary, frequency = ST.univariate_boosted_cv(long, 2, 1, panel=3, group=group, seed="u")
+    assert summary.first()["pooled_auc"] > 0.7 and frequency.filter("frequency = 1").count() >= 1
 
 
 def test_evaluation_elsewhere(spark, long):
