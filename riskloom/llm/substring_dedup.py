@@ -39,6 +39,8 @@ WINDOW = 20
 ANCHOR = 6
 BLOCK_BYTES = 4 << 20
 _NULL_ID = np.iinfo(np.int64).max
+#: Rows of one id are ordered by so many low bits of a hash first; equal bits share a block.
+_TIE = 0xFFFF
 _EMPTY = np.zeros(0, np.uint64)
 
 
@@ -48,7 +50,7 @@ class _Block:
     def __init__(self, table: pa.Table, window: int):
         keys = table.column("doc_id").combine_chunks().fill_null(_NULL_ID).to_numpy(zero_copy_only=False)
         ties = table.column("tie").to_numpy()
-        order = np.lexsort((ties, keys))
+        order = np.lexsort((ties, ties & _TIE, keys))
         self.table, self.ids, self.ties = table.take(pa.array(order)), keys[order], ties[order]
         hashes, begin = [], [np.zeros(1, np.int64)]
         base = 0
@@ -104,9 +106,10 @@ def _send_windows(window: int, k: int):
         block = _Block(texts, window)
         at = block.at[np.isin(block.anchors(window, k), shared.column("hash").to_numpy().view(np.uint64))]
         _, first = np.unique(block.windows[at], return_index=True)
-        at = at[first]
+        # in the order of the text, where ids and places compress well
+        at = np.sort(at[first])
         doc = block.doc_of_word[at]
-        values = [np.full(len(at), _number(texts)), block.windows[at].view(np.int64), block.ids[doc], block.ties[doc], block.place[at]]
+        values = [np.full(len(at), _number(texts)), block.windows[at].view(np.int64), block.ids[doc], block.ties[doc] & _TIE, block.place[at]]
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
 
     return run
@@ -202,7 +205,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    dealt = texts.withColumn("tie", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", "tie", F.lit(21)), F.lit(blocks)).cast("long"))
+    dealt = texts.withColumn("tie", F.xxhash64("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.col("tie").bitwiseAND(_TIE), F.lit(21)), F.lit(blocks)).cast("long"))
     per_block = dealt.groupBy("block")
 
     anchors = per_block.applyInArrow(_send_anchors(window, anchor), "block long, hash long")
