@@ -73,6 +73,17 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch; Spark's default is 10,000, which of texts is most of a Python worker's memory.
+BATCH_ROWS = 2_000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Ask for Arrow batches of ``BATCH_ROWS`` rows where the session still has Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -154,4 +165,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return table(spark, sf_dir, "documents")

@@ -20,7 +20,7 @@ from riskloom.llm.words import chunks, word_hashes, word_spans
 #: words remembered in each of two generations, some 40 bytes a word
 LIMIT = 300_000
 CALL_WORDS = 256
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 SEPARATOR = "~"
 _READY: dict = {}
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontamination, exact_dedup, minhash, packing, quality
-from riskloom.llm.common import table
+from riskloom.llm.common import modest_batches, table
 from riskloom.llm.queries import PACK_END, tokenizer_path
 
 #: of the stage; op1's own contract is minhash.PERCENT
@@ -31,26 +31,31 @@ def _rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality sample takes; rows that repeat an id are judged each by their text."""
+    modest_batches(spark)
     return quality.sampled(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: that with the smallest id, also where ids are repeated or null."""
+    modest_batches(spark)
     return _rows(docs, exact_dedup.survivors(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group, linked from a similarity of 0.8; texts without words are no copies of each other."""
+    modest_batches(spark)
     return _rows(docs, minhash.near_duplicates(docs, STAGE_PERCENT).filter("stays"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
+    modest_batches(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their ids and places in sequences of 4096."""
+    modest_batches(spark)
     return packing.pack(docs, tokenizer_path(), 4096, PACK_END, with_ids=True)
 
 

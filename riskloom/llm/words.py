@@ -3,7 +3,7 @@
 A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Its hash is a
 polynomial over random byte values modulo 2**64, finished by a mixer; running
 sums give every word, and every run of k words, in a few NumPy passes. Texts
-are worked on in chunks of about a megabyte, so memory does not follow the
+are worked on in chunks of a quarter of a megabyte, so memory does not follow the
 length of an Arrow batch.
 """
 
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _U = np.uint64
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
