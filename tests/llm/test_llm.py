@@ -300,20 +300,28 @@ def test_exact_dedup_runs_no_python(spark):
 
 
 def leaks(rows, items, threshold=0.8):
-    """Brute force over all windows of all documents: (row, item, best similarity)."""
+    """Brute force over all windows that share a shingle with an item: (row, item, best similarity)."""
+    known = []
+    for i, x in items:
+        item = (x or "").lower().split()
+        k = min(5, len(item))
+        if item:
+            known.append((i, item, k, [tuple(item[p : p + k]) for p in range(len(item) - k + 1)]))
     out = []
     for d, (_, t) in enumerate(rows):
         doc = (t or "").lower().split()
-        for i, x in items:
-            item = (x or "").lower().split()
-            n, k = len(item), min(5, len(item))
-            if not item or not {tuple(item[p : p + k]) for p in range(n - k + 1)} & {tuple(doc[p : p + k]) for p in range(len(doc) - k + 1)}:
-                continue
+        places = {k: defaultdict(list) for k in {k for _, _, k, _ in known}}
+        for k, found in places.items():
+            for j in range(len(doc) - k + 1):
+                found[tuple(doc[j : j + k])].append(j)
+        for i, item, k, shingles in known:
+            n = len(item)
+            hits = {j for g in shingles if g in places[k] for j in places[k][g]}
             top = 0
-            for s in range(max(1, len(doc) - n + 1)):
+            for s in {s for h in hits for s in range(max(0, h - n + k), h + 1) if s <= max(0, len(doc) - n)}:
                 runs = {tuple(doc[j : j + k]) for j in range(s, min(s + n, len(doc)) - k + 1)}
-                top = max(top, len({j for p in range(n - k + 1) if tuple(item[p : p + k]) in runs for j in range(p, p + k)}))
-            if top / n >= threshold:
+                top = max(top, len({j for p, g in enumerate(shingles) if g in runs for j in range(p, p + k)}))
+            if hits and top / n >= threshold:
                 out.append((d, i, top / n))
     return out
 
