@@ -4,7 +4,9 @@ White space separates words in the tokenizers used here, so a text's ids are its
 words' ids in a row. Each chunk of text is reduced to its distinct words; the
 library is asked only about words not seen lately, thousands in one call. Where
 each of them turns out to be one piece, the ends of pieces tell them apart;
-otherwise a separator word goes between them.
+otherwise a separator word goes between them. Words are found by a hash and
+compared byte by byte; a text with a word that shares the hash of another one goes
+to the library as a whole.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from riskloom.llm.words import chunks, word_hashes, word_spans
+from riskloom.llm.words import chunks, same_words, word_hashes, word_spans
 
 #: words remembered in each of two generations, some 40 bytes a word
 LIMIT = 300_000
@@ -26,12 +28,12 @@ _READY: dict = {}
 
 
 class Known:
-    """Ids of words by their 64-bit hashes, as flat arrays."""
+    """Words and their ids in the order of their 64-bit hashes, as flat arrays."""
 
     def __init__(self):
         self.hashes = np.zeros(0, np.uint64)
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.start, self.count, self.begin, self.end = (np.zeros(0, np.int64) for _ in range(4))
+        self.flat, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of ``hashes`` are known, and their places."""
@@ -44,13 +46,17 @@ class Known:
         """Ids of the words at some places in a row, and their counts."""
         return gather(self.flat, self.start[at], self.count[at]), self.count[at]
 
-    def add(self, hashes: np.ndarray, flat: np.ndarray, count: np.ndarray) -> None:
-        start = np.cumsum(count) - count + len(self.flat)
-        all_ = np.concatenate([self.hashes, hashes])
-        order = np.argsort(all_, kind="stable")
-        self.hashes = all_[order]
-        self.start, self.count = np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
-        self.flat = np.concatenate([self.flat, flat])
+    def words(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the words at some places in a row, and their lengths."""
+        size = self.end[at] - self.begin[at]
+        return gather(self.text, self.begin[at], size), size
+
+    def add(self, hashes: np.ndarray, flat: np.ndarray, count: np.ndarray, text: np.ndarray, size: np.ndarray) -> None:
+        order = np.argsort(np.concatenate([self.hashes, hashes]), kind="stable")
+        start, end = np.cumsum(count) - count + len(self.flat), np.cumsum(size) + len(self.text)
+        for name, new in (("hashes", hashes), ("start", start), ("count", count), ("begin", end - size), ("end", end)):
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
+        self.flat, self.text = np.concatenate([self.flat, flat]), np.concatenate([self.text, text])
 
 
 def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -112,19 +118,22 @@ class WordEncoder:
 
     def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         text = [w.decode() for w in words]
+        size = np.fromiter(map(len, words), np.int64, len(words))
         kinds = np.fromiter((0 if t.isalpha() else 2 if SEPARATOR in t else 1 for t in text), np.int8, len(text))
-        found = []
+        found, order = [], []
         for kind in range(3):
             at = np.flatnonzero(kinds == kind)
             for low in range(0, len(at), CALL_WORDS):
                 some = at[low : low + CALL_WORDS]
                 part = "\n".join([text[i] for i in some.tolist()])
-                got = (self._together(part) if kind == 0 else None) or (self._apart(part) if kind < 2 else None) or self._singly(part)
-                found.append((hashes[some], *got))
-        self.young.add(*(np.concatenate(f) for f in zip(*found, strict=True)))
+                found.append((self._together(part) if kind == 0 else None) or (self._apart(part) if kind < 2 else None) or self._singly(part))
+                order.append(some)
+        at = np.concatenate(order)
+        raw = np.frombuffer(b"".join([words[i] for i in at.tolist()]), np.uint8)
+        self.young.add(hashes[at], *(np.concatenate(f) for f in zip(*found, strict=True)), raw, size[at])
 
     def encode_chunk(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; words are told apart by 64-bit hashes."""
+        """Little-endian unsigned 32-bit ids of each text."""
         starts, ends, begin = word_spans(data, offsets)
         if not len(starts):
             yield from [b""] * (len(offsets) - 1)
@@ -135,17 +144,23 @@ class WordEncoder:
         new = np.flatnonzero(~self.young.find(distinct)[0])
         kept, at = self.old.find(distinct[new])
         if kept.any():
-            self.young.add(distinct[new[kept]], *self.old.ids(at[kept]))
+            self.young.add(distinct[new[kept]], *self.old.ids(at[kept]), *self.old.words(at[kept]))
         new = new[~kept]
         if len(new):
             raw, i, j = data.tobytes(), starts[first[new]].tolist(), ends[first[new]].tolist()
             self._learn(distinct[new], [raw[a:b] for a, b in zip(i, j, strict=True)])
-        at = self.young.find(distinct)[1][which]
-        count = self.young.count[at]
-        ids = gather(self.young.flat, self.young.start[at], count).astype("<u4", copy=False)
+        known = self.young
+        at = known.find(distinct)[1][which]
+        other = ~same_words(data, starts, ends, known.text, known.begin[at], known.end[at])
+        strange = set(np.searchsorted(begin, np.flatnonzero(other), "right").tolist())
+        count = known.count[at]
+        ids = gather(known.flat, known.start[at], count).astype("<u4", copy=False)
         bounds = np.concatenate([[0], np.cumsum(count)])[begin].tolist()
-        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-            yield ids[i:j].tobytes()
+        for d, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True), 1):
+            if d in strange:
+                yield self._call(data[offsets[d - 1] : offsets[d]].tobytes().decode()).astype("<u4").tobytes()
+            else:
+                yield ids[i:j].tobytes()
 
 
 def encoded(texts: pa.Array, encoder: WordEncoder) -> Iterator[bytes]:

@@ -1,10 +1,11 @@
 """Vectorised word and shingle hashes over Arrow string columns.
 
-A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Its hash is a
-polynomial over random byte values modulo 2**64, finished by a mixer; running
-sums give every word, and every run of k words, in a few NumPy passes. Texts
-are worked on in chunks of a quarter of a megabyte, so memory does not follow the
-length of an Arrow batch.
+A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Its hash mixes its
+length and its bytes, eight at a time, so words of up to eight bytes and equal
+length never share one; words of more than ``LONG_WORD`` bytes are hashed by
+XXH3. Runs of k words are polynomials over mixed word hashes, from running sums.
+Texts are worked on in chunks of a quarter of a megabyte, so memory does not follow
+the length of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 18
+LONG_WORD = 64
 _U = np.uint64
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -48,10 +51,12 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(_odd(11)), _Powers(_odd(13))
-_BYTES = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BYTES_FOLDED = _BYTES.copy()
-_BYTES_FOLDED[65:91] = _BYTES[97:123]
+_WORD_POWERS, _CHECK_POWERS = _Powers(_odd(13)), _Powers(_odd(19))
+_LANE = _U(_odd(11))
+_FOLDED = np.arange(256, dtype=np.uint8)
+_FOLDED[65:91] += 32
+#: keeps the first n bytes of a little-endian lane
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -97,26 +102,64 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """A 64-bit hash of each word; with ``fold``, A-Z counts as a-z."""
     if not len(starts):
         return np.zeros(0, _U)
-    up, down = _BYTE_POWERS.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((_BYTES_FOLDED if fold else _BYTES)[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
-
-
-def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    if fold:
+        data = _FOLDED[data]
+    lanes, size = _lanes(data), ends - starts
+    out = mix((size.astype(_U) + _U(1)) * _LANE)
+    out = mix(out ^ (lanes[starts] & _MASKS[np.minimum(size, 8)]))
+    for done in range(8, LONG_WORD, 8):
+        more = np.flatnonzero(size > done)
+        if not len(more):
+            return out
+        lane = lanes[starts[more] + done] & _MASKS[np.minimum(size[more] - done, 8)]
+        out[more] = mix(out[more] * _LANE ^ lane)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+    """Whether word i of the first list and word i of the second have the same bytes."""
+    size = ends - starts
+    same = size == ends2 - starts2
+    left, right = _lanes(data), _lanes(other)
+    for done in range(0, LONG_WORD, 8):
+        more = np.flatnonzero(same & (size > done))
+        if not len(more):
+            return same
+        mask = _MASKS[np.minimum(size[more] - done, 8)]
+        same[more] = (left[starts[more] + done] & mask) == (right[starts2[more] + done] & mask)
+    for i in np.flatnonzero(same & (size > LONG_WORD)).tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], other[starts2[i] : ends2[i]])
+    return same
+
+
+def run_hashes(hashes: np.ndarray, k: int, powers: _Powers = _WORD_POWERS) -> np.ndarray:
     """Hash of every run of ``k`` words; entry i is the run that starts at word i."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, _U)
-    up, down = _WORD_POWERS.get(n + 1)
+    up, down = powers.get(n + 1)
     sums = np.zeros(n + 1, _U)
     np.cumsum(hashes * up[:n], out=sums[1:])
     return mix((sums[k:] - sums[:-k]) * down[: n - k + 1] + _U(k))
 
 
+def run_checks(hashes: np.ndarray, k: int) -> np.ndarray:
+    """32 more bits for every run of ``k`` words, of another polynomial over the mixed hashes."""
+    return (run_hashes(mix(hashes ^ _LANE), k, _CHECK_POWERS) >> _U(32)).astype(np.uint32).view(np.int32)
+
+
 def shingle_sets(texts: pa.Array, k: int = 5, fold: bool = True) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes.
 
