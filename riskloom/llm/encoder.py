@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from riskloom.llm.words import chunks, same_words, word_hashes, word_spans
+from riskloom.llm.words import chunks, padded, same_words, word_hashes, word_spans
 
 #: words remembered in each of two generations, some 40 bytes a word
 LIMIT = 300_000
@@ -151,7 +151,7 @@ class WordEncoder:
             self._learn(distinct[new], [raw[a:b] for a, b in zip(i, j, strict=True)])
         known = self.young
         at = known.find(distinct)[1][which]
-        other = ~same_words(data, starts, ends, known.text, known.begin[at], known.end[at])
+        other = ~same_words(padded(data), starts, ends, padded(known.text), known.begin[at], known.end[at])
         strange = set(np.searchsorted(begin, np.flatnonzero(other), "right").tolist())
         count = known.count[at]
         ids = gather(known.flat, known.start[at], count).astype("<u4", copy=False)

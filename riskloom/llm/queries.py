@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, exact_dedup, minhash, packing, quality, secrets, substring_dedup, token_counts, token_store, toxicity
+from riskloom.llm import decontamination, exact_dedup, filter_audit, minhash, packing, quality, secrets, substring_dedup, token_counts, token_store, toxicity
 from riskloom.llm.common import documents, scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -59,6 +59,10 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.scan_secrets(documents(spark, sf_dir))
 
 
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -70,8 +74,10 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
 }

@@ -102,19 +102,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _lanes(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, zeros after the end."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+def padded(data: np.ndarray) -> np.ndarray:
+    """``data`` with eight zero bytes after it, so that eight bytes can be read from each place on."""
+    return np.concatenate([data, np.zeros(8, np.uint8)])
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """A 64-bit hash of each word; with ``fold``, A-Z counts as a-z."""
-    if not len(starts):
-        return np.zeros(0, _U)
-    if fold:
-        data = _FOLDED[data]
-    lanes, size = _lanes(data), ends - starts
+def _lanes(pad: np.ndarray) -> np.ndarray:
+    return np.ndarray((len(pad) - 7,), "<u8", pad, strides=(1,))
+
+
+def hash_words(pad: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word of ``padded`` bytes."""
+    lanes, size = _lanes(pad), ends - starts
     out = mix((size.astype(_U) + _U(1)) * _LANE)
     out = mix(out ^ (lanes[starts] & _MASKS[np.minimum(size, 8)]))
     for done in range(8, LONG_WORD, 8):
@@ -124,15 +123,20 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
         lane = lanes[starts[more] + done] & _MASKS[np.minimum(size[more] - done, 8)]
         out[more] = mix(out[more] * _LANE ^ lane)
     for i in np.flatnonzero(size > LONG_WORD).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+        out[i] = xxhash.xxh3_64_intdigest(pad[starts[i] : ends[i]].tobytes())
     return out
 
 
-def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
-    """Whether word i of the first list and word i of the second have the same bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """A 64-bit hash of each word; with ``fold``, A-Z counts as a-z."""
+    return hash_words(padded(_FOLDED[data] if fold else data), starts, ends) if len(starts) else np.zeros(0, _U)
+
+
+def same_words(pad: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+    """Whether word i of some ``padded`` bytes and word i of others are the same."""
     size = ends - starts
     same = size == ends2 - starts2
-    left, right = _lanes(data), _lanes(other)
+    left, right = _lanes(pad), _lanes(other)
     for done in range(0, LONG_WORD, 8):
         more = np.flatnonzero(same & (size > done))
         if not len(more):
@@ -140,7 +144,7 @@ def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
         mask = _MASKS[np.minimum(size[more] - done, 8)]
         same[more] = (left[starts[more] + done] & mask) == (right[starts2[more] + done] & mask)
     for i in np.flatnonzero(same & (size > LONG_WORD)).tolist():
-        same[i] = np.array_equal(data[starts[i] : ends[i]], other[starts2[i] : ends2[i]])
+        same[i] = np.array_equal(pad[starts[i] : ends[i]], other[starts2[i] : ends2[i]])
     return same
 
 
