@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import decontamination, exact_dedup, filter_audit, minhash, packing, quality, secrets, substring_dedup, token_counts, token_store, toxicity
+from riskloom.llm import conversations, decontamination, exact_dedup, filter_audit, minhash, packing, quality, secrets, substring_dedup, token_counts, token_store, toxicity
 from riskloom.llm.common import documents, scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -63,6 +63,10 @@ def op12_filter_audit(spark, sf_dir):
     return filter_audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    return conversations.repair_conversations(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -75,9 +79,11 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
     "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op12_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_conversation_repair": conversations.ORACLE_SQL,
 }
