@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.llm import conversations, decontamination, exact_dedup, filter_audit, minhash, packing, quality, secrets, substring_dedup, token_counts, token_store, toxicity
+from riskloom.llm import conversations, decontamination, exact_dedup, filter_audit, minhash, mixing, packing, quality, secrets, substring_dedup, token_counts, token_store, toxicity
 from riskloom.llm.common import documents, scratch_path, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -59,6 +59,10 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.scan_secrets(documents(spark, sf_dir))
 
 
+def op11_source_mix(spark, sf_dir):
+    return mixing.mix_sources(documents(spark, sf_dir))
+
+
 def op12_filter_audit(spark, sf_dir):
     return filter_audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_secret_scan": op10_secret_scan,
+    "op11_source_mix": op11_source_mix,
     "op12_filter_audit": op12_filter_audit,
     "op13_conversation_repair": op13_conversation_repair,
 }
