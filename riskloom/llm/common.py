@@ -84,6 +84,15 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def neutral(docs: DataFrame) -> tuple[DataFrame, list]:
+    """``docs`` with plain names but for ``doc_id`` and ``text``, and columns that give the old names back.
+
+    Whatever a stage adds then can't clash with a column of the caller.
+    """
+    own = [n if n.lower() in ("doc_id", "text") else f"column{i}" for i, n in enumerate(docs.columns)]
+    return docs.toDF(*own), [F.col(c).alias(n) for c, n in zip(own, docs.columns, strict=True)]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

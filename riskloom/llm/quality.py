@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from riskloom.llm.common import materialize
+from riskloom.llm.common import materialize, neutral
 from riskloom.llm.words import chunks
 
 BUCKETS = 1 << 16
@@ -223,4 +223,5 @@ def sampled(docs: DataFrame, labels: DataFrame, share: float | None = None) -> D
     they are read, which gives the same keys, so no text is shuffled.
     """
     ratios, _, inside = _sample(docs, labels, share)
-    return _keyed(docs, ratios).filter(inside).select(docs.columns)
+    plain, names = neutral(docs)
+    return _keyed(plain, ratios).filter(inside).select(names)

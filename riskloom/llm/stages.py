@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontamination, exact_dedup, minhash, packing, quality
-from riskloom.llm.common import modest_batches, table
+from riskloom.llm.common import modest_batches, neutral, table
 from riskloom.llm.queries import PACK_END, tokenizer_path
 
 #: of the stage; op1's own contract is minhash.PERCENT
@@ -18,7 +18,8 @@ def _rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
     Null ids count as an id. Only of rows that repeat both, one is chosen.
     """
-    marked = docs.withColumn("_raw", F.xxhash64(F.col("text").cast("string")))
+    plain, names = neutral(docs)
+    marked = plain.withColumn("_raw", F.xxhash64(F.col("text").cast("string")))
     wanted = keep.select(F.col("doc_id").alias("_id"), F.col("raw").alias("_key")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_raw").eqNullSafe(F.col("_key"))
     copies = marked.groupBy("doc_id", "_raw").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -26,11 +27,15 @@ def _rows(docs: DataFrame, keep: DataFrame) -> DataFrame:
     if not copies.isEmpty():
         again = copies.select(F.col("doc_id").alias("_id"), F.col("_raw").alias("_key"))
         kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_raw"]))
-    return kept.select(docs.columns)
+    return kept.select(names)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality sample takes; rows that repeat an id are judged each by their text."""
+    """Documents that the quality sample takes; rows that repeat an id are judged each by their text.
+
+    Null and empty texts have weight 0 and may be taken; ties and null ids as in ``quality.classify``. An empty
+    table stays empty, and no column of ``docs`` clashes with one of the stage.
+    """
     modest_batches(spark)
     return quality.sampled(docs, table(spark, sf_dir, "labels"))
 
@@ -48,13 +53,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item; null and empty texts leak none and stay, rows that repeat an id are judged each."""
     modest_batches(spark)
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their ids and places in sequences of 4096."""
+    """Pieces of all documents with their ids and places in sequences of 4096.
+
+    Null and empty texts are a piece of the end id alone; repeated and null ids are documents of their own. An empty table gives no rows.
+    """
     modest_batches(spark)
     return packing.pack(docs, tokenizer_path(), 4096, PACK_END, with_ids=True)
 

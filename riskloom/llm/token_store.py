@@ -50,10 +50,12 @@ def sampled(docs: DataFrame, rows: int, seed: int) -> DataFrame:
     """``doc_id, text`` of at most ``rows`` documents, drawn by a hash of their id.
 
     Ids are drawn first, so no text travels but those of the sample; of rows
-    that repeat an id one is taken.
+    that repeat an id the one whose text has the smallest hash is taken.
     """
     ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    )
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, width: int) -> bytes:

@@ -121,6 +121,16 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     return lexicon
 
 
+def _word_before(text: str, at: int) -> str:
+    """The last word that ends before a place, however far away."""
+    while at and not _WORD.match(text[at - 1]):
+        at -= 1
+    end = at
+    while at and _WORD.match(text[at - 1]):
+        at -= 1
+    return text[at:end]
+
+
 class Matcher:
     """Finds lexicon terms at word starts and leaves out those inside exception phrases."""
 
@@ -154,8 +164,8 @@ class Matcher:
         out = []
         for first, weight in best.items():
             word = _WORD.match(text, first).group()
-            before, after = _WORD.findall(text[max(0, first - 40) : first]), _WORD.search(text, first + len(word), first + len(word) + 40)
-            around = (f"{before[-1]} {word}" if before else "", f"{word} {after.group()}" if after else "")
+            before, after = _word_before(text, first), _WORD.search(text, first + len(word))
+            around = (f"{before} {word}" if before else "", f"{word} {after.group()}" if after else "")
             out.append((word, weight, around))
         return out
 

@@ -350,3 +350,30 @@ def test_conversations_without_rows(spark):
     assert conversations.repair_conversations(empty).count() == 0 and conversations.repaired_turns(empty).count() == 0
     gone = turns_of(spark, [(5, 1, "user", "x.")]).withColumn("copies", F.lit(0))
     assert tuples(conversations.repair_conversations(gone), *COLUMNS) == [(5, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())]
+
+
+def test_stages_leave_columns_of_any_name_alone(spark):
+    """Names that the stages use inside stay the caller's."""
+    from riskloom.llm import stages
+
+    names = ["_raw", "_key", "_bits", "_tie", "_log_weight", "_id", "column0"]
+    rows = [(i, " ".join(f"w{x}" for x in range(i % 7 * 9, i % 7 * 9 + 40)), *[f"{n}{i}" for n in names]) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for stage in (stages.quality_classifier, stages.exact_dedup_stage, stages.near_dedup, stages.decontaminate):
+        got = stage(spark, docs, "/root/testdata/sf0.001")
+        assert got.columns == docs.columns and set(map(tuple, got.collect())) <= set(rows) and got.count() > 0
+
+
+def test_sample_does_not_follow_the_order_of_rows(spark):
+    one = [(5, "alpha", "s"), (5, "beta", "s"), (6, "gamma", "s")]
+    take = lambda rows: tuples(token_store.sampled(docs_of(spark, rows).coalesce(1), 10, 1), "doc_id", "text")
+    assert take(one) == take(one[::-1]) and len(take(one)) == 2
+
+
+def test_exception_phrases_reach_any_neighbour():
+    from riskloom.llm import toxicity
+
+    m = toxicity.Matcher({"bad ": 2.0}, set())
+    long = "x" * 90
+    assert m.hits(f"{long} {' ' * 60}bad{' ' * 60}{long}")[0][2] == (f"{long} bad", f"bad {long}")
+    assert m.hits("bad")[0][2] == ("", "")
