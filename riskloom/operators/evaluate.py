@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import hash_key, normal_cdf
-from riskloom.operators.order import cumulative_counts, midrank, ordered_cumsum, score_counts
+from riskloom.operators.order import cumulative_counts, ordered_cumsum, score_counts
 from riskloom.operators.resample import bootstrap_weights, permute_labels
+from riskloom.sources.scratch import kept
 
 
 def auc(df: DataFrame, event: str, score: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -35,31 +37,59 @@ def univariate_auc(long: DataFrame, event: str) -> DataFrame:
     return a.select("feature", F.when((F.col("pos") + F.col("neg") < 5) | F.col("auc").isNull(), 0.5).otherwise(best).alias("auc"))
 
 
-def _placement(event: str, whole: str, within: str):
-    """Share of the other class that a row beats, ties half, from its rank among all rows and in its class."""
-    x = F.col(whole) - F.col(within)
-    return F.when(F.col(event) == 1, x / F.col("_n")).otherwise(1 - x / F.col("_p"))
+def placements(df: DataFrame, event: str, scores: list[str]) -> DataFrame:
+    """``event, v``: of each row and score the share of the other class that it beats, ties half. Rows without an event or a score are left out.
 
-
-def delong(df: DataFrame, event: str, a: str, b: str) -> DataFrame:
-    """EV-03: two correlated AUCs, their difference, z and two-sided p; null without variance.
-
-    Ranks join the rows by score, so each row keeps both placements and no id is
-    needed. Rows without a score or event are left out.
+    Rows are counted by distinct score once; running counts of the other class are
+    the placements, and all scores meet their rows in one join.
     """
-    rows = df.select(event, a, b).dropna()
-    sizes = rows.agg(F.sum(event).alias("_p"), F.sum(1 - F.col(event)).alias("_n"))
-    for name, score in (("a", a), ("b", b)):
-        rows = midrank(midrank(rows, score, out=f"_r{name}"), score, [event], f"_w{name}")
-    v = rows.crossJoin(F.broadcast(sizes)).select(event, _placement(event, "_ra", "_wa").alias("va"), _placement(event, "_rb", "_wb").alias("vb"))
-    c = v.groupBy(event).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("va").alias("ma"), F.avg("vb").alias("mb"), F.var_samp("va").alias("saa"), F.var_samp("vb").alias("sbb"), F.covar_samp("va", "vb").alias("sab")
+    rows = kept(df.select(F.col(event).cast("int").alias("event"), *[F.col(s).cast("double").alias(f"s{i}") for i, s in enumerate(scores)]).dropna().withColumn("row", F.monotonically_increasing_id()))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(f"s{i}").alias("s")) for i in range(len(scores))])).alias("c")
+    long = rows.select("row", "event", each).select("row", "event", "c.m", "c.s")
+    cums = ordered_cumsum(score_counts(long, "event", "s", ["m"]), "score", ["pos", "neg"], ["m"])
+    sizes = rows.agg(F.sum("event").alias("_p"), F.sum(1 - F.col("event")).alias("_n"))
+    beats = cums.crossJoin(F.broadcast(sizes)).select(
+        "m", F.col("score").alias("s"), ((F.col("cum_neg") - F.col("neg") / 2) / F.col("_n")).alias("v1"), (1 - (F.col("cum_pos") - F.col("pos") / 2) / F.col("_p")).alias("v0")
     )
-    pick = lambda name, y: F.max(F.when(F.col(event) == y, F.col(name)))
-    spread = sum(((pick("saa", y) + pick("sbb", y) - 2 * pick("sab", y)) / pick("n", y) for y in (0, 1)), F.lit(0.0))
-    one = c.agg(pick("ma", 1).alias("auc_a"), pick("mb", 1).alias("auc_b"), spread.alias("variance"))
-    z = F.when(F.col("variance") > 0, (F.col("auc_a") - F.col("auc_b")) / F.sqrt("variance"))
-    return one.withColumn("delta", F.col("auc_a") - F.col("auc_b")).withColumn("z", z).withColumn("p", 2 * (1 - normal_cdf(F.abs("z"))))
+    v = F.when(F.col("event") == 1, F.col("v1")).otherwise(F.col("v0"))
+    met = long.join(beats, ["m", "s"]).select("row", "event", "m", v.alias("v"))
+    return met.groupBy("row", "event").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "v"))), lambda x: x["v"]).alias("features")).select("event", "features")
+
+
+def delong_covariance(df: DataFrame, event: str, scores: list[str]):
+    """EV-03: AUCs of all scores and their covariance matrix, from one pass of k x k sums per class."""
+    from riskloom.operators.screen import moment_sums
+
+    k, aucs, cov = len(scores), None, 0.0
+    vectors = kept(placements(df, event, scores))
+    for y in (1, 0):
+        n, x, _, _, _, xy = moment_sums(vectors.filter(F.col("event") == y), k)
+        size, mean = float(n[0, 0]), np.diag(x) / max(1.0, float(n[0, 0]))
+        if size < 2:
+            return np.full(k, np.nan), np.full((k, k), np.nan)
+        aucs = mean if y else aucs
+        cov = cov + (xy - size * np.outer(mean, mean)) / (size - 1) / size
+    return aucs, cov
+
+
+def delong_pairs(df: DataFrame, event: str, scores: list[str]) -> DataFrame:
+    """EV-03 for all pairs of scores: ``a, b, auc_a, auc_b, variance, delta, z, p``; null without variance."""
+    aucs, cov = delong_covariance(df, event, scores)
+    out = []
+    for i in range(len(scores)):
+        for j in range(i + 1, len(scores)):
+            known = not math.isnan(aucs[i])
+            variance = float(cov[i, i] + cov[j, j] - 2 * cov[i, j]) if known else None
+            out.append((scores[i], scores[j], float(aucs[i]) if known else None, float(aucs[j]) if known else None, variance))
+    pairs = df.sparkSession.createDataFrame(out, "a string, b string, auc_a double, auc_b double, variance double")
+    # sums of many placements leave a rest of rounding where scores agree
+    z = F.when(F.col("variance") > 1e-15, (F.col("auc_a") - F.col("auc_b")) / F.sqrt("variance"))
+    return pairs.withColumn("delta", F.col("auc_a") - F.col("auc_b")).withColumn("z", z).withColumn("p", 2 * (1 - normal_cdf(F.abs("z"))))
+
+
+def delong(df: DataFrame, event: str, a: str, b: str) -> DataFrame:
+    """EV-03: two correlated AUCs, their difference, z and two-sided p; null without variance. No id is needed."""
+    return delong_pairs(df, event, [a, b]).drop("a", "b")
 
 
 def interval(df: DataFrame, value: str, *by: str) -> DataFrame:

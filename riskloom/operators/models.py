@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import hash_key, sigmoid
+from riskloom.operators.contracts import ContractError
 from riskloom.operators.evaluate import auc
-from riskloom.operators.resample import bootstrap_weights, stratified_kfold, subsample
-from riskloom.operators.screen import fdp_threshold
-from riskloom.operators.solver import Fit, fit_logistic_replicates, replicate_scores
+from riskloom.operators.permute import key_of
+from riskloom.operators.resample import bootstrap_weights, class_order, repeated_kfold, stratified_holdout, stratified_kfold, subsample
+from riskloom.operators.screen import correlated_groups, fdp_threshold, rank_correlations
+from riskloom.operators.solver import Fit, Shuffle, fit_logistic_replicates, replicate_scores
 from riskloom.sources.scratch import kept
 
 
@@ -47,21 +49,102 @@ def fit_logistic(rows: DataFrame, c: float = 1.0, l1_ratio: float = 0.0, balance
     return fit_logistic_replicates(rows.withColumn("weights", F.array(w)), [Fit(0, c, l1_ratio)])[0]
 
 
+def coded_rows(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows with ``codes`` joined by ``id``, kept, as every step of a fit reads them; ids that repeat or have no codes are an error."""
+    out = kept(rows.join(codes.select("id", "codes"), "id"))
+    if out.count() != rows.count():
+        raise ContractError("ids repeat, or some have no fold")
+    return out
+
+
 def fold_rows(rows: DataFrame, k: int, seed=0) -> DataFrame:
-    """Rows with their fold and, per fold, weight 1 when they train it; kept, as every step of a fit reads them."""
-    folds = stratified_kfold(rows, "id", "event", k, seed).select("id", "fold")
-    return kept(rows.join(folds, "id").withColumn("weights", F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: F.when(F.col("fold") == f, 0.0).otherwise(1.0))))
+    """Rows with their fold as ``codes``; a fit that holds out ``(0, f)`` leaves out fold f."""
+    folds = stratified_kfold(rows, "id", "event", k, seed)
+    return coded_rows(rows, folds.select("id", F.array("fold").alias("codes")))
+
+
+def nested_codes(rows: DataFrame, k: int, inner: int, repeats: int = 1, seed=0) -> DataFrame:
+    """Rows with an outer and an inner fold per repeat in ``codes``: two numbers, however many splits they stand for.
+
+    Inner folds are dealt by class inside each outer fold, so the inner folds of
+    any outer training set are even.
+    """
+    outer = repeated_kfold(rows, "id", "event", k, repeats, seed)
+    dealt = class_order(outer, "id", "event", f"{seed}|inner", ["rep", "fold"])
+    each = dealt.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rep", "fold", (F.col("pos") % inner).cast("int").alias("inner")))).alias("_c"))
+    return coded_rows(rows, each.select("id", F.flatten(F.transform("_c", lambda x: F.array(x["fold"], x["inner"]))).alias("codes")))
 
 
 def oof_predictions(rows: DataFrame, k: int, c: float = 1.0, l1_ratio: float = 0.0, seed=0) -> DataFrame:
     """ML-11: out-of-fold probabilities; all folds are fitted in one job per step and scored in one pass."""
-    folded, fits = fold_rows(rows, k, seed), [Fit(f, c, l1_ratio) for f in range(k)]
+    folded, fits = fold_rows(rows, k, seed), [Fit(None, c, l1_ratio, ((0, f),)) for f in range(k)]
     return replicate_scores(folded, fits, fit_logistic_replicates(folded, fits), held_out=True).select("id", "event", F.col("fit").alias("fold"), "p")
 
 
+def best_trials(scored: DataFrame, tasks: list, trials: int, folds: int) -> list[int]:
+    """The trial with the largest mean fold AUC of each task, the first on ties; fits are numbered by task, trial and fold."""
+    found = {r["fit"]: r["auc"] for r in auc(scored, "event", "p", ["fit"]).select("fit", "auc").collect() if r["auc"] is not None}
+    out = []
+    for t in range(len(tasks)):
+        means = []
+        for i in range(trials):
+            known = [found[f] for g in range(folds) if (f := (t * trials + i) * folds + g) in found]
+            means.append(round(sum(known) / len(known), 12) if known else -1.0)
+        out.append(max(range(trials), key=lambda i: (means[i], -i)))
+    return out
+
+
+def nested_oof_predictions(rows: DataFrame, k: int, grid: list[tuple[float, float]], inner: int = 3, repeats: int = 1, seed=0) -> DataFrame:
+    """ML-11 with tuning inside each outer fold: ``rep, fold, c, l1_ratio, id, event, p`` of the rows held out.
+
+    All outer folds, inner folds, repeats and (c, l1_ratio) pairs are fitted
+    together; what reaches the driver is one AUC per inner fit.
+    """
+    coded = nested_codes(rows, k, inner, repeats, seed)
+    outer = [(r, f) for r in range(repeats) for f in range(k)]
+    fits = [Fit(None, *pair, ((2 * r, f), (2 * r + 1, g))) for r, f in outer for pair in grid for g in range(inner)]
+    won = best_trials(replicate_scores(coded, fits, fit_logistic_replicates(coded, fits), held_out=True), outer, len(grid), inner)
+    last = [Fit(None, *grid[i], ((2 * r, f),)) for (r, f), i in zip(outer, won, strict=True)]
+    scored = replicate_scores(coded, last, fit_logistic_replicates(coded, last), held_out=True)
+    about = F.array(*[F.struct(F.lit(r).alias("rep"), F.lit(f).alias("fold"), F.lit(float(grid[i][0])).alias("c"), F.lit(float(grid[i][1])).alias("l1_ratio")) for (r, f), i in zip(outer, won, strict=True)])
+    return scored.withColumn("_a", F.get(about, F.col("fit"))).select("_a.*", "id", "event", "p")
+
+
+def numbered_by_class(rows: DataFrame, seed=0) -> tuple[DataFrame, int, int]:
+    """Rows with a ``number`` that counts the events first, in a hashed order; the rows and the events."""
+    placed = class_order(rows.select("id", "event"), "id", "event", f"{seed}|number")
+    events = rows.agg(F.sum("event").alias("e")).first()["e"] or 0
+    number = F.when(F.col("event") == 1, F.col("pos")).otherwise(F.col("pos") + events).cast("long")
+    out = kept(rows.join(placed.select("id", number.alias("number")), "id"))
+    n = out.count()
+    if n != rows.count():
+        raise ContractError("ids repeat")
+    return out, n, int(events)
+
+
+def permutation_refit(rows: DataFrame, reps: int, frac: float = 0.2, c: float = 1.0, l1_ratio: float = 0.0, seed=0, method: str = "plus_one") -> DataFrame:
+    """EV-12: hold-out AUC of fits on permuted labels against that on the labels as they are.
+
+    Labels are dealt anew by a keyed permutation of row numbers, which each task
+    computes for its rows: class totals stay, and the first ``frac`` of the places
+    of each class are the hold-out. All permutations share every pass, and no
+    row is copied. ``method``: (k + 1) / (R + 1), or ``share`` of the permutations
+    that reach the observed AUC. Returns ``observed, p, null_mean, null_sd, valid``.
+    """
+    numbered, n, events = numbered_by_class(rows, seed)
+    shuffle = Shuffle(n, events, frac)
+    fits = [Fit(None, c, l1_ratio, shuffle=key_of(seed, r) or 1 if r else 0) for r in range(reps + 1)]
+    scored = replicate_scores(numbered, fits, fit_logistic_replicates(numbered, fits, shuffle=shuffle), held_out=True, shuffle=shuffle)
+    a = auc(scored, "event", "p", ["fit"]).select("fit", "auc")
+    null = a.filter("fit > 0 and auc is not null").crossJoin(F.broadcast(a.filter("fit = 0").select(F.col("auc").alias("observed"))))
+    hits, valid = F.count_if(F.col("auc") >= F.col("observed")), F.count(F.lit(1))
+    p = (hits + 1) / (valid + 1) if method == "plus_one" else hits / valid
+    return null.agg(F.first("observed").alias("observed"), p.alias("p"), F.avg("auc").alias("null_mean"), F.stddev_pop("auc").alias("null_sd"), valid.alias("valid"))
+
+
 def tune_grid(rows: DataFrame, grid: list[tuple[float, float]], k: int = 3, seed=0) -> DataFrame:
     """ML-03: mean fold AUC of each (c, l1_ratio), the best first, earlier ones on ties; all fits run together."""
-    folded, fits = fold_rows(rows, k, seed), [Fit(f, c, r) for c, r in grid for f in range(k)]
+    folded, fits = fold_rows(rows, k, seed), [Fit(None, c, r, ((0, f),)) for c, r in grid for f in range(k)]
     scored = replicate_scores(folded, fits, fit_logistic_replicates(folded, fits), held_out=True)
     trials = rows.sparkSession.createDataFrame([(i, float(c), float(r)) for i, (c, r) in enumerate(grid)], "trial int, c double, l1_ratio double")
     by_trial = auc(scored, "event", "p", ["fit"]).groupBy((F.col("fit") / k).cast("int").alias("trial")).agg(F.avg("auc").alias("auc"))
@@ -87,19 +170,41 @@ def _assembled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("x", array_to_vector("features")).withColumn("label", F.col("event").cast("double"))
 
 
-def fit_forest(rows: DataFrame, trees: int = 50, depth: int = 5, seed: int = 1):
-    """ML-06."""
+def class_weight(rows: DataFrame, weight: str | None = None):
+    """n / (2 n_c) of each row's class, as a column; times ``weight``, which also counts rows."""
+    times = F.col(weight) if weight else F.lit(1.0)
+    r = rows.agg(F.sum(times).alias("n"), F.sum(F.col("event") * times).alias("e")).first()
+    n, e = float(r["n"] or 0), float(r["e"] or 0)
+    return times * F.when(F.col("event") == 1, n / (2 * max(e, 1e-12))).otherwise(n / (2 * max(n - e, 1e-12)))
+
+
+def fit_forest(rows: DataFrame, trees: int = 50, depth: int = 5, seed: int = 1, balanced: bool = False):
+    """ML-06: ``balanced`` gives both classes the same weight."""
     from pyspark.ml.classification import RandomForestClassifier
 
-    return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(_assembled(rows))
+    data = _assembled(rows).withColumn("w", class_weight(rows) if balanced else F.lit(1.0))
+    return RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="w", numTrees=trees, maxDepth=depth, seed=seed).fit(data)
+
 
+def tune_forest(rows: DataFrame, depths: list[int], trees: int = 50, k: int = 3, balanced: bool = True, seed=0) -> DataFrame:
+    """ML-06: mean fold AUC of each depth, the best first, the smaller on ties."""
+    folded, out = fold_rows(rows, k, seed), None
+    for depth in depths:
+        for f in range(k):
+            held = F.col("codes")[0] == f
+            scores = ml_scores(fit_forest(folded.filter(~held), trees, depth, balanced=balanced), folded.filter(held))
+            one = auc(scores, "event", "p").select(F.lit(depth).alias("depth"), F.lit(f).alias("fold"), "auc")
+            out = one if out is None else out.unionByName(one)
+    return kept(out).groupBy("depth").agg(F.avg("auc").alias("auc")).orderBy(F.desc(F.round("auc", 12)), "depth")
 
-def fit_boosted(rows: DataFrame, rounds: int = 30, depth: int = 3, seed=0):
-    """ML-07: early stopping on a tenth of the training rows drawn by hash; events weigh non-events / events."""
+
+def fit_boosted(rows: DataFrame, rounds: int = 30, depth: int = 3, seed=0, weight: str | None = None):
+    """ML-07: early stopping on a tenth of the training rows drawn by hash; events weigh non-events / events. ``weight`` says how often a row counts."""
     from pyspark.ml.classification import GBTClassifier
 
-    n = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e")).first()
-    w = F.when(F.col("event") == 1, (n["n"] - n["e"]) / max(1, n["e"])).otherwise(1.0)
+    times = F.col(weight) if weight else F.lit(1)
+    n = rows.agg(F.sum(times).alias("n"), F.sum(F.col("event") * times).alias("e")).first()
+    w = times * F.when(F.col("event") == 1, (n["n"] - n["e"]) / max(1, n["e"])).otherwise(1.0)
     dev = F.conv(F.substring(hash_key(F.lit(str(seed)), F.col("id")), 1, 4), 16, 10).cast("int") % 10 == 0
     data = _assembled(rows).withColumn("w", w).withColumn("dev", dev)
     return GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", validationIndicatorCol="dev", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=1).fit(data)
@@ -112,6 +217,12 @@ def fit_linear_svc(rows: DataFrame):
     return LinearSVC(featuresCol="x", labelCol="label", regParam=0.01, maxIter=50).fit(_assembled(rows))
 
 
+def split_rows(rows: DataFrame, frac: float = 0.3, seed=0) -> tuple[DataFrame, DataFrame]:
+    """Training rows and a stratified hold-out (SP-04), both kept."""
+    ids = stratified_holdout(rows, "id", "event", frac, 1, seed).select("id")
+    return kept(rows.join(ids, "id", "left_anti")), kept(rows.join(ids, "id", "left_semi"))
+
+
 def ml_scores(model, rows: DataFrame, platt: tuple[float, float] | None = None) -> DataFrame:
     """``id, event, p``; margins go through the sigmoid ``platt`` (intercept, slope) if given, else the plain one."""
     from pyspark.ml.functions import vector_to_array
@@ -123,14 +234,23 @@ def ml_scores(model, rows: DataFrame, platt: tuple[float, float] | None = None)
     return out.select("id", "event", (v if col == "probability" else sigmoid(F.lit(float(a)) + F.lit(float(b)) * v)).alias("p"))
 
 
-def fit_platt(model, rows: DataFrame) -> tuple[float, float]:
-    """ML-08: the sigmoid of a margin model, fitted on ``rows``."""
+def margins(model, rows: DataFrame) -> DataFrame:
+    """``event, _x``: margins of a model."""
     from pyspark.ml.functions import vector_to_array
 
+    return model.transform(_assembled(rows)).select("event", vector_to_array("rawPrediction")[1].alias("_x"))
+
+
+def fit_platt(rows: DataFrame, k: int = 3, seed=0, fit: Callable = fit_linear_svc) -> tuple[float, float]:
+    """ML-08: the sigmoid of a margin model, from margins of rows that the fit of their fold has not seen."""
     from riskloom.operators.calibrate import newton_by
 
-    margins = model.transform(_assembled(rows)).select("event", vector_to_array("rawPrediction")[1].alias("_x"))
-    return newton_by(margins, "event", "_x", [])[()]
+    folded, out = fold_rows(rows, k, seed), None
+    for f in range(k):
+        held = F.col("codes")[0] == f
+        one = margins(fit(folded.filter(~held)), folded.filter(held))
+        out = one if out is None else out.unionByName(one)
+    return newton_by(kept(out), "event", "_x", [])[()]
 
 
 @dataclass(frozen=True)
@@ -151,8 +271,7 @@ def _linear_spec(name: str, c: float, l1_ratio: float) -> ModelSpec:
 
 
 def _svc(rows):
-    model = fit_linear_svc(rows)
-    platt = fit_platt(model, rows)
+    model, platt = fit_linear_svc(rows), fit_platt(rows)
     return lambda new: ml_scores(model, new, platt)
 
 
@@ -182,7 +301,7 @@ def register_model(spec: ModelSpec) -> None:
 
 def compare_models(rows: DataFrame, specs: dict, k: int = 3, seed=0) -> DataFrame:
     """ML-14: out-of-fold AUC of named (c, l1_ratio) specs on the same rows and folds."""
-    folded, fits = fold_rows(rows, k, seed), [Fit(f, *s) for s in specs.values() for f in range(k)]
+    folded, fits = fold_rows(rows, k, seed), [Fit(None, *s, ((0, f),)) for s in specs.values() for f in range(k)]
     scored = replicate_scores(folded, fits, fit_logistic_replicates(folded, fits), held_out=True)
     names = F.array(*[F.lit(n) for n in specs])
     return auc(scored.withColumn("model", F.get(names, (F.col("fit") / k).cast("int"))), "event", "p", ["model"]).select("model", "auc", "pos", "neg")
@@ -219,11 +338,24 @@ def l1_shrink(rows: DataFrame, stats: DataFrame, candidates: int, panel: int, c:
     return coefs.join(stats.select("feature", "auc"), "feature").orderBy(F.desc(F.abs("coef") > 0), F.desc(F.abs("coef")), F.desc("auc"), "feature").limit(panel)
 
 
-def stability_selection(long: DataFrame, reps: int, lambdas: list[float], seed=0, kind: str = "permutation") -> tuple[DataFrame, DataFrame]:
+def group_masks(names: list[str], groups: dict[str, list[str]], rep: int, seed) -> tuple[int, ...]:
+    """Positions of the features of a subsample: one of each group, drawn by a hash."""
+    chosen = [sorted(members)[key_of(seed, rep, group) % len(members)] for group, members in sorted(groups.items())]
+    return tuple(sorted(names.index(f) for f in chosen))
+
+
+def stability_selection(
+    long: DataFrame, reps: int, lambdas: list[float], seed=0, kind: str = "permutation", l1_ratio: float = 1.0, hard: float | None = None, group_percentile: float | None = None
+) -> tuple[DataFrame, DataFrame]:
     """FS-12: selection frequency of real and decoy features over subsamples and L1 strengths, and the FDP+ threshold.
 
     Decoys are permuted copies or knockoffs (``kind``). A feature's score is its
-    largest frequency over the strengths. All subsamples and strengths are fitted together.
+    largest frequency over the strengths (``l1_ratio`` below 1: elastic net). All
+    subsamples and strengths are fitted together. ``hard`` is used as the
+    threshold instead. With ``group_percentile`` features whose absolute rank
+    correlation lies above that percentile of all pairs share a group (FS-14), and each
+    subsample sees one feature of a group; one that it does not see is not
+    selected in it.
     """
     from riskloom.operators.screen import decoy_features, knockoff_features
 
@@ -231,13 +363,40 @@ def stability_selection(long: DataFrame, reps: int, lambdas: list[float], seed=0
     named = long.withColumn("feature", F.col("feature").cast("string"))
     both = kept(named.select("id", "event", "feature", "value").unionByName(decoys(named, seed)))
     names = [r["feature"] for r in both.select("feature").distinct().orderBy("feature").collect()]
+    groups = None
+    if group_percentile is not None:
+        groups = correlated_groups(*rank_correlations(both), group_percentile)
+    masks = [None if groups is None else group_masks(names, groups, r, seed) for r in range(reps)]
     rows = vector_rows(both)
     w = subsample(rows, "id", "event", 0.75, reps, seed).select("rep", "id", F.col("balance").alias("weight"))
-    fits = fit_logistic_replicates(kept(with_weights(rows, w, reps)), [Fit(r, c, 1.0) for c in lambdas for r in range(reps)])
+    fits = fit_logistic_replicates(kept(with_weights(rows, w, reps)), [Fit(r, c, l1_ratio, mask=masks[r]) for c in lambdas for r in range(reps)])
     scores = {n: 0.0 for n in names}
     for i in range(len(lambdas)):
         part = fits[i * reps : (i + 1) * reps]
         for j, n in enumerate(names):
             scores[n] = max(scores[n], sum(abs(f["coef"][j]) > 1e-8 for f in part) / reps)
     freq = long.sparkSession.createDataFrame([(n, float(s), n.startswith("decoy_")) for n, s in scores.items()], "feature string, frequency double, decoy boolean")
+    if hard is not None:
+        cut = freq.filter(F.col("frequency") >= hard).agg(F.lit(float(hard)).alias("t"), F.count_if("decoy").alias("decoys"), F.count_if(~F.col("decoy")).alias("real"))
+        return freq, cut.withColumn("fdp", (1 + F.col("decoys")) / F.greatest(F.lit(1), F.col("real")))
     return freq, fdp_threshold(freq, 0.1, 1.0, 0.05)
+
+
+def stability_runs(long: DataFrame, runs: int, reps: int, lambdas: list[float], least: float = 0.5, seed=0, **settings) -> tuple[DataFrame, DataFrame]:
+    """FS-12 over several runs with subsamples and decoys of their own, and AG-16.
+
+    Returns ``feature, times, frequency, chosen`` - the share of runs whose threshold
+    a real feature reaches, and whether that is ``least`` or more - and ``run, t,
+    decoys, real, fdp``. ``settings`` go to ``stability_selection``.
+    """
+    spark, picked, cuts = long.sparkSession, None, None
+    names = long.select(F.col("feature").cast("string").alias("feature")).distinct()
+    for r in range(runs):
+        freq, cut = stability_selection(long, reps, lambdas, f"{seed}|{r}", **settings)
+        cut = kept(cut.select(F.lit(r).alias("run"), "t", "decoys", "real", "fdp"))
+        one = freq.filter("not decoy").crossJoin(F.broadcast(cut)).filter("frequency >= t").select("run", "feature")
+        picked = one if picked is None else picked.unionByName(one)
+        cuts = cut if cuts is None else cuts.unionByName(cut)
+    times = picked.groupBy("feature").agg(F.countDistinct("run").alias("times"))
+    share = F.coalesce("times", F.lit(0)) / F.lit(runs)
+    return names.join(times, "feature", "left").select("feature", F.coalesce("times", F.lit(0)).alias("times"), share.alias("frequency"), (share >= least).alias("chosen")), cuts

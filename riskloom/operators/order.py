@@ -9,16 +9,32 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.operators.aggregates import rates
+from riskloom.sources.scratch import kept
 
 RANGES = 64
 
 
+def range_of(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
+    """The number of the range of ``order`` a row lies in, as a column; edges are approximate quantiles over all rows."""
+    edges = sorted(set(df.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("e")).first()["e"] or [])) if ranges > 1 else []
+
+    # number of edges below the value: a short binary search as nested conditions
+    def place(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(order) <= F.lit(edges[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
+
+    return place(0, len(edges))
+
+
 def ordered_cumsum(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None, descending: bool = False, ranges: int = RANGES) -> DataFrame:
     """Adds ``cum_<s>`` for each column of ``sums``: the running total in the order of ``order`` within ``by``.
 
@@ -28,15 +44,7 @@ def ordered_cumsum(df: DataFrame, order: str, sums: list[str], by: list[str] | N
     most ``ranges`` rows per group - are added.
     """
     by = by or []
-    edges = sorted(set(df.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("e")).first()["e"] or []))
-    # number of edges below the value: a short binary search as nested conditions
-    def place(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(order) <= F.lit(edges[mid]), place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    parts = df.withColumn("_range", place(0, len(edges)))
+    parts = df.withColumn("_range", range_of(df, order, ranges))
     sort = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*by, "_range").orderBy(sort).rowsBetween(Window.unboundedPreceding, 0)
     totals = parts.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
@@ -162,6 +170,20 @@ def numbered(df: DataFrame, order: str, tie: str, out: str = "position") -> Data
     return placed.withColumn(out, F.col("_start") + F.col("_shift") + F.col("_own")).drop("_start", "_shift", "_own", "_part")
 
 
+def place_in_order(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Adds the place of each row, from 0, in the order of ``order`` without a one-task window.
+
+    Rows are dealt by ranges and written, numbered inside their range, and shifted by the
+    sizes of the ranges before: one row per range is all that a single task sees.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
+    written = kept(ranged).withColumn("_own", F.col("_seq") - F.shiftleft(F.col("_part").cast("long"), 33))
+    sizes = written.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return written.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_own")).drop("_part", "_seq", "_own", "_start")
+
+
 def quantile_bins(df: DataFrame, event: str, score: str, k: int, tie: str) -> DataFrame:
     """WN-06: bins of equal size in score order (the first ones take one row more), with n, events and mean score."""
     total = df.agg(F.count(F.lit(1)).alias("_total"))
@@ -182,34 +204,107 @@ def quantile_edge_bins(df: DataFrame, event: str, score: str, k: int) -> DataFra
     return df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(event).cast("long").alias("events"), F.avg(score).alias("mean_score"), F.avg(event).alias("rate"))
 
 
-def adaptive_bins(df: DataFrame, event: str, score: str, by: str, min_n: int = 35, min_events: int = 3) -> DataFrame:
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame, bool]]:
+    """Rows of sorted batches, cut where a key changes: key, rows, whether the key goes on from the batch before."""
+    held = None
+    for rows in batches:
+        if not len(rows):
+            continue
+        code = rows.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(rows)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            part = rows.iloc[i:j]
+            key = tuple(part[keys].iloc[0])
+            yield key, part, key == held
+            held = key
+
+
+def bin_map(counts: np.ndarray, events: np.ndarray, min_n: int, min_events: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bin-closing walk over some scores ends, and how many bins it closes, from every state it may start in.
+
+    A state is the open bin: fewer than ``min_n`` rows and fewer than
+    ``min_events`` events, so there are ``min_n * min_events``. Walks that meet go on
+    as one.
+    """
+    start = np.arange(min_n * min_events)
+    n, e, closed, which = start // min_events, start % min_events, np.zeros(len(start), np.int64), start
+    steps = np.zeros(len(start), np.int64)
+    for c, v in zip(counts.tolist(), events.tolist(), strict=True):
+        n, e = n + c, e + v
+        full = (n >= min_n) | (e >= min_events)
+        if full.any():
+            steps[np.flatnonzero(full)] += 1
+            n, e = np.where(full, 0, n), np.where(full, 0, e)
+            if len(n) > 1:
+                state = n * min_events + e
+                found, first, inverse = np.unique(state, return_index=True, return_inverse=True)
+                if len(found) < len(n):
+                    # what the merged walks have closed so far is settled for their starts
+                    closed += steps[which]
+                    which, n, e, steps = inverse[which], n[first], e[first], np.zeros(len(found), np.int64)
+    return (n * min_events + e)[which], closed + steps[which]
+
+
+def compose(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``bin_map`` of two stretches in a row."""
+    return second[0][first[0]], first[1] + second[1][first[0]]
+
+
+def adaptive_bins(df: DataFrame, event: str, score: str, by: str, min_n: int = 35, min_events: int = 3, ranges: int = RANGES) -> DataFrame:
     """WN-07: bins closed once they hold ``min_n`` rows or ``min_events`` events, in score order per model.
 
-    Rows are counted by distinct score first; the walk over a model's distinct
-    scores keeps one open bin and reads them batch by batch.
+    Rows are counted by distinct score first. Ranges of the score are walked in
+    parallel from every state an open bin may have; these maps compose, so a
+    walk over a model's ranges tells each its first state and bin. Then the ranges are
+    walked once more, and what they hold of a bin is added up.
     """
     counts = score_counts(df, event, score, [by])
-    schema = f"{by} {dict(df.dtypes)[by]}, bin int, n long, events long, low double, high double"
+    counts = kept(counts.withColumn("range", range_of(counts, "score", ranges)))
+    kind = dict(df.dtypes)[by]
+    dealt = counts.repartition(by, "range").sortWithinPartitions(by, "range", "score")
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = found = None
+        for k, rows, goes_on in _groups(batches, [by, "range"]):
+            one = bin_map((rows["pos"] + rows["neg"]).to_numpy(np.int64), rows["pos"].to_numpy(np.int64), min_n, min_events)
+            if goes_on:
+                found = compose(found, one)
+                continue
+            if key is not None:
+                yield pd.DataFrame({by: [key[0]], "range": [key[1]], "ends": [found[0]], "closed": [found[1]]})
+            key, found = k, one
+        if key is not None:
+            yield pd.DataFrame({by: [key[0]], "range": [key[1]], "ends": [found[0]], "closed": [found[1]]})
+
+    def entries(table: pd.DataFrame) -> pd.DataFrame:
+        """The state and bin with which each range of a model begins; at most ``ranges`` rows."""
+        state, number, out = 0, 0, []
+        for r, ends, closed in table.sort_values("range")[["range", "ends", "closed"]].itertuples(index=False):
+            out.append((r, state, number))
+            state, number = int(ends[state]), number + int(closed[state])
+        made = pd.DataFrame(out, columns=["range", "state", "first"])
+        made.insert(0, by, table[by].iloc[0])
+        return made
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, b, n, events, low, high = None, 0, 0, 0, None, None
-        for rows in batches:
-            out = []
-            for m, s, pos, neg in zip(rows[by], rows["score"], rows["pos"], rows["neg"], strict=True):
-                if m != model:
-                    if n:
-                        out.append((model, b, n, events, low, high))
-                    model, b, n, events, low = m, 0, 0, 0, None
-                low, high = (s if low is None else low), s
-                n, events = n + int(pos + neg), events + int(pos)
+        n = events = number = 0
+        for _, rows, goes_on in _groups(batches, [by, "range"]):
+            if not goes_on:
+                number = int(rows["first"].iloc[0])
+                n, events = divmod(int(rows["state"].iloc[0]), min_events)
+            bins = []
+            for c, v in zip((rows["pos"] + rows["neg"]).tolist(), rows["pos"].tolist(), strict=True):
+                bins.append(number)
+                n, events = n + c, events + v
                 if n >= min_n or events >= min_events:
-                    out.append((model, b, n, events, low, high))
-                    b, n, events, low = b + 1, 0, 0, None
-            yield pd.DataFrame(out, columns=[by, "bin", "n", "events", "low", "high"])
-        if n:
-            yield pd.DataFrame([(model, b, n, events, low, high)], columns=[by, "bin", "n", "events", "low", "high"])
-
-    return counts.repartition(by).sortWithinPartitions(by, "score").mapInPandas(walk, schema)
+                    n, events, number = 0, 0, number + 1
+            yield pd.DataFrame({by: rows[by], "bin": bins, "n": rows["pos"] + rows["neg"], "events": rows["pos"], "score": rows["score"]})
+
+    begin = dealt.mapInPandas(maps, f"{by} {kind}, range int, ends array<long>, closed array<long>").groupBy(by).applyInPandas(entries, f"{by} {kind}, range int, state long, first long")
+    own = begin.select(F.col(by).alias("_by"), F.col("range").alias("_r"), "state", "first")
+    met = counts.join(own, F.col(by).eqNullSafe(F.col("_by")) & (F.col("range") == F.col("_r"))).select(by, "range", "score", "pos", "neg", "state", "first")
+    placed = met.repartition(by, "range").sortWithinPartitions(by, "range", "score").mapInPandas(walk, f"{by} {kind}, bin int, n long, events long, score double")
+    return placed.groupBy(by, "bin").agg(F.sum("n").alias("n"), F.sum("events").alias("events"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -88,9 +88,10 @@ def stratified_holdout(df: DataFrame, key: str, event: str, frac: float, reps: i
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
-    """SP-05: fold number of each group value; the table of groups is what is numbered."""
-    groups = df.select(group).distinct()
-    return groups.withColumn("fold", F.row_number().over(Window.orderBy(group)) - 1)
+    """SP-05: fold number of each group value, in its order; a row may be a group, so groups are numbered by ranges."""
+    from riskloom.operators.order import place_in_order
+
+    return place_in_order(df.select(group).distinct(), [group], "fold")
 
 
 def temporal_holdout(df: DataFrame, key: str, day: str, frac: float) -> DataFrame:

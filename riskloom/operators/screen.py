@@ -59,21 +59,42 @@ def moment_sums(vectors: DataFrame, p: int) -> np.ndarray:
     return add_up(vectors.select("features"), 1, run)[0].reshape(6, p, p)
 
 
-def spearman_matrix(long: DataFrame) -> DataFrame:
-    """FS-04: absolute rank correlation of all feature pairs a < b, over the ids that have both.
-
-    The driver sees the feature names and one matrix of sums.
-    """
+def rank_correlations(long: DataFrame) -> tuple[list, np.ndarray]:
+    """Feature names and their absolute rank correlations, over the ids that have both; the driver sees one matrix of sums."""
     names = [r["feature"] for r in long.select("feature").distinct().orderBy("feature").collect()]
-    p, spark = len(names), long.sparkSession
+    p = len(names)
     every = F.array(*[F.lit(n) for n in names])
     by_name = ranks(long).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "r"))).alias("m"))
     n, x, y, xx, yy, xy = moment_sums(by_name.select(F.transform(every, lambda f: F.element_at("m", f)).alias("features")), p)
     with np.errstate(divide="ignore", invalid="ignore"):
         r = (n * xy - x * y) / np.sqrt((n * xx - x * x) * (n * yy - y * y))
-    r = np.abs(np.nan_to_num(r, posinf=0.0, neginf=0.0))
-    kind = dict(long.dtypes)["feature"]
-    return spark.createDataFrame([(names[i], names[j], float(r[i, j])) for i in range(p) for j in range(i + 1, p)], f"a {kind}, b {kind}, r double")
+    return names, np.abs(np.nan_to_num(r, posinf=0.0, neginf=0.0))
+
+
+def spearman_matrix(long: DataFrame) -> DataFrame:
+    """FS-04: absolute rank correlation of all feature pairs a < b."""
+    names, r = rank_correlations(long)
+    p, kind = len(names), dict(long.dtypes)["feature"]
+    return long.sparkSession.createDataFrame([(names[i], names[j], float(r[i, j])) for i in range(p) for j in range(i + 1, p)], f"a {kind}, b {kind}, r double")
+
+
+def correlated_groups(names: list, r: np.ndarray, percentile: float) -> dict:
+    """FS-14: features linked by correlations above the ``percentile`` of all pairs, by the first of each group."""
+    p = len(names)
+    if p < 2:
+        return {n: [n] for n in names}
+    linked = r > np.percentile(r[np.triu_indices(p, 1)], percentile)
+    label = np.arange(p)
+    while True:
+        # the smallest label among a feature and those it is linked to
+        low = np.minimum(label, np.where(linked, label[None, :], p).min(axis=1))
+        if (low == label).all():
+            break
+        label = low
+    out: dict = {}
+    for i, g in enumerate(label):
+        out.setdefault(names[g], []).append(names[i])
+    return out
 
 
 def prune_correlated(corr: DataFrame, variance: DataFrame, most: float = 0.95) -> list:

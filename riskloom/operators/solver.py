@@ -1,11 +1,14 @@
 """Many weighted elastic-net logistic fits over the same rows in one distributed pass per step.
 
-Rows carry an event, a feature vector and one weight per fit (bootstrap
-multiplicity, fold complement, subsample, class weight). In each proximal-Newton
-step the tasks add up, for every fit, the weighted Gram matrix and right-hand
-side of the quadratic model; Spark sums these packed arrays by fit, and the
-driver solves the p x p problems by coordinate descent. No row reaches the driver, and lineage
-does not grow, as each step starts from the same input.
+Rows carry an event, a feature vector and what tells fits apart: weights
+(bootstrap multiplicity, subsample, class weight), codes (folds of any nesting:
+a fit names the codes it leaves out) or a row number, from which a keyed
+permutation gives a fit labels and a hold-out of its own. So a row does not grow
+with the folds or permutations. In each proximal-Newton step the tasks add up,
+for every fit, the weighted Gram matrix and right-hand side of the quadratic
+model; Spark sums these packed arrays by fit, and the driver solves all p x p
+problems together. No row reaches the driver, and lineage does not grow, as each
+step starts from the same input.
 """
 
 from __future__ import annotations
@@ -19,16 +22,87 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.operators.permute import permuted
+
 CHUNK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
 class Fit:
-    """One fit: which weight column position, inverse penalty ``c`` and share of the L1 part."""
+    """One fit: the position of its weight (None: all rows count one), inverse penalty ``c`` and share of the L1 part.
+
+    ``hold``: pairs of a position in ``codes`` and a value; rows with one of them
+    don't train. The rows held out are those with the last one and none of the
+    others. ``shuffle``: its labels are ``event`` dealt anew by this key (0: as they
+    are), see ``Shuffle``. ``mask``: features it may use, None for all.
+    """
 
-    weight: int
+    weight: int | None = None
     c: float = 1.0
     l1_ratio: float = 0.0
+    hold: tuple[tuple[int, int], ...] = ()
+    shuffle: int | None = None
+    mask: tuple[int, ...] | None = None
+
+
+@dataclass(frozen=True)
+class Shuffle:
+    """Numbers of a table whose column ``number`` counts its ``events`` first: a permuted place below ``events`` is an event.
+
+    The first ``frac`` of the places of each class are the hold-out.
+    """
+
+    rows: int
+    events: int
+    frac: float
+
+    def deal(self, number: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """Labels and hold-out of rows for a key."""
+        place = permuted(number, self.rows, key) if key else number
+        y = place < self.events
+        first = np.where(y, place, place - self.events)
+        return y.astype(float), first < np.where(y, round(self.frac * self.events), round(self.frac * (self.rows - self.events)))
+
+
+class Batch:
+    """Rows of a batch as the fits see them."""
+
+    def __init__(self, batch: pa.RecordBatch, shuffle: Shuffle | None):
+        names = batch.schema.names
+        self.x, self.y = matrix(batch.column("features")), batch.column("event").to_numpy().astype(float)
+        self.w = matrix(batch.column("weights")) if "weights" in names else None
+        self.codes = matrix(batch.column("codes"), int) if "codes" in names else None
+        self.number = batch.column("number").to_numpy() if "number" in names else None
+        self.shuffle, self.n = shuffle, batch.num_rows
+
+    def training(self, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+        """Weights (0: not used) and labels."""
+        w = np.ones(self.n) if fit.weight is None else self.w[:, fit.weight]
+        for position, value in fit.hold:
+            w = np.where(self.codes[:, position] == value, 0.0, w)
+        if fit.shuffle is None:
+            return w, self.y
+        y, out = self.shuffle.deal(self.number, fit.shuffle)
+        return np.where(out, 0.0, w), y
+
+    def held_out(self, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that judge a fit, and all labels."""
+        if fit.shuffle is not None:
+            y, out = self.shuffle.deal(self.number, fit.shuffle)
+            return np.flatnonzero(out), y
+        if not fit.hold:
+            return np.flatnonzero(self.w[:, fit.weight] == 0), self.y
+        *others, (position, value) = fit.hold
+        out = self.codes[:, position] == value
+        for p, v in others:
+            out &= self.codes[:, p] != v
+        # of a bag's hold-out all rows count, drawn or not
+        return np.flatnonzero(out), self.y
+
+
+def inputs(rows: DataFrame) -> DataFrame:
+    """The columns that fits read."""
+    return rows.select(*[c for c in ("event", "features", "weights", "codes", "number") if c in rows.columns])
 
 
 def matrix(column, dtype=float) -> np.ndarray:
@@ -44,7 +118,7 @@ def standardised(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
     return np.nan_to_num((x - mean) / sd)
 
 
-def _sums(positions: list[int], beta: np.ndarray | None, mean: np.ndarray | None, sd: np.ndarray | None):
+def _sums(fits: list[Fit], beta: np.ndarray | None, mean: np.ndarray | None, sd: np.ndarray | None, shuffle: Shuffle | None = None):
     """Partial sums per fit: moments if there are no coefficients yet, else Gram and right-hand side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,12 +126,11 @@ def _sums(positions: list[int], beta: np.ndarray | None, mean: np.ndarray | None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, w, y = matrix(batch.column("features")), matrix(batch.column("weights")), batch.column("event").to_numpy().astype(float)
-            parts = []
-            for f, position in enumerate(positions):
-                wf = w[:, position]
+            rows, parts = Batch(batch, shuffle), []
+            for f, fit in enumerate(fits):
+                wf, y = rows.training(fit)
                 used = wf > 0
-                xf, yf, wf = x[used], y[used], wf[used]
+                xf, yf, wf = rows.x[used], y[used], wf[used]
                 if beta is None:
                     have, known = ~np.isnan(xf), np.nan_to_num(xf)
                     parts.append(np.concatenate([[wf.sum(), wf @ yf], wf @ have, wf @ known, wf @ (known * known)]))
@@ -88,42 +161,71 @@ def packed(total: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(v.as_buffer(), float) for v in table.column("s"))
-    first = table.slice(0, 1)
-    return pa.Table.from_arrays([first.column("fit"), first.column("merge"), pa.array([total.tobytes()], pa.binary())], names=["fit", "merge", "s"])
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of sorted packed rows, one after another: a key costs one array of memory, however many tasks sent one."""
+
+    def out(key, total) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["fit", "merge", "s"])
+
+    held, total = None, None
+    for batch in batches:
+        for key, s in zip(zip(batch.column("fit").to_pylist(), batch.column("merge").to_pylist(), strict=True), batch.column("s"), strict=True):
+            value = np.frombuffer(s.as_buffer(), float)
+            if key != held:
+                if held is not None:
+                    yield out(held, total)
+                held, total = key, value.copy()
+            else:
+                total += value
+    if held is not None:
+        yield out(held, total)
 
 
 def add_up(rows: DataFrame, fits: int, run) -> np.ndarray:
     """Sums of the packed rows of all tasks, in two rounds; one row per fit reaches the driver."""
-    once = rows.mapInArrow(run, PACKED).groupBy("fit", "merge").applyInArrow(_merge, PACKED)
-    out = {r["fit"]: np.frombuffer(bytes(r["s"]), float) for r in once.groupBy("fit").applyInArrow(_merge, PACKED).collect()}
+    once = rows.mapInArrow(run, PACKED).repartition("fit", "merge").sortWithinPartitions("fit", "merge").mapInArrow(_merge, PACKED)
+    all_ = once.withColumn("merge", F.lit(0)).repartition("fit").sortWithinPartitions("fit").mapInArrow(_merge, PACKED)
+    out = {r["fit"]: np.frombuffer(bytes(r["s"]), float) for r in all_.collect()}
     return np.array([out[f] for f in range(fits)])
 
 
 def coordinate_descent(gram: np.ndarray, right: np.ndarray, l1: float, l2: float, start: np.ndarray, rounds: int = 500, tol: float = 1e-9) -> np.ndarray:
     """Minimises b'Gb/2 - r'b + l1 |b| + l2 |b|^2 / 2; entry 0 is the intercept and is not penalised."""
-    b = start.copy()
-    diagonal = np.diag(gram)
+    one = lambda v: np.array([v], float)
+    return minimise(gram[None], right[None], one(l1), one(l2), start[None], np.ones((1, len(right)), bool), rounds, tol)[0]
+
+
+def minimise(gram: np.ndarray, right: np.ndarray, l1: np.ndarray, l2: np.ndarray, start: np.ndarray, free: np.ndarray, rounds: int = 500, tol: float = 1e-9) -> np.ndarray:
+    """``coordinate_descent`` for many problems side by side; coefficients that are not ``free`` stay 0."""
+    b = np.where(free, start, 0.0)
+    diagonal = np.einsum("fjj->fj", gram)
+    open_ = np.arange(len(b))
     for _ in range(rounds):
-        worst = 0.0
-        for j in range(len(b)):
-            rho = right[j] - gram[j] @ b + diagonal[j] * b[j]
-            new = rho / diagonal[j] if j == 0 else np.sign(rho) * max(abs(rho) - l1, 0) / (diagonal[j] + l2)
-            worst, b[j] = max(worst, abs(new - b[j])), new
-        if worst < tol:
+        g, r, d, x = gram[open_], right[open_], diagonal[open_], b[open_]
+        gx, worst = np.einsum("fij,fj->fi", g, x), np.zeros(len(open_))
+        for j in range(b.shape[1]):
+            rho = r[:, j] - gx[:, j] + d[:, j] * x[:, j]
+            new = rho / d[:, j] if j == 0 else np.sign(rho) * np.maximum(np.abs(rho) - l1[open_], 0) / np.maximum(d[:, j] + l2[open_], 1e-300)
+            step = np.where(free[open_, j], new - x[:, j], 0.0)
+            gx += g[:, :, j] * step[:, None]
+            x[:, j] += step
+            worst = np.maximum(worst, np.abs(step))
+        b[open_] = x
+        open_ = open_[worst >= tol]
+        if not len(open_):
             break
     return b
 
 
-def fit_logistic_replicates(rows: DataFrame, fits: list[Fit], rounds: int = 50, tol: float = 1e-6) -> list[dict]:
+def fit_logistic_replicates(rows: DataFrame, fits: list[Fit], rounds: int = 50, tol: float = 1e-6, shuffle: Shuffle | None = None) -> list[dict]:
     """ML-01: ``intercept, coef`` (for standardised features), ``mean, sd`` of each fit.
 
-    ``rows`` has ``event int, features array<double>, weights array<double>``.
-    Minimises ``c * sum(weighted loss) + l1_ratio |b| + (1 - l1_ratio) |b|^2 / 2``.
-    Means and population SDs are those of the fit's weighted rows; missing values
-    count as its mean, so imputation sees training rows only. Fits are worked
-    on in chunks whose sums stay below 64 MB a task.
+    ``rows`` has ``event int, features array<double>`` and what the fits name:
+    ``weights array<double>``, ``codes array<int>``, ``number long`` (with
+    ``shuffle``). Minimises ``c * sum(weighted loss) + l1_ratio |b| + (1 - l1_ratio)
+    |b|^2 / 2``. Means and population SDs are those of the fit's weighted rows;
+    missing values count as its mean, so imputation sees training rows only. Fits
+    are worked on in chunks whose sums stay below 64 MB a task.
     """
     first = rows.select(F.size("features").alias("p")).first()
     if first is None:
@@ -132,7 +234,7 @@ def fit_logistic_replicates(rows: DataFrame, fits: list[Fit], rounds: int = 50,
     size = max(1, CHUNK_BYTES // (8 * (p + 2) ** 2))
     out: list[dict] = []
     for low in range(0, len(fits), size):
-        out += _fit_chunk(rows, fits[low : low + size], p, rounds, tol)
+        out += _fit_chunk(inputs(rows), fits[low : low + size], p, rounds, tol, shuffle)
     return out
 
 
@@ -145,44 +247,47 @@ def _centre(m: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
     return mean, sd
 
 
-def _fit_chunk(rows: DataFrame, fits: list[Fit], p: int, rounds: int, tol: float) -> list[dict]:
-    positions = [f.weight for f in fits]
-    m = add_up(rows, len(fits), _sums(positions, None, None, None))
+def _fit_chunk(rows: DataFrame, fits: list[Fit], p: int, rounds: int, tol: float, shuffle: Shuffle | None) -> list[dict]:
+    m = add_up(rows, len(fits), _sums(fits, None, None, None, shuffle))
     mean, sd = _centre(m, p)
-    rate = np.clip(m[:, 1] / m[:, 0], 1e-6, 1 - 1e-6)
+    rate = np.clip(m[:, 1] / np.maximum(m[:, 0], 1e-12), 1e-6, 1 - 1e-6)
     beta = np.zeros((len(fits), p + 1))
     beta[:, 0] = np.log(rate / (1 - rate))
-    open_ = list(range(len(fits)))
+    free = np.ones((len(fits), p + 1), bool)
+    for f, fit in enumerate(fits):
+        if fit.mask is not None:
+            free[f, 1:] = np.isin(np.arange(p), fit.mask)
+    l1, l2 = np.array([f.l1_ratio / f.c for f in fits]), np.array([(1 - f.l1_ratio) / f.c for f in fits])
+    open_ = np.arange(len(fits))
     for _ in range(rounds):
-        s = add_up(rows, len(open_), _sums([positions[f] for f in open_], beta[open_], mean[open_], sd[open_]))
-        still = []
-        for k, f in enumerate(open_):
-            gram, right = s[k, : (p + 1) ** 2].reshape(p + 1, p + 1), s[k, (p + 1) ** 2 : -1]
-            fit = fits[f]
-            new = coordinate_descent(gram, right, fit.l1_ratio / fit.c, (1 - fit.l1_ratio) / fit.c, beta[f])
-            change = np.abs(new - beta[f]).max()
-            beta[f] = np.clip(new, -30, 30)
-            if change > tol:
-                still.append(f)
-        open_ = still
-        if not open_:
+        s = add_up(rows, len(open_), _sums([fits[f] for f in open_], beta[open_], mean[open_], sd[open_], shuffle))
+        gram, right = s[:, : (p + 1) ** 2].reshape(-1, p + 1, p + 1), s[:, (p + 1) ** 2 : -1]
+        new = minimise(gram, right, l1[open_], l2[open_], beta[open_], free[open_])
+        change = np.abs(new - beta[open_]).max(axis=1)
+        beta[open_] = np.clip(new, -30, 30)
+        open_ = open_[change > tol]
+        if not len(open_):
             break
-    return [{"intercept": float(beta[f, 0]), "coef": beta[f, 1:], "mean": mean[f], "sd": sd[f], "converged": f not in open_} for f in range(len(fits))]
+    left = set(open_.tolist())
+    return [{"intercept": float(beta[f, 0]), "coef": beta[f, 1:], "mean": mean[f], "sd": sd[f], "converged": f not in left} for f in range(len(fits))]
 
 
-def fit_firth(rows: DataFrame, rounds: int = 25, tol: float = 1e-4) -> dict:
+def fit_firth(rows: DataFrame, rounds: int = 25, tol: float = 1e-4, weight: str | None = None) -> dict:
     """ML-05: Firth-penalised logistic fit of ``event, features``: class-balanced weights that add up to n.
 
-    Each step takes two passes: the information matrix, then the score with the
-    hat values as correction.
+    ``weight`` names a column that says how often a row counts. Each step takes
+    two passes: the information matrix, then the score with the hat values as
+    correction.
     """
-    c = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e")).first()
+    times = F.col(weight) if weight else F.lit(1)
+    c = rows.agg(F.sum(times).alias("n"), F.sum(F.col("event") * times).alias("e")).first()
     n, e = c["n"], c["e"]
     if not e or e == n:
         raise ValueError("one class only")
-    weighted = rows.withColumn("weights", F.array(F.when(F.col("event") == 1, n / (2 * e)).otherwise(n / (2 * (n - e)))))
+    weighted = rows.withColumn("weights", F.array(times * F.when(F.col("event") == 1, n / (2 * e)).otherwise(n / (2 * (n - e))))).select("event", "features", "weights")
+    one = [Fit(0)]
     p = rows.select(F.size("features").alias("p")).first()["p"]
-    mean, sd = (v[0] for v in _centre(add_up(weighted, 1, _sums([0], None, None, None)), p))
+    mean, sd = (v[0] for v in _centre(add_up(weighted, 1, _sums(one, None, None, None)), p))
     beta = np.zeros(p + 1)
 
     def score(inverse: np.ndarray, b: np.ndarray):
@@ -201,7 +306,7 @@ def fit_firth(rows: DataFrame, rounds: int = 25, tol: float = 1e-4) -> dict:
         return run
 
     for _ in range(rounds):
-        s = add_up(weighted, 1, _sums([0], beta[None], mean[None], sd[None]))[0]
+        s = add_up(weighted, 1, _sums(one, beta[None], mean[None], sd[None]))[0]
         inverse = np.linalg.inv(s[: (p + 1) ** 2].reshape(p + 1, p + 1) + 1e-10 * np.eye(p + 1))
         step = np.clip(inverse @ add_up(weighted, 1, score(inverse, beta))[0], -5, 5)
         beta = beta + step
@@ -217,6 +322,17 @@ def model_table(spark, name: str, features: list[str], fit: dict) -> DataFrame:
     return spark.createDataFrame(rows, "model string, term string, coef double, mean double, sd double")
 
 
+def model_from_table(model: DataFrame, name: str | None = None) -> tuple[list[str], dict]:
+    """SNK-07: feature names, in their order, and the fit of a model's rows; a missing or doubled intercept or term is an error."""
+    rows = (model if name is None else model.filter(F.col("model") == name)).collect()
+    heads = [r for r in rows if r["term"] == "(intercept)"]
+    terms = sorted((r for r in rows if r["term"] != "(intercept)"), key=lambda r: r["term"])
+    if len(heads) != 1 or len({r["term"] for r in terms}) != len(terms):
+        raise ValueError(f"{len(heads)} intercepts and {len(terms)} terms are not one model")
+    column = lambda c: np.array([r[c] for r in terms], float)
+    return [r["term"] for r in terms], {"intercept": heads[0]["coef"], "coef": column("coef"), "mean": column("mean"), "sd": column("sd")}
+
+
 def predict_linear(long: DataFrame, model: DataFrame, key: str, missing: str = "null") -> DataFrame:
     """ML-10: probability of each model for rows ``key, feature, value``; a missing term gives null, or its mean counts."""
     from riskloom.functions.scalars import sigmoid
@@ -231,26 +347,29 @@ def predict_linear(long: DataFrame, model: DataFrame, key: str, missing: str = "
     return full.select(key, "model", (F.when(F.col("_have") == F.col("_need"), p) if missing == "null" else p).alias("p"))
 
 
-def replicate_scores(rows: DataFrame, fits: list[Fit], fitted: list[dict], held_out: bool = False) -> DataFrame:
-    """``fit, id, event, weight, p``: every row scored by every fit in one pass; with ``held_out`` only rows that the fit left out."""
+def replicate_scores(rows: DataFrame, fits: list[Fit], fitted: list[dict], held_out: bool = False, shuffle: Shuffle | None = None) -> DataFrame:
+    """``fit, id, event, weight, p``: every row scored by every fit in one pass; with ``held_out`` only rows that the fit left out.
+
+    ``event`` is the label as the fit sees it.
+    """
     scale = np.array([f["coef"] / f["sd"] for f in fitted])
     base = np.array([f["intercept"] for f in fitted])
     mean = np.array([f["mean"] for f in fitted])
-    positions = [f.weight for f in fits]
     types = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, w = matrix(batch.column("features")), matrix(batch.column("weights"))
-            for f, position in enumerate(positions):
-                use = np.flatnonzero(w[:, position] == 0) if held_out else np.arange(len(w))
-                p = 1 / (1 + np.exp(-np.clip(base[f] + np.nan_to_num(x[use] - mean[f]) @ scale[f], -500, 500)))
-                at = pa.array(use)
+            view = Batch(batch, shuffle)
+            for f, fit in enumerate(fits):
+                w, y = view.training(fit)
+                use = view.held_out(fit)[0] if held_out else np.arange(batch.num_rows)
+                p = 1 / (1 + np.exp(-np.clip(base[f] + np.nan_to_num(view.x[use] - mean[f]) @ scale[f], -500, 500)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(use), f), pa.int32()), batch.column("id").take(at), batch.column("event").take(at).cast(pa.int32()), pa.array(w[use, position]), pa.array(p)],
+                    [pa.array(np.full(len(use), f), pa.int32()), batch.column("id").take(pa.array(use)), pa.array(y[use].astype(np.int32)), pa.array(w[use]), pa.array(p)],
                     names=["fit", "id", "event", "weight", "p"],
                 )
 
-    return rows.select("id", "event", "features", "weights").mapInArrow(run, f"fit int, id {types['id']}, event int, weight double, p double")
+    read = [c for c in ("id", "event", "features", "weights", "codes", "number") if c in rows.columns]
+    return rows.select(*read).mapInArrow(run, f"fit int, id {types['id']}, event int, weight double, p double")

@@ -68,12 +68,21 @@ def monte_carlo_cv(rows: DataFrame, reps: int, frac: float = 0.3, c: float = 1.0
     return _spread(each, "auc").crossJoin(F.broadcast(each.agg(F.avg("brier").alias("mean_brier"))))
 
 
+def _coded(rows: DataFrame, splits: int, c: float, l1_ratio: float, position: int = 0) -> DataFrame:
+    """``fit, id, event, p`` of the rows that each value of a code holds out."""
+    fits = [Fit(None, c, l1_ratio, ((position, r),)) for r in range(splits)]
+    return replicate_scores(rows, fits, fit_logistic_replicates(rows, fits), held_out=True)
+
+
 def leave_out_evaluation(rows: DataFrame, group: str, c: float = 1.0, l1_ratio: float = 0.0, boot: int = 20, seed=0) -> DataFrame:
-    """EV-19: each group of ``group`` (or each row, with a unique one) is scored by a fit on the others; one pooled AUC, interval and Brier score."""
-    folds = R.leave_one_group_out(rows, group)
+    """EV-19: each group of ``group`` (or each row, with a unique one) is scored by a fit on the others; one pooled AUC, interval and Brier score.
+
+    A row carries the number of its group, whatever the number of groups. Rows without a group are an error.
+    """
+    folds = kept(R.leave_one_group_out(rows, group))
     n = folds.count()
-    test = rows.select("id", group).join(folds, group).select("id", F.col("fold").cast("int").alias("rep"))
-    scores = _held_out(_split_rows(rows.drop(group), test, n), n, c, l1_ratio)
+    codes = rows.select("id", group).join(folds, group).select("id", F.array(F.col("fold").cast("int")).alias("codes"))
+    scores = kept(_coded(M.coded_rows(rows.drop(group), codes), n, c, l1_ratio))
     pooled = bootstrap_auc_interval(scores, "event", "p", "id", boot, seed)
     return pooled.crossJoin(F.broadcast(A.proper_scores(scores, "event", "p").select("brier"))).withColumn("folds", F.lit(n))
 
@@ -86,16 +95,16 @@ def oof_summary(scores: DataFrame, boot: int = 20, seed=0) -> DataFrame:
     return folds.crossJoin(F.broadcast(bootstrap_auc_interval(pooled, "event", "p", "id", boot, seed).drop("valid").withColumnsRenamed(names)))
 
 
-def repeated_folds(rows: DataFrame, k: int, repeats: int, seed=0) -> tuple[DataFrame, int]:
-    """Rows with a weight per fold of each repeat."""
-    folds = R.repeated_kfold(rows, "id", "event", k, repeats, seed)
-    return _split_rows(rows, folds.select("id", (F.col("rep") * k + F.col("fold")).cast("int").alias("rep")), k * repeats), k * repeats
-
-
-def repeated_cv_evaluation(rows: DataFrame, k: int = 5, repeats: int = 2, c: float = 1.0, l1_ratio: float = 0.0, boot: int = 20, seed=0) -> DataFrame:
-    """EV-20: repeated stratified cross-validation with train-only preprocessing."""
-    splits, n = repeated_folds(rows, k, repeats, seed)
-    return oof_summary(_held_out(splits, n, c, l1_ratio), boot, seed)
+def repeated_cv_evaluation(rows: DataFrame, k: int = 5, repeats: int = 2, c: float = 1.0, l1_ratio: float = 0.0, boot: int = 20, seed=0, grid: list | None = None, inner: int = 3) -> DataFrame:
+    """EV-20: repeated stratified cross-validation with train-only preprocessing; with ``grid`` each outer fold is tuned on its own training rows."""
+    if grid:
+        scores = M.nested_oof_predictions(rows, k, grid, inner, repeats, seed).withColumn("fit", F.col("rep") * k + F.col("fold"))
+        return oof_summary(kept(scores.select("fit", "id", "event", "p")), boot, seed)
+    dealt = R.repeated_kfold(rows, "id", "event", k, repeats, seed)
+    codes = dealt.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "fold"))), lambda x: x["fold"]).alias("codes"))
+    coded = M.coded_rows(rows, codes)
+    fits = [Fit(None, c, l1_ratio, ((r, f),)) for r in range(repeats) for f in range(k)]
+    return oof_summary(kept(replicate_scores(coded, fits, fit_logistic_replicates(coded, fits), held_out=True)), boot, seed)
 
 
 def validation_suite(rows: DataFrame, methods: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -163,25 +172,43 @@ def nested_selection_cv(long: DataFrame, k: int = 3, repeats: int = 1, reps: int
     return oof_summary(kept(scores), seed=seed), A.selection_frequency(picks, "run", "feature")
 
 
-def component_ensemble(rows: DataFrame, k: int = 3, bags: int = 1, seed=0) -> DataFrame:
-    """ML-13: per fold and bag a tuned logistic model, the best ridge, a Firth fit and boosted trees; probabilities averaged, ``id, event, p``."""
-    folds = kept(R.stratified_kfold(rows, "id", "event", k, seed).select("id", "fold"))
-    votes = None
-    for f in range(k):
-        test = kept(rows.join(folds.filter(F.col("fold") == f).select("id"), "id", "left_semi"))
-        train = kept(rows.join(test.select("id"), "id", "left_anti"))
-        for b in range(bags):
-            bag = train
-            if bags > 1:
-                picked = R.bootstrap_weights(train, "id", "event", 1, f"{seed}|{f}|{b}").filter("weight > 0").select("id", "weight")
-                # a row drawn n times is n rows of the bag
-                bag = kept(train.join(picked, "id").withColumn("_n", F.explode(F.sequence(F.lit(1), "weight"))).drop("_n", "weight"))
-            tuned = M.tune_grid(bag, list(GRID), 3, f"{seed}|{f}|{b}").first()
-            ridge = M.tune_grid(bag, [(0.01, 0.0), (0.1, 0.0), (1.0, 0.0)], 3, f"{seed}|{f}|{b}|r").first()
-            fits = [M.fit_logistic(bag, tuned["c"], tuned["l1_ratio"]), M.fit_logistic(bag, ridge["c"], 0.0), fit_firth(bag)]
-            parts = [test.select("id", "event", M.linear_p(fit).alias("p")) for fit in fits] + [M.ml_scores(M.fit_boosted(bag, 5, seed=f"{seed}|{f}|{b}"), test)]
-            for part in parts:
-                votes = part if votes is None else votes.unionByName(part)
+RIDGES = ((0.01, 0.0), (0.1, 0.0), (1.0, 0.0))
+
+
+def component_ensemble(rows: DataFrame, k: int = 3, bags: int = 1, seed=0, inner: int = 3, rounds: int = 5) -> DataFrame:
+    """ML-13: per fold and bag a tuned logistic model, the best ridge, a Firth fit and boosted trees; probabilities averaged, ``id, event, p``.
+
+    A bag is a weight per row - how often it was drawn from the fold's training
+    rows - so a row is in one inner fold only, and what judges a fit never trained
+    it. Folds, bags, inner folds and grids are fitted together.
+    """
+    coded = M.nested_codes(rows, k, inner, 1, seed)
+    if bags > 1:
+        draws = None
+        for f in range(k):
+            train = coded.filter(F.col("codes")[0] != f)
+            for b in range(bags):
+                one = R.bootstrap_weights(train, "id", "event", 1, f"{seed}|{f}|{b}").select(F.lit(f * bags + b).alias("rep"), "id", "weight")
+                draws = one if draws is None else draws.unionByName(one)
+        coded = kept(M.with_weights(coded, draws, k * bags))
+    tasks = [(f, b) for f in range(k) for b in range(bags)]
+    place = lambda f, b: f * bags + b if bags > 1 else None
+
+    def tuned(grid) -> list[Fit]:
+        fits = [Fit(place(f, b), *pair, ((0, f), (1, g))) for f, b in tasks for pair in grid for g in range(inner)]
+        won = M.best_trials(replicate_scores(coded, fits, fit_logistic_replicates(coded, fits), held_out=True), tasks, len(grid), inner)
+        return [Fit(place(f, b), *grid[i], ((0, f),)) for (f, b), i in zip(tasks, won, strict=True)]
+
+    last = tuned(GRID) + tuned(RIDGES)
+    votes = replicate_scores(coded, last, fit_logistic_replicates(coded, last), held_out=True).select("id", "event", "p")
+    for f, b in tasks:
+        test, train = coded.filter(F.col("codes")[0] == f), coded.filter(F.col("codes")[0] != f)
+        times = None
+        if bags > 1:
+            train, times = train.withColumn("_times", F.get("weights", F.lit(f * bags + b))).filter("_times > 0"), "_times"
+        parts = [test.select("id", "event", M.linear_p(fit_firth(train, weight=times)).alias("p")), M.ml_scores(M.fit_boosted(train, rounds, seed=f"{seed}|{f}|{b}", weight=times), test)]
+        for part in parts:
+            votes = votes.unionByName(part)
     return M.soft_vote(votes)
 
 
