@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: words that are titles, flags and textures as text
-HONORIFICS = ("m", "mr", "mrs", "ms", "mme", "mlle", "mle", "dr", "prof", "monsieur", "madame")
+# fixed values: words that are titles (of the spaced and of the joined form), flags and textures as text
+HONORIFICS = ("mr", "mrs", "ms", "mme", "mlle", "mle", "dr", "prof", "monsieur", "madame", "m", "mme.", "mlle.", "mr.", "mrs.", "dr.", "prof.")
+JOINED_HONORIFICS = ("mr", "mrs", "ms", "mme", "mlle", "dr", "prof", "m", "mme.", "mlle.", "monsieur", "madame", "doctor", "docteur", "docteure", "professeur")
 MALE_WORDS = ("m", "male", "homme", "h", "masculin", "man")
 FEMALE_WORDS = ("f", "female", "femme", "feminin", "féminin", "woman")
 YES_WORDS = ("true", "1", "oui", "yes", "y")
@@ -53,8 +54,8 @@ def canonical_tokens(c, drop: tuple[str, ...] = HONORIFICS) -> Column:
 
 
 def canonical_id(c, joiner: str = "") -> Column:
-    """FN-01a/b: identifier without accents, case, punctuation and titles."""
-    return F.array_join(canonical_tokens(c), joiner)
+    """FN-01a/b: identifier without accents, case, punctuation and titles; the joined and the spaced form each have their own titles."""
+    return F.array_join(canonical_tokens(c, HONORIFICS if joiner else JOINED_HONORIFICS), joiner)
 
 
 def canonical_name(c) -> Column:

@@ -118,10 +118,13 @@ def risk_strata(df: DataFrame, event: str, group: Column) -> DataFrame:
 
 
 def score_summary(df: DataFrame, event: str, p: str, *by: str) -> DataFrame:
-    """AG-09."""
-    return df.groupBy(*by).agg(
-        F.avg(p).alias("mean"), F.percentile(p, 0.5).alias("median"), F.percentile(p, 0.05).alias("q05"), F.percentile(p, 0.95).alias("q95"), F.avg(event).alias("observed")
-    )
+    """AG-09: mean, median and outer percentiles of a score, and the observed rate; percentiles come from counts by score."""
+    from riskloom.operators.order import exact_percentiles
+
+    means = df.groupBy(*by).agg(F.avg(p).alias("mean"), F.avg(event).alias("observed"))
+    cuts = exact_percentiles(df, p, {"median": 0.5, "q05": 0.05, "q95": 0.95}, list(by))
+    both = means.join(cuts, list(by)) if by else means.crossJoin(F.broadcast(cuts))  # one row each
+    return both.select(*by, "mean", "median", "q05", "q95", "observed")
 
 
 def replicate_summary(long: DataFrame, *by: str) -> DataFrame:
@@ -171,6 +174,11 @@ def selection_frequency(df: DataFrame, run: str, feature: str) -> DataFrame:
     return df.groupBy(feature).agg(F.countDistinct(run).alias("times")).crossJoin(F.broadcast(runs)).select(feature, "times", (F.col("times") / F.col("_runs")).alias("frequency"))
 
 
+def threshold_summary(cuts: DataFrame, t: str = "t") -> DataFrame:
+    """AG-16: smallest, median and largest threshold over runs."""
+    return cuts.agg(F.min(t).alias("low"), F.percentile(t, 0.5).alias("median"), F.max(t).alias("high"), F.count(t).alias("runs"))
+
+
 def spread_summary(df: DataFrame, value: str, *by: str) -> DataFrame:
     """AG-17, AG-21: mean, SD, smallest and largest value."""
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"))

@@ -22,6 +22,12 @@ def require_columns(df: DataFrame, cols: list[str]) -> None:
         raise ContractError(f"missing columns: {', '.join(missing)}")
 
 
+def column_coverage(df: DataFrame, cols: list[str]) -> DataFrame:
+    """CHK-01: ``name, known`` of each required column: its rows that are not null, null for a column that is not there."""
+    counts = df.agg(*[F.count(c).alias(c) if c in df.columns else F.lit(None).cast("long").alias(c) for c in cols])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("known")) for c in cols])).alias("c")).select("c.*")
+
+
 def bad_ids(df: DataFrame, key: str, pattern: str) -> DataFrame:
     """CHK-02: ids that the whole-string pattern does not match, nulls included."""
     return df.filter(F.col(key).isNull() | ~F.col(key).cast("string").rlike(f"^(?:{pattern})$")).select(key)

@@ -116,6 +116,14 @@ def bootstrap_auc_interval(df: DataFrame, event: str, score: str, key: str, reps
     return interval(r, f"in_{score}").crossJoin(F.broadcast(auc(df, event, score).select("auc")))
 
 
+def auc_by_domain(df: DataFrame, event: str, score: str, domain: str, key: str, reps: int, seed=0) -> DataFrame:
+    """EV-02: ``domain, auc, pos, neg, low, high, valid``: AUC of each domain with its interval over replicates drawn by class inside each domain."""
+    strata = df.withColumn("_stratum", F.concat_ws("|", F.col(domain).cast("string"), F.col(event).cast("string")))
+    w = bootstrap_weights(strata, key, "_stratum", reps, seed).select("rep", key, "weight")
+    each = auc(df.select(key, event, score, domain).join(w, key), event, score, ["rep", domain], "weight")
+    return auc(df, event, score, [domain]).join(interval(each, "auc", domain), domain, "left")
+
+
 def paired_auc_delta(df: DataFrame, event: str, a: str, b: str, key: str, reps: int, seed=0) -> DataFrame:
     """EV-05: observed difference, percentile interval, p = 2 min(P(d <= 0), P(d >= 0)) capped at 1."""
     d = replicate_aucs(df, event, [a, b], key, reps, seed).select((F.col(f"in_{a}") - F.col(f"in_{b}")).alias("d"))
@@ -262,18 +270,50 @@ def roc_band(df: DataFrame, event: str, score: str, key: str, reps: int, seed=0,
     return all_.groupBy("g").agg(F.percentile("tpr", 0.5).alias("median"), F.percentile("tpr", 0.025).alias("low"), F.percentile("tpr", 0.975).alias("high")).withColumn("fpr", F.col("g") / steps)
 
 
-def evaluate_score(df: DataFrame, event: str, p: str) -> DataFrame:
-    """EV-16: one row of discrimination, calibration and proper scores."""
+def risk_limits(df: DataFrame, event: str, p: str, least_share: float = 0.05, least: int = 5) -> tuple[float, float]:
+    """Limits of low and high risk: the thresholds with the least and the largest Youden index, put in order; the percentiles 33 and 66 where a group would be too small."""
+    from riskloom.operators.order import exact_percentiles, threshold_sweep
+
+    known = df.filter(F.col(p).isNotNull() & F.col(event).isNotNull())
+    y = F.round(F.col("sensitivity") + F.col("specificity") - 1, 12)
+    # of equal ones the smallest threshold
+    best = threshold_sweep(known, event, p).filter(y.isNotNull()).agg(
+        F.min(F.struct(y.alias("y"), "threshold")).alias("least"), F.max(F.struct(y.alias("y"), (-F.col("threshold")).alias("t"))).alias("most")
+    ).first()
+    if best["least"] is not None:
+        low, high = sorted((best["least"]["threshold"], -best["most"]["t"]))
+        r = known.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(p) <= low).alias("low"), F.count_if(F.col(p) > high).alias("high")).first()
+        if min(r["low"], r["high"]) >= max(least, int(least_share * r["n"])):
+            return low, high
+    return tuple(exact_percentiles(known, p, {"low": 0.33, "high": 0.66}).first())
+
+
+def evaluate_score(df: DataFrame, event: str, p: str, key: str | None = None, reps: int = 20, seed=0) -> DataFrame:
+    """EV-16: one row of discrimination, calibration, proper scores, operating point and risk strata.
+
+    ``n, events, auc`` (with ``key`` its bootstrap interval ``auc_low, auc_high``),
+    Brier and other proper scores, calibration error, intercept and slope, the
+    Youden point with its sensitivity and specificity, the limits of low and high
+    risk, and ``strata``: n, events and rate of each risk group. Rows without an
+    event or score are left out; with one class what needs two is null.
+    """
     from riskloom.operators import aggregates as A
+    from riskloom.operators.calibrate import calibration_slope
     from riskloom.operators.order import youden_point
 
+    df = df.filter(F.col(p).isNotNull() & F.col(event).isNotNull())
+    low, high = risk_limits(df, event, p)
+    group = F.when(F.col(p) <= low, "low").when(F.col(p) <= high, "intermediate").otherwise("high")
+    strata = A.risk_strata(df, event, group).agg(F.array_sort(F.collect_list(F.struct("position", "risk", "n", "events", "rate"))).alias("strata"))
     parts = [
-        auc(df, event, p), A.proper_scores(df, event, p), A.calibration_error(df, event, p), A.score_summary(df, event, p).select("mean", "observed"),
-        youden_point(df, event, p).select(F.col("threshold").alias("youden_threshold"), "youden"),
+        auc(df, event, p), df.agg(F.count(F.lit(1)).alias("n"), F.sum(event).cast("long").alias("events")), A.proper_scores(df, event, p).drop("n", "events"), A.calibration_error(df, event, p),
+        A.score_summary(df, event, p).select("mean", "observed"), calibration_slope(df, event, p),
+        youden_point(df, event, p).select(F.col("threshold").alias("youden_threshold"), "youden", F.col("tpr").alias("youden_sensitivity"), (1 - F.col("fpr")).alias("youden_specificity")),
+        strata.select(F.lit(low).alias("low_threshold"), F.lit(high).alias("high_threshold"), "strata"),
     ]
+    if key:
+        parts.append(bootstrap_auc_interval(df, event, p, key, reps, seed).select(F.col("low").alias("auc_low"), F.col("high").alias("auc_high")))
     out = parts[0]
     for part in parts[1:]:
         out = out.crossJoin(F.broadcast(part))  # one row each
     return out
-
-

@@ -157,11 +157,23 @@ def join_extra_docs(df: DataFrame, docs: DataFrame, key: str, field: str) -> Dat
     return df.join(docs.select(key, field), key, "left").withColumn(field, F.coalesce(field, F.lit("Unknown")))
 
 
-def filter_flagged(df: DataFrame, flags: DataFrame, key: str, flag: str) -> DataFrame:
-    """PRD-01: rows whose joined flag says yes."""
+def _flagged(df: DataFrame, flags: DataFrame, key: str, flag: str) -> DataFrame:
     text = F.lower(F.trim(F.col("_flag").cast("string")))
-    kept = df.join(flags.select(key, F.col(flag).alias("_flag")), key, "left").filter(text.isin("1", "true", "yes", "1.0"))
-    return kept.drop("_flag")
+    joined = df.join(flags.select(key, F.col(flag).alias("_flag")), key, "left")
+    return joined.withColumn("_yes", F.coalesce(text.isin("1", "true", "yes", "1.0"), F.lit(False))).drop("_flag")
+
+
+def filter_flagged(df: DataFrame, flags: DataFrame, key: str, flag: str, check: bool = False) -> DataFrame:
+    """PRD-01: rows whose joined flag says yes; with ``check`` none is an error that tells how many were dropped."""
+    marked = _flagged(df, flags, key, flag)
+    if check and (r := flagged_report(df, flags, key, flag).first())["kept"] == 0:
+        raise ContractError(f"no row is flagged; dropped {r['dropped']}")
+    return marked.filter("_yes").drop("_yes")
+
+
+def flagged_report(df: DataFrame, flags: DataFrame, key: str, flag: str) -> DataFrame:
+    """PRD-01: ``kept, dropped``."""
+    return _flagged(df, flags, key, flag).agg(F.count_if("_yes").alias("kept"), F.count_if(~F.col("_yes")).alias("dropped"))
 
 
 def complete_case(df: DataFrame, cols: list[str]) -> DataFrame:

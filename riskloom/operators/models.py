@@ -307,6 +307,35 @@ def compare_models(rows: DataFrame, specs: dict, k: int = 3, seed=0) -> DataFram
     return auc(scored.withColumn("model", F.get(names, (F.col("fit") / k).cast("int"))), "event", "p", ["model"]).select("model", "auc", "pos", "neg")
 
 
+def compare_feature_sets(long: DataFrame, sets: dict[str, list], k: int = 3, least: int = 20, c: float = 1.0, l1_ratio: float = 0.0, seed=0) -> DataFrame:
+    """ML-14: ``model, features, n, events, auc, brier, skipped`` of named feature sets on the ids that have all their features.
+
+    A feature is a mask of one shared vector, so all sets and folds are fitted
+    together. Where fewer than ``least`` ids are complete, or a class has fewer than
+    two, no set is fitted; a set none of whose features is known is skipped alone.
+    """
+    from riskloom.operators.aggregates import proper_scores
+
+    spark = long.sparkSession
+    named = long.select("id", "event", F.col("feature").cast("string").alias("feature"), "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    wanted = sorted({str(f) for fs in sets.values() for f in fs})
+    have = sorted(r["feature"] for r in named.filter(F.col("feature").isin(wanted)).select("feature").distinct().collect())
+    rows = vector_rows(named.filter(F.col("feature").isin(have))).filter(F.size("features") == len(have)) if have else None
+    masks = {name: tuple(have.index(str(f)) for f in fs if str(f) in have) for name, fs in sets.items()}
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("event").alias("e")).first() if rows is not None else {"n": 0, "e": 0}
+    n, e = counts["n"], counts["e"] or 0
+    run = [name for name in sets if masks[name] and n >= least and min(e, n - e) >= 2]
+    about = spark.createDataFrame([(name, len(masks[name]), n, int(e), name not in run) for name in sets], "model string, features int, n long, events long, skipped boolean")
+    if not run:
+        return about.select("model", "features", "n", "events", F.lit(None).cast("double").alias("auc"), F.lit(None).cast("double").alias("brier"), "skipped")
+    folded = fold_rows(kept(rows), k, seed)
+    fits = [Fit(None, c, l1_ratio, ((0, f),), mask=masks[name]) for name in run for f in range(k)]
+    scored = replicate_scores(folded, fits, fit_logistic_replicates(folded, fits), held_out=True)
+    named_scores = kept(scored.withColumn("model", F.get(F.array(*[F.lit(x) for x in run]), (F.col("fit") / k).cast("int"))))
+    found = auc(named_scores, "event", "p", ["model"]).select("model", "auc").join(proper_scores(named_scores, "event", "p", "model").select("model", "brier"), "model")
+    return about.join(found, "model", "left").select("model", "features", "n", "events", "auc", "brier", "skipped")
+
+
 def evaluate_resampled(rows: DataFrame, reps: int, c: float = 1.0, l1_ratio: float = 0.0, seed=0) -> DataFrame:
     """EV-13: in-bag and out-of-bag AUC of refitted models per bootstrap replicate, with the .632+ estimate."""
     from riskloom.operators.evaluate import auc_632plus

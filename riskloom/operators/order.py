@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riskloom.functions.scalars import wilson_interval
 from riskloom.operators.aggregates import rates
 from riskloom.sources.scratch import kept
 
@@ -50,9 +51,11 @@ def ordered_cumsum(df: DataFrame, order: str, sums: list[str], by: list[str] | N
     totals = parts.groupBy(*by, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     range_sort = F.col("_range").desc() if descending else F.col("_range").asc()
     before = Window.partitionBy(*by or [F.lit(0)]).orderBy(range_sort).rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums])
+    keys = [*by, "_range"]
+    base = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_b_{s}") for s in sums])
     local = parts.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums})
-    joined = local.join(base, [*by, "_range"])
+    # a null group is a group
+    joined = local.join(base, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).drop(*[f"_k{i}" for i in range(len(keys))])
     return joined.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_b_{s}") for s in sums}).drop("_range", *[f"_b_{s}" for s in sums])
 
 
@@ -143,9 +146,38 @@ def youden_point(df: DataFrame, event: str, score: str, by: list[str] | None = N
     return c.groupBy(*by).agg(F.max_by(F.struct("threshold", "tpr", "fpr", "youden"), key).alias("_w")).select(*by, "_w.*")
 
 
+def exact_percentiles(df: DataFrame, col: str, probs: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """``by..., <name>...``: exact percentiles, between neighbours by their distance, from rows counted by value.
+
+    Values are ordered in ranges, so no group's values meet in one task. Nulls don't count.
+    """
+    by = by or []
+    counts = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    totals = counts.groupBy(*by).agg(F.sum("_c").alias("_total"))
+    cums = ordered_cumsum(counts, "_v", ["_c"], by)
+    same = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+    named = totals.select(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)], "_total")
+    condition = same[0] if same else None
+    for s in same[1:]:
+        condition = condition & s
+    placed = cums.join(named, condition) if by else cums.crossJoin(F.broadcast(named))  # one row
+    at = lambda rank: F.max(F.when((F.col("cum__c") > rank) & (F.col("cum__c") - F.col("_c") <= rank), F.col("_v")))
+    place = lambda q: F.lit(q) * (F.col("_total") - 1)
+    ends = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *[at(F.floor(place(q))).alias(f"_lo_{n}") for n, q in probs.items()], *[at(F.ceil(place(q))).alias(f"_hi_{n}") for n, q in probs.items()])
+    part = lambda q: place(q) - F.floor(place(q))
+    return ends.select(*by, *[((1 - part(q)) * F.col(f"_lo_{n}") + part(q) * F.col(f"_hi_{n}")).alias(n) for n, q in probs.items()])
+
+
 def tertile_cuts(df: DataFrame, score: str) -> DataFrame:
     """WN-05: the fallback cuts at the tertiles."""
-    return df.agg(F.percentile(score, 1 / 3).alias("low"), F.percentile(score, 2 / 3).alias("high"))
+    return exact_percentiles(df, score, {"low": 1 / 3, "high": 2 / 3})
+
+
+def _bin_rows(rows: DataFrame, b: Column, event: str, score: str) -> DataFrame:
+    """n, events, mean score, rate and its Wilson interval of each bin."""
+    sums = rows.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(event).cast("long").alias("events"), F.avg(score).alias("mean_score"), F.avg(event).alias("rate"))
+    low, high = wilson_interval("events", "n")
+    return sums.withColumns({"low": low, "high": high})
 
 
 def numbered(df: DataFrame, order: str, tie: str, out: str = "position") -> DataFrame:
@@ -185,23 +217,23 @@ def place_in_order(df: DataFrame, order: list, out: str) -> DataFrame:
 
 
 def quantile_bins(df: DataFrame, event: str, score: str, k: int, tie: str) -> DataFrame:
-    """WN-06: bins of equal size in score order (the first ones take one row more), with n, events and mean score."""
+    """WN-06: bins of equal size in score order (the first ones take one row more), with n, events, mean score, rate and its Wilson interval."""
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     rows = numbered(df, score, tie, "_pos").crossJoin(F.broadcast(total))
     size, extra = F.floor(F.col("_total") / k), F.col("_total") % k
     edge = (size + 1) * extra
     b = F.when(F.col("_pos") <= edge, F.ceil(F.col("_pos") / (size + 1))).otherwise(extra + F.ceil((F.col("_pos") - edge) / size))
-    return rows.groupBy(b.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(event).cast("long").alias("events"), F.avg(score).alias("mean_score"), F.avg(event).alias("rate"))
+    return _bin_rows(rows, b.cast("int"), event, score)
 
 
 def quantile_edge_bins(df: DataFrame, event: str, score: str, k: int) -> DataFrame:
     """WN-06: bins between quantile edges, right-closed, equal edges dropped."""
-    probs = [i / k for i in range(1, k)]
-    edges = sorted(set(df.select(F.percentile(score, probs).alias("e")).first()["e"]))
+    found = exact_percentiles(df, score, {f"e{i}": i / k for i in range(1, k)}).first()
+    edges = sorted({e for e in (found or []) if e is not None})
     b = F.lit(0)
     for e in edges:
         b = b + (F.col(score) > e).cast("int")
-    return df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum(event).cast("long").alias("events"), F.avg(score).alias("mean_score"), F.avg(event).alias("rate"))
+    return _bin_rows(df, b, event, score)
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame, bool]]:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from riskloom.operators.aggregates import column_profile, selection_frequency
 from riskloom.operators.joins import small
-from riskloom.operators.order import midrank
+from riskloom.operators.order import exact_percentiles, midrank
 from riskloom.operators.resample import class_order
 from riskloom.operators.solver import add_up, coordinate_descent, matrix, packed
 
@@ -20,8 +20,11 @@ from riskloom.operators.solver import add_up, coordinate_descent, matrix, packed
 def impute(long: DataFrame, strategy: str = "median", fitted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """FS-02: nulls replaced by the feature's median, mean or mode, learned here or given as ``feature, fill``."""
     if fitted is None:
-        how = {"median": F.percentile("value", 0.5), "mean": F.avg("value"), "mode": F.mode("value")}[strategy]
-        fitted = long.groupBy("feature").agg(how.alias("fill"))
+        if strategy == "median":
+            fitted = exact_percentiles(long, "value", {"fill": 0.5}, ["feature"])
+        else:
+            how = {"mean": F.avg("value"), "mode": F.mode("value")}[strategy]
+            fitted = long.groupBy("feature").agg(how.alias("fill"))
     return long.join(small(fitted), "feature", "left").withColumn("value", F.coalesce("value", "fill")).drop("fill"), fitted
 
 
@@ -242,19 +245,18 @@ def consensus_features(selected: DataFrame, least: float, cap: int) -> DataFrame
 
 
 def lasso_path(rows: DataFrame, features: list[str], target: str, lambdas: list[float]) -> DataFrame:
-    """FS-16: squared-loss lasso coefficients on a grid, from one distributed Gram matrix of standardised features."""
-    cols = [*features, target]
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    z = [(F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0) for i, c in enumerate(features)]
-    y = F.col(target) - stats[f"m{len(features)}"]
+    """FS-16: squared-loss lasso coefficients on a grid, from one distributed matrix of sums of standardised features. Rows with a null are left out."""
     p = len(features)
-    sums = [F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)] + [F.sum(z[i] * y).alias(f"r{i}") for i in range(p)]
-    s, n = rows.agg(*sums).first(), stats["n"]
+    vectors = rows.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([*features, target])]).dropna().select(F.array(*[F.col(f"c{i}") for i in range(p + 1)]).alias("features"))
+    n, x, _, _, _, xy = moment_sums(vectors, p + 1)
+    size = max(float(n[0, 0]), 1.0)
+    mean = np.diag(x) / size
+    cov = xy / size - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0))
+    sd[sd < 1e-12] = 1.0
     gram, right = np.eye(p + 1), np.zeros(p + 1)
-    for i in range(p):
-        right[i + 1] = s[f"r{i}"] / n
-        for j in range(i, p):
-            gram[i + 1, j + 1] = gram[j + 1, i + 1] = s[f"g{i}_{j}"] / n
+    gram[1:, 1:] = cov[:p, :p] / np.outer(sd[:p], sd[:p])
+    right[1:] = cov[:p, p] / sd[:p]
     out, beta = [], np.zeros(p + 1)
     for lam in sorted(lambdas, reverse=True):
         beta = coordinate_descent(gram, right, lam, 0.0, beta)

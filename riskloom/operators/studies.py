@@ -22,7 +22,7 @@ from riskloom.operators import screen as FS
 from riskloom.operators.evaluate import auc, bootstrap_auc_interval, univariate_auc
 from riskloom.operators.solver import Fit, fit_firth, fit_logistic_replicates, replicate_scores
 from riskloom.sources.scratch import kept
-from riskloom.sources.tables import open_configurations
+from riskloom.sources.tables import commit_result, committed, configuration_key, open_configurations
 
 GRID = ((0.05, 0.0), (1.0, 0.0), (1.0, 0.5))
 
@@ -212,28 +212,41 @@ def component_ensemble(rows: DataFrame, k: int = 3, bags: int = 1, seed=0, inner
     return M.soft_vote(votes)
 
 
-def config_sweep(long: DataFrame, lambdas: list[float], thresholds: list[float], specs: dict[str, tuple[float, float]], done: DataFrame | None = None, reps: int = 4, k: int = 3, seed=0) -> DataFrame:
+SWEEP_KEY = ["lambda", "threshold", "model"]
+SWEEP = "lambda double, threshold double, model string, features int, auc double"
+
+
+def config_sweep(long: DataFrame, lambdas: list[float], thresholds: list[float], specs: dict[str, tuple[float, float]], done: DataFrame | None = None, reps: int = 4, k: int = 3, seed=0, store: str | None = None) -> DataFrame:
     """ML-15: out-of-fold AUC of each selection strength, frequency threshold and model, the best first.
 
     ``done`` (``lambda, threshold, model`` and results) names configurations that
-    have a result; they are not run again. A strength's selection is shared by its
-    thresholds, a panel's folds by its models.
+    have a result; they are not run again. With ``store`` each result is committed
+    there as it comes, and what is there is taken up, so a sweep that was killed goes
+    on behind its last result; all results are returned. A strength's selection is
+    shared by its thresholds, a panel's folds by its models.
     """
     long, spark = kept(_text_features(long)), long.sparkSession
-    schema = "lambda double, threshold double, model string"
-    grid = spark.createDataFrame([(float(a), float(t), m) for a in lambdas for t in thresholds for m in specs], schema)
+    grid = spark.createDataFrame([(float(a), float(t), m) for a in lambdas for t in thresholds for m in specs], "lambda double, threshold double, model string")
     if done is not None:
-        grid = open_configurations(grid, done, ["lambda", "threshold", "model"])
+        grid = open_configurations(grid, done, SWEEP_KEY)
+    before = None
+    if store:
+        before = kept(committed(spark, store, SWEEP))
+        grid = open_configurations(grid, before, SWEEP_KEY)
     todo: dict[float, dict[float, list[str]]] = {}
     for r in grid.orderBy("lambda", "threshold", "model").collect():
         todo.setdefault(r["lambda"], {}).setdefault(r["threshold"], []).append(r["model"])
-    out = spark.createDataFrame([], schema + ", features int, auc double")
+    out = spark.createDataFrame([], SWEEP) if before is None else before
     for strength, by_threshold in todo.items():
         freq = [(r["feature"], r["frequency"]) for r in M.stability_selection(long, reps, [strength], seed)[0].filter("not decoy").orderBy("feature").collect()]
         for threshold, names in by_threshold.items():
             panel = [f for f, share in freq if share >= threshold] or [max(freq, key=lambda x: x[1])[0]]
             result = M.compare_models(kept(M.vector_rows(_only(long, panel))), {n: specs[n] for n in names}, k, seed)
-            out = out.unionByName(result.select(F.lit(strength).alias("lambda"), F.lit(threshold).alias("threshold"), "model", F.lit(len(panel)).alias("features"), "auc"))
+            one = kept(result.select(F.lit(strength).alias("lambda"), F.lit(threshold).alias("threshold"), "model", F.lit(len(panel)).alias("features"), "auc"))
+            if store:
+                for name in names:
+                    commit_result(one.filter(F.col("model") == name), store, configuration_key({"lambda": strength, "threshold": threshold, "model": name}, SWEEP_KEY))
+            out = out.unionByName(one)
     return out.orderBy(F.desc("auc"), "lambda", "threshold", "model")
 
 

@@ -40,11 +40,13 @@ def crop(voxels: DataFrame, box: DataFrame, outside: float = -1024.0) -> DataFra
 
 def region_stats(voxels: DataFrame, voxel_ml: float = 0.001) -> DataFrame:
     """VX-03."""
-    v = F.col("value")
-    return voxels.filter("mask = 1").groupBy("case").agg(
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), F.percentile(v, 0.5).alias("median"), F.percentile(v, 0.05).alias("p5"),
-        F.percentile(v, 0.95).alias("p95"), F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * voxel_ml).alias("volume_ml"), F.min("i").alias("origin_i"),
+    from riskloom.operators.order import exact_percentiles
+
+    v, inside = F.col("value"), voxels.filter("mask = 1")
+    sums = inside.groupBy("case").agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * voxel_ml).alias("volume_ml"), F.min("i").alias("origin_i"),
     )
+    return sums.join(exact_percentiles(inside, "value", {"median": 0.5, "p5": 0.05, "p95": 0.95}, ["case"]), "case", "left")
 
 
 def axis_distribution(voxels: DataFrame, world) -> tuple[DataFrame, DataFrame]:

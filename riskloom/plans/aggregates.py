@@ -114,6 +114,12 @@ def ag16(spark, d):
     return A.selection_frequency(v, "run", "feature").withColumn("frequency", F.round("frequency", 6))
 
 
+@query("ag16_run_thresholds", f"WITH {LINES}, r AS (SELECT batch AS run, round(max(q) FILTER (WHERE event = 1), 6) AS t FROM lines GROUP BY batch) SELECT min(t) AS low, quantile_cont(t, 0.5) AS median, max(t) AS high, count(t) AS runs FROM r")
+def ag16t(spark, d):
+    runs = lines(spark, d).filter("event = 1").groupBy(F.col("batch").alias("run")).agg(F.round(F.max("q"), 6).alias("t"))
+    return A.threshold_summary(runs)
+
+
 @query("ag17_21_spread", f"WITH {vectors_sql()} SELECT feature, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS low, max(value) AS high FROM vectors GROUP BY feature")
 def ag17(spark, d):
     return A.spread_summary(vectors(spark, d), "value", "feature").select("feature", r6("mean", "mean"), r6("sd", "sd"), "low", "high")

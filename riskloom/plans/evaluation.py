@@ -37,6 +37,18 @@ def ev03(spark, d):
     return E.delong(lines(spark, d), "event", "p", "q").select(r6("auc_a", "auc_a"), r6("auc_b", "auc_b"), F.round("z", 4).alias("z"))
 
 
+_THREE = {"p": "va", "q": "vb", "(disc * 10 + tax)": "vc"}
+
+
+@query("ev03_delong_pairs", f"""WITH {LINES}, v AS (SELECT event, {", ".join(_placement(s, n) for s, n in _THREE.items())} FROM lines), l AS (SELECT event, unnest([{{'a': 'p', 'b': 'q', 'x': va, 'y': vb}}, {{'a': 'p', 'b': 'r', 'x': va, 'y': vc}}, {{'a': 'q', 'b': 'r', 'x': vb, 'y': vc}}]) AS u FROM v),
+s AS (SELECT u.a AS a, u.b AS b, event, avg(u.x) AS mx, avg(u.y) AS my, (var_samp(u.x) + var_samp(u.y) - 2 * covar_samp(u.x, u.y)) / count(*) AS part FROM l GROUP BY ALL)
+SELECT a, b, round(max(mx) FILTER (WHERE event = 1), 6) AS auc_a, round(max(my) FILTER (WHERE event = 1), 6) AS auc_b,
+  round((max(mx) FILTER (WHERE event = 1) - max(my) FILTER (WHERE event = 1)) / sqrt(sum(part)), 4) AS z FROM s GROUP BY a, b""")
+def ev03p(spark, d):
+    v = lines(spark, d).withColumn("r", F.col("disc") * 10 + F.col("tax"))
+    return E.delong_pairs(v, "event", ["p", "q", "r"]).select("a", "b", r6("auc_a", "auc_a"), r6("auc_b", "auc_b"), F.round("z", 4).alias("z"))
+
+
 _REP = f"""x AS (SELECT rep, event, score, weight FROM boot WHERE weight > 0), c AS (SELECT rep, score, sum(CASE WHEN event = 1 THEN weight ELSE 0 END) AS pos, sum(CASE WHEN event = 0 THEN weight ELSE 0 END) AS neg FROM x GROUP BY ALL),
 i AS (SELECT rep, pos, neg, sum(neg) OVER (PARTITION BY rep ORDER BY score) AS cum FROM c), ins AS (SELECT rep, sum(pos * (cum - neg / 2)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS a FROM i GROUP BY rep),
 y AS (SELECT rep, score, sum(event) AS pos, sum(1 - event) AS neg FROM boot WHERE weight = 0 GROUP BY ALL), o2 AS (SELECT rep, pos, neg, sum(neg) OVER (PARTITION BY rep ORDER BY score) AS cum FROM y),
@@ -98,7 +110,12 @@ def ev14(spark, d):
 
 @query("ev16_evaluate_score")
 def ev16(spark, d):
-    return E.evaluate_score(lines(spark, d), "event", "p")
+    return E.evaluate_score(lines(spark, d), "event", "p", "id", 4, "e")
+
+
+@query("ev02_domain_intervals")
+def ev02i(spark, d):
+    return E.auc_by_domain(labelled(spark, d), "event", "score", "lang", "id", 20, "d")
 
 
 @query("ev17_roc_band")
@@ -142,6 +159,11 @@ def cl05(spark, d):
     return A.proper_scores(C.cross_calibrate(v, "event", "p", "batch"), "event", "calibrated", "batch")
 
 
+@query("cl05_cross_isotonic")
+def cl05i(spark, d):
+    return C.cross_calibrate(lines(spark, d), "event", "p", "batch", "isotonic").select("id", "batch", "calibrated")
+
+
 @query("cl06_apply_calibrators", f"""WITH {LINES} SELECT id, p AS same, round(1 / (1 + exp(-(-0.5 + 0.8 * ln(p / (1 - p))))), 6) AS sigmoid, round(CASE WHEN q <= 0.2 THEN 0.1 WHEN q < 0.8 THEN 0.1 + (q - 0.2) * ((0.6 - 0.1) / (0.8 - 0.2)) ELSE 0.6 END, 6) AS isotonic FROM lines""")
 def cl06(spark, d):
     v = lines(spark, d)

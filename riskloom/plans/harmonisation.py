@@ -37,7 +37,12 @@ def hz01(spark, d):
 
 @query("hz01_combat_shrunk")
 def hz01s(spark, d):
-    return H.combat_fit(vectors(spark, d), ref=1)
+    return H.combat_fit(vectors(spark, d), ref=1).drop("median")
+
+
+@query("hz01_combat_nonparametric")
+def hz01n(spark, d):
+    return H.combat_fit(vectors(spark, d), ref="largest", parametric=False, cap=5.0)
 
 
 @query("hz02_combat_apply", f"""WITH {LINES}, {_LONG}, s AS (SELECT batch, feature, count(value) AS n, avg(value) AS m, var_pop(value) AS v FROM long GROUP BY ALL), b AS (SELECT feature, sum(n * m) / sum(n) AS alpha, sum(n * v) / sum(n) AS pooled FROM s GROUP BY feature)

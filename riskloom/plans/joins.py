@@ -91,6 +91,12 @@ def jn13(spark, d):
     return J.join_extra_docs(e.select("event_id"), e.filter("event_id % 3 = 0"), "event_id", "event_type")
 
 
+@query("prd01_report", f"WITH {LABELLED} SELECT count(*) FILTER (WHERE quality = 1) AS kept, count(*) FILTER (WHERE quality IS DISTINCT FROM 1) AS dropped FROM labelled")
+def prd01r(spark, d):
+    flags = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, " Yes").otherwise("no").alias("flag"))
+    return J.flagged_report(labelled(spark, d).select("id", "score"), flags, "id", "flag")
+
+
 @query("prd01_flagged", f"WITH {LABELLED} SELECT id, score FROM labelled WHERE quality = 1")
 def prd01(spark, d):
     flags = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, " Yes").otherwise("no").alias("flag"))

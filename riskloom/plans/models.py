@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from riskloom.operators import aggregates as A
 from riskloom.operators import evaluate as E
 from riskloom.operators import models as M
 from riskloom.operators import solver as V
@@ -46,20 +47,25 @@ def ml05(spark, d):
 
 @query("ml06_forest")
 def ml06(spark, d):
-    r = rows(spark, d)
-    return E.auc(M.ml_scores(M.fit_forest(r, 10), r), "event", "p")
+    train, test = M.split_rows(rows(spark, d), seed="f")
+    return E.auc(M.ml_scores(M.fit_forest(train, 10, balanced=True), test), "event", "p")
+
+
+@query("ml06_forest_depths")
+def ml06d(spark, d):
+    return M.tune_forest(rows(spark, d), [2, 5], 10, 2, seed="f")
 
 
 @query("ml07_boosted")
 def ml07(spark, d):
-    r = rows(spark, d)
-    return E.auc(M.ml_scores(M.fit_boosted(r, 5), r), "event", "p")
+    train, test = M.split_rows(rows(spark, d), seed="b")
+    return E.auc(M.ml_scores(M.fit_boosted(train, 5), test), "event", "p")
 
 
 @query("ml08_linear_svc")
 def ml08(spark, d):
-    r = rows(spark, d)
-    return E.auc(M.ml_scores(M.fit_linear_svc(r), r), "event", "p")
+    train, test = M.split_rows(rows(spark, d), seed="v")
+    return M.MODELS["linear_svc"].fit(train)(test)
 
 
 @query("ml09_soft_vote", f"WITH {LINES}, v AS (SELECT id, event, p FROM lines UNION ALL SELECT id, event, q FROM lines) SELECT id, any_value(event) AS event, round(avg(p), 9) AS p FROM v GROUP BY id")
@@ -84,6 +90,28 @@ def ml11(spark, d):
     return M.oof_predictions(line_rows(spark, d), 3, seed="o")
 
 
+@query("ml11_nested_tuning")
+def ml11n(spark, d):
+    return M.nested_oof_predictions(rows(spark, d), 3, [(0.05, 0.0), (1.0, 0.0), (1.0, 0.5)], 3, 2, "n")
+
+
+@query("ev12_permutation_refit")
+def ev12r(spark, d):
+    return M.permutation_refit(line_rows(spark, d), 40, seed="x")
+
+
+@query("fs12_stability_runs")
+def fs12r(spark, d):
+    chosen, cuts = M.stability_runs(vectors(spark, d), 2, 4, [0.1], seed="r", group_percentile=99.0)
+    return chosen.crossJoin(F.broadcast(A.threshold_summary(cuts)))
+
+
+@query("ml14_feature_sets")
+def ml14s(spark, d):
+    sets = {"all": list(range(64)), "even": list(range(0, 64, 2)), "first": list(range(16)), "unknown": [999]}
+    return M.compare_feature_sets(vectors(spark, d), sets, seed="s")
+
+
 @query("ml14_compare_models")
 def ml14(spark, d):
     return M.compare_models(rows(spark, d), {"ridge": (1.0, 0.0), "lasso": (0.5, 1.0)}, 3, "c")

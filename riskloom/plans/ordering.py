@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from riskloom.functions.scalars import Z95
 from riskloom.operators import joins as J
 from riskloom.operators import order as O
 from riskloom.plans.bindings import LINES, PEOPLE, lines, people, r6, table, vectors, vectors_sql
@@ -37,15 +38,19 @@ def wn05t(spark, d):
     return O.tertile_cuts(lines(spark, d), "p").select(r6("low", "low"), r6("high", "high"))
 
 
-@query("wn06_quantile_bins", f"""WITH {LINES}, b AS (SELECT ntile(7) OVER (ORDER BY p, id) AS bin, event, p FROM lines) SELECT CAST(bin AS INT) AS bin, count(*) AS n, CAST(sum(event) AS BIGINT) AS events, round(avg(p), 6) AS mean_score, round(avg(event), 6) AS rate FROM b GROUP BY bin""")
+_BINS = f""", s AS (SELECT CAST(bin AS INT) AS bin, CAST(count(*) AS DOUBLE) AS n, sum(event) AS events, avg({{score}}) AS mean_score, avg(event) AS rate, {Z95} AS z FROM b GROUP BY bin)
+SELECT bin, CAST(n AS BIGINT) AS n, CAST(events AS BIGINT) AS events, round(mean_score, 6) AS mean_score, round(rate, 6) AS rate,
+  round(((rate + z * z / (2 * n)) - z * sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, round(((rate + z * z / (2 * n)) + z * sqrt(rate * (1 - rate) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM s"""
+
+
+@query("wn06_quantile_bins", f"""WITH {LINES}, b AS (SELECT ntile(7) OVER (ORDER BY p, id) AS bin, event, p FROM lines){_BINS.format(score="p")}""")
 def wn06(spark, d):
-    return O.quantile_bins(lines(spark, d), "event", "p", 7, "id").select("bin", "n", "events", r6("mean_score", "mean_score"), r6("rate", "rate"))
+    return O.quantile_bins(lines(spark, d), "event", "p", 7, "id").select("bin", "n", "events", *[r6(c, c) for c in ("mean_score", "rate", "low", "high")])
 
 
-@query("wn06_edge_bins", f"""WITH {LINES}, e AS (SELECT DISTINCT unnest(quantile_cont(qty, [0.2, 0.4, 0.6, 0.8])) AS e FROM lines), b AS (SELECT (SELECT count(*) FROM e WHERE lines.qty > e.e) AS bin, event, qty FROM lines)
-SELECT CAST(bin AS INT) AS bin, count(*) AS n, CAST(sum(event) AS BIGINT) AS events, round(avg(qty), 6) AS mean_score, round(avg(event), 6) AS rate FROM b GROUP BY bin""")
+@query("wn06_edge_bins", f"""WITH {LINES}, e AS (SELECT DISTINCT unnest(quantile_cont(qty, [0.2, 0.4, 0.6, 0.8])) AS e FROM lines), b AS (SELECT (SELECT count(*) FROM e WHERE lines.qty > e.e) AS bin, event, qty FROM lines){_BINS.format(score="qty")}""")
 def wn06e(spark, d):
-    return O.quantile_edge_bins(lines(spark, d), "event", "qty", 5).select("bin", "n", "events", r6("mean_score", "mean_score"), r6("rate", "rate"))
+    return O.quantile_edge_bins(lines(spark, d), "event", "qty", 5).select("bin", "n", "events", *[r6(c, c) for c in ("mean_score", "rate", "low", "high")])
 
 
 @query("wn07_adaptive_bins")

@@ -7,14 +7,15 @@ from riskloom.plans.bindings import LINES, PEOPLE, lines, people, r6, table
 from riskloom.registry import query
 
 _DROP = "'m', 'mr', 'mrs', 'ms', 'mme', 'mlle', 'mle', 'dr', 'prof', 'monsieur', 'madame'"
-_TOKENS = f"list_filter(string_split_regex(lower(strip_accents(x)), '[^a-z0-9]+'), lambda t: t <> '' AND t NOT IN ({_DROP}))"
+_JOINED = "'m', 'mr', 'mrs', 'ms', 'mme', 'mlle', 'dr', 'prof', 'monsieur', 'madame', 'doctor', 'docteur', 'docteure', 'professeur'"
+_TOKENS, _JOINED_TOKENS = (f"list_filter(string_split_regex(lower(strip_accents(x)), '[^a-z0-9]+'), lambda t: t <> '' AND t NOT IN ({drop}))" for drop in (_DROP, _JOINED))
 
 
-@query("fn01_canonical_ids", f"""WITH {PEOPLE}, v AS (SELECT id, concat('Mme  Élodie Šimek Monsieur ', name, '-', segment, ' é pr') AS x FROM people)
-SELECT id, array_to_string({_TOKENS}, '') AS joined, array_to_string({_TOKENS}, '_') AS spaced,
+@query("fn01_canonical_ids", f"""WITH {PEOPLE}, v AS (SELECT id, concat('Mme  Élodie Šimek Docteur mle Monsieur ', name, '-', segment, ' é pr') AS x FROM people)
+SELECT id, array_to_string({_JOINED_TOKENS}, '') AS joined, array_to_string({_TOKENS}, '_') AS spaced,
   regexp_replace(regexp_replace(lower(strip_accents(x)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS header FROM v""")
 def fn01(spark, d):
-    x = F.concat(F.lit("Mme  Élodie Šimek Monsieur "), "name", F.lit("-"), "segment", F.lit(" é pr"))
+    x = F.concat(F.lit("Mme  Élodie Šimek Docteur mle Monsieur "), "name", F.lit("-"), "segment", F.lit(" é pr"))
     return people(spark, d).select("id", S.canonical_id(x).alias("joined"), S.canonical_id(x, "_").alias("spaced"), S.canonical_name(x).alias("header"))
 
 

@@ -28,8 +28,7 @@ def src04(spark, d):
 
 @query("src05_keyed_json", "SELECT event_id, 'k' AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS v FROM events")
 def src05(spark, d):
-    e = table(spark, d, "events").select("event_id", F.from_json("props", "map<string, bigint>").alias("m"))
-    return e.select("event_id", F.explode("m").alias("id", "v"))
+    return T.read_keyed_json(table(spark, d, "events"), "props", "bigint", ("event_id",))
 
 
 @query("snk05_resume_grid", f"WITH {LINES}, g AS (SELECT DISTINCT batch, qty FROM lines) SELECT batch, qty FROM g WHERE NOT (qty < 20 AND batch < 3)")
@@ -103,17 +102,18 @@ def snk04(spark, d):
     return spark.read.parquet(path).select("run", F.col("parameters")["seed"].alias("seed"), F.col("counts")["rows"].alias("n"))
 
 
-@query("chk01_require_columns", f"WITH {LINES} SELECT 'present' AS columns, 0 AS missing FROM lines LIMIT 1")
+@query("chk01_require_columns", f"WITH {LINES} SELECT * FROM (SELECT 'event' AS name, count(event) AS known FROM lines UNION ALL SELECT 'disc', count(nullif(disc, 0)) FROM lines UNION ALL SELECT 'grading', NULL) AS c")
 def chk01(spark, d):
-    v = lines(spark, d)
-    C.require_columns(v, ["id", "event", "p"])
-    return v.agg(F.lit("present").alias("columns"), F.lit(0).alias("missing"))
+    v = lines(spark, d).withColumn("disc", F.when(F.col("disc") > 0, F.col("disc")))
+    C.require_columns(v, ["event", "disc"])
+    return C.column_coverage(v, ["event", "disc", "grading"])
 
 
 @query("snk07_model_table")
 def snk07(spark, d):
-    """A fit as a table, written and read back."""
+    """A fit as a table, written, read back as a model and applied to the rows it was fitted on."""
     v = lines(spark, d).select("id", "event", F.array("q", F.col("disc") * 100).alias("features"))
     path = scratch_path(spark, "model")
-    T.write_table(V.model_table(spark, "ridge", ["q", "disc"], M.fit_logistic(v)), path)
-    return spark.read.parquet(path)
+    T.write_table(V.model_table(spark, "ridge", ["q", "scaled"], M.fit_logistic(v)), path)
+    _, fit = V.model_from_table(spark.read.parquet(path), "ridge")
+    return v.select("id", M.linear_p(fit).alias("p"))

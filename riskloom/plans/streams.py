@@ -1,10 +1,16 @@
 """SM-*: batch twins of the streaming operators; tests run the streams against them."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from riskloom.plans.bindings import r6, table
+from riskloom.operators import harmonize as H
+from riskloom.operators import solver as V
+from riskloom.operators.joins import to_long
+from riskloom.plans.bindings import lines, r6, table
 from riskloom.registry import query
+from riskloom.sources.scratch import scratch_path
 from riskloom.streaming import operators as SM
+from riskloom.streaming import scoring as SC
 
 
 def events(spark, d):
@@ -21,6 +27,23 @@ def sm02(spark, d):
     return SM.changed_only_batch(events(spark, d), "user_id", ["ts", "event_id"], ["event_type"]).select("event_id", "user_id", "event_type")
 
 
+@query("sm01_score_chain")
+def sm01c(spark, d):
+    """Order lines through a published release: harmonised by batch, a linear model, a sigmoid calibrator, three groups."""
+    v = lines(spark, d)
+    long = to_long(v, ["id", "batch"], ["qty", "tax"])
+    store = scratch_path(spark, "releases")
+    model = V.model_table(spark, "m", ["qty", "tax"], {"intercept": -0.4, "coef": np.array([0.3, -0.2]), "mean": np.array([25.0, 0.04]), "sd": np.array([14.0, 0.02])})
+    SC.publish(spark, store, 1, model, H.combat_fit(long.filter("batch < 5"), shrink=False), {"type": "sigmoid", "intercept": 0.1, "slope": 0.9}, 0.35, 0.45)
+    rows = v.select("id", "batch", F.create_map(F.lit("qty"), "qty", F.lit("tax"), "tax").alias("features"))
+    return SC.score_release(rows, SC.newest(spark, store))
+
+
+@query("sm02_changed_or_stale", "SELECT event_id, user_id, event_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY lag(event_type) OVER w IS DISTINCT FROM event_type OR epoch_ms(ts) - epoch_ms(lag(ts) OVER w) > 7200000")
+def sm02t(spark, d):
+    return SM.changed_only_batch(events(spark, d), "user_id", ["ts", "event_id"], ["event_type"], "2 hours", "ts").select("event_id", "user_id", "event_type")
+
+
 @query("sm03_suppress_active", "SELECT event_id, user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 9)")
 def sm03(spark, d):
     e = events(spark, d)

@@ -8,6 +8,7 @@ from riskloom.operators import studies as ST
 from riskloom.plans.bindings import LINES, lines, vectors
 from riskloom.plans.models import rows
 from riskloom.registry import query
+from riskloom.sources.scratch import scratch_path
 
 
 def dated(spark, d):
@@ -42,6 +43,11 @@ def ev20(spark, d):
     return ST.repeated_cv_evaluation(rows(spark, d).persist(), 5, 2, seed="r")
 
 
+@query("ev20_nested_cv")
+def ev20n(spark, d):
+    return ST.repeated_cv_evaluation(rows(spark, d), 3, 1, seed="r", grid=[(0.05, 0.0), (1.0, 0.0)], inner=2)
+
+
 @query("ev21_temporal")
 def ev21(spark, d):
     # batches of these vectors follow their labels, so a part of the ids is the batch here
@@ -61,7 +67,7 @@ def ml12(spark, d):
 
 @query("ml13_component_ensemble")
 def ml13(spark, d):
-    return ST.component_ensemble(rows(spark, d).persist(), 2, seed="c")
+    return ST.component_ensemble(rows(spark, d).persist(), 2, 2, seed="c", inner=2)
 
 
 @query("ml15_config_sweep")
@@ -69,6 +75,14 @@ def ml15(spark, d):
     return ST.config_sweep(vectors(spark, d), [0.1], [0.5, 0.75], {"ridge": (1.0, 0.0), "lasso": (0.5, 1.0)}, seed="s")
 
 
+@query("ml15_resumed_sweep")
+def ml15r(spark, d):
+    """A sweep whose first half is committed already."""
+    store, v = scratch_path(spark, "sweep"), vectors(spark, d)
+    ST.config_sweep(v, [0.1], [0.5], {"ridge": (1.0, 0.0)}, seed="s", store=store)
+    return ST.config_sweep(v, [0.1], [0.5, 0.75], {"ridge": (1.0, 0.0)}, seed="s", store=store)
+
+
 @query("ml16_multi_model_panel")
 def ml16(spark, d):
     v = vectors(spark, d).persist()

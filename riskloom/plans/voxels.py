@@ -56,7 +56,13 @@ def vx06(spark, d):
     return V.limit_impact(voxels(spark, d), 9).withColumn("rate", F.round("rate", 6))
 
 
-@query("vx07_grid_match", f"""WITH {VOXELS} SELECT "case", "case" % 2 = 0 AS match FROM voxels GROUP BY "case" """)
+_GRID = """SELECT "case", max(i) AS i, max(j) AS j, max(k) AS k, avg(i) AS x, avg(j) AS y, avg(k) AS z FROM voxels"""
+
+
+@query("vx07_grid_match", f"""WITH {VOXELS}, a AS ({_GRID} GROUP BY "case"), b AS ({_GRID} WHERE mask = 1 GROUP BY "case")
+SELECT a."case", a.i = b.i AND a.j = b.j AND a.k = b.k AND abs(a.x - b.x) <= 1e-5 + 0.005 * abs(b.x) AND abs(a.y - b.y) <= 1e-5 + 0.005 * abs(b.y) AND abs(a.z - b.z) <= 1e-5 + 0.005 * abs(b.z) AS match FROM a JOIN b ON a."case" = b."case" """)
 def vx07(spark, d):
-    v = voxels(spark, d).groupBy("case").agg(F.array(F.max("i"), F.max("j"), F.max("k")).alias("shape"), F.array(F.lit(1.0), F.lit(0.5)).alias("affine"))
-    return V.grid_match(v, v.withColumn("affine", F.array(F.lit(1.0), F.lit(0.5) + (F.col("case") % 2) * 0.1)))
+    """The grid of all voxels of a case against that of its mask: far ends and centres."""
+    grid = lambda v: v.groupBy("case").agg(F.array(F.max("i"), F.max("j"), F.max("k")).alias("shape"), F.array(F.avg("i"), F.avg("j"), F.avg("k")).alias("affine"))
+    v = voxels(spark, d)
+    return V.grid_match(grid(v), grid(v.filter("mask = 1")), rtol=0.005)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,10 +62,10 @@ def read_batch_metadata(df: DataFrame, ids: list[str], batch: list[str], maker:
     return df.select(F.col(key).alias("id"), F.concat_ws("_", F.trim(F.col(m).cast("string")), F.trim(F.col(n).cast("string"))).alias("batch"))
 
 
-def read_keyed_json(df: DataFrame, text: str, value_type: str) -> DataFrame:
-    """SRC-05: one JSON object per row of text, keyed by subject, as rows ``id`` and the value's fields."""
-    parsed = df.select(F.from_json(text, f"map<string, {value_type}>").alias("m")).select(F.explode("m").alias("id", "v"))
-    return parsed.select("id", "v.*") if value_type.startswith("struct") else parsed
+def read_keyed_json(df: DataFrame, text: str, value_type: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """SRC-05: one JSON object per row of text, keyed by subject, as rows ``id`` and the value's fields, with the columns ``keep``."""
+    parsed = df.select(*keep, F.from_json(text, f"map<string, {value_type}>").alias("m")).select(*keep, F.explode("m").alias("id", "v"))
+    return parsed.select(*keep, "id", "v.*") if value_type.startswith("struct") else parsed
 
 
 def read_json_config(spark: SparkSession, path: str) -> dict:
@@ -123,3 +125,22 @@ def append_manifest(spark: SparkSession, path: str, run: str, parameters: dict,
 def open_configurations(grid: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """SNK-05: configurations without a result."""
     return grid.join(done.select(*key), key, "left_anti")
+
+
+def configuration_key(row: dict, key: list[str]) -> str:
+    """A file name for a configuration: its values by name, hashed."""
+    return hashlib.sha256("|".join(f"{k}={row[k]!r}" for k in key).encode()).hexdigest()[:24]
+
+
+def commit_result(result: DataFrame, store: str, name: str) -> None:
+    """SNK-05: the result of one configuration, in a folder of its own that is replaced as a whole."""
+    result.coalesce(1).write.mode("overwrite").parquet(f"{store}/configuration={name}")
+
+
+def committed(spark: SparkSession, store: str, schema: str) -> DataFrame:
+    """SNK-05: results of the configurations that were committed; a folder that a killed run left half written has no success mark and does not count."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(store)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [str(s.getPath()) for s in fs.listStatus(root) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))] if fs.exists(root) else []
+    return spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)

@@ -18,42 +18,75 @@ def score_rows(rows: DataFrame, predictor: Column, low: float, high: float) -> D
     return rows.withColumn("p", predictor).withColumn("risk", risk_group("p", low, high))
 
 
-def changed_only_batch(rows: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
-    """SM-02, batch twin: rows whose fingerprint differs from the previous one of their key."""
+def changed_only_batch(rows: DataFrame, key: str, order: list[str], cols: list[str], ttl: str | None = None, ts: str | None = None) -> DataFrame:
+    """SM-02, batch twin: rows whose fingerprint differs from the previous one of their key, or that come more than ``ttl`` after it (by ``ts``)."""
     w = Window.partitionBy(key).orderBy(*order)
     marked = rows.withColumn("state_print", fingerprint(cols)).withColumn("_last", F.lag("state_print").over(w))
-    return marked.filter(F.col("_last").isNull() | (F.col("state_print") != F.col("_last"))).drop("state_print", "_last")
+    emit = F.col("_last").isNull() | (F.col("state_print") != F.col("_last"))
+    if ttl:
+        marked = marked.withColumn("_seen", F.lag(_millis(ts)).over(w))
+        emit = emit | (_millis(ts) - F.col("_seen") > millis(ttl))
+    return marked.filter(emit).drop("state_print", "_last", "_seen")
+
+
+def millis(text: str) -> int:
+    """Milliseconds of a duration such as ``90 seconds`` or ``2 hours``."""
+    number, unit = text.split()
+    return int(float(number) * {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.rstrip("s")])
+
+
+def _millis(ts: str) -> Column:
+    return F.unix_millis(F.col(ts).cast("timestamp"))
 
 
 class _Changed(StatefulProcessor):
-    def __init__(self, order: list[str], columns: list[str]):
-        self.order, self.columns = order, columns
+    """Last fingerprint of a key and when it was seen. With a TTL an event-time timer forgets a key that has been quiet so long."""
+
+    def __init__(self, order: list[str], columns: list[str], ttl: int | None):
+        self.order, self.columns, self.ttl = order, columns, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "f string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
-        last = self.last.get()[0] if self.last.exists() else None
-        keep = []
-        for f in batch["state_print"]:
-            keep.append(f != last)
-            last = f
-        self.last.update((last,))
-        yield batch.loc[keep, self.columns]
+        self.handle = handle
+        self.last = handle.getValueState("last", "f string, t long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, seen = self.last.get() if self.last.exists() else (None, None)
+        before = seen
+        for part in rows:
+            part, keep = part.sort_values(self.order), []
+            for f, t in zip(part["state_print"], part["state_time"], strict=True):
+                stale = self.ttl is not None and seen is not None and t - seen > self.ttl
+                keep.append(f != last or stale)
+                last, seen = f, int(t)
+            yield part.loc[keep, self.columns]
+        self.last.update((last, seen))
+        if self.ttl is not None:
+            if before is not None:
+                self.handle.deleteTimer(before + self.ttl + 1)
+            self.handle.registerTimer(seen + self.ttl + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and self.last.get()[1] + self.ttl < expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def changed_only(stream: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
+def changed_only(stream: DataFrame, key: str, order: list[str], cols: list[str], ttl: str | None = None, ts: str | None = None, watermark: str = "1 hour") -> DataFrame:
     """SM-02: emits a row only when the fingerprint of its key has changed; needs the RocksDB state store.
 
-    Rows of a micro-batch are taken in the order of ``order``.
+    With ``ttl`` a key that has had no row for so long by event time ``ts`` starts
+    anew: its state goes once the watermark is past, and a row that comes so late
+    after the last one is emitted in any case. Rows of a key are taken an Arrow
+    batch at a time, in the order of ``order`` inside it, so memory does not follow
+    the rows of a key.
     """
-    marked = stream.withColumn("state_print", fingerprint(cols))
+    timed = _watermarked(stream, ts, watermark) if ttl else stream
+    marked = timed.withColumn("state_print", fingerprint(cols)).withColumn("state_time", _millis(ts) if ttl else F.lit(0).cast("long"))
     return marked.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Changed(order, stream.columns), outputStructType=stream.schema, outputMode="Append", timeMode="None"
+        statefulProcessor=_Changed(order, timed.columns, millis(ttl) if ttl else None), outputStructType=timed.schema, outputMode="Append", timeMode="EventTime" if ttl else "None"
     )
 
 
