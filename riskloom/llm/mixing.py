@@ -20,8 +20,6 @@ Numbers are drawn by inversion around the mode, exact up to rounding at any size
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.llm.common import materialize
-from riskloom.llm.words import mix as scramble
+from riskloom.operators.permute import key_of, permuted
 
 # fixed values: weights by place among the sources, and how often words may be repeated
 WEIGHTS = (1, 2, 3)
@@ -41,7 +39,6 @@ BLOCK_WORDS = 256
 LEAST_BLOCKS = 1024
 LEAST_PARTS = 64
 PART_ROWS = 250_000
-_U = np.uint64
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, most: float = MOST_REPEATS) -> np.ndarray:
@@ -59,7 +56,7 @@ def targets(sizes: np.ndarray, weights: np.ndarray, most: float = MOST_REPEATS)
 
 def uniform(*key) -> float:
     """A number between 0 and 1 from a key."""
-    return (int.from_bytes(hashlib.blake2b("|".join(map(str, key)).encode(), digest_size=8).digest(), "big") + 0.5) / 2.0**64
+    return (key_of(*key) + 0.5) / 2.0**64
 
 
 def hypergeometric(good: int, total: int, drawn: int, u: float) -> int:
@@ -102,20 +99,6 @@ def shard_quotas(quotas: list[int], names: list[str], shard: int, shards: int, s
     return begin, held
 
 
-def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
-    """Places of ``x`` in a keyed permutation of ``range(n)``: four Feistel rounds, walked until inside."""
-    half = max(1, (max(1, n - 1).bit_length() + 1) // 2)
-    mask, shift = _U((1 << half) - 1), _U(half)
-    out, open_ = x.astype(_U), np.arange(len(x))
-    while len(open_):
-        left, right = out[open_] >> shift, out[open_] & mask
-        for r in range(4):
-            left, right = right, left ^ (scramble(right + _U((key + r * 0x9E3779B97F4A7C15) % 2**64)) & mask)
-        out[open_] = (left << shift) | right
-        open_ = open_[out[open_] >= _U(n)]
-    return out.astype(np.int64)
-
-
 def _plan(shards: int, seed, weights: tuple[float, ...]):
     """All sources of one table: targets, block sizes and quotas. A group has one row per source."""
 
@@ -160,7 +143,7 @@ def _draw(seed):
         doc = np.repeat(np.arange(len(docs)), n)
         block = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + first[doc]
         low, high = np.maximum(block * width, start[doc]), np.minimum((block + 1) * width, end[doc])
-        slot = permuted(block, blocks, int.from_bytes(hashlib.blake2b(f"{seed}|{key[0]}".encode(), digest_size=8).digest(), "big")) if len(block) else block
+        slot = permuted(block, blocks, key_of(seed, key[0])) if len(block) else block
         begin = np.array(p["begins"], np.int64)
         draws: list[list] = [[] for _ in range(len(docs))]
         for again in range(MOST_REPEATS):

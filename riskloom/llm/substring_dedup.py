@@ -100,7 +100,7 @@ def _send_anchors(window: int, k: int):
 
 def _send_windows(window: int, k: int):
     def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        names, types = ["block", "hash", "check", "doc", "tie", "word"], [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
+        names, types = ["block", "hash", "check", "at", "doc", "tie", "word"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3]
         if not texts.num_rows or not shared.num_rows:
             return pa.schema(list(zip(names, types, strict=True))).empty_table()
         block = _Block(texts, window)
@@ -109,7 +109,7 @@ def _send_windows(window: int, k: int):
         # in the order of the text, where ids and places compress well
         at = np.sort(at[first])
         doc = block.doc_of_word[at]
-        values = [np.full(len(at), _number(texts)), block.windows[at].view(np.int64), block.checks[at], block.ids[doc], block.ties[doc] & _TIE, block.place[at]]
+        values = [np.full(len(at), _number(texts)), block.windows[at].view(np.int64), block.checks[at], at, block.ids[doc], block.ties[doc] & _TIE, block.place[at]]
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
 
     return run
@@ -123,16 +123,11 @@ def _sources(block: _Block, found: pa.Table) -> tuple[np.ndarray, np.ndarray, np
     doc, word = block.ids[block.doc_of_word[local]], block.place[local]
     earlier = local < at
     if found.num_rows and len(at):
-        known, check = found.column("hash").to_numpy().view(np.uint64), found.column("check").to_numpy()
-        order = np.lexsort((check, known))
-        known, check = known[order], check[order]
-        spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        # windows of one hash lie side by side and differ in their checks
-        wrong = np.flatnonzero((known[spot] == hashes) & (check[spot] != block.checks[at]))
-        for i in wrong.tolist():
-            while spot[i] + 1 < len(known) and known[spot[i] + 1] == hashes[i] and check[spot[i]] != block.checks[at[i]]:
-                spot[i] += 1
-        hit = (known[spot] == hashes) & (check[spot] == block.checks[at])
+        # an answer names the window by its place in the block, so no hash travels back
+        known = block.windows[found.column("at").to_numpy()]
+        order = np.argsort(known)
+        spot = np.minimum(np.searchsorted(known[order], hashes), len(known) - 1)
+        hit = known[order][spot] == hashes
         row = order[spot[hit]]
         doc[hit], word[hit] = found.column("src_doc").to_numpy()[row], found.column("src_word").to_numpy()[row]
         earlier |= hit
@@ -220,11 +215,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     shared = (
         anchors.withColumn("met", F.lag("block").over(beside).isNotNull() | F.lead("block").over(beside).isNotNull()).filter("met").select("block", "hash")
     )
-    windows = per_block.cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, anchor), "block long, hash long, check int, doc long, tie long, word long")
+    windows = per_block.cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, anchor), "block long, hash long, check int, at int, doc long, tie long, word long")
     first = Window.partitionBy("hash", "check").orderBy("doc", "tie", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
         windows.withColumns({"n": F.row_number().over(first), "src_doc": F.first("doc").over(first), "src_word": F.first("word").over(first)})
-        .filter("n > 1").select("block", "hash", "check", "src_doc", "src_word")
+        .filter("n > 1").select("block", "at", "src_doc", "src_word")
     )
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:long,length:long,source_doc:long,source_start:long>>"
     return per_block.cogroup(found.groupBy("block")).applyInArrow(_parse(window, with_text), ddl + (", kept_text string" if with_text else ""))
