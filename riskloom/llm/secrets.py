@@ -14,6 +14,7 @@ import math
 import re
 import string
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ GENERATED = 3_000
 FALSE_RATE = 0.001
 LEAST = 0.25
 STEP = 0.001
-#: Fewer different strings than these don't tell what is ordinary, and the model adds nothing.
-MIN_ORDINARY = 100
+# fixed values: syllables of made-up ordinary identifiers
+SYLLABLES = ("ba", "con", "de", "en", "fi", "ge", "han", "in", "jo", "ka", "lis", "ma", "no", "or", "pa", "que", "re", "sta", "ter", "un", "ver", "with", "ex", "ya", "zo")
 
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 _CODE = np.full(128, 0, np.int64)
@@ -98,6 +99,17 @@ def generated_strings(n: int = GENERATED, seed: int = 5) -> list[str]:
     return ["".join(rng.choice(list(alphabets[i % 3]), int(rng.integers(20, 65)))) for i in range(n)]
 
 
+def generated_identifiers(n: int = GENERATED, seed: int = 7) -> list[str]:
+    """Labelled ordinary strings, so that tables of few words have some, too: words of syllables, joined by case, lines or dashes, some with a number."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        words = ["".join(rng.choice(SYLLABLES, int(rng.integers(1, 4)))) for _ in range(int(rng.integers(1, 5)))]
+        name = words[0] + "".join(w.title() for w in words[1:]) if i % 3 == 0 else ("_" if i % 3 == 1 else "-").join(words)
+        out.append(name + (str(rng.integers(0, 100)) if i % 5 == 0 else ""))
+    return out
+
+
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Strings of whole texts with their label."""
     for batch in batches:
@@ -124,7 +136,7 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> RandomnessModel:
-    """Train on generated strings and on the base matches and ordinary words of ``sample_docs`` documents drawn by a hash of their id.
+    """Train on generated strings of both kinds and on the base matches and ordinary words of ``sample_docs`` documents drawn by a hash of their id.
 
     Base matches are labelled random. Words of letters, digits and joiners outside
     them are labelled ordinary, except long ones with digits, which may be secrets
@@ -139,22 +151,23 @@ def train_model(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> RandomnessMo
     for r in strings.mapInArrow(_matrices, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         total[r["at"]] = r["n"]
     ordinary, random = total.reshape(2, _STATES, _STATES)
-    model = RandomnessModel(random + transitions(generated_strings()), ordinary)
+    made = generated_identifiers()
+    model = RandomnessModel(random + transitions(generated_strings()), ordinary + transitions(made))
 
     def steps(batches):
         for batch in batches:
             bins, n = np.unique(np.array([math.floor(model.score(s) / STEP) for s in batch.column("s").to_pylist()], np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n, pa.int64())], names=["step", "n"])
 
-    scores = strings.filter("not random").select("s").mapInArrow(steps, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
-    known = sum(r["n"] for r in scores)
-    above, allowed, cut = 0, FALSE_RATE * known, LEAST if known >= MIN_ORDINARY else math.inf
-    for r in scores:
-        above += r["n"]
+    scores = Counter(math.floor(model.score(s) / STEP) for s in made)
+    for r in strings.filter("not random").select("s").mapInArrow(steps, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():
+        scores[r["step"]] += r["n"]
+    above, allowed, model.cut = 0, FALSE_RATE * sum(scores.values()), LEAST
+    for step, n in sorted(scores.items(), reverse=True):
+        above += n
         if above > allowed:
-            cut = max(cut, (r["step"] + 1) * STEP)
+            model.cut = max(LEAST, (step + 1) * STEP)
             break
-    model.cut = cut
     return model
 
 
@@ -233,8 +246,9 @@ def scan_secrets(docs: DataFrame, model: RandomnessModel | None = None) -> DataF
 
     Spans are places in code points, end exclusive, in the order of their start.
     Null text counts as empty. Rows that repeat an id are scanned each; other
-    columns don't matter. ``model`` is trained on ``docs`` if not given; tables of a
-    few words don't tell what is ordinary, and no spans are added to the base ones.
+    columns don't matter. ``model`` is trained on ``docs`` if not given. It judges
+    strings of ``MIN_CANDIDATE`` characters or more that mix two of digits, small
+    and capital letters; others are never added.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     model = model or train_model(texts)

@@ -377,3 +377,99 @@ def test_exception_phrases_reach_any_neighbour():
     long = "x" * 90
     assert m.hits(f"{long} {' ' * 60}bad{' ' * 60}{long}")[0][2] == (f"{long} bad", f"bad {long}")
     assert m.hits("bad")[0][2] == ("", "")
+
+
+# models by plain loops
+
+
+def test_secret_spans_equal_plain_loops(spark):
+    """Training, cut and added spans of the Markov models, string by string."""
+    import math
+
+    from riskloom.llm import secrets
+
+    rng = np.random.default_rng(4)
+    make = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), n))
+    plain = ["loremIpsumDolorSitAmetConsectetur", "the_quick_brown_fox_jumps_over", "version2024update", "short1", "ordinary words only", "password = hunter22"]
+    rows = [(i, f"{plain[i % 6]} sees {make(32) if i % 2 else make(19)} and token: {make(24)} end {plain[(i + 1) % 6]}", "s") for i in range(60)] + [(100, None, "s"), (101, "", "s"), (7, "again", "s")]
+    patterns = [
+        (re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m.group(1)) >= 6, "assign"),
+        (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 20, "access"), (re.compile("[0-9a-f]+"), lambda m: len(m.group()) >= 24, "hex"),
+    ]
+    word = re.compile("[A-Za-z0-9+/_=-]+")
+    base = lambda t: [(name, *m.span()) for p, ok, name in patterns for m in p.finditer(t) if ok(m)]
+    # the sample takes one text of an id
+    texts = {}
+    for i, t, _ in rows:
+        texts.setdefault(i, t or "")
+    assert texts[7] != "again"
+    texts = dict(tuples(token_store.sampled(docs_of(spark, rows), 2_000, 71), "doc_id", "text"))
+    label = {}
+    for t in texts.values():
+        t = t or ""
+        covered = [False] * len(t)
+        for _, i, j in base(t):
+            covered[i:j] = [True] * (j - i)
+            last = word.findall(t[i:j])[-1:]
+            label.update((c, True) for c in last if len(c) >= 20)
+        open_ = "".join(" " if c else x for c, x in zip(covered, t, strict=True))
+        for c in word.findall(open_):
+            if len(c) >= 4 and (len(c) < 20 or not any(x.isdigit() for x in c)):
+                label.setdefault(c, False)
+    pairs = {True: defaultdict(int), False: defaultdict(int)}
+    ordinary = [s for s, y in label.items() if not y] + secrets.generated_identifiers()
+    for y, found in ((True, [s for s, y in label.items() if y] + secrets.generated_strings()), (False, ordinary)):
+        for s in found:
+            for a, b in zip("^" + s, s, strict=False):
+                pairs[y][a, b] += 1
+    states = "^" + secrets.ALPHABET
+    total = {y: {a: sum(pairs[y][a, b] + 0.2 for b in states) for a in states} for y in (True, False)}
+    log = lambda y, a, b: math.log((pairs[y][a, b] + 0.2) / total[y][a])
+    score = lambda s: sum(log(True, a, b) - log(False, a, b) for a, b in zip("^" + s, s, strict=False)) / len(s)
+    steps, cut = sorted((math.floor(score(s) / 0.001) for s in ordinary), reverse=True), 0.25
+    allowed = 0.001 * len(steps)
+    for step in sorted(set(steps), reverse=True):
+        if sum(x >= step for x in steps) > allowed:
+            cut = max(cut, (step + 1) * 0.001)
+            break
+    got = defaultdict(list)
+    for r in secrets.scan_secrets(docs_of(spark, rows)).collect():
+        got[r["doc_id"]].append(r["spans"])
+    names, added = ["assign", "access", "hex", "markov"], 0
+    for i, t, _ in rows:
+        t, spans = t or "", base(t or "")
+        for m in word.finditer(t):
+            free = all(m.end() <= a or b <= m.start() for _, a, b in base(t))
+            kinds = any(c.isdigit() for c in m.group()) + any(c.islower() for c in m.group()) + any(c.isupper() for c in m.group())
+            if len(m.group()) >= 20 and free and kinds >= 2 and score(m.group()) > cut:
+                spans.append(("markov", *m.span()))
+                added += 1
+        assert ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], names.index(s[0])))) in got[i]
+    assert 25 <= added <= 35
+
+
+def test_lexicon_equals_plain_loops(spark):
+    """Counts, test and weights of toxic terms, document by document."""
+    import math
+
+    from riskloom.llm import toxicity
+
+    rng = np.random.default_rng(6)
+    vocab = [f"wort{i}" for i in range(60)] + ["mild", "milde", "vilo", "vilox"]
+    rows = [(" ".join(rng.choice(vocab[:62], 15)) + (" vilo" if i % 3 == 0 else "") + (" vilox" if i % 7 == 0 and i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(150)]
+    counts = defaultdict(lambda: [0, 0])
+    for t, y in rows:
+        words_ = {w for w in re.findall(r"[^\W_]+", t)}
+        for f in {w + " " for w in words_ if len(w) > 2} | {w[:n] for n in toxicity.PREFIXES for w in words_ if len(w) > n}:
+            counts[f][1 - y] += 1
+    toxic, clean = sum(y for _, y in rows), sum(1 - y for _, y in rows)
+    base, bound = toxic / len(rows), 2 * math.log(len(counts) / toxicity.FALSE_RATE)
+    part = lambda x, n, p: x * math.log(x / (n * p)) if x else 0.0
+    strong = {f: math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1)) for f, (t, c) in counts.items() if t >= c and 2 * (part(t, t + c, base) + part(c, t + c, 1 - base)) >= bound}
+    want = {}
+    for f in sorted(strong, key=len):
+        shorter = [want[f[:i]] for i in range(1, len(f)) if f[:i] in want]
+        if not shorter or strong[f] > max(shorter) + 1:
+            want[f] = strong[f]
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int").repartition(4))
+    assert got.keys() == want.keys() and got == pytest.approx(want) and any(f.startswith("vil") for f in got)
