@@ -4,16 +4,18 @@
    shingles hardly occur in any item can't reach the threshold and is passed
    over; that loses nothing, and is decided without asking which item it is.
 2. Each window left gets a 64-bit SimHash of its words. The fingerprints of the
-   items of that size are split into ``BLOCKS`` blocks; if two fingerprints
-   differ in at most ``RADIUS`` bits, they differ in at most ``RADIUS // BLOCKS``
-   bits in some block, so looking up the blocks finds all items within the radius.
+   items of that size are split into ``BLOCKS`` blocks with a limit each. The
+   limits add up to ``RADIUS - BLOCKS + 1``, so fingerprints that exceed all of them
+   differ in more than ``RADIUS`` bits: looking up the blocks finds all items within
+   the radius, and about a fifth of all others, of which one in 500 is within it.
 3. Candidates are verified by the exact weighted similarity of 5-word shingles:
    each shingle of the item that occurs in the window weighs as many words of
    the item as it is the first to cover, and similarity is the covered share of
    the item's words. One changed word in a short item leaves most of it covered.
 
 Where a fifth of the words differ, fingerprints are 13 bits apart on average,
-with a deviation of 3.2; the radius lies four deviations above.
+with a deviation of 3.2; the radius lies more than two deviations above, and nearer
+leaks lie well inside it.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from riskloom.llm.words import chunks, mix, run_hashes, word_hashes, word_spans
 SHINGLE = 5
 THRESHOLD = 0.8
 BLOCKS = 4
-RADIUS = 27
+RADIUS = 20
 GROUP_BYTES = 8 << 20
 _BITS = np.arange(64, dtype=np.uint64)
 _SLICE = 1 << 20
@@ -58,9 +60,15 @@ def fingerprints(sums: np.ndarray, start: np.ndarray, size: np.ndarray | int) ->
     return np.bitwise_or.reduce((2 * ones > np.reshape(size, (-1, 1))).astype(np.uint64) << _BITS, axis=1)
 
 
+def block_limits(radius: int, blocks: int = BLOCKS) -> list[int]:
+    """Bits in which each block may differ: who exceeds all limits is beyond the radius."""
+    least, more = divmod(radius - blocks + 1, blocks)
+    return [least + (b < more) for b in range(blocks)]
+
+
 def near(prints: np.ndarray, items: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All pairs (window, item, distance) within ``radius``, found through the blocks."""
-    width, most = 64 // BLOCKS, radius // BLOCKS
+    width, limits = 64 // BLOCKS, block_limits(radius)
     rows, cols = [], []
     step = max(1, _SLICE // max(1, len(items)))
     for low in range(0, len(prints), step):
@@ -70,7 +78,7 @@ def near(prints: np.ndarray, items: np.ndarray, radius: int = RADIUS) -> tuple[n
             shift, mask = np.uint64(b * width), np.uint64((1 << width) - 1)
             # a block has few distinct values: they are compared, not the windows
             ours, inverse = np.unique((part >> shift) & mask, return_inverse=True)
-            met |= (np.bitwise_count(ours[:, None] ^ ((items >> shift) & mask)[None, :]) <= most)[inverse]
+            met |= (np.bitwise_count(ours[:, None] ^ ((items >> shift) & mask)[None, :]) <= limits[b])[inverse]
         r, c = np.nonzero(met)
         rows.append(r + low)
         cols.append(c)
