@@ -100,17 +100,19 @@ def _send_anchors(window: int, k: int):
 
 def _send_windows(window: int, k: int):
     def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        names, types = ["block", "hash", "check", "at", "doc", "tie", "word"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 3]
+        # what stays the same within a document stands together, and so does what does not; that halves the bytes of a row
+        names = ["block", "doc", "tie", "begin", "hash", "mark"]
         if not texts.num_rows or not shared.num_rows:
-            return pa.schema(list(zip(names, types, strict=True))).empty_table()
+            return pa.schema([(n, pa.int64()) for n in names]).empty_table()
         block = _Block(texts, window)
         at = block.at[np.isin(block.anchors(window, k), shared.column("hash").to_numpy().view(np.uint64))]
         _, first = np.unique(block.windows[at], return_index=True)
         # in the order of the text, where ids and places compress well
         at = np.sort(at[first])
         doc = block.doc_of_word[at]
-        values = [np.full(len(at), _number(texts)), block.windows[at].view(np.int64), block.checks[at], at, block.ids[doc], block.ties[doc] & _TIE, block.place[at]]
-        return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=names)
+        mark = (block.checks[at].astype(np.int64) << 32) | at
+        values = [np.full(len(at), _number(texts)), block.ids[doc], block.ties[doc] & _TIE, block.begin[doc], block.windows[at].view(np.int64), mark]
+        return pa.Table.from_arrays([pa.array(v, pa.int64()) for v in values], names=names)
 
     return run
 
@@ -215,11 +217,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     shared = (
         anchors.withColumn("met", F.lag("block").over(beside).isNotNull() | F.lead("block").over(beside).isNotNull()).filter("met").select("block", "hash")
     )
-    windows = per_block.cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, anchor), "block long, hash long, check int, at int, doc long, tie long, word long")
-    first = Window.partitionBy("hash", "check").orderBy("doc", "tie", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    windows = per_block.cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, anchor), "block long, doc long, tie long, begin long, hash long, mark long")
+    # a mark is the check of a window above its place in the block; rows of one document and tie share a block
+    place = F.col("mark").bitwiseAND(0xFFFFFFFF)
+    first = Window.partitionBy("hash", F.shiftright("mark", 32)).orderBy("doc", "tie", place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = (
-        windows.withColumns({"n": F.row_number().over(first), "src_doc": F.first("doc").over(first), "src_word": F.first("word").over(first)})
-        .filter("n > 1").select("block", "at", "src_doc", "src_word")
+        windows.withColumns({"n": F.row_number().over(first), "src_doc": F.first("doc").over(first), "src_mark": F.first("mark").over(first), "src_begin": F.first("begin").over(first)})
+        .filter("n > 1").select("block", place.alias("at"), "src_doc", (F.col("src_mark").bitwiseAND(0xFFFFFFFF) - F.col("src_begin")).alias("src_word"))
     )
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<start:long,length:long,source_doc:long,source_start:long>>"
     return per_block.cogroup(found.groupBy("block")).applyInArrow(_parse(window, with_text), ddl + (", kept_text string" if with_text else ""))
