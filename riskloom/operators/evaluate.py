@@ -250,8 +250,9 @@ def oob_cutpoints(df: DataFrame, event: str, score: str, key: str, reps: int, se
 def roc_band(df: DataFrame, event: str, score: str, key: str, reps: int, seed=0, steps: int = 100) -> DataFrame:
     """EV-17: median and percentiles of the bootstrap TPR at each point of an FPR grid; the first point is 0.
 
-    The TPR at a grid point is interpolated between the ROC points around it:
-    each pair of neighbouring ROC points yields the grid points between them.
+    The TPR at a grid point is interpolated between the ROC points around it.
+    Of the points between two grid points only the first and the last matter, so a
+    replicate is reduced to ``steps + 1`` cells before its points meet in order.
     """
     from pyspark.sql.window import Window
 
@@ -259,14 +260,17 @@ def roc_band(df: DataFrame, event: str, score: str, key: str, reps: int, seed=0,
     c = cumulative_counts(df.select(key, event, score).join(w, key), event, score, ["rep"], "weight")
     curve = c.select("rep", (F.col("fp") / F.col("n")).alias("x"), (F.col("tp") / F.col("p")).alias("y"))
     points = curve.groupBy("rep", "x").agg(F.max("y").alias("y"))
-    order = Window.partitionBy("rep").orderBy("x")
-    seg = points.withColumn("x0", F.coalesce(F.lag("x").over(order), F.lit(0.0))).withColumn("y0", F.coalesce(F.lag("y").over(order), F.lit(0.0)))
-    first, last = F.floor(F.col("x0") * steps).cast("int") + 1, F.floor(F.col("x") * steps).cast("int")
-    grid = seg.filter(last >= first).withColumn("g", F.explode(F.sequence(first, last)))
+    own = F.struct("x", "y")
+    cells = points.groupBy("rep", F.floor(F.col("x") * steps).cast("int").alias("g")).agg(F.min(own).alias("low"), F.max(own).alias("high"))
+    grid = cells.select("rep").distinct().select("rep", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("g"))
+    order = Window.partitionBy("rep").orderBy("g")
+    met = grid.join(cells, ["rep", "g"], "left").withColumns({
+        "before": F.last("high", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), "after": F.first("low", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+    })
     t = F.col("g") / steps
-    y = F.when(F.col("x") > F.col("x0"), F.col("y0") + (F.col("y") - F.col("y0")) * (t - F.col("x0")) / (F.col("x") - F.col("x0"))).otherwise(F.col("y"))
-    zero = points.select("rep").distinct().select("rep", F.lit(0).alias("g"), F.lit(0.0).alias("tpr"))
-    all_ = grid.select("rep", "g", y.alias("tpr")).unionByName(zero)
+    x0, y0 = F.coalesce("before.x", F.lit(0.0)), F.coalesce("before.y", F.lit(0.0))
+    y = F.when(F.col("after.x") > x0, y0 + (F.col("after.y") - y0) * (t - x0) / (F.col("after.x") - x0)).otherwise(F.col("after.y"))
+    all_ = met.select("rep", "g", F.when(F.col("g") == 0, 0.0).otherwise(y).alias("tpr"))
     return all_.groupBy("g").agg(F.percentile("tpr", 0.5).alias("median"), F.percentile("tpr", 0.025).alias("low"), F.percentile("tpr", 0.975).alias("high")).withColumn("fpr", F.col("g") / steps)
 
 

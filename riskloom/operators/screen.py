@@ -217,13 +217,17 @@ def fdp_threshold(freq: DataFrame, start: float, stop: float, step: float) -> Da
     return counts.withColumn("fdp", fdp).orderBy(F.round("fdp", 12), "t").limit(1)
 
 
-def correlation_groups(corr: DataFrame, least: float, max_rounds: int = 100) -> DataFrame:
-    """FS-14: components of features linked by correlations of ``least`` or more, by smallest-name label passing.
+def correlation_groups(corr: DataFrame, least: float | None = None, max_rounds: int = 100, percentile: float | None = None) -> DataFrame:
+    """FS-14: components of features linked by correlations of ``least`` or more, or above the ``percentile`` of all pairs, by smallest-name label passing.
 
     Labels - one per feature - come to the driver once a round; rounds are no
     more than the longest chain and end at ``max_rounds`` with an error.
     """
-    edges = corr.filter(F.col("r") >= least).select("a", "b")
+    if percentile is not None:
+        cut = exact_percentiles(corr, "r", {"t": percentile / 100}).first()
+        edges = corr.filter(F.col("r") > (cut["t"] if cut else 1.0)).select("a", "b")
+    else:
+        edges = corr.filter(F.col("r") >= least).select("a", "b")
     both = edges.union(edges.select("b", "a")).toDF("a", "b").persist()
     schema = f"a {dict(corr.dtypes)['a']}, g {dict(corr.dtypes)['a']}"
     known = {r["a"]: r["a"] for r in both.select("a").distinct().collect()}
