@@ -10,6 +10,7 @@ from riskloom.operators import screen as FS
 from riskloom.plans.aggregates import _LONG, long_lines
 from riskloom.plans.bindings import LINES, lines, r6, vectors, vectors_sql
 from riskloom.registry import query
+from riskloom.sources.scratch import kept
 
 
 @query("fs01_drop_missing", f"WITH {LINES}, {_LONG} SELECT feature, round(avg(CAST(value IS NULL AS INT)), 6) AS missing FROM long GROUP BY feature HAVING avg(CAST(value IS NULL AS INT)) <= 0.05")
@@ -65,8 +66,8 @@ def tk02(spark, d):
 def fs10(spark, d):
     v = vectors(spark, d)
     profile = FS.column_profile(v).select("feature", "distinct")
-    stats = E.univariate_auc(v, "event").join(FS.point_biserial(v), "feature").join(profile, "feature").persist()
-    return M.l1_shrink(M.vector_rows(v).persist(), stats, 40, 7)
+    stats = kept(E.univariate_auc(v, "event").join(FS.point_biserial(v), "feature").join(profile, "feature"))
+    return M.l1_shrink(kept(M.vector_rows(v)), stats, 40, 7)
 
 
 @query("fs11_knockoffs")

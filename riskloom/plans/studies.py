@@ -8,7 +8,7 @@ from riskloom.operators import studies as ST
 from riskloom.plans.bindings import LINES, lines, vectors
 from riskloom.plans.models import rows
 from riskloom.registry import query
-from riskloom.sources.scratch import scratch_path
+from riskloom.sources.scratch import kept, scratch_path
 
 
 def dated(spark, d):
@@ -18,29 +18,29 @@ def dated(spark, d):
 
 @query("ev11_simple_bootstrap")
 def ev11(spark, d):
-    return ST.simple_bootstrap(rows(spark, d).persist(), 20, seed="e")
+    return ST.simple_bootstrap(kept(rows(spark, d)), 20, seed="e")
 
 
 @query("ev15_validation_suite")
 def ev15(spark, d):
-    each, consensus = ST.validation_suite(rows(spark, d).persist())
+    each, consensus = ST.validation_suite(kept(rows(spark, d)))
     return each.crossJoin(F.broadcast(consensus.select("median", "mad", "range")))
 
 
 @query("ev18_monte_carlo_cv")
 def ev18(spark, d):
-    return ST.monte_carlo_cv(rows(spark, d).persist(), 10, seed="m")
+    return ST.monte_carlo_cv(kept(rows(spark, d)), 10, seed="m")
 
 
 @query("ev19_leave_out")
 def ev19(spark, d):
     batch = vectors(spark, d).select("id", "batch").distinct()
-    return ST.leave_out_evaluation(rows(spark, d).join(batch.withColumn("part", F.crc32(F.col("id").cast("string")) % 6), "id").drop("batch").persist(), "part", seed="l")
+    return ST.leave_out_evaluation(kept(rows(spark, d).join(batch.withColumn("part", F.crc32(F.col("id").cast("string")) % 6), "id").drop("batch")), "part", seed="l")
 
 
 @query("ev20_repeated_cv")
 def ev20(spark, d):
-    return ST.repeated_cv_evaluation(rows(spark, d).persist(), 5, 2, seed="r")
+    return ST.repeated_cv_evaluation(kept(rows(spark, d)), 5, 2, seed="r")
 
 
 @query("ev20_nested_cv")
@@ -67,7 +67,7 @@ def ml12(spark, d):
 
 @query("ml13_component_ensemble")
 def ml13(spark, d):
-    return ST.component_ensemble(rows(spark, d).persist(), 2, 2, seed="c", inner=2)
+    return ST.component_ensemble(kept(rows(spark, d)), 2, 2, seed="c", inner=2)
 
 
 @query("ml15_config_sweep")
@@ -85,7 +85,7 @@ def ml15r(spark, d):
 
 @query("ml16_multi_model_panel")
 def ml16(spark, d):
-    v = vectors(spark, d).persist()
+    v = kept(vectors(spark, d))
     panel = [r["feature"] for r in FS.point_biserial(v).orderBy(F.desc("r"), "feature").limit(7).collect()]
     return ST.multi_model_panel(v, panel, seed="p")
 
@@ -98,7 +98,7 @@ def ml18(spark, d):
 
 @query("ud03_registered_model")
 def ud03(spark, d):
-    r = rows(spark, d).persist()
+    r = kept(rows(spark, d))
     return M.MODELS["elastic_net"].fit(r)(r)
 
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_KEPT: list[str] = []
+
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``; a session of one machine that names none gets a temporary folder."""
@@ -27,4 +29,18 @@ def kept(df: DataFrame, label: str = "kept") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    _KEPT.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_so_far() -> int:
+    """A mark for ``release``."""
+    return len(_KEPT)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables kept after a mark; for callers that have written or shown all results, as whatever still reads them fails."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while len(_KEPT) > since:
+        where = hadoop.Path(_KEPT.pop())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
