@@ -251,44 +251,47 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[
             held = key
 
 
-def bin_map(counts: np.ndarray, events: np.ndarray, min_n: int, min_events: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the bin-closing walk over some scores ends, and how many bins it closes, from every state it may start in.
+def bin_map(counts: np.ndarray, events: np.ndarray, min_n: int, min_events: int) -> dict[str, list[int]]:
+    """The bin-closing walk over some scores from every state it may start in, in ``min_n + min_events`` numbers of each kind.
 
     A state is the open bin: fewer than ``min_n`` rows and fewer than
-    ``min_events`` events, so there are ``min_n * min_events``. Walks that meet go on
-    as one.
+    ``min_events`` events. It closes where either runs full, whichever comes first, and
+    from there the walk goes on as from an empty bin. So for each number of rows and
+    each number of events the place where it runs full, the bins closed from there on
+    and the state at the end say all; ``walk_from`` puts them together.
     """
-    start = np.arange(min_n * min_events)
-    n, e, closed, which = start // min_events, start % min_events, np.zeros(len(start), np.int64), start
-    steps = np.zeros(len(start), np.int64)
-    for c, v in zip(counts.tolist(), events.tolist(), strict=True):
-        n, e = n + c, e + v
-        full = (n >= min_n) | (e >= min_events)
-        if full.any():
-            steps[np.flatnonzero(full)] += 1
-            n, e = np.where(full, 0, n), np.where(full, 0, e)
-            if len(n) > 1:
-                state = n * min_events + e
-                found, first, inverse = np.unique(state, return_index=True, return_inverse=True)
-                if len(found) < len(n):
-                    # what the merged walks have closed so far is settled for their starts
-                    closed += steps[which]
-                    which, n, e, steps = inverse[which], n[first], e[first], np.zeros(len(found), np.int64)
-    return (n * min_events + e)[which], closed + steps[which]
-
-
-def compose(first: tuple[np.ndarray, np.ndarray], second: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """``bin_map`` of two stretches in a row."""
-    return second[0][first[0]], first[1] + second[1][first[0]]
+    m = len(counts)
+    n, e = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(events)])
+    # an empty bin that opens at i closes with row full[i]; m: never
+    full = np.minimum(np.searchsorted(n[1:], n[:-1] + min_n), np.searchsorted(e[1:], e[:-1] + min_events)).tolist()
+    closed, ends = [0] * (m + 1), [0] * (m + 1)
+    for i in range(m - 1, -1, -1):
+        j = full[i]
+        closed[i], ends[i] = (1 + closed[j + 1], ends[j + 1]) if j < m else (0, int((n[m] - n[i]) * min_events + e[m] - e[i]))
+    rows = np.searchsorted(n[1:], min_n - np.arange(min_n)).tolist()
+    hits = np.searchsorted(e[1:], min_events - np.arange(min_events)).tolist()
+    at = rows + hits
+    return {"full": at, "closed": [1 + closed[j + 1] if j < m else 0 for j in at], "ends": [ends[j + 1] if j < m else -1 for j in at], "sums": [int(n[m]), int(e[m])]}
+
+
+def walk_from(state: tuple[int, int], found, min_n: int) -> tuple[tuple[int, int], int]:
+    """State and closed bins behind a stretch, from the open bin ``(rows, events)`` before it; states at the end are rows times ``min_events`` plus events."""
+    n, e = state
+    min_events = len(found["full"]) - min_n
+    by_rows, by_events = n, min_n + e
+    first = by_rows if found["full"][by_rows] <= found["full"][by_events] else by_events
+    if found["ends"][first] < 0:
+        return (n + found["sums"][0], e + found["sums"][1]), 0
+    return divmod(found["ends"][first], min_events), found["closed"][first]
 
 
 def adaptive_bins(df: DataFrame, event: str, score: str, by: str, min_n: int = 35, min_events: int = 3, ranges: int = RANGES) -> DataFrame:
     """WN-07: bins closed once they hold ``min_n`` rows or ``min_events`` events, in score order per model.
 
     Rows are counted by distinct score first. Ranges of the score are walked in
-    parallel from every state an open bin may have; these maps compose, so a
-    walk over a model's ranges tells each its first state and bin. Then the ranges are
-    walked once more, and what they hold of a bin is added up.
+    parallel from every state an open bin may have, so a walk over a model's ranges
+    tells each its first state and bin. Then the ranges are walked once more, and
+    what they hold of a bin is added up.
     """
     counts = score_counts(df, event, score, [by])
     counts = kept(counts.withColumn("range", range_of(counts, "score", ranges)))
@@ -296,24 +299,20 @@ def adaptive_bins(df: DataFrame, event: str, score: str, by: str, min_n: int = 3
     dealt = counts.repartition(by, "range").sortWithinPartitions(by, "range", "score")
 
     def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = found = None
+        piece = 0
         for k, rows, goes_on in _groups(batches, [by, "range"]):
+            piece = piece + 1 if goes_on else 0
             one = bin_map((rows["pos"] + rows["neg"]).to_numpy(np.int64), rows["pos"].to_numpy(np.int64), min_n, min_events)
-            if goes_on:
-                found = compose(found, one)
-                continue
-            if key is not None:
-                yield pd.DataFrame({by: [key[0]], "range": [key[1]], "ends": [found[0]], "closed": [found[1]]})
-            key, found = k, one
-        if key is not None:
-            yield pd.DataFrame({by: [key[0]], "range": [key[1]], "ends": [found[0]], "closed": [found[1]]})
+            yield pd.DataFrame({by: [k[0]], "range": [k[1]], "piece": [piece], **{c: [v] for c, v in one.items()}})
 
     def entries(table: pd.DataFrame) -> pd.DataFrame:
-        """The state and bin with which each range of a model begins; at most ``ranges`` rows."""
-        state, number, out = 0, 0, []
-        for r, ends, closed in table.sort_values("range")[["range", "ends", "closed"]].itertuples(index=False):
-            out.append((r, state, number))
-            state, number = int(ends[state]), number + int(closed[state])
+        """The state and bin with which each range of a model begins; a row per range, or more where a range came in several batches."""
+        state, number, out = (0, 0), 0, []
+        for r in table.sort_values(["range", "piece"]).to_dict("records"):
+            if not r["piece"]:
+                out.append((r["range"], state[0] * min_events + state[1], number))
+            state, closed = walk_from(state, r, min_n)
+            number += closed
         made = pd.DataFrame(out, columns=["range", "state", "first"])
         made.insert(0, by, table[by].iloc[0])
         return made
@@ -332,7 +331,7 @@ def adaptive_bins(df: DataFrame, event: str, score: str, by: str, min_n: int = 3
                     n, events, number = 0, 0, number + 1
             yield pd.DataFrame({by: rows[by], "bin": bins, "n": rows["pos"] + rows["neg"], "events": rows["pos"], "score": rows["score"]})
 
-    begin = dealt.mapInPandas(maps, f"{by} {kind}, range int, ends array<long>, closed array<long>").groupBy(by).applyInPandas(entries, f"{by} {kind}, range int, state long, first long")
+    begin = dealt.mapInPandas(maps, f"{by} {kind}, range int, piece int, full array<int>, closed array<long>, ends array<long>, sums array<long>").groupBy(by).applyInPandas(entries, f"{by} {kind}, range int, state long, first long")
     own = begin.select(F.col(by).alias("_by"), F.col("range").alias("_r"), "state", "first")
     met = counts.join(own, F.col(by).eqNullSafe(F.col("_by")) & (F.col("range") == F.col("_r"))).select(by, "range", "score", "pos", "neg", "state", "first")
     placed = met.repartition(by, "range").sortWithinPartitions(by, "range", "score").mapInPandas(walk, f"{by} {kind}, bin int, n long, events long, score double")

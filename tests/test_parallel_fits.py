@@ -306,21 +306,21 @@ def test_bins_do_not_depend_on_ranges(spark, ranges):
         assert got[m] == bins_of(counts, 35, 3)
 
 
-def test_bin_maps_compose():
+def test_bin_maps_follow_the_walk():
     rng = np.random.default_rng(6)
     n, e = rng.integers(1, 5, 80), rng.integers(0, 2, 80)
-    e = np.minimum(e, n)
-    whole = O.bin_map(n, e, 7, 3)
-    for cut in (0, 1, 33, 80):
-        both = O.compose(O.bin_map(n[:cut], e[:cut], 7, 3), O.bin_map(n[cut:], e[cut:], 7, 3))
-        assert all(np.array_equal(a, b) for a, b in zip(whole, both))
-    for state in range(21):
-        r, v, closed = state // 3, state % 3, 0
-        for a, b in zip(n, e):
-            r, v = r + a, v + b
-            if r >= 7 or v >= 3:
-                r, v, closed = 0, 0, closed + 1
-        assert (whole[0][state], whole[1][state]) == (r * 3 + v, closed)
+    cuts = [0, 1, 33, 33, 80]
+    maps = [O.bin_map(n[a:b], e[a:b], 7, 3) for a, b in itertools.pairwise(cuts)]
+    for start in itertools.product(range(7), range(3)):
+        (r, v), closed, state, total = start, 0, start, 0
+        for m, (low, high) in zip(maps, itertools.pairwise(cuts)):
+            for a, b in zip(n[low:high], e[low:high]):
+                r, v = r + a, v + b
+                if r >= 7 or v >= 3:
+                    r, v, closed = 0, 0, closed + 1
+            state, more = O.walk_from(state, m, 7)
+            total += more
+            assert (state, total) == ((r, v), closed)
 
 
 # many scores
