@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.aggregates import SD_FLOOR, batch_profile, dominant, value_counts
 from riskloom.operators.contracts import enforce, unknown_batches
+from riskloom.operators.joins import small
 from riskloom.operators.order import exact_percentiles
+from riskloom.sources.scratch import kept
 
 
 def _overall(long: DataFrame) -> DataFrame:
@@ -17,20 +19,28 @@ def _overall(long: DataFrame) -> DataFrame:
     return long.groupBy("feature").agg(F.avg("value").alias("gm"), F.when(sd < SD_FLOOR, 1.0).otherwise(sd).alias("gs"))
 
 
+def _side(stats: DataFrame) -> DataFrame:
+    """Statistics by batch and feature as the side of a join with all rows: kept, as checking their size would compute them once more, and broadcast if few.
+
+    Otherwise the rows would be shuffled by a handful of keys, each of which lands in one task.
+    """
+    return small(kept(stats))
+
+
 def batch_zscore(train: DataFrame, test: DataFrame) -> DataFrame:
     """HZ-03: z-scores by training batch, brought back to the training scale; unseen batches use all of training."""
     own = batch_profile(train).select("batch", "feature", "mean", "sd")
-    j = test.join(own, ["batch", "feature"], "left").join(_overall(train), "feature")
+    j = test.join(_side(own), ["batch", "feature"], "left").join(_side(_overall(train)), "feature")
     z = (F.col("value") - F.coalesce("mean", "gm")) / F.coalesce("sd", "gs")
     return j.withColumn("value", z * F.col("gs") + F.col("gm")).drop("mean", "sd", "gm", "gs")
 
 
 def ref_standardize(train: DataFrame, test: DataFrame, ref) -> DataFrame:
     """HZ-04: batches aligned to the reference batch's mean and SD; an unseen batch is taken as the reference; without reference rows all of training is it."""
-    own = batch_profile(train).select("batch", "feature", "mean", "sd")
+    own = kept(batch_profile(train).select("batch", "feature", "mean", "sd"))
     r = own.filter(F.col("batch") == F.lit(ref)).select("feature", F.col("mean").alias("rm"), F.col("sd").alias("rs"))
     target = _overall(train).join(r, "feature", "left").select("feature", F.coalesce("rm", "gm").alias("tm"), F.coalesce("rs", "gs").alias("ts"))
-    j = test.join(own, ["batch", "feature"], "left").join(target, "feature")
+    j = test.join(small(own), ["batch", "feature"], "left").join(_side(target), "feature")
     z = (F.col("value") - F.coalesce("mean", "tm")) / F.coalesce("sd", "ts")
     return j.withColumn("value", z * F.col("ts") + F.col("tm")).drop("mean", "sd", "tm", "ts")
 
@@ -77,12 +87,15 @@ def combat_fit(
     if fill == "error":
         enforce(long.filter(F.col("value").isNull() | F.isnan("value")).groupBy("feature").agg(F.count(F.lit(1)).alias("missing")), "missing values")
     clean = long.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    medians = exact_percentiles(clean, "value", {"median": 0.5}, ["feature"]) if fill == "median" else clean.select("feature").distinct().withColumn("median", F.lit(None).cast("double"))
+    medians = exact_percentiles(clean, "value", {"median": 0.5}, ["feature"]) if fill == "median" else None
     if fill == "median":
-        clean = clean.join(medians, "feature").withColumn("value", F.coalesce("value", "median")).drop("median")
+        medians = kept(medians)
+        clean = clean.join(small(medians), "feature").withColumn("value", F.coalesce("value", "median")).drop("median")
     if ref == "largest":
         ref = dominant(clean.select("id", "batch").distinct(), "batch").first()["batch"]
-    s = clean.groupBy("batch", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v"))
+    s = kept(clean.groupBy("batch", "feature").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")))
+    if medians is None:
+        medians = s.select("feature").distinct().withColumn("median", F.lit(None).cast("double"))
     if ref is None:
         base = s.groupBy("feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("alpha"), (F.sum(F.col("n") * F.col("v")) / F.sum("n")).alias("pooled"))
     else:
@@ -128,13 +141,14 @@ def combat_apply(long: DataFrame, estimates: DataFrame, check: bool = True, fill
     training median where a value is missing, also for features that an id lacks
     altogether.
     """
+    estimates = kept(estimates)
     if check:
         enforce(unknown_batches(long, estimates, "batch"), "unknown batches")
         enforce(long.select("batch", "feature").distinct().join(estimates, ["batch", "feature"], "left_anti"), "features without estimates")
     if fill:
-        ids = long.select("id", "batch").distinct().join(estimates.select("batch", "feature", F.col("median").alias("_m")), "batch")
+        ids = long.select("id", "batch").distinct().join(small(estimates.select("batch", "feature", F.col("median").alias("_m"))), "batch")
         long = ids.join(long, ["id", "batch", "feature"], "left").withColumn("value", F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.col("_m"))).drop("_m")
-    j = long.join(estimates.drop("median"), ["batch", "feature"], "left")
+    j = long.join(small(estimates.drop("median")), ["batch", "feature"], "left")
     z = ((F.col("value") - F.col("alpha")) / F.sqrt("pooled") - F.col("gamma")) / F.sqrt("delta")
     return j.withColumn("value", z * F.sqrt("pooled") + F.col("alpha")).drop("alpha", "pooled", "gamma", "delta")
 
@@ -142,16 +156,17 @@ def combat_apply(long: DataFrame, estimates: DataFrame, check: bool = True, fill
 def harmonize_eligible(long: DataFrame, least: int = 3, ref=None) -> DataFrame:
     """HZ-05: only batches of ``least`` ids or more, if there are two of them; a flag says which rows changed."""
     sizes = value_counts(long.select("id", "batch").distinct(), "batch").filter(F.col("n") >= least).select("batch")
+    sizes = kept(sizes)
     if sizes.limit(2).count() < 2:
         return long.withColumn("harmonized", F.lit(False))
-    big = long.join(sizes, "batch", "left_semi")
-    rest = long.join(sizes, "batch", "left_anti")
+    big = long.join(small(sizes), "batch", "left_semi")
+    rest = long.join(small(sizes), "batch", "left_anti")
     done = combat_apply(big, combat_fit(big, ref), check=False).withColumn("harmonized", F.lit(True))
     return done.unionByName(rest.withColumn("harmonized", F.lit(False)))
 
 
 def harmonize_or_passthrough(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     """SM-05: harmonised where the batch is known, raw with a flag elsewhere; works on streams."""
-    j = rows.join(estimates.drop("median"), ["batch", "feature"], "left")
+    j = rows.join(_side(estimates.drop("median")), ["batch", "feature"], "left")
     z = ((F.col("value") - F.col("alpha")) / F.sqrt("pooled") - F.col("gamma")) / F.sqrt("delta")
     return j.withColumn("unknown_batch", F.col("alpha").isNull()).withColumn("value", F.coalesce(z * F.sqrt("pooled") + F.col("alpha"), F.col("value"))).drop("alpha", "pooled", "gamma", "delta")
