@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import aggregates as A
 from riskloom.operators import calibrate as C
+from riskloom.operators import evaluate as E
 from riskloom.operators import harmonize as H
+from riskloom.operators import resample as R
 
 
 def plan(df):
@@ -52,3 +54,19 @@ def test_summaries_gather_no_group(spark):
     assert got[None][:2] == (4.0, 4.0) and got["c"][1:] == (math.inf, math.inf, math.inf, 2)
     mads = {r["g"]: (r["median"], r["mad"], r["sd"], r["range"], r["n"]) for r in A.consensus(long, "g").collect()}
     assert mads["a"] == pytest.approx((2.0, 0.5, math.sqrt(5.5), 6.0, 4)) and mads["b"] == (None, None, None, None, 0) and mads[None] == (4.0, 1.0, 1.0, 2.0, 2)
+
+
+def test_replicates_are_drawn_once(spark):
+    """AUCs read counts by replicate and score; no draw is left in their plan. Nine replicates take three numbers of four."""
+    rows = spark.range(90).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("event"), (F.col("id") * 7 % 31).cast("double").alias("score"))
+    made = E.replicate_aucs(rows, "event", ["score"], "id", 9, "s")
+    assert "md5" not in plan(made)
+    weights = R.bootstrap_weights(rows, "id", "event", 9, "s", ["score"]).toPandas()
+    sums = weights.groupby(["rep", "event"])["weight"].sum().unstack()
+    assert len(weights) == 810 and (sums[1] == 30).all() and (sums[0] == 60).all()
+    for r in made.collect():
+        one = weights[weights["rep"] == r["rep"]]
+        for name, w in (("in_score", one["weight"]), ("out_score", (one["weight"] == 0).astype(int))):
+            pos, neg = one["event"] == 1, one["event"] == 0
+            beats = [a * b * ((s > t) + (s == t) / 2) for s, a in zip(one["score"][pos], w[pos], strict=True) for t, b in zip(one["score"][neg], w[neg], strict=True)]
+            assert r[name] == pytest.approx(sum(beats) / (w[pos].sum() * w[neg].sum()))
