@@ -70,3 +70,12 @@ def test_replicates_are_drawn_once(spark):
             pos, neg = one["event"] == 1, one["event"] == 0
             beats = [a * b * ((s > t) + (s == t) / 2) for s, a in zip(one["score"][pos], w[pos], strict=True) for t, b in zip(one["score"][neg], w[neg], strict=True)]
             assert r[name] == pytest.approx(sum(beats) / (w[pos].sum() * w[neg].sum()))
+
+
+def test_placements_and_fits_read_rows_alike_once(spark, monkeypatch):
+    rows = spark.range(400).select((F.col("id") % 3 == 0).cast("int").alias("event"), (F.col("id") % 4 / 8 + 0.1).alias("p"), (F.col("id") % 2 / 2).alias("q"))
+    assert E.placements(rows, "event", ["p", "q"]).agg(F.count(F.lit(1)), F.sum("n")).first() == (8, 400)
+    sizes, keep = [], C.kept
+    monkeypatch.setattr(C, "kept", lambda df, *label: (sizes.append(df.count()), keep(df, *label))[1])
+    C.newton_by(rows, "event", "p", [])
+    assert sizes == [8]
