@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,11 @@ from riskloom.operators import aggregates as A
 from riskloom.operators import calibrate as C
 from riskloom.operators import evaluate as E
 from riskloom.operators import harmonize as H
+from riskloom.operators import models as M
 from riskloom.operators import resample as R
+from riskloom.operators import solver as V
+from riskloom.operators.contracts import ContractError
+from riskloom.sources import scratch
 
 
 def plan(df):
@@ -79,3 +84,39 @@ def test_placements_and_fits_read_rows_alike_once(spark, monkeypatch):
     monkeypatch.setattr(C, "kept", lambda df, *label: (sizes.append(df.count()), keep(df, *label))[1])
     C.newton_by(rows, "event", "p", [])
     assert sizes == [8]
+
+
+def test_left_out_rows_are_shuffled_as_packed_numbers(spark, monkeypatch):
+    """AUCs equal those of single scores over many ranges, ties and tasks' parts; the shuffle has no row per score."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 2)).round(1)
+    rows = spark.createDataFrame([(i, int(rng.random() < 0.4), [float(v) for v in a], [i % 3]) for i, a in enumerate(x)], "id int, event int, features array<double>, codes array<int>").repartition(5).persist()
+    fits = [V.Fit(None, 1.0, 0.0, ((0, f),)) for f in range(3)] + [V.Fit(None, 1e-9, 1.0, ((0, 0),))]
+    fitted = V.fit_logistic_replicates(rows, fits)
+    want = {r["fit"]: tuple(r) for r in E.auc(V.replicate_scores(rows, fits, fitted, held_out=True), "event", "p", ["fit"]).collect()}
+    monkeypatch.setattr(V, "RANGE_ROWS", 100)
+    monkeypatch.setattr(V, "GATHERED", 700)
+    made = V.held_out_aucs(rows, fits, fitted)
+    assert plan(made).count("MapInArrow") == 1 and "score" not in plan(made)
+    got = {r["fit"]: tuple(r) for r in made.collect()}
+    assert sorted(got) == [0, 1, 2, 3] and all(got[f] == pytest.approx(want[f]) for f in got) and want[3][1] == pytest.approx(0.5)
+
+
+def test_numbers_and_folds_join_nothing_by_id(unaided, monkeypatch):
+    """Places equal those of ``class_order``; rows are shuffled by parts of the hash alone, and bad ids are seen."""
+    plans, keep = [], scratch.kept
+    monkeypatch.setattr(scratch, "kept", lambda df, *label: (plans.append(plan(df)), keep(df, *label))[1])
+    rows = unaided.range(300).select("id", (F.col("id") % 3 == 0).cast("int").alias("event"), F.array(F.col("id").cast("double")).alias("features"))
+    numbered, n, events = M.numbered_by_class(rows, "s")
+    folded = M.fold_rows(rows, 4, "s")
+    assert len(plans) == 2 and not [p for p in plans if "SortMergeJoin" in p]
+    at = {r["id"]: r["pos"] for r in R.class_order(rows.select("id", "event"), "id", "event", "s|number").collect()}
+    assert (n, events) == (300, 100) and all(r["number"] == at[r["id"]] + (0 if r["event"] else 100) for r in numbered.collect())
+    folds = {r["id"]: [r["fold"]] for r in R.stratified_kfold(rows, "id", "event", 4, "s").collect()}
+    assert folded.columns == ["id", "event", "features", "codes"] and {r["id"]: r["codes"] for r in folded.collect()} == folds
+    null = rows.withColumn("event", F.when(F.col("id") > 0, F.col("event")))
+    # the same id in both classes, in one class, without a class, without an id
+    for bad in (rows.union(rows.filter("id = 5").withColumn("event", F.lit(1))), rows.union(rows.filter("id = 6")), null, rows.withColumn("id", F.when(F.col("id") > 0, F.col("id")))):
+        for step in (lambda b: M.numbered_by_class(b, "s"), lambda b: M.fold_rows(b, 3, "s")):
+            with pytest.raises(ContractError):
+                step(bad)
