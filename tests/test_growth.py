@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from riskloom.operators import evaluate as E
 from riskloom.operators import harmonize as H
 from riskloom.operators import models as M
 from riskloom.operators import resample as R
+from riskloom.operators import screen as FS
 from riskloom.operators import solver as V
 from riskloom.operators.contracts import ContractError
 from riskloom.sources import scratch
@@ -120,3 +122,21 @@ def test_numbers_and_folds_join_nothing_by_id(unaided, monkeypatch):
         for step in (lambda b: M.numbered_by_class(b, "s"), lambda b: M.fold_rows(b, 3, "s")):
             with pytest.raises(ContractError):
                 step(bad)
+
+
+def test_features_are_placed_without_a_search_per_value(spark, monkeypatch):
+    """No map that is searched for each feature; ids that lack features count where they have both, a feature twice is an error."""
+    plans, sums = [], FS.moment_sums
+    monkeypatch.setattr(FS, "moment_sums", lambda v, p: (plans.append(plan(v)), sums(v, p))[1])
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 5)).round(1)
+    x[:, 3] = x[:, 0] + 0.1 * x[:, 1]
+    long = [(i, i % 2, f"f{j}", float(v)) for i, row in enumerate(x) for j, v in enumerate(row) if (i, j) not in ((4, 1), (7, 1), (7, 4))]
+    table = spark.createDataFrame(long, "id long, event int, feature string, value double").repartition(4)
+    names, r = FS.rank_correlations(table)
+    FS.knockoff_features(table, "k").collect()
+    assert len(plans) == 2 and not [p for p in plans if "element_at" in p or "map_from_entries" in p]
+    wide = pd.DataFrame(long, columns=["id", "event", "feature", "value"]).pivot(index="id", columns="feature", values="value").rank()
+    assert names == list(wide.columns) and r == pytest.approx(np.abs(wide.corr().to_numpy()), abs=1e-12)
+    with pytest.raises(Exception, match="a feature twice"):
+        FS.rank_correlations(table.union(table.filter("id = 3 and feature = 'f2'")))
