@@ -67,3 +67,15 @@ def test_folds_of_margins_run_side_by_side(spark, long, monkeypatch):
     monkeypatch.setattr(M, "margins", lambda model, rows: rows.select("event", F.col("features")[0].alias("_x")))
     a, b = M.fit_platt(M.vector_rows(long), 3, "s", fit=lambda rows: meet())
     assert a == pytest.approx(a) and b > 0
+
+
+def test_folds_of_the_boosted_study_run_side_by_side(spark, long, monkeypatch):
+    """Folds meet, and a fold's columns are profiled once."""
+    meet, profiles, profile = meeting(2), [], ST.A.column_profile
+    counted = lambda df: (profiles.append(1), profile(df))[1]
+    monkeypatch.setattr(ST.A, "column_profile", counted)
+    monkeypatch.setattr(ST.FS, "column_profile", counted)
+    monkeypatch.setattr(ST.M, "fit_boosted", lambda rows, *args, **kw: meet())
+    monkeypatch.setattr(ST.M, "ml_scores", lambda model, rows: rows.select("id", "event", (F.col("features")[0] / 20).alias("p")))
+    summary, frequency = ST.univariate_boosted_cv(long, 2, 1, panel=2, seed="u")
+    assert len(profiles) == 2 and summary.first()["valid"] == 2 and frequency.count() >= 2
