@@ -79,3 +79,10 @@ def test_folds_of_the_boosted_study_run_side_by_side(spark, long, monkeypatch):
     monkeypatch.setattr(ST.M, "ml_scores", lambda model, rows: rows.select("id", "event", (F.col("features")[0] / 20).alias("p")))
     summary, frequency = ST.univariate_boosted_cv(long, 2, 1, panel=2, seed="u")
     assert len(profiles) == 2 and summary.first()["valid"] == 2 and frequency.count() >= 2
+
+
+def test_validation_schemes_run_side_by_side(spark, long):
+    meet = meeting(3)
+    value = lambda name, v: lambda rows: (meet(), spark.createDataFrame([(v,)], f"{name} double"))[1]
+    each, consensus = ST.validation_suite(long, {"a": value("mean", 0.5), "b": value("auc", 0.7), "c": value("mean", 0.9)})
+    assert {tuple(r) for r in each.collect()} == {("a", 0.5), ("b", 0.7), ("c", 0.9)} and consensus.first()["median"] == 0.7
