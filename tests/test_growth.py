@@ -140,3 +140,67 @@ def test_features_are_placed_without_a_search_per_value(spark, monkeypatch):
     assert names == list(wide.columns) and r == pytest.approx(np.abs(wide.corr().to_numpy()), abs=1e-12)
     with pytest.raises(Exception, match="a feature twice"):
         FS.rank_correlations(table.union(table.filter("id = 3 and feature = 'f2'")))
+
+
+def logistic(x, y, rounds=100):
+    """Intercept and slope by plain Newton steps."""
+    z, b = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-z @ b))
+        b = b + np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z, z.T @ (y - p))
+    return b
+
+
+def test_margins_that_hardly_differ_get_the_event_rate(spark):
+    """An SVC of few events has margins close to -1; their sigmoid is that of the same margins spread out."""
+    rng = np.random.default_rng(8)
+    u = rng.normal(size=500)
+    y = (rng.random(500) < 1 / (1 + np.exp(2.2 - 0.7 * u))).astype(int)
+    groups = {"wide": u, "close": -1 + 1e-6 * u, "same": np.full(500, -1.0)}
+    rows = spark.createDataFrame([(g, int(e), float(v)) for g, x in groups.items() for e, v in zip(y, x, strict=True)] + [("one", 1, 0.5), ("one", 1, 0.7)], "g string, event int, x double")
+    found = C.newton_by(rows, "event", "x", ["g"])
+    p = {g: 1 / (1 + np.exp(-(found[g,][0] + found[g,][1] * x))) for g, x in groups.items()}
+    a, b = logistic(u, y)
+    want = 1 / (1 + np.exp(-(a + b * u)))
+    assert found["wide",] == pytest.approx((a, b), abs=1e-9) and np.allclose(p["wide"], want, atol=1e-9)
+    assert np.allclose(p["close"], want, atol=1e-6) and np.allclose(p["same"], y.mean(), atol=1e-6)
+    assert sum(found["one",]) > 5
+    single = C.newton_by(rows.filter("g = 'close'"), "event", "x", [])[()]
+    assert single == pytest.approx(found["close",], rel=1e-6)
+
+
+def test_arrays_are_gathered_whole(spark):
+    """Rows equal those gathered from one row per value, also for ids that repeat; no value is a row of the shuffle."""
+    rows = [(1, 0, [1.0, None, 3.0]), (2, 1, [4.0, math.inf]), (2, 1, [7.0, 1.0, 0.5]), (2, 0, [9.0]), (3, 1, []), (4, 1, None), (5, None, [2.0]), (None, 0, [5.0, 6.0])]
+    arrays = spark.createDataFrame(rows, "id long, event int, features array<double>")
+    made = M.array_rows(arrays)
+    assert "Generate" not in plan(made)
+    long = arrays.select("id", "event", F.posexplode("features").alias("feature", "value"))
+    want = sorted(map(tuple, M.vector_rows(long).collect()), key=str)
+    assert sorted(map(tuple, made.collect()), key=str) == want and len(want) == 5 and made.columns == ["id", "event", "features"]
+
+
+def test_a_split_makes_its_rows_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(200).select("id", (F.col("id") % 4 == 0).cast("int").alias("event"), F.array(F.col("id") / 2).alias("features"))
+    train, test = M.split_rows(rows.mapInArrow(count, rows.schema), 0.3, "s")
+    held = {r["id"] for r in R.stratified_holdout(rows, "id", "event", 0.3, 1, "s").collect()}
+    assert {r["id"] for r in test.collect()} == held and {r["id"] for r in train.collect()} == set(range(200)) - held and len(held) == 60
+    assert train.columns == test.columns == rows.columns and made.value == 200
+
+
+def test_passes_of_an_svc_have_no_more_stages_than_rows_need(spark, monkeypatch):
+    """Few rows are in few partitions however many files they came from; many are not in one task."""
+    from pyspark.ml.classification import LinearSVC
+
+    parts = []
+    monkeypatch.setattr(LinearSVC, "fit", lambda self, data: (parts.append(data.rdd.getNumPartitions()), data.count())[1])
+    rows = spark.range(0, 40_000, 1, 16).select("id", (F.col("id") % 2).cast("int").alias("event"), F.array_repeat(F.col("id") / 7, 64).alias("features"))
+    assert M.fit_linear_svc(rows) == 40_000 and M.fit_linear_svc(rows.filter("id < 5000")) == 5000 and parts == [5, 1]
+    assert [M.loss_partitions(n) for n in (0, 1 << 19, 1 << 20, 1 << 25, 1 << 26, 1 << 33)] == [1, 1, 2, 5, 8, 1024]
