@@ -204,3 +204,29 @@ def test_passes_of_an_svc_have_no_more_stages_than_rows_need(spark, monkeypatch)
     rows = spark.range(0, 40_000, 1, 16).select("id", (F.col("id") % 2).cast("int").alias("event"), F.array_repeat(F.col("id") / 7, 64).alias("features"))
     assert M.fit_linear_svc(rows) == 40_000 and M.fit_linear_svc(rows.filter("id < 5000")) == 5000 and parts == [5, 1]
     assert [M.loss_partitions(n) for n in (0, 1 << 19, 1 << 20, 1 << 25, 1 << 26, 1 << 33)] == [1, 1, 2, 5, 8, 1024]
+
+
+def test_draws_are_not_gathered_on_the_driver(spark):
+    """Draws are made from a few lines, so a plan takes them for a small table; they have a row per row of the input."""
+    rows = spark.range(90).select("id", (F.col("id") % 3 == 0).cast("int").alias("event"), (F.col("id") * 7 % 31 / 31).alias("score"))
+    weights = R.bootstrap_weights(rows, "id", "event", 4, "s", ["score"])
+    weights.collect()
+    assert not [line for line in plan(weights).splitlines() if "Join" in line and "_at#" in line and "SortMergeJoin" not in line] and "SortMergeJoin [_at#" in plan(weights)
+
+
+def test_an_evaluation_counts_rows_alike_once(spark, monkeypatch):
+    """But for the replicates all parts read rows counted by event and score; they equal plain sums, and one class gives nulls."""
+    made, keep = [], E.kept
+    monkeypatch.setattr(E, "kept", lambda df, *label: (made.append(keep(df, *label)), made[-1])[1])
+    rows = spark.range(600).select("id", (F.crc32(F.col("id").cast("string")) % 5 <= F.col("id") % 4).cast("int").alias("event"), ((F.col("id") % 8 + 1) / 10).alias("p"))
+    r = E.evaluate_score(rows, "event", "p").first()
+    y, p = rows.select("event", "p").toPandas().to_numpy().T
+    assert [(df.count(), df.columns) for df in made] == [(16, ["event", "p", "_n"]), (8, ["score", "tp", "fp", "p", "n", "pos", "neg"])]
+    wins = [(a > b) + (a == b) / 2 for a in p[y == 1] for b in p[y == 0]]
+    gaps = [(abs(p[b].mean() - y[b].mean()), b.sum()) for b in (np.isclose(p, k / 10) for k in range(1, 9))]
+    assert (r["n"], r["events"], r["pos"], r["neg"]) == (600, y.sum(), y.sum(), 600 - y.sum()) and r["auc"] == pytest.approx(np.mean(wins))
+    assert (r["brier"], r["mean"], r["observed"]) == pytest.approx((np.mean((p - y) ** 2), p.mean(), y.mean())) and r["log_loss"] == pytest.approx(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)))
+    assert (r["ece"], r["mce"]) == pytest.approx((sum(g * n for g, n in gaps) / 600, max(g for g, _ in gaps)))
+    assert sum(s["n"] for s in r["strata"]) == 600 and sum(s["events"] for s in r["strata"]) == y.sum()
+    one = E.evaluate_score(rows.withColumn("event", F.lit(0)), "event", "p").first()
+    assert (one["n"], one["events"], one["auc"], one["youden"], one["youden_threshold"]) == (600, 0, None, None, None) and one["brier"] == pytest.approx(np.mean(p**2))
