@@ -86,3 +86,17 @@ def test_validation_schemes_run_side_by_side(spark, long):
     value = lambda name, v: lambda rows: (meet(), spark.createDataFrame([(v,)], f"{name} double"))[1]
     each, consensus = ST.validation_suite(long, {"a": value("mean", 0.5), "b": value("auc", 0.7), "c": value("mean", 0.9)})
     assert {tuple(r) for r in each.collect()} == {("a", 0.5), ("b", 0.7), ("c", 0.9)} and consensus.first()["median"] == 0.7
+
+
+def test_boosted_folds_do_the_whole_job(spark, long, monkeypatch):
+    """The query has five folds five times over, and early stopping ends the trees; the table is not copied for each fold."""
+    from riskloom import registry
+
+    asked, rounds, tables, fit, keep = [], [], [], M.fit_boosted, ST.kept
+    monkeypatch.setattr(M, "fit_boosted", lambda rows, n, **settings: (rounds.append(n), fit(rows, n, **settings))[1])
+    monkeypatch.setattr(ST, "kept", lambda df, *label: (tables.append(df.columns), keep(df, *label))[1])
+    summary, frequency = ST.univariate_boosted_cv(long, 2, 1, panel=2, seed="u")
+    assert rounds == [400, 400] and summary.first()["valid"] == 2 and sum("value" in t for t in tables) == 2
+    monkeypatch.setattr(ST, "univariate_boosted_cv", lambda v, *a, **b: (asked.append(a), (summary, frequency))[1])
+    registry.queries()["ml18_univariate_boosted"](spark, "/root/testdata/sf0.001")
+    assert asked == [(5, 5)]
